@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, packing, quality
+from gleaner.llm import lm, mixing, packing, quality
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 
 
@@ -20,6 +20,11 @@ def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents at their sources' repetition rates."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_windows,
+        op2_deleted_interpolation,
         op3_mix_sources,
         op8_quality_hosts,
     )
