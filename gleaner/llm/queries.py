@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import lm, mixing, packing, quality
+from gleaner.llm import lm, mixing, packing, quality, secrets, toxicity
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 
 
@@ -30,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents; the host of a document is its source."""
     q = quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -37,13 +42,24 @@ def op8_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a document is a repository, its source the owner."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), "doc_id", "source", ["doc_id"])
+    base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE))
+    counts = [secrets.count_of(k).alias(f"n_{k.name}") for k in secrets.BASE]
+    sha = F.sha2(secrets.joined(base).cast("binary"), 256)
+    return found.select("doc_id", *counts, sha.alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"), "n_live", "n_shared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_windows,
         op2_deleted_interpolation,
         op3_mix_sources,
+        op4_toxicity_fm,
         op8_quality_hosts,
+        op9_secret_owners,
     )
 }
 
