@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ WINDOW = 4096
 END_ID = 2
 #: Pieces that one task packs.
 SHARD_PIECES = 50_000
-#: Words whose ids a worker remembers.
-MEMORY = 200_000
+#: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
+MEMORY, BYTES = 1_000_000, 12 << 20
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,37 +42,59 @@ class WordIds:
     """Ids of texts by the ids of their white-space separated parts.
 
     The pre-tokeniser never joins across ASCII white space, so a text's ids are
-    those of its parts in order; each distinct part is encoded once.
+    those of its parts in order; each distinct part is encoded once and
+    remembered, in flat arrays that stay small beside the texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_parts(self, parts: list[str]) -> list[np.ndarray]:
-        if new := [p for p in parts if p not in self.known]:
-            if len(self.known) + len(new) > MEMORY:
-                self.known = {p: self.known[p] for p in parts if p in self.known}
-            self.known.update(zip(new, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [self.known[p] for p in parts]
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _keep(self, parts: pa.Array, lengths: np.ndarray, ids: np.ndarray, uses: np.ndarray) -> None:
+        self.parts, self.lengths, self.ids, self.uses = parts, lengths, ids, uses
+
+    def _forget(self) -> None:
+        """Keep the more used half of the parts."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.memory // 2])
+        mask = np.zeros(len(self.parts), bool)
+        mask[keep] = True
+        self._keep(self.parts.take(pa.array(keep)), self.lengths[keep], self.ids[np.repeat(mask, self.lengths)], np.zeros(len(keep), np.int64))
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of distinct parts are; unknown ones are encoded and added."""
+        if len(self.parts) > self.memory:
+            self._forget()
+        at = pc.index_in(parts, value_set=self.parts)
+        new = parts.filter(at.is_null())
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.uses[place[place >= 0]] += 1
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            place[place < 0] = len(self.parts) + np.arange(len(new))
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+            self._keep(pa.concat_arrays([self.parts, new]), np.r_[self.lengths, lengths], np.r_[self.ids, flat], np.r_[self.uses, np.ones(len(new), np.int64)])
+        return place
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and where each text's ids begin."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        ids = [*self.of_parts(coded.dictionary.to_pylist()), np.array([end_id], np.uint32)]
-        end = len(ids) - 1
-        lengths, flat = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
+        place = self.places(coded.dictionary)
+        first = np.r_[0, np.cumsum(self.lengths)[:-1]][place] if len(place) else place
+        starts, lengths = np.r_[first, len(self.ids)], np.r_[self.lengths[place], 1]
         ends_at = np.cumsum(sizes + 1) - 1
-        codes = np.full(int((sizes + 1).sum()), end, np.int64)
-        codes[np.delete(np.arange(len(codes)), ends_at)] = coded.indices.to_numpy(zero_copy_only=False)
-        run = np.r_[0, np.cumsum(lengths[codes])]
-        first = np.r_[0, np.cumsum(lengths)[:-1]]
-        at = np.arange(run[-1]) + np.repeat(first[codes] - run[:-1], lengths[codes])
-        return flat[at], np.r_[0, run[ends_at + 1]]
+        codes = np.full(int((sizes + 1).sum()), len(place), np.int64)
+        real = np.ones(len(codes), bool)
+        real[ends_at] = False
+        codes[real] = coded.indices.to_numpy(zero_copy_only=False)
+        size = lengths[codes]
+        run = np.r_[0, np.cumsum(size)]
+        at = np.arange(run[-1]) + np.repeat(starts[codes] - run[:-1], size)
+        return np.r_[self.ids, np.uint32(end_id)][at], np.r_[0, run[ends_at + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -86,7 +109,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BYTES):
                 ids, cut = _word_ids(tokenizer_path).encode(part.column("text"), end_id)
                 total = np.diff(cut)
                 n = -(-total // window)
