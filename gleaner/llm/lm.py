@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Words, crc_bucket, materialize, mix, slices
 
 #: Bytes of text in a chunk, and keys that one counting task gets.
-CHUNK_BYTES = 12 << 20
-RANGE_KEYS = 2_500_000
+CHUNK_BYTES = 6 << 20
+RANGE_KEYS = 1_500_000
 FOLDS = 10
 END = np.uint64(0x5DEECE66D1234567)
 #: Steps of the decimal logarithm in the histogram that the weights are learned from, and its last bin.
