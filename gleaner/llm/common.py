@@ -67,6 +67,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def append_column(df: DataFrame, name: str, kind: T.DataType, text: str, fn: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 score(text) = sigmoid(b + sum of w over its terms + sum over pairs of its terms of <v, v'>):
 the pairs hold what additive weights miss, such as an insult beside a group's
-name.  Terms are the distinct lower-case words, without the punctuation
-around them, hashed to 64 bits.  The machine is fitted on at most ``rows`` labelled rows of each class,
+name.  Terms are the lower-case words, without the punctuation around them,
+and their beginnings, each as found once, twice or three times, hashed to 64 bits.  The machine is fitted on at most ``rows`` labelled rows of each class,
 those of smallest hash, and knows the ``terms`` hashed terms that tell the
 classes apart best there; every whole text is then scored.
 
@@ -25,19 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import Words, append_column, crc_bucket, hash_words
+from gleaner.llm.common import Words, append_column, crc_bucket, hash_words, slices
 
 #: Bounds of the fit: labelled rows of each class, and terms.
 ROWS, TERMS = 6000, 1024
-FACTORS, EPOCHS, PENALTY = 4, 200, 1e-3
+FACTORS, EPOCHS, PENALTY = 4, 200, 1e-4
 LEAST_DOCS = 3
 THRESHOLD = 0.7
+#: Lengths of the beginnings of words that are terms.
+PREFIXES = (4, 5, 6, 7)
+TIMES = np.uint64(3)
 EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
 
 
 @dataclass
 class Machine:
-    terms: np.ndarray  # sorted hashes
+    """``terms``: sorted hashes whose last two bits tell how often a word or beginning must occur."""
+
+    terms: np.ndarray
     bias: float
     linear: np.ndarray
     factors: np.ndarray
@@ -50,13 +55,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of the distinct words, and the distinct pairs of a text and the place of one of its words among them."""
-    words = Words(texts)
-    clean = pc.utf8_lower(pc.replace_substring_regex(words.unique, EDGES, ""))
-    hashes, place = np.unique(hash_words(clean), return_inverse=True)
-    pairs = np.unique(words.rows() * max(1, len(hashes)) + place[words.codes]) if len(words.codes) else np.zeros(0, np.int64)
-    return hashes, pairs // max(1, len(hashes)), pairs % max(1, len(hashes))
+def word_terms(unique: pa.Array) -> list[np.ndarray]:
+    """Hashes of the terms of each unique word: the word, and its beginnings, which inflected forms share; 0 where it is too short for one."""
+    clean = pc.utf8_lower(pc.replace_substring_regex(unique, EDGES, ""))
+    sizes = pc.utf8_length(clean).to_numpy(zero_copy_only=False)
+    out = [np.where(sizes > 0, hash_words(clean), np.uint64(0))]
+    for n in PREFIXES:
+        marked = pc.binary_join_element_wise(pc.utf8_slice_codeunits(clean, 0, n), "", "*")
+        out.append(np.where(sizes > n, hash_words(marked), np.uint64(0)))
+    return [h & ~TIMES for h in out]
+
+
+def repeats(row: np.ndarray, base: np.ndarray, kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2 and 3 times: the distinct pairs ``row, base`` that occur so often; ``base`` is below ``kinds``."""
+    pairs, n = np.unique(row * kinds + base, return_counts=True)
+    return [(pairs[n >= k] // kinds, pairs[n >= k] % kinds) for k in (1, 2, 3)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: int, folds: int) -> DataFrame:
@@ -72,9 +85,18 @@ def fit(sample: DataFrame, terms: int = TERMS, factors: int = FACTORS, epochs: i
 
     def run(batches):
         for batch in batches:
-            hashes, row, place = text_terms(batch.column("text"))
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(hashes.view(np.int64)[place]))], names=["doc_id", "y", "terms"])
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                pairs = [np.zeros((0, 2), np.uint64)]
+                for hashes in word_terms(words.unique):
+                    kinds, place = np.unique(hashes, return_inverse=True)
+                    for times, (row, base) in enumerate(repeats(words.rows(), place[words.codes], max(1, len(kinds))), 1):
+                        pairs.append(np.stack([row.astype(np.uint64), kinds[base] | np.uint64(times)], 1)[kinds[base] > 0])
+                pairs = np.concatenate(pairs)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                cut = np.searchsorted(pairs[:, 0], np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(pairs[:, 1].copy().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), lists], names=["doc_id", "y", "terms"])
 
     got = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<long>").toArrow().sort_by("doc_id").combine_chunks()
     y = (got.column("y").to_numpy() == 1).astype(np.float64)
@@ -117,15 +139,22 @@ def _adam(terms: np.ndarray, x: np.ndarray, y: np.ndarray, factors: int, epochs:
 
 def apply(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
     """``docs`` with the machine's score of each whole text."""
+    bases = np.unique(machine.terms & ~TIMES)
+    columns = []  # for each number of times, the place of a base's term, or -1
+    for times in (1, 2, 3):
+        at = np.searchsorted(machine.terms, bases | np.uint64(times))
+        columns.append(np.where(np.isin(bases | np.uint64(times), machine.terms), at, -1))
 
     def run(part: pa.RecordBatch) -> pa.Array:
-        hashes, row, place = text_terms(part.column("text"))
-        at = np.searchsorted(machine.terms, hashes)
-        known = np.flatnonzero(machine.terms[np.minimum(at, len(machine.terms) - 1)] == hashes) if len(machine.terms) else np.zeros(0, np.int64)
-        term = np.full(len(hashes), -1)
-        term[known] = at[known]
-        use = term[place] >= 0
-        return pa.array(machine.scores(row[use], term[place][use], part.num_rows))
+        words = Words(part.column("text"))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for hashes in word_terms(words.unique) if len(bases) else []:
+            at = np.minimum(np.searchsorted(bases, hashes), len(bases) - 1)
+            base = np.where(bases[at] == hashes, at, -1)[words.codes]
+            for column, (row, b) in zip(columns, repeats(words.rows()[base >= 0], base[base >= 0], max(1, len(bases))), strict=True):
+                found.append((row[column[b] >= 0], column[b][column[b] >= 0]))
+        row, term = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.array(machine.scores(row, term, part.num_rows))
 
     return append_column(docs, out, T.DoubleType(), "text", run)
 
