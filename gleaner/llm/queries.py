@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import lm, mixing, packing, quality, secrets, toxicity
+from gleaner.llm import jaccard, lm, mixing, packing, quality, secrets, toxicity
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 
 
@@ -35,6 +35,11 @@ def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: links and groups, one row per document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents; the host of a document is its source."""
     q = quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_deleted_interpolation,
         op3_mix_sources,
         op4_toxicity_fm,
+        op6_jaccard_links,
         op8_quality_hosts,
         op9_secret_owners,
     )
