@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard, lm, mixing, packing, quality, secrets, toxicity
+from gleaner.llm import embeddings, jaccard, lm, mixing, packing, quality, secrets, toxicity, warc
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 
 
@@ -40,6 +40,12 @@ def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, written to archives and read back."""
+    captures = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
+
+
 def op8_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents; the host of a document is its source."""
     q = quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -56,6 +62,12 @@ def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha.alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"), "n_live", "n_shared")
 
 
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings: links and components, one row per vector."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_mix_sources,
         op4_toxicity_fm,
         op6_jaccard_links,
+        op7_warc_captures,
         op8_quality_hosts,
         op9_secret_owners,
+        op10_embedding_links,
     )
 }
 
@@ -86,6 +100,31 @@ WITH RECURSIVE sizes AS (
   FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
 )
 SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy_no FROM drawn
+""",
+    "op7_warc_captures": """
+WITH digests AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), named AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 5 * (i // 4))::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest
+  FROM digests
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN original IS NULL OR page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM firsts
+""",
+    "op10_embedding_links": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id
 """,
     "op8_quality_hosts": r"""
 WITH words AS (
