@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import embeddings, jaccard, lm, mixing, packing, quality, secrets, toxicity, warc
+from gleaner.llm import embeddings, jaccard, lm, mixing, packing, pii, quality, secrets, toxicity, warc
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 
 
@@ -35,6 +35,14 @@ def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kinds((k,))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    sha = F.sha2(pii.joined(pii.of_kinds(pii.BASE)).cast("binary"), 256)
+    return found.select("doc_id", *counts, sha.alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
+
+
 def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: links and groups, one row per document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_deleted_interpolation,
         op3_mix_sources,
         op4_toxicity_fm,
+        op5_personal_data,
         op6_jaccard_links,
         op7_warc_captures,
         op8_quality_hosts,
