@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_owners,
         op10_embedding_links,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 # md5 hashes are the same in both engines; the least k with cdf(k) > u is the number of cdf values that are at most u
 ORACLE_SQL: dict[str, str] = {
