@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.plans import texts
+from gleaner.plans import records, texts
 
-MODULES = (texts,)
+MODULES = (texts, records)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
