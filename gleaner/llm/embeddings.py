@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import lookup_join, materialize, mix
-from gleaner.llm.linkage import components, connect, deal
+from gleaner.llm.linkage import components, deal, links_within, numbered, parts
 
 THRESHOLD = 0.95
 TABLES, HASHES, PROBES = 20, 3, 3
-LOOSE_ROWS, EXACT_ROWS = 2048, 1024
+LOOSE_ROWS, EXACT_ROWS, BATCH_ROWS = 1024, 1024, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -112,26 +112,30 @@ def _units(column: pd.Series) -> np.ndarray:
 
 
 def _loose(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
-    for _, same in pdf.sort_values("member").groupby(pdf["unit"].str.len()):
-        x, name = _units(same["unit"]), same["member"].to_numpy()
-        label = connect(len(x), lambda i, others, x=x: x[others] @ x[i] >= THRESHOLD)
-        moved = label != np.arange(len(x))
-        out.append(pd.DataFrame({"a": name[moved], "b": name[label[moved]]}))
-    return pd.concat(out)
+    pdf, part = numbered(pdf.sort_values("member"), ["bucket"])
+    x, name = [np.frombuffer(u, np.float64) for u in pdf["unit"]], pdf["member"].to_numpy()
+    x = np.stack([np.pad(u, (0, max(map(len, x)) - len(u))) for u in x]) if len({len(u) for u in x}) > 1 else np.stack(x)
+    a, b = links_within(part, lambda i, j: np.einsum("...k,...k->...", x[i], x[j]) >= THRESHOLD)
+    return pd.DataFrame({"a": name[a], "b": name[b]}).drop_duplicates()
 
 
 def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("member")
-    side, i, j = pdf["_c"].to_numpy(), pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-    left, right = (pdf[side == i], pdf[side == j]) if i != j else (pdf, pdf)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"member": pdf["member"], "links": 0})
-    near = _units(left["unit"]) @ _units(right["unit"]).T >= THRESHOLD
-    if i == j:
-        np.fill_diagonal(near, False)
-        return pd.DataFrame({"member": pdf["member"], "links": near @ pdf["n_rows"].to_numpy()})
-    return pd.DataFrame({"member": [*left["member"], *right["member"]], "links": np.r_[near @ right["n_rows"].to_numpy(), left["n_rows"].to_numpy() @ near]})
+    member, links = [], []
+    for part in parts(pdf, ["root"]):
+        side, i, j = part["_c"].to_numpy(), part["_i"].iloc[0], part["_j"].iloc[0]
+        x, rows = _units(part["unit"]), part["n_rows"].to_numpy()
+        left = np.arange(len(part)) if i == j else np.flatnonzero(side == i)
+        right = left if i == j else np.flatnonzero(side == j)
+        near = x[left] @ x[right].T >= THRESHOLD
+        count = np.zeros(len(part), np.int64)
+        count[left] = near @ rows[right]
+        if i == j:
+            count -= np.diag(near) * rows
+        else:
+            count[right] = rows[left] @ near
+        member.append(part["member"].to_numpy())
+        links.append(count)
+    return pd.DataFrame({"member": np.concatenate(member), "links": np.concatenate(links)})
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", carry: list[str] | None = None) -> DataFrame:
@@ -143,16 +147,19 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", carry: list[s
     equal = rows.where("unit IS NOT NULL").groupBy("unit").agg(first.alias("f"), F.count("*").alias("n_rows"), F.first("buckets").alias("buckets"))
     kinds = materialize(equal.select("f.member", "f.rep", "n_rows", "unit", "buckets"), "kinds")
 
+    # vectors of different length are in different buckets, as the length is part of the hash
     spots = kinds.select("member", F.explode("buckets").alias("bucket"))
-    shared = spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    batches = max(1, (shared.agg(F.sum("n")).first()[0] or 0) // BATCH_ROWS)
     met = spots.join(shared, "bucket").join(kinds.select("member", "unit"), "member")
-    loose = deal(met, F.col("member"), F.col("n"), LOOSE_ROWS).groupBy("bucket", "_i", "_j").applyInPandas(_loose, "a long, b long")
+    loose = deal(met, ["bucket"], F.col("member"), F.col("n"), LOOSE_ROWS, batches).groupBy("_task").applyInPandas(_loose, "a long, b long")
     groups = components(loose)
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "_root")
     members = groups.join(sizes, F.col("root") == F.col("_root")).select(F.col("node").alias("member"), "root", "n")
     members = materialize(members.join(kinds.select("member", "unit", "n_rows"), "member"), "members")
-    links = deal(members, F.col("member"), F.col("n"), EXACT_ROWS).groupBy("root", "_i", "_j").applyInPandas(_exact, "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
+    batches = max(1, members.count() // BATCH_ROWS)
+    links = deal(members, ["root"], F.col("member"), F.col("n"), EXACT_ROWS, batches).groupBy("_task").applyInPandas(_exact, "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
 
     of_kind = kinds.select("member", "rep", "n_rows", "unit").join(groups.withColumnRenamed("node", "member"), "member", "left").join(links, "member", "left").withColumn("root", F.coalesce("root", "member"))
     best = of_kind.groupBy("root").agg(F.min("rep").alias("best"))

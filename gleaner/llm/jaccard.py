@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import Words, append_column, lookup_join, materialize, mix, windows_of
-from gleaner.llm.linkage import components, connect, deal, spread
+from gleaner.llm.linkage import components, deal, links_within, numbered, parts, spread
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 4, 0.9999999
 #: Share of equal minima that links two texts provisionally: six deviations below the threshold.
 AGREE = 0.55
-#: Members of a chunk in the provisional and in the exact comparison, and shingles that are compared at a time.
-LOOSE_ROWS, EXACT_ROWS, COLUMNS = 4096, 512, 4096
+#: Members of a chunk in the provisional and in the exact comparison, members of small groups in a task, and shingles that are compared at a time.
+LOOSE_ROWS, EXACT_ROWS, BATCH_ROWS, COLUMNS = 1024, 512, 1024, 4096
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +91,11 @@ def text_key(text: Column) -> Column:
 
 
 def _loose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("class")
+    pdf, part = numbered(pdf.sort_values("class"), ["tree", "prefix"])
     minima = np.stack(pdf["paths"].to_list()).view(np.uint16)
-    least = int(np.ceil(AGREE * minima.shape[1]))
-    label = connect(len(pdf), lambda i, others: (minima[others] == minima[i]).sum(1) >= least)
-    name = pdf["class"].to_numpy()
-    moved = label != np.arange(len(pdf))
-    return pd.DataFrame({"a": name[moved], "b": name[label[moved]]})
+    least, name = int(np.ceil(AGREE * minima.shape[1])), pdf["class"].to_numpy()
+    a, b = links_within(part, lambda i, j: (minima[i] == minima[j]).sum(-1) >= least)
+    return pd.DataFrame({"a": name[a], "b": name[b]}).drop_duplicates()
 
 
 def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -118,23 +116,22 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 
 
 def _exact(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class")
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
-        size, weight, side = np.array([len(s) for s in sets]), pdf["n_docs"].to_numpy(), pdf["_c"].to_numpy()
-        same = int(pdf["_i"].iloc[0]) == int(pdf["_j"].iloc[0])
-        left = np.arange(len(sets)) if same else np.flatnonzero(side == pdf["_i"].iloc[0])
-        right = left if same else np.flatnonzero(side == pdf["_j"].iloc[0])
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(b, np.uint64) for b in part["shingles"]]
+        size, weight, side = np.array([len(s) for s in sets]), part["n_docs"].to_numpy(), part["_c"].to_numpy()
+        i, j = part["_i"].iloc[0], part["_j"].iloc[0]
+        left = np.arange(len(sets)) if i == j else np.flatnonzero(side == i)
+        right = left if i == j else np.flatnonzero(side == j)
         both = common(sets, left, right)
         near = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-6
         linked = np.zeros((len(sets), len(sets)), bool)
         linked[np.ix_(left, right)] = near
         linked |= linked.T
         np.fill_diagonal(linked, False)
-        name = pdf["class"].to_numpy()
+        name = part["class"].to_numpy()
         return pd.DataFrame({"class": name, "links": linked @ weight, "root": name[spread(linked)]})
 
-    return run
+    return lambda pdf: pd.concat([compare(p) for p in parts(pdf.sort_values("class"), ["root"])])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
@@ -149,9 +146,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
 
     shift = 16 * (DEPTH - depth_for(threshold))
     spots = classes.select("class", F.posexplode("paths").alias("tree", "path")).withColumn("prefix", F.shiftrightunsigned("path", shift)).drop("path")
-    shared = spots.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(spots.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    batches = max(1, (shared.agg(F.sum("n")).first()[0] or 0) // BATCH_ROWS)
     met = spots.join(shared, ["tree", "prefix"]).join(classes.select("class", "paths"), "class")
-    loose = deal(met, F.col("class"), F.col("n"), LOOSE_ROWS).groupBy("tree", "prefix", "_i", "_j").applyInPandas(_loose, "a binary, b binary")
+    loose = deal(met, ["tree", "prefix"], F.col("class"), F.col("n"), LOOSE_ROWS, batches).groupBy("_task").applyInPandas(_loose, "a binary, b binary")
     groups = components(loose)
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "_root")
@@ -165,7 +163,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
         return pa.array([np.unique(hashed[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
 
     compared = append_column(texts, "shingles", T.BinaryType(), "_text", sets).drop("_text")
-    exact = deal(compared, F.col("class"), F.col("n"), EXACT_ROWS).groupBy("root", "_i", "_j").applyInPandas(_exact(threshold), "class binary, links long, root binary")
+    batches = max(1, members.count() // EXACT_ROWS)
+    exact = deal(compared, ["root"], F.col("class"), F.col("n"), EXACT_ROWS, batches).groupBy("_task").applyInPandas(_exact(threshold), "class binary, links long, root binary")
     exact = materialize(exact, "links")
     linked = exact.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(exact.select(F.col("class").alias("a"), F.col("root").alias("b")))

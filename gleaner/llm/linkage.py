@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +35,74 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("x", "m")).distinct(), "edges")
 
 
-def deal(grouped: DataFrame, member: Column, size: Column, rows: int) -> DataFrame:
-    """Deal each group's members over tasks ``_i, _j`` (and a member's side ``_c``) of about ``2 * rows`` members.
+def deal(grouped: DataFrame, keys: list[str], member: Column, size: Column, rows: int, batches: int) -> DataFrame:
+    """Deal the members of each group ``keys`` over tasks ``_task`` and, in them, parts ``_i, _j``; ``_c`` is a member's side.
 
-    A group of up to ``rows`` members is one task.  A larger one is cut into
-    chunks by the hash of the member, and every pair of chunks is a task, so
-    that each pair of members meets once: of different chunks in the task of
-    both, of one chunk in the task ``_i = _j``.
+    A group of up to ``rows`` members is one part.  A larger one is cut into
+    chunks by the hash of the member, and every pair of chunks is a part, so
+    that each pair of members meets once: of different chunks in the part of
+    both, of one chunk in the part ``_i = _j``.  Small groups share ``batches``
+    tasks, others are tasks of their own.
     """
     chunks = F.ceil(size / rows).cast("int")
     own = F.pmod(F.xxhash64(member), chunks.cast("long")).cast("int")
+    alone = size > max(1, rows // 16)
     return (
         grouped.withColumn("_n", chunks)
         .withColumn("_c", own)
         .withColumn("_o", F.explode(F.when(F.col("_n") > 1, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.lit(0)))))
         .withColumn("_i", F.least("_c", "_o"))
         .withColumn("_j", F.greatest("_c", "_o"))
+        .withColumn("_task", F.when(alone, F.xxhash64(*keys, "_i", "_j")).otherwise(F.pmod(F.xxhash64(*keys), F.lit(batches))))
         .drop("_n", "_o")
     )
 
 
+def numbered(pdf: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """A task's members, those of a part together, and the number of each one's part."""
+    by = [*keys, "_i", "_j"]
+    pdf = pdf.sort_values(by, kind="stable", ignore_index=True)
+    new = np.zeros(len(pdf), bool)
+    for c in by:
+        x = pdf[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return pdf, np.cumsum(new)
+
+
+def parts(pdf: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The parts of a task."""
+    pdf, part = numbered(pdf, keys)
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pdf)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield pdf.iloc[a:b]
+
+
+def links_within(part: np.ndarray, similar: Callable[[np.ndarray, np.ndarray], np.ndarray], few: int = 8, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``a, b`` of members of one part that are linked, enough of them to connect what is linked in it.
+
+    ``similar(i, j)`` tells whether members i and j link.  In parts of up to
+    ``few`` members all pairs are compared, those of many parts at a time.
+    """
+    size = np.bincount(part)
+    small = size[part] <= few
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, few):
+        at = np.flatnonzero((part[d:] == part[:-d]) & small[d:])
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            i = i[similar(i, i + d)]
+            a.append(i + d)
+            b.append(i)
+    ends = np.cumsum(size)
+    for g in np.flatnonzero(size > few):
+        first = ends[g] - size[g]
+        label = connect(int(size[g]), lambda i, others, first=first: similar(first + i, first + others))
+        moved = np.flatnonzero(label != np.arange(size[g]))
+        a.append(first + moved)
+        b.append(first + label[moved])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def connect(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each of ``n`` members the least member that it reaches; ``similar(i, others)`` marks the others that i links with.
 
