@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Which terms match only between characters that are no ASCII letters or digits; all others match anywhere.
 BOUNDED = {
@@ -196,7 +197,7 @@ def gate_view(title: Column, evidence: Column, source: Column, url: Column, patt
     return F.concat_ws(" ", base, F.array_join(tags(base, patterns), " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings."""
     from difflib import SequenceMatcher

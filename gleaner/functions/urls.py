@@ -102,15 +102,14 @@ def page_kind(url: Column | str, title: Column | str, rules: list[tuple[str, str
 
 def source_class(host: Column, classes: list[tuple[str, list[str]]], otherwise: str) -> Column:
     """The first class whose domains hold the host."""
-    return ladder([(F.exists(host_suffixes(host), lambda h, d=domains: h.isin(*d)), name) for name, domains in classes], otherwise)
+    under = lambda domains: F.arrays_overlap(host_suffixes(host), F.array(*[F.lit(d) for d in domains]))
+    return ladder([(under(domains), name) for name, domains in classes], otherwise)
 
 
 def join_host_rules(pages: DataFrame, host: str, rules: DataFrame) -> DataFrame:
     """Left join with the rule ``rules(domain, ...)`` of the longest domain that holds the host; ``rules`` is a dimension of one row per domain."""
-    n = len(rules.columns)
     matched = (
         pages.select(F.col(host).alias("_host")).distinct().withColumn("domain", F.explode(host_suffixes(F.col("_host")))).join(rules, "domain")
         .groupBy("_host").agg(F.max_by(F.struct(*rules.columns), F.length("domain")).alias("rule"))
     )
-    assert n
     return pages.join(matched, F.col(host) == F.col("_host"), "left").select(*pages.columns, "rule.*")

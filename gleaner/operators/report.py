@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ def blocks(reports: DataFrame, text: str, carry: list[str]) -> DataFrame:
     # a mark that no text has splits before each marker and keeps it
     parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), MARKER, "\u0000$1\u0001"), "\u0000")
     out = reports.select(*carry, F.posexplode(parts).alias("pos", "part")).where("pos > 0")
-    return out.select(*carry, "pos", F.regexp_extract("part", "^(\\d+)\u0001", 1).cast("long").alias("candidate_id"), F.trim(F.regexp_replace("part", "^\\d+\u0001", "")).alias("block"))
+    return out.select(*carry, "pos", F.regexp_extract("part", "^(\\d+)\u0001", 1).cast("long").alias("candidate_id"), F.regexp_replace(F.regexp_replace("part", "^\\d+\u0001", ""), r"^\s+|\s+$", "").alias("block"))
 
 
 def id_integrity(found: DataFrame, expected: DataFrame, group: list[str], key: str) -> DataFrame:
@@ -44,22 +47,21 @@ def verdict(claims: DataFrame, key: str, supported: str) -> DataFrame:
 def find_quotes(texts: DataFrame, text: str, carry: list[str], quotes: DataFrame, quote: str, quote_key: str, probe: int = 6) -> DataFrame:
     """Pairs of a text and a quote that stands in it whole, white space collapsed.
 
-    Quotes meet texts in an equi-join on windows of words: each quote by its
-    first ``probe`` words, each text by all its windows of as many; then the
-    whole quote is looked for.  Shorter quotes use their own length.
+    Quotes meet texts in an equi-join on windows of words: each quote by the
+    first ``probe`` words after its first one, which may be the end of a longer
+    word in the text, each text by all its distinct windows of as many; then
+    the whole quote is looked for.  Quotes of one or two words must stand at whole words.
     """
-    words = lambda c: F.filter(F.split(squeeze(c), " "), lambda w: w != "")
-    q = quotes.select(F.col(quote_key).alias("quote_key"), squeeze(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_w", words(F.col("_quote"))).withColumn("_n", F.least(F.size("_w"), F.lit(probe)))
-    # the first and the last word of a quote may be parts of longer ones in the text, so the probe is taken inside
-    q = q.withColumn("_probe", F.array_join(F.slice("_w", F.when(F.size("_w") > 2, 2).otherwise(1), F.greatest(F.lit(1), F.least(F.lit(probe), F.size("_w") - 2))), " ")).withColumn("_n", F.greatest(F.lit(1), F.least(F.lit(probe), F.size("_w") - 2)))
-    sizes = [r["_n"] for r in q.select("_n").distinct().collect()]  # at most ``probe`` of them
-    w = texts.select(*carry, squeeze(F.col(text)).alias("_text")).withColumn("_words", words(F.col("_text")))
-    out = None
-    for n in sorted(sizes):
-        windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - n + 1)), lambda i, n=n: F.array_join(F.slice("_words", i, n), " ")))
-        keyed = w.select(*carry, F.monotonically_increasing_id().alias("_id"), "_text", windows.alias("_windows"))
-        keys = q.where(F.col("_n") == n)
-        met = keyed.select(*carry, "_text", F.explode("_windows").alias("_probe")).join(keys.select("_probe", "quote_key", "_quote"), "_probe")
-        part = met.where(F.contains("_text", F.col("_quote"))).select(*carry, "quote_key")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else texts.select(*carry).limit(0).withColumn("quote_key", F.lit(None).cast("long"))
+    split = lambda c: F.split(squeeze(c), " ")
+    n_words = F.size("_words")
+    q = quotes.select(F.col(quote_key).alias("quote_key"), squeeze(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_words", split(F.col("_quote")))
+    q = q.withColumn("_n", F.greatest(F.lit(1), F.least(F.lit(probe), n_words - 2))).withColumn("_probe", F.array_join(F.slice("_words", F.when(n_words > 2, 2).otherwise(1), F.col("_n")), " "))
+    words = texts.select(*carry, squeeze(F.col(text)).alias("_text")).withColumn("_words", split(F.col("_text")))
+    parts = []
+    for n in sorted(r["_n"] for r in q.select("_n").distinct().collect()):  # at most ``probe`` of them
+        windows = NGram(n=n, inputCol="_words", outputCol="_windows").transform(words)
+        met = windows.select(*carry, "_text", F.explode(F.array_distinct("_windows")).alias("_probe")).join(q.where(F.col("_n") == n).select("_probe", "quote_key", "_quote"), "_probe")
+        parts.append(met.where(F.contains("_text", F.col("_quote"))).select(*carry, "quote_key"))
+    if not parts:
+        return texts.select(*carry, F.lit(None).cast(q.schema["quote_key"].dataType).alias("quote_key")).limit(0)
+    return reduce(DataFrame.unionByName, parts)

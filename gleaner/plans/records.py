@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text
 from gleaner.operators import dedupe, gates, identity, resolve, score
-from gleaner.plans.common import table
+from gleaner.plans.common import number, table
 
-K = F.get_json_object("props", "$.k").cast("int")
 
 
 def q10_quarter_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +20,7 @@ def q10_quarter_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r1_precedence_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region of events by the strongest of several pieces of evidence, and how many disagree."""
-    k, user = K, F.col("user_id")
+    k, user = number(), F.col("user_id")
     pieces = [
         resolve.evidence(F.when(k >= 90, F.lit("north")), 10, field="props", method="explicit"),
         resolve.evidence(F.when(user % 7 == 0, "south"), 20, field="user", method="owner"),
@@ -47,8 +46,8 @@ def r9_claim_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
         resolve.claim("purchase_gate", "procurement", 500, F.col("event_type") == "purchase"),
         resolve.claim("error_gate", "accident", 600, (F.col("event_type") == "error") & (F.col("value") > 10)),
         resolve.claim("signup_gate", "opening", 400, F.col("event_type") == "signup"),
-        resolve.claim("high_gate", "technology", 200, K > 80),
-        resolve.claim("low_gate", "policy", 300, K < 10),
+        resolve.claim("high_gate", "technology", 200, number() > 80),
+        resolve.claim("low_gate", "policy", 300, number() < 10),
     ]
     c = table(spark, sf_dir, "events").select(resolve.strongest_claim(claims).alias("c"))
     return c.groupBy(F.col("c.category").alias("category"), F.col("c.gate").alias("gate")).agg(F.count("*").alias("n"), F.sum(F.size("c.rejected")).alias("n_rejected"))
@@ -124,7 +123,7 @@ def g17_failure_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g18_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.when(K % 10 != 3, K)).withColumn("event_type", F.when(F.col("user_id") % 9 == 0, "").otherwise(F.col("event_type")))
+    e = table(spark, sf_dir, "events").withColumn("k", F.when(number() % 10 != 3, number())).withColumn("event_type", F.when(F.col("user_id") % 9 == 0, "").otherwise(F.col("event_type")))
     rules = [("value_range", F.col("value").between(0.5, 60)), ("k_range", F.coalesce(F.col("k") < 97, F.lit(True)))]
     v = e.select(F.explode(gates.contract(["event_type", "k"], rules)).alias("violation"))
     return v.groupBy("violation").agg(F.count("*").alias("n"))
@@ -151,7 +150,7 @@ def c7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", K.alias("k"), F.to_date("ts").alias("day"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", number().alias("k"), F.to_date("ts").alias("day"))
     keys = identity.blocking_keys({"user_day": [F.col("user_id"), F.col("day")], "type_k_day": [F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type")), F.col("k"), F.col("day")]})
     return e.withColumn("keys", keys)
 
@@ -185,7 +184,7 @@ def d4_greedy_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d7_provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("lane", F.col("event_type")).withColumn("query", (K % 4).cast("string"))
+    e = table(spark, sf_dir, "events").withColumn("lane", F.col("event_type")).withColumn("query", (number() % 4).cast("string"))
     m = dedupe.merge_provenance(e, "user_id", "event_id", "lane", ["query"], 10)
     return m.select("user_id", F.array_join("lanes", ",").alias("lanes"), F.array_join("provenance", ",").alias("provenance"))
 
