@@ -16,7 +16,7 @@ def blocks(reports: DataFrame, text: str, carry: list[str]) -> DataFrame:
     # a mark that no text has splits before each marker and keeps it
     parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), MARKER, "\u0000$1\u0001"), "\u0000")
     out = reports.select(*carry, F.posexplode(parts).alias("pos", "part")).where("pos > 0")
-    return out.select(*carry, "pos", F.regexp_extract("part", "^(\\d+)\u0001", 1).cast("long").alias("candidate_id"), F.regexp_replace(F.regexp_replace("part", "^\\d+\u0001", ""), r"^\s+|\s+$", "").alias("block"))
+    return out.select(*carry, "pos", F.regexp_extract("part", "^(\\d+)\u0001", 1).try_cast("long").alias("candidate_id"), F.regexp_replace(F.regexp_replace("part", "^\\d+\u0001", ""), r"^\s+|\s+$", "").alias("block"))
 
 
 def id_integrity(found: DataFrame, expected: DataFrame, group: list[str], key: str) -> DataFrame:

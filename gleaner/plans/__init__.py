@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.plans import picks, records, texts
+from gleaner.plans import picks, records, sources, texts
 
-MODULES = (texts, records, picks)
+MODULES = (texts, records, picks, sources)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
