@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of small groups that one task replays.
+BATCH_ROWS = 20_000
+
 
 def _save(df: DataFrame) -> DataFrame:
     """Write to the folder of ``spark.checkpoint.dir`` and read back: cuts the lineage of an iteration."""
@@ -84,7 +87,12 @@ def greedy_leaders(rows: DataFrame, keys: str, ord_column: str, same: Callable[[
     selective as an url or a title.
     """
     carry = carry or []
-    grouped = rows.select(ord_column, F.col(keys).alias("_keys"), *carry).join(key_groups(rows, keys, ord_column), ord_column)
+    # a key of one row decides nothing: only rows with a shared key are grouped and replayed, and by their shared keys
+    each = rows.select(ord_column, F.posexplode(keys).alias("_pos", "_k"))
+    shared = each.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    own = each.join(shared, "_k").groupBy(ord_column).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_k"))), lambda s: s["_k"]).alias("_keys"))
+    tied = _save(rows.select(ord_column, *carry).join(own, ord_column))
+    grouped = tied.select(ord_column, "_keys", *carry).join(key_groups(tied, "_keys", ord_column), ord_column)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders: dict[str, list[int]] = {}
@@ -102,7 +110,12 @@ def greedy_leaders(rows: DataFrame, keys: str, ord_column: str, same: Callable[[
 
     # only the columns that a replay looks at; pandas can't name a column _keys in a tuple, so they go by place
     shaped = grouped.select(F.col(ord_column).cast("long"), F.col("_keys").alias("keys_"), *carry, "group")
-    return shaped.groupBy("group").applyInPandas(replay, f"{ord_column} long, leader_ord long, matched_key string")
+    # groups share no keys, so several can be replayed as one
+    batches = max(1, tied.count() // BATCH_ROWS)
+    dealt = shaped.withColumn("group", F.pmod(F.xxhash64("group"), F.lit(batches)))
+    led = dealt.groupBy("group").applyInPandas(replay, f"{ord_column} long, leader_ord long, matched_key string")
+    alone = rows.select(F.col(ord_column).cast("long").alias(ord_column)).join(tied.select(ord_column), ord_column, "left_anti")
+    return led.unionByName(alone.select(ord_column, F.col(ord_column).alias("leader_ord"), F.lit(None).cast("string").alias("matched_key")))
 
 
 def conflicting_ids(rows: DataFrame, key: str, identity: str) -> DataFrame:
