@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 #: Rows of a lookup table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Bytes of text that a Python worker holds as words at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes that a Python worker gets in a batch, and bytes of text that it holds as words at a time.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -70,16 +70,26 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         pa.default_memory_pool().release_unused()
 
 
-def append_column(df: DataFrame, name: str, kind: T.DataType, text: str, fn: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """Add the column ``name`` that ``fn`` makes of each slice of rows; a column of that name is replaced."""
+def small_batches(spark: SparkSession) -> None:
+    """Hold what Spark sends to a Python worker at a time to ``BATCH_BYTES``; rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)  # bytes, as in 67108864b
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def append_column(df: DataFrame, name: str, kind: T.DataType, text: str, fn: Callable[[pa.RecordBatch], pa.Array], drop: bool = False) -> DataFrame:
+    """Add the column ``name`` that ``fn`` makes of each slice of rows; a column of that name is replaced. ``drop``: the text doesn't come back."""
+    small_batches(df.sparkSession)
     base = df.drop(name)
-    schema = T.StructType([*base.schema.fields, T.StructField(name, kind)])
+    kept = [i for i, c in enumerate(base.columns) if not (drop and c == text)]
+    schema = T.StructType([*(base.schema.fields[i] for i in kept), T.StructField(name, kind)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, fn(part)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), fn(part)], names=names)
 
     return base.mapInArrow(run, schema)
 

@@ -138,8 +138,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
     """The columns ``carry`` (``doc_id`` unless named) of each row of ``docs`` with ``n_links`` (other documents at the threshold or above), ``class_id`` (the least ``doc_id`` reachable by links) and ``kept``."""
     carry = ["doc_id"] if carry is None else carry
     keyed = docs.select(F.struct(*carry).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), text_key(F.col("text")).alias("class"))
-    signed = append_column(keyed, "paths", T.ArrayType(T.LongType()), "_text", lambda part: paths(part.column("_text")))
-    rows = materialize(signed.drop("_text").withColumn("_uid", F.monotonically_increasing_id()), "signatures")
+    signed = append_column(keyed, "paths", T.ArrayType(T.LongType()), "_text", lambda part: paths(part.column("_text")), drop=True)
+    rows = materialize(signed.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_uid").alias("uid")))
     classes = rows.where("paths IS NOT NULL").groupBy("class").agg(first.alias("rep"), F.count("*").alias("n_docs"), F.first("paths").alias("paths"))
     classes = materialize(classes, "classes")
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
         hashed, cut = shingles(part.column("_text"))
         return pa.array([np.unique(hashed[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
 
-    compared = append_column(texts, "shingles", T.BinaryType(), "_text", sets).drop("_text")
+    compared = append_column(texts, "shingles", T.BinaryType(), "_text", sets, drop=True)
     batches = max(1, members.count() // EXACT_ROWS)
     exact = deal(compared, ["root"], F.col("class"), F.col("n"), EXACT_ROWS, batches).groupBy("_task").applyInPandas(_exact(threshold), "class binary, links long, root binary")
     exact = materialize(exact, "links")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Words, crc_bucket, materialize, mix, slices
+from gleaner.llm.common import Words, crc_bucket, materialize, mix, slices, small_batches
 
 #: Bytes of text in a chunk, and keys that one counting task gets.
 CHUNK_BYTES = 6 << 20
@@ -86,6 +86,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield row()
 
     schema = "n_docs long, n_tokens long, n_words long, doc_ids array<long>, train array<boolean>, counts binary, codes binary, words binary"
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id())
 
 

@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc32, materialize, slices
+from gleaner.llm.common import crc32, materialize, slices, small_batches
 
 WINDOW = 4096
 END_ID = 2
 #: Pieces that one task packs.
 SHARD_PIECES = 50_000
 #: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
-MEMORY, BYTES = 1_000_000, 12 << 20
+MEMORY, BYTES = 1_000_000, 6 << 20
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -71,10 +71,13 @@ class WordIds:
         place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.uses[place[place >= 0]] += 1
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
             place[place < 0] = len(self.parts) + np.arange(len(new))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+            lengths, ids = [], []
+            for a in range(0, len(new), 4096):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(new[a : a + 4096].to_pylist(), add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+            lengths, flat = np.concatenate(lengths), np.concatenate(ids)
             self._keep(pa.concat_arrays([self.parts, new]), np.r_[self.lengths, lengths], np.r_[self.ids, flat], np.r_[self.uses, np.ones(len(new), np.int64)])
         return place
 
@@ -87,7 +90,7 @@ class WordIds:
         first = np.r_[0, np.cumsum(self.lengths)[:-1]][place] if len(place) else place
         starts, lengths = np.r_[first, len(self.ids)], np.r_[self.lengths[place], 1]
         ends_at = np.cumsum(sizes + 1) - 1
-        codes = np.full(int((sizes + 1).sum()), len(place), np.int64)
+        codes = np.full(int((sizes + 1).sum()), len(place), np.int32)
         real = np.ones(len(codes), bool)
         real[ends_at] = False
         codes[real] = coded.indices.to_numpy(zero_copy_only=False)
@@ -124,6 +127,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
                     out.append(pa.ListArray.from_arrays(pa.array(np.r_[begin, len(ids)].astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -258,8 +258,8 @@ def find(text: str, trees: Trees) -> list[tuple[str, int, int, float]]:
     return sorted([*((*b, 1.0) for b in base), *chosen], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def find_spans(docs: DataFrame, out: str = "_spans") -> DataFrame:
-    """``docs`` with the array ``out`` of ``kind, start, stop, score`` of each whole ``text``."""
+def find_spans(docs: DataFrame, out: str = "_spans", drop: bool = False) -> DataFrame:
+    """``docs`` with the array ``out`` of ``kind, start, stop, score`` of each whole ``text``; ``drop`` leaves the text out."""
     trees = fitted()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
@@ -267,7 +267,7 @@ def find_spans(docs: DataFrame, out: str = "_spans") -> DataFrame:
         found = [find(t, trees) if t else [] for t in part.column("text").to_pylist()]
         return pa.array([[{"kind": k, "start": a, "stop": b, "score": s} for k, a, b, s in spans] for spans in found], kind)
 
-    return append_column(docs, out, SPANS, "text", run)
+    return append_column(docs, out, SPANS, "text", run, drop)
 
 
 def joined(spans: Column) -> Column:

@@ -75,9 +75,9 @@ def _measure(part: pa.RecordBatch) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=COUNTS)
 
 
-def measure(docs: DataFrame, out: str = "_quality") -> DataFrame:
-    """``docs`` with the struct ``out`` of counts over its whole ``text``."""
-    return append_column(docs, out, MEASURES, "text", _measure)
+def measure(docs: DataFrame, out: str = "_quality", drop: bool = False) -> DataFrame:
+    """``docs`` with the struct ``out`` of counts over its whole ``text``; ``drop`` leaves the text out."""
+    return append_column(docs, out, MEASURES, "text", _measure, drop)
 
 
 def base_failed(q: str = "_quality"):
@@ -115,7 +115,7 @@ def host_verdicts(marked: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (all unless named) of ``docs`` with ``_quality``, ``_base_failed``, ``_host_rate``, ``_host_rejected`` and ``_kept``."""
     carry = docs.columns if carry is None else carry
-    measured = measure(docs.select(*dict.fromkeys([*carry, host, "text"]))).select(*carry, F.col(host).alias("_host"), "_quality")
+    measured = measure(docs.select(*dict.fromkeys([*carry, host, "text"])), drop="text" not in [*carry, host]).select(*carry, F.col(host).alias("_host"), "_quality")
     marked = materialize(measured.withColumn("_failed", rule_failed()), "quality")
     verdicts = materialize(host_verdicts(marked, max_rate), "verdicts").withColumnsRenamed({"_host": "_h", "host_rate": "_host_rate", "host_rejected": "_host_rejected"})
     joined = lookup_join(marked, verdicts, marked["_host"].eqNullSafe(verdicts["_h"]))

@@ -137,8 +137,8 @@ def _adam(terms: np.ndarray, x: np.ndarray, y: np.ndarray, factors: int, epochs:
     return Machine(terms, float(p[0][0]), p[1], p[2])
 
 
-def apply(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
-    """``docs`` with the machine's score of each whole text."""
+def apply(docs: DataFrame, machine: Machine, out: str = "score", drop: bool = False) -> DataFrame:
+    """``docs`` with the machine's score of each whole text; ``drop`` leaves the text out."""
     bases = np.unique(machine.terms & ~TIMES)
     columns = []  # for each number of times, the place of a base's term, or -1
     for times in (1, 2, 3):
@@ -156,11 +156,11 @@ def apply(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
         row, term = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.array(machine.scores(row, term, part.num_rows))
 
-    return append_column(docs, out, T.DoubleType(), "text", run)
+    return append_column(docs, out, T.DoubleType(), "text", run, drop)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1, folds: int = 3, rows: int = ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row of ``docs``."""
     machine = fit(labelled(docs, labels, label, rows, fold, folds))
-    scored = apply(docs.select("doc_id", "text"), machine)
+    scored = apply(docs.select("doc_id", "text"), machine, drop=True)
     return scored.select("doc_id", (crc_bucket("doc_id", folds) == fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
