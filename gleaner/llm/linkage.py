@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize
+from gleaner.llm.common import BROADCAST_ROWS, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         state = now
+        few = (lambda t: F.broadcast(t)) if now[0] <= BROADCAST_ROWS // 2 else (lambda t: t)  # there are at most two nodes an edge
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(few(least), F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        small = large.join(least, F.col("u") == F.col("x"))
+        small = large.join(few(least), F.col("u") == F.col("x"))
         e = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("x", "m")).distinct(), "edges")
 
 

@@ -93,6 +93,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
+def _secret_spans(rank: int, kind: secrets.Kind) -> str:
+    """SQL of one kind's spans: ``rid, rank, kind, start, stop, value``."""
+    pattern = kind.pattern.replace("'", "''")
+    return f"""
+  SELECT rid, {rank} AS rank, '{kind.name}' AS kind, start, start + length(whole) AS stop, value FROM (
+    SELECT rid, whole[i] AS whole, value[i] AS value, (list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start
+    FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (
+      SELECT rid, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', 0) AS whole, regexp_extract_all(t, '{pattern}', {kind.group}) AS value FROM d WHERE regexp_matches(t, '{pattern}')))
+  ) WHERE length(value) >= {kind.least}"""
+
+
 # md5 hashes are the same in both engines; the least k with cdf(k) > u is the number of cdf values that are at most u
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": """
@@ -110,6 +121,28 @@ WITH RECURSIVE sizes AS (
   FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
 )
 SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy_no FROM drawn
+""",
+    "op6_jaccard_links": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1), c AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL
+), links AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT rid AS a, rid AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+k AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1), f AS (SELECT r.a, min(v.doc_id) AS class_id FROM reach r JOIN w v ON v.rid = r.b GROUP BY 1)
+SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id, doc_id = class_id AS kept FROM w JOIN f ON f.a = rid LEFT JOIN k ON k.a = rid
+""",
+    "op9_secret_owners": f"""
+WITH d AS (SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(_secret_spans(r, k) for r, k in enumerate(secrets.KINDS))}
+), own AS (SELECT value, count(DISTINCT source) AS n_owners FROM spans JOIN d USING (rid) GROUP BY 1), each AS (SELECT DISTINCT rid, value FROM spans), judged AS (
+  SELECT rid, count(*) FILTER (n_owners = 1 AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS}) AS n_live, count(*) FILTER (n_owners >= {secrets.SHARED_OWNERS}) AS n_shared FROM each JOIN own USING (value) GROUP BY 1
+), agg AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in secrets.BASE)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE)}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY 1
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM d LEFT JOIN agg USING (rid) LEFT JOIN judged USING (rid)
 """,
     "op7_warc_captures": """
 WITH digests AS (
