@@ -59,3 +59,21 @@ def gate_changes(before: Column, after: Column) -> Column:
     gained = F.transform(F.array_except(on(after), on(before)), lambda g: F.concat(F.lit("gained:"), g))
     lost = F.transform(F.array_except(on(before), on(after)), lambda g: F.concat(F.lit("lost:"), g))
     return F.array_sort(F.concat(gained, lost))
+
+
+def grouping_summary(rows: DataFrame, sets: list[list[str]], measures: list[Column]) -> DataFrame:
+    """Counts by several groupings in one pass: ``dimension`` names the grouping, ``value`` its values joined."""
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.grouping_id().alias("_g"), *measures)
+    # a column's bit is set where it isn't part of the grouping
+    absent = {i: c for i, c in enumerate(reversed(names))}
+    label = F.concat_ws("+", *[F.when((F.col("_g").bitwiseAND(1 << i)) == 0, F.lit(c)) for i, c in sorted(absent.items(), reverse=True)])
+    value = F.concat_ws("+", *[F.when((F.col("_g").bitwiseAND(1 << i)) == 0, F.coalesce(F.col(c).cast("string"), F.lit("null"))) for i, c in sorted(absent.items(), reverse=True)])
+    return grouped.withColumn("dimension", label).withColumn("value", value).drop("_g", *names)
+
+
+def source_health(rows: DataFrame, source: str, outcome: Column, fallback: Column) -> DataFrame:
+    """Per source its runs by outcome, each run in one bucket, and over them those that used a fallback."""
+    o = outcome
+    buckets = {n: F.count_if(o == n) for n in ("ok", "empty", "error")}
+    return rows.groupBy(source).agg(*[c.alias(n) for n, c in buckets.items()], F.count_if(~o.isin("ok", "empty", "error")).alias("other"), F.count_if(fallback).alias("fallback"))

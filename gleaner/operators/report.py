@@ -65,3 +65,18 @@ def find_quotes(texts: DataFrame, text: str, carry: list[str], quotes: DataFrame
     if not parts:
         return texts.select(*carry, F.lit(None).cast(q.schema["quote_key"].dataType).alias("quote_key")).limit(0)
     return reduce(DataFrame.unionByName, parts)
+
+
+def payload(fields: dict[str, Column]) -> Column:
+    """JSON of the known fields in the order given, for a prompt."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def overwrite(blocks: DataFrame, records: DataFrame, key: str, label: str, value: str) -> DataFrame:
+    """Blocks whose line ``label: ...`` tells what their record has: put right, or added at the end."""
+    line = F.concat(F.lit(f"{label}: "), F.col("_value"))
+    side = records.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    has = F.col("block").rlike(rf"(?m)^{label}: ")
+    right = F.concat(F.regexp_extract("block", rf"(?s)^(.*?)(?m:^{label}: [^\n]*)", 1), line, F.regexp_extract("block", rf"(?s)^.*?(?m:^{label}: [^\n]*)(.*)$", 1))
+    fixed = F.when(F.col("_value").isNull(), F.col("block")).when(has, right).otherwise(F.concat("block", F.lit("\n"), line))
+    return blocks.join(side, F.col(key) == F.col("_key"), "left").withColumn("block", fixed).drop("_key", "_value")

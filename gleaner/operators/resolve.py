@@ -88,3 +88,35 @@ def attach_once(left: DataFrame, right: DataFrame, keys: list[str], order: str)
     window = Window.partitionBy(*keys).orderBy(order)
     a, b = left.withColumn("_k", F.row_number().over(window)), right.withColumn("_k", F.row_number().over(window)).drop(order)
     return a.join(b, [*keys, "_k"], "left").drop("_k")
+
+
+def roll_up(rows: DataFrame, region: str, members: DataFrame) -> DataFrame:
+    """Rows whose region is selected or part of a selected one: a semi-join with ``members(region)``, a dimension."""
+    return rows.join(F.broadcast(members.select(F.col("region").alias("_r")).distinct()), F.col(region) == F.col("_r"), "left_semi")
+
+
+def pick_publication(values: list[tuple[str, Column]]) -> Column:
+    """``struct(value, origin, conflicts)``: the first date that is known, where it is from, and the names of others that differ."""
+    value = F.coalesce(*[v for _, v in values])
+    origin = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in values])
+    return F.struct(value.alias("value"), origin.alias("origin"), F.array_compact(F.array(*[F.when(v != value, F.lit(n)) for n, v in values])).alias("conflicts"))
+
+
+def correct_labels(labels: Column, add: list[tuple[Column, str]], remove: list[tuple[Column, str]]) -> Column:
+    """A set of labels after rules that add one and rules that take one away, in this order, sorted."""
+    out = labels
+    for condition, label in add:
+        out = F.when(F.coalesce(condition, F.lit(False)), F.array_union(out, F.array(F.lit(label)))).otherwise(out)
+    for condition, label in remove:
+        out = F.when(F.coalesce(condition, F.lit(False)), F.array_remove(out, label)).otherwise(out)
+    return F.array_sort(out)
+
+
+def accept_title(ratio: Column, exact: Column, truncated: Column, n_tokens: Column, is_prefix: Column, agrees: Column, least: float = 0.93) -> Column:
+    """An exact or near title, or a truncated one of four words or more that the other begins with; the rest of the metadata must agree."""
+    return F.coalesce((exact | (ratio >= least) | (truncated & (n_tokens >= 4) & is_prefix)) & agrees, F.lit(False))
+
+
+def apply_article(article: Column, valid: Column, most: int = 6000, least: int = 120) -> Column:
+    """The article's text cut to ``most`` characters, if it is valid and long enough; else null."""
+    return F.when(F.coalesce(valid, F.lit(False)) & (F.length(article) >= least), F.substring(article, 1, most))

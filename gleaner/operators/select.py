@@ -125,3 +125,17 @@ def rebalance(rows: DataFrame, group: str, bucket: str, score: str, k: int, tole
     kinds = dict(rows.dtypes)
     bounded = per_group(rows.withColumn("_combo", F.concat_ws("\x1f", group, bucket)), "_combo", [F.desc(score), F.asc(ord_column)], k)
     return bounded.select(group, ord_column, bucket, score).groupBy(group).applyInPandas(swap, f"{group} {kinds[group]}, {ord_column} {kinds[ord_column]}, {bucket} {kinds[bucket]}")
+
+
+def protect_coverage(chosen: DataFrame, pool: DataFrame, key: str, kind: Column, order: list[Column], target: int) -> DataFrame:
+    """``chosen``, at most ``target`` rows, with one of the kind: where it has none, the pool's best of it is added, or takes the place of the last if ``chosen`` is full."""
+    if chosen.where(kind).limit(1).count():
+        return chosen
+    best = pool.where(kind).join(chosen.select(key), key, "left_anti").orderBy(*order).limit(1)
+    room = target if not best.limit(1).count() else target - 1
+    return chosen.orderBy(*order).limit(room).unionByName(best)
+
+
+def top_excluded(rows: DataFrame, reason: str, score: Column, order: list[Column], most: int = 20) -> DataFrame:
+    """The best of the rows that have a reason against them."""
+    return rows.where(F.col(reason).isNotNull()).withColumn("rank_score", score).orderBy(F.desc("rank_score"), *order).limit(most)
