@@ -8,31 +8,18 @@ each connected group of rows, in the given order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.scratch import materialize
+
 #: Rows of small groups that one task replays.
 BATCH_ROWS = 20_000
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read back: cuts the lineage of an iteration."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_by(rows: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each group of keys."""
     columns = rows.columns
@@ -66,14 +53,14 @@ def key_groups(rows: DataFrame, keys: str, ord_column: str) -> DataFrame:
     the least of its keys.  Each round is written, and two hops of labels are
     taken at a time.
     """
-    links = _save(rows.select(F.col(ord_column).alias("o"), F.explode_outer(keys).alias("k")))
+    links = materialize(rows.select(F.col(ord_column).alias("o"), F.explode_outer(keys).alias("k")), "keys")
     label = rows.select(F.col(ord_column).alias("o"), F.col(ord_column).alias("l"))
     while True:
         of_key = links.where("k IS NOT NULL").join(label, "o").groupBy("k").agg(F.min("l").alias("m"))
         near = links.join(of_key, "k").groupBy("o").agg(F.min("m").alias("m"))
         new = label.join(near, "o", "left").select("o", F.least("l", F.coalesce("m", "l")).alias("n"), "l")
         jump = new.select(F.col("o").alias("p"), F.col("n").alias("q"))  # the label's own label
-        new = _save(new.join(jump, F.col("n") == F.col("p")).select("o", F.col("q").alias("n"), "l"))
+        new = materialize(new.join(jump, F.col("n") == F.col("p")).select("o", F.col("q").alias("n"), "l"), "labels")
         changed = new.where("n <> l").limit(1).count()
         label = new.select("o", F.col("n").alias("l"))
         if not changed:
@@ -91,7 +78,7 @@ def greedy_leaders(rows: DataFrame, keys: str, ord_column: str, same: Callable[[
     each = rows.select(ord_column, F.posexplode(keys).alias("_pos", "_k"))
     shared = each.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
     own = each.join(shared, "_k").groupBy(ord_column).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_k"))), lambda s: s["_k"]).alias("_keys"))
-    tied = _save(rows.select(ord_column, *carry).join(own, ord_column))
+    tied = materialize(rows.select(ord_column, *carry).join(own, ord_column), "tied")
     grouped = tied.select(ord_column, "_keys", *carry).join(key_groups(tied, "_keys", ord_column), ord_column)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,19 +7,10 @@ progress in a checkpoint folder, so a run that is cut off goes on where it was.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from gleaner.scratch import scratch_path
 
 
 def read_landed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -37,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that has landed and return what it wrote."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -56,7 +47,7 @@ def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     repeated overwrites its own; the sums are added up when read. No
     state is held, and late events count whenever they come.
     """
-    folder = _folder(spark)
+    folder = scratch_path(spark, "stream")
     stream = read_landed(spark, path)
 
     def write(batch: DataFrame, number: int) -> None:
