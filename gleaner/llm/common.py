@@ -1,4 +1,4 @@
-"""Helpers that the operators share: scratch tables, joins by a small table, and Arrow batches of words.
+"""Helpers that the operators share: joins by a small table, and Arrow batches of words.
 
 Conventions: a word is ``[^\\x20\\x09-\\x0D]+``; a null text is an empty text;
 columns that an operator adds to its input replace input columns of that name.
@@ -6,8 +6,6 @@ columns that an operator adds to its input replace input columns of that name.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,27 +23,6 @@ BROADCAST_ROWS = 200_000
 BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: later steps survive a lost executor without
-    repeating what is above, and each row is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup_join(left: DataFrame, table: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """Join with a materialised table: broadcast if its counted rows are few, else a shuffle join that AQE may split."""
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import lookup_join, materialize, mix
+from gleaner.llm.common import lookup_join, mix
 from gleaner.llm.linkage import components, deal, links_within, numbered, parts
+from gleaner.scratch import materialize
 
 THRESHOLD = 0.95
 TABLES, HASHES, PROBES = 20, 3, 3

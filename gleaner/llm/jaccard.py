@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import Words, append_column, lookup_join, materialize, mix, windows_of
+from gleaner.llm.common import Words, append_column, lookup_join, mix, windows_of
 from gleaner.llm.linkage import components, deal, links_within, numbered, parts, spread
+from gleaner.scratch import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 4, 0.9999999

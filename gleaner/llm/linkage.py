@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BROADCAST_ROWS, materialize
+from gleaner.llm.common import BROADCAST_ROWS
+from gleaner.scratch import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:

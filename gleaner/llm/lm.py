@@ -31,7 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Words, crc_bucket, materialize, mix, slices, small_batches
+from gleaner.llm.common import Words, crc_bucket, mix, slices, small_batches
+from gleaner.scratch import materialize
 
 #: Bytes of text in a chunk, and keys that one counting task gets.
 CHUNK_BYTES = 6 << 20

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lookup_join, materialize
+from gleaner.llm.common import lookup_join
+from gleaner.scratch import materialize
 
 SEED = "mix-1"
 #: Weights are sizes to this power unless they are given.

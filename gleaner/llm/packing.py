@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc32, materialize, slices, small_batches
+from gleaner.llm.common import crc32, slices, small_batches
+from gleaner.scratch import materialize
 
 WINDOW = 4096
 END_ID = 2

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import Words, append_column, lookup_join, materialize, mix, windows_of
+from gleaner.llm.common import Words, append_column, lookup_join, mix, windows_of
+from gleaner.scratch import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in COUNTS])

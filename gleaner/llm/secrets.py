@@ -18,7 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lookup_join, materialize
+from gleaner.llm.common import lookup_join
+from gleaner.scratch import materialize
 
 
 class Kind(NamedTuple):

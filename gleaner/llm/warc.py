@@ -21,14 +21,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lookup_join, materialize, scratch_dir
+from gleaner.llm.common import lookup_join
+from gleaner.scratch import materialize, scratch_path
 
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -153,7 +153,7 @@ def page_of(urn: Column) -> Column:
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and return their captures, with the ``page_id`` that the metadata has and the page that a revisit refers to."""
-    path = f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_revisit_bytes)
     captures = assemble(read_records(pages.sparkSession, path, with_payload))
     page = F.regexp_extract("metadata.fields", "page-id: (-?[0-9]+)", 1).try_cast("long")
