@@ -57,12 +57,15 @@ def text_region(text: Column, tiers: list[list[tuple[str, str]]]) -> Column:
     return out.otherwise(None)
 
 
-def evidence_class(snippet: Column, article: Column, least: int = 120) -> Column:
-    """``struct(provenance, richness)`` of what is known of a text: article and snippet, one of them, or none."""
-    has_article = F.coalesce(F.length(F.trim(article)) >= least, F.lit(False))
-    has_snippet = F.coalesce(F.length(F.trim(snippet)) > 0, F.lit(False))
+def evidence_class(snippet_size: Column, article_size: Column, least: int = 120) -> Column:
+    """``struct(provenance, richness)`` of what is known of a text, from the lengths of its trimmed snippet and article: both, one of them, or none.
+
+    Lengths, not texts, so that what is joined for it is narrow.
+    """
+    has_article = F.coalesce(article_size >= least, F.lit(False))
+    has_snippet = F.coalesce(snippet_size > 0, F.lit(False))
     provenance = F.when(has_article & has_snippet, "article_and_snippet").when(has_article, "article").when(has_snippet, "snippet").otherwise("none")
-    richness = F.when(has_article, "rich").when(has_snippet & (F.length(F.trim(snippet)) >= least), "moderate").when(has_snippet, "thin").otherwise("empty")
+    richness = F.when(has_article, "rich").when(has_snippet & (snippet_size >= least), "moderate").when(has_snippet, "thin").otherwise("empty")
     return F.struct(provenance.alias("provenance"), richness.alias("richness"))
 
 

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranks whose running sums one task makes.
+RANK_BLOCK = 100_000
+
 
 def per_group(rows: DataFrame, group: str, order: list[Column], most: int | Column) -> DataFrame:
     """At most ``most`` rows of each group. The rank limit is pushed below the shuffle by the optimizer's window-group limit."""
@@ -49,7 +52,11 @@ def interleave(rows: DataFrame, route: str, order: list[Column], route_order: st
     starts = ranked.groupBy(route).agg(F.min(route_order).alias("_first"))
     # ranks by routes: the number of rows of rank r is the number of routes with at least r rows
     per_rank = ranked.groupBy("_rn").agg(F.count("*").alias("_width")).select(F.col("_rn").alias("_r"), "_width")
-    before = per_rank.select("_r", (F.sum("_width").over(Window.orderBy("_r")) - F.col("_width")).alias("_before"))
+    # running sums of ranks by blocks of them, so that only the blocks' sums meet in one task
+    per_rank = per_rank.withColumn("_b", F.floor(F.col("_r") / RANK_BLOCK))
+    blocks = per_rank.groupBy("_b").agg(F.sum("_width").alias("_sum")).select("_b", (F.sum("_sum").over(Window.orderBy("_b")) - F.col("_sum")).alias("_start"))
+    inside = F.sum("_width").over(Window.partitionBy("_b").orderBy("_r")) - F.col("_width")
+    before = per_rank.withColumn("_inside", inside).join(blocks, "_b").select("_r", (F.col("_start") + F.col("_inside")).alias("_before"))
     within = Window.partitionBy("_rn").orderBy("_first", route)
     placed = ranked.join(starts, route).withColumn("_w", F.row_number().over(within))
     return placed.join(before, F.col("_rn") == F.col("_r")).withColumn("pick", F.col("_before") + F.col("_w")).select(*rows.columns, "pick")

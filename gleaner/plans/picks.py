@@ -87,8 +87,9 @@ def a11_gate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a13_variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return diagnostics.variant_metrics(d, "source", F.col("quality") == 1, F.col("quality").isNotNull(), F.length("text") < 300, F.col("text").contains("License"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.length("text") < 300).alias("empty"), F.col("text").contains("License").alias("copied"))
+    d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return diagnostics.variant_metrics(d, "source", F.col("quality") == 1, F.col("quality").isNotNull(), F.col("empty"), F.col("copied"))
 
 
 def j9_id_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,8 +63,9 @@ def r11_bucket_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r14_evidence_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of each document: its text as a snippet, the page of its id as an article."""
-    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    e = d.join(p, "doc_id", "left").select("lang", resolve.evidence_class(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.when(F.length("html") > 2000, F.col("html"))).alias("e"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 != 0, F.length(F.trim("text"))).alias("snippet"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.length("html") > 2000, F.length(F.trim("html"))).alias("article"))
+    e = d.join(p, "doc_id", "left").select("lang", resolve.evidence_class(F.col("snippet"), F.col("article")).alias("e"))
     return e.groupBy("lang", "e.provenance", "e.richness").agg(F.count("*").alias("n"))
 
 
@@ -111,8 +112,10 @@ def g13_gate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g14_reject_reason_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the first reason against them."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rules = [("toxic", F.col("toxic") == 1), ("short", F.length("text") < 300), ("low_quality", F.col("quality") == 0), ("license", text.contains_any("text", ["license"])), ("unlabelled", F.col("quality").isNull() & (F.col("lang") == "de"))]
+    # what is asked of a text is known before the join, so no text is shuffled
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("size"), text.contains_any("text", ["license"]).alias("license"))
+    d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rules = [("toxic", F.col("toxic") == 1), ("short", F.col("size") < 300), ("low_quality", F.col("quality") == 0), ("license", F.col("license")), ("unlabelled", F.col("quality").isNull() & (F.col("lang") == "de"))]
     return gates.reason_counts(d.select(gates.first_reason(rules).alias("reason")), "reason")
 
 
@@ -129,18 +132,16 @@ def g18_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("violation").agg(F.count("*").alias("n"))
 
 
-def _score_steps() -> list[score.Step]:
-    t = F.col("text")
-    return [
-        ("english", "add", F.col("lang") == "en", 20), ("quality", "add", F.col("quality") == 1, 15), ("long", "add", F.length(t) > 2000, 10), ("toxic", "cap", F.col("toxic") == 1, 40),
-        ("digits", "add", t.rlike(r"\d{8,}"), -12), ("license", "add", text.contains_any(t, ["license"]), -25), ("short", "cap", F.length(t) < 400, 35), ("mail", "add", t.contains("@"), 8),
-    ]
-
-
 def c1_capped_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with caps that hold down what came before them, levels and a bonus."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("s", score.capped(50, _score_steps()))
-    return d.select("doc_id", F.col("s").alias("score"), score.level(F.col("s"), [(70, "A"), (50, "B")], "C").alias("level"), (F.col("s") + score.bonus(F.col("s"), 0.4, 12)).alias("final"), F.array_join(score.reasons(_score_steps()), " ").alias("reasons"))
+    t = F.col("text")
+    signals = {"size": F.length(t), "digits": t.rlike(r"\d{8,}"), "license": text.contains_any(t, ["license"]), "mail": t.contains("@")}
+    steps: list[score.Step] = [
+        ("english", "add", F.col("lang") == "en", 20), ("quality", "add", F.col("quality") == 1, 15), ("long", "add", F.col("size") > 2000, 10), ("toxic", "cap", F.col("toxic") == 1, 40),
+        ("digits", "add", F.col("digits"), -12), ("license", "add", F.col("license"), -25), ("short", "cap", F.col("size") < 400, 35), ("mail", "add", F.col("mail"), 8),
+    ]
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", *[c.alias(n) for n, c in signals.items()]).join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("s", score.capped(50, steps))
+    return d.select("doc_id", F.col("s").alias("score"), score.level(F.col("s"), [(70, "A"), (50, "B")], "C").alias("level"), (F.col("s") + score.bonus(F.col("s"), 0.4, 12)).alias("final"), F.array_join(score.reasons(steps), " ").alias("reasons"))
 
 
 def c7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,8 @@ def r10_publication_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g12_three_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    state = gates.three_state((F.col("quality") == 1) & (F.col("toxic") == 0), (F.length("text") > 1000) & F.col("toxic").isNull())
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("size")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    state = gates.three_state((F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("size") > 1000) & F.col("toxic").isNull())
     return d.groupBy("lang", state.alias("state")).agg(F.count("*").alias("n"))
 
 

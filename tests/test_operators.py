@@ -137,3 +137,51 @@ def test_backfill_is_short_of_the_target(spark, budget):
     pool = spark.range(10).select("id", (F.col("id") * 1.0).alias("s"))
     got = select.backfill(pool.where("id < 2"), pool, "id", [F.desc("s")], 6, budget).collect()
     assert sum(r.filled for r in got) == budget and len(got) == 2 + budget
+
+
+def test_interleave_by_blocks_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(select, "RANK_BLOCK", 3)
+    rng = random.Random(3)
+    rows = [(i, f"r{min(rng.randrange(9), 4)}", rng.randrange(100)) for i in range(120)]
+    got = {r.id: r.pick for r in select.interleave(spark.createDataFrame(rows, "id long, route string, s int"), "route", [F.desc("s"), F.asc("id")], "id").collect()}
+    by, first = {}, {}
+    for i, r, s in rows:
+        by.setdefault(r, []).append((-s, i))
+        first.setdefault(r, i)
+    want, k = {}, 0
+    for rank in range(max(map(len, by.values()))):
+        for r in sorted(by, key=lambda r: (first[r], r)):
+            if rank < len(by[r]):
+                k += 1
+                want[sorted(by[r])[rank][1]] = k
+    assert got == want
+
+
+def test_labels_are_corrected_in_order(spark):
+    rows = spark.createDataFrame([(["a", "b"],), ([],)], "l array<string>")
+    got = [r[0] for r in rows.select(resolve.correct_labels(F.col("l"), [(F.array_contains("l", "a"), "c")], [(F.array_contains("l", "b"), "a")])).collect()]
+    assert got == [["b", "c"], []]
+
+
+def test_titles_need_agreeing_metadata(spark):
+    t, f = F.lit(True), F.lit(False)
+    cases = [(0.95, f, f, 0, f, t), (0.95, f, f, 0, f, f), (0.5, t, f, 0, f, t), (0.5, f, t, 4, t, t), (0.5, f, t, 3, t, t)]
+    got = spark.range(1).select(*[resolve.accept_title(F.lit(r), e, tr, F.lit(n), p, a).alias(f"c{i}") for i, (r, e, tr, n, p, a) in enumerate(cases)]).first()
+    assert list(got) == [True, False, True, True, False]
+
+
+def test_gate_changes(spark):
+    a, b = F.create_map(F.lit("x"), F.lit(True), F.lit("y"), F.lit(False)), F.create_map(F.lit("x"), F.lit(False), F.lit("y"), F.lit(True))
+    assert spark.range(1).select(diagnostics.gate_changes(a, b)).first()[0] == ["gained:y", "lost:x"]
+
+
+def test_no_sample_has_no_share(spark):
+    assert spark.range(1).select(diagnostics.share(F.lit(1), F.lit(0))).first()[0] is None
+
+
+def test_protected_kind_takes_the_last_place(spark):
+    pool = spark.createDataFrame([(1, "a", 9), (2, "a", 8), (3, "b", 1)], "id int, kind string, s int")
+    got = select.protect_coverage(pool.where("id < 3"), pool, "id", F.col("kind") == "b", [F.desc("s")], 2).collect()
+    assert sorted(r.id for r in got) == [1, 3]
+    full = select.protect_coverage(pool.where("id < 3"), pool, "id", F.col("kind") == "b", [F.desc("s")], 3).collect()
+    assert sorted(r.id for r in full) == [1, 2, 3]
