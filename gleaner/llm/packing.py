@@ -52,6 +52,7 @@ class WordIds:
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.marks = [self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"]
 
     def _keep(self, parts: pa.Array, lengths: np.ndarray, ids: np.ndarray, uses: np.ndarray) -> None:
         self.parts, self.lengths, self.ids, self.uses = parts, lengths, ids, uses
@@ -82,23 +83,49 @@ class WordIds:
             self._keep(pa.concat_arrays([self.parts, new]), np.r_[self.lengths, lengths], np.r_[self.ids, flat], np.r_[self.uses, np.ones(len(new), np.int64)])
         return place
 
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts one after the other, and the length of each one's.
+
+        The normaliser lowers letters and the pre-tokeniser cuts a full stop or
+        comma off, so a part of ASCII letters shares the ids of its lower-case form.
+        """
+        plain = pc.match_substring_regex(parts, "^[A-Za-z]+[.,]?$")
+        marked = pc.and_(plain, pc.match_substring_regex(parts, "[.,]$"))
+        stem = pc.if_else(plain, pc.ascii_lower(pc.ascii_rtrim(parts, ".,")), parts).dictionary_encode()
+        place = self.places(stem.dictionary)[stem.indices.to_numpy(zero_copy_only=False)]
+        mark = marked.to_numpy(zero_copy_only=False)
+        first = np.r_[0, np.cumsum(self.lengths)]
+        size = self.lengths[place]
+        lengths = size + mark
+        run = np.cumsum(lengths)
+        flat = np.empty(int(run[-1]) if len(run) else 0, np.uint32)
+        ends = np.zeros(len(flat), bool)
+        ends[run[mark] - 1] = True
+        flat[~ends] = self.ids[ranges(first[place], size)]
+        flat[ends] = np.where(pc.ends_with(parts.filter(marked), ".").to_numpy(zero_copy_only=False), *self.marks)
+        return flat, lengths
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and where each text's ids begin."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        place = self.places(coded.dictionary)
-        first = np.r_[0, np.cumsum(self.lengths)[:-1]][place] if len(place) else place
-        starts, lengths = np.r_[first, len(self.ids)], np.r_[self.lengths[place], 1]
+        ids, lengths = self.of_parts(coded.dictionary)
+        ids, lengths = np.r_[ids, np.uint32(end_id)], np.r_[lengths, 1]
         ends_at = np.cumsum(sizes + 1) - 1
-        codes = np.full(int((sizes + 1).sum()), len(place), np.int32)
+        codes = np.full(int((sizes + 1).sum()), len(lengths) - 1, np.int32)
         real = np.ones(len(codes), bool)
         real[ends_at] = False
         codes[real] = coded.indices.to_numpy(zero_copy_only=False)
         size = lengths[codes]
         run = np.r_[0, np.cumsum(size)]
-        at = np.arange(run[-1]) + np.repeat(starts[codes] - run[:-1], size)
-        return np.r_[self.ids, np.uint32(end_id)][at], np.r_[0, run[ends_at + 1]]
+        return ids[ranges((np.cumsum(lengths) - lengths)[codes], size)], np.r_[0, run[ends_at + 1]]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] ... starts[i] + sizes[i] - 1`` of all i, one after the other."""
+    run = np.cumsum(sizes)
+    return np.arange(run[-1] if len(run) else 0) + np.repeat(starts - (run - sizes), sizes)
 
 
 @lru_cache(maxsize=2)
