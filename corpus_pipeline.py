@@ -15,31 +15,37 @@ from pyspark.sql import functions as F
 from gleaner.llm import jaccard, mixing, packing, pii, quality
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 from gleaner.scratch import materialize
+from gleaner.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their rules and their host's verdict."""
+    ship(spark)
     return quality.quality_rules(docs).where("_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard similarity 0.8 connect."""
+    ship(spark)
     return jaccard.near_duplicates(docs, carry=docs.columns).where("kept").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    ship(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents at their sources' repetition rates, shuffled."""
+    ship(spark)
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in windows of 4,096 ids."""
+    ship(spark)
     return packing.pack(docs, WORD_TOKENIZER)
 
 
