@@ -114,8 +114,10 @@ def _units(column: pd.Series) -> np.ndarray:
 
 def _loose(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf, part = numbered(pdf.sort_values("member"), ["bucket"])
-    x, name = [np.frombuffer(u, np.float64) for u in pdf["unit"]], pdf["member"].to_numpy()
-    x = np.stack([np.pad(u, (0, max(map(len, x)) - len(u))) for u in x]) if len({len(u) for u in x}) > 1 else np.stack(x)
+    units, name = [np.frombuffer(u, np.float64) for u in pdf["unit"]], pdf["member"].to_numpy()
+    x = np.zeros((len(units), max(map(len, units))))
+    for row, u in zip(x, units, strict=True):
+        row[: len(u)] = u
     a, b = links_within(part, lambda i, j: np.einsum("...k,...k->...", x[i], x[j]) >= THRESHOLD)
     return pd.DataFrame({"a": name[a], "b": name[b]}).drop_duplicates()
 

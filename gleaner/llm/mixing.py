@@ -14,6 +14,8 @@ gives no rows; other columns are carried along.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from gleaner.scratch import materialize
 SEED = "mix-1"
 #: Weights are sizes to this power unless they are given.
 TEMPERATURE = 0.5
+#: Means above it are summed from near the mean.
+LARGE = 400
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -31,19 +35,29 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def log_factorial(n: Column) -> Column:
+    """By Stirling's series, which is exact to a double from about 100 on."""
+    return n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * F.pow(n, F.lit(3))) + 1 / (1260 * F.pow(n, F.lit(5)))
+
+
 def poisson_quantile(u: Column, rate: Column) -> Column:
     """The least k with P(X <= k) > u for X of Poisson distribution with mean ``rate``.
 
-    Terms up to mean + 12 deviations + 20 are summed, beyond any u below 1 - 2 ** -52.
+    Terms up to mean + 12 deviations + 20 are summed, beyond any u below
+    1 - 2 ** -52; for a mean above ``LARGE``, whose first term is too small for
+    a double, from mean - 12 deviations - 20 on.
     """
+    large = rate > LARGE
+    first = F.when(large, F.floor(rate - 12 * F.sqrt(rate) - 20)).otherwise(F.lit(0)).cast("int")
     most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    p = F.when(large, F.exp(first * F.log(rate) - rate - log_factorial(F.greatest(first, F.lit(1)).cast("double")))).otherwise(F.exp(-rate))
+    start = F.struct(p.alias("p"), p.alias("c"), first.alias("k"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * rate / k
         return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["k"] + F.when(s["c"] <= u, 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(first + 1, most), start, step, lambda s: s["k"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget_chars: float | None = None) -> DataFrame:

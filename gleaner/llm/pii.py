@@ -20,6 +20,7 @@ columns are carried along.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -243,18 +244,42 @@ def fitted() -> Trees:
     return trees
 
 
+class Taken:
+    """Disjoint spans in order, to ask whether another one meets any of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.stops = [], []
+        for a, b in sorted(spans):
+            if self.stops and a < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], b)
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return (i > 0 and self.stops[i - 1] > a) or (i < len(self.starts) and self.starts[i] < b)
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.stops.insert(i, b)
+
+
 def find(text: str, trees: Trees) -> list[tuple[str, int, int, float]]:
     """All spans of a text: the sure ones and the chosen candidates, in the order of ``KINDS``, then by start."""
     if not ANY.search(text):
         return []
     base = base_spans(text)
-    proposed = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+    taken = Taken([s[1:] for s in base])
+    proposed = [c for c in candidates(text) if not taken.meets(*c[1:])]
     chosen: list[tuple[str, int, int, float]] = []
     if proposed:
         score = trees.scores(np.array([features(text, *c) for c in proposed], float))
         for s, c in sorted(zip(score.tolist(), proposed, strict=True), key=lambda x: (-x[0], x[1][1:])):
-            if s >= trees.thresholds[c[0]] and not any(a < c[2] and c[1] < b for _, a, b, _ in chosen):
+            if s >= trees.thresholds[c[0]] and not taken.meets(*c[1:]):
                 chosen.append((*c, s))
+                taken.add(*c[1:])
     return sorted([*((*b, 1.0) for b in base), *chosen], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

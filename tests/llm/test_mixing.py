@@ -69,5 +69,20 @@ def test_large_rates(spark):
     assert [r.k for r in got][2] == 50 and all(0 <= r.k < 150 for r in got)
 
 
+def test_rates_beyond_a_double(spark):
+    from pyspark.sql import functions as F
+
+    def brute(u, rate):
+        c, k = 0.0, -1
+        while c <= u:
+            k += 1
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        return k
+
+    cases = [(u, rate) for u in (0.001, 0.3, 0.5, 0.99) for rate in (399.0, 401.0, 2000.5, 20_000.0)]
+    got = spark.createDataFrame(cases, "u double, r double").select(mixing.poisson_quantile(F.col("u"), F.col("r")).alias("k")).collect()
+    assert [r.k for r in got] == [brute(*c) for c in cases]
+
+
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []

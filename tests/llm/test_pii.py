@@ -31,7 +31,7 @@ def test_base_spans_match_the_patterns():
 
 
 def test_long_texts_take_linear_time():
-    for text in ("1" * 200_000, "1." * 100_000 + ".", "a" * 300_000, "a@" * 100_000, "+1" + "(" * 200_000, "1 " * 100_000, "9" * 100_000 + "..1.1.1.1"):
+    for text in ("1" * 200_000, "1." * 100_000 + ".", "a" * 300_000, "a@" * 100_000, "+1" + "(" * 200_000, "1 " * 100_000, "9" * 100_000 + "..1.1.1.1", "call phone 555-123-4567 a@b.cd " * 5_000):
         pii.find(text, pii.fitted())
 
 
@@ -53,6 +53,21 @@ def test_base_spans_stay_where_candidates_overlap():
     assert found(text) == [("phone", "+1 (555) 123-4567"), ("local_phone", "555-123-4567")]
 
 
+def test_taken_spans():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(6)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(45)
+            b = a + rng.randrange(1, 5)
+            meets = any(x < b and a < y for x, y in spans)
+            assert taken.meets(a, b) == meets
+            if not meets and rng.random() < 0.3:
+                taken.add(a, b)
+                spans.append((a, b))
+
+
 def test_held_out_examples():
     x, y = pii.examples(1500, seed=99)
     assert ((pii.fitted().scores(x) >= 0.5) == y).mean() > 0.97
