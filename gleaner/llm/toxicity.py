@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import Words, append_column, crc_bucket, hash_words, slices
+from gleaner.scratch import materialize
 
 #: Bounds of the fit: labelled rows of each class, and terms.
 ROWS, TERMS = 6000, 1024
@@ -98,25 +99,34 @@ def fit(sample: DataFrame, terms: int = TERMS, factors: int = FACTORS, epochs: i
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(pairs[:, 1].copy().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), lists], names=["doc_id", "y", "terms"])
 
-    got = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<long>").toArrow().sort_by("doc_id").combine_chunks()
-    y = (got.column("y").to_numpy() == 1).astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+    schema = "doc_id long, y int, terms array<long>"
+    found = materialize(sample.select("doc_id", "y", "text").mapInArrow(run, schema), "terms")
+    n, share = found.agg(F.count("*"), F.avg((F.col("y") == 1).cast("double"))).first()
+    if not n or share in (0.0, 1.0):
+        share = float(np.clip(share or 0.0, 1e-6, 1 - 1e-6))
         return Machine(np.zeros(0, np.uint64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    lists = got.column("terms").combine_chunks()
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    row, hashes = np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    kinds, place = np.unique(hashes, return_inverse=True)
-    docs, toxic = np.bincount(place, minlength=len(kinds)), np.bincount(place, y[row], len(kinds))
+    each = found.select((F.col("y") == 1).cast("long").alias("toxic"), F.explode("terms").alias("term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("docs"), F.sum("toxic").alias("toxic")).where(F.col("docs") >= LEAST_DOCS)
     # how far the term's share of label 1 is from the sample's, in deviations
-    lift = np.where(docs >= LEAST_DOCS, np.abs(toxic - docs * y.mean()) / np.sqrt(docs * y.mean() * (1 - y.mean())), 0)
-    best = np.sort(np.lexsort((kinds, -lift))[:terms])
+    lift = F.abs(F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * (share * (1 - share)))
+    best = np.sort(np.array([r["term"] for r in counts.orderBy(F.desc(lift), "term").limit(terms).collect()], np.int64).view(np.uint64))
+
+    def known(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.minimum(np.searchsorted(best, hashes), max(0, len(best) - 1))
+            use = best[at] == hashes if len(best) else np.zeros(len(hashes), bool)
+            cut = np.searchsorted(np.repeat(np.arange(len(sizes)), sizes)[use], np.arange(len(sizes) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[use].astype(np.int64)))], names=["doc_id", "y", "terms"])
+
+    got = found.mapInArrow(known, schema).toArrow().sort_by("doc_id").combine_chunks()  # at most 2 * rows texts of ``terms`` terms
+    y = (got.column("y").to_numpy() == 1).astype(np.float64)
+    lists = got.column("terms").combine_chunks()
     x = np.zeros((len(y), len(best)), np.float32)
-    at = np.full(len(kinds), -1)
-    at[best] = np.arange(len(best))
-    use = at[place] >= 0
-    x[row[use], at[place][use]] = 1
-    return _adam(kinds[best], x, y, factors, epochs)
+    x[np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+    return _adam(best, x, y, factors, epochs)
 
 
 def _adam(terms: np.ndarray, x: np.ndarray, y: np.ndarray, factors: int, epochs: int) -> Machine:
