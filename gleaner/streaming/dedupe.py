@@ -34,10 +34,22 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def first_events(spark: SparkSession, path: str, late: str = "40 days") -> DataFrame:
-    """One row of each user, type and hour; state older than the watermark is dropped."""
-    stream = read_landed(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("ts", late)
-    return run_to_end(stream.dropDuplicatesWithinWatermark(["user_id", "event_type", "hour"]).select("user_id", "event_type", F.col("hour").cast("timestamp_ntz").alias("hour")))
+def first_events(spark: SparkSession, path: str) -> DataFrame:
+    """One row of each user, type and hour.
+
+    Each micro-batch writes its distinct keys under its number, and the
+    distinct of all is taken when read: no state is held, and no lateness
+    bound decides what counts.
+    """
+    folder, keys = scratch_path(spark, "stream"), ["user_id", "event_type", "hour"]
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    stream = read_landed(spark, path).withColumn("hour", hour).select(*keys)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*keys).distinct()
 
 
 def daily_counts(spark: SparkSession, path: str) -> DataFrame:

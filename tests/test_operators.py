@@ -1,9 +1,11 @@
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import dedupe, diagnostics, gates, identity, report, resolve, score, select
+from gleaner.streaming import dedupe as streams
 from gleaner.streaming.dedupe import run_to_end
 
 
@@ -132,6 +134,14 @@ def test_streams_write_all_that_has_landed(spark, tmp_path):
     assert run_to_end(stream.where("id % 2 = 0")).count() == 5
 
 
+def test_streams_keep_events_that_come_late(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "read_landed", partial(streams.read_landed, files_per_batch=1))
+    path = f"file://{tmp_path}/events.parquet"
+    for day in ("2024-06-01", "2024-06-01", "2024-06-01", "2024-01-01"):
+        spark.sql(f"SELECT 1L AS user_id, 'view' AS event_type, timestamp_ntz'{day} 10:20:00' AS ts").write.mode("append").parquet(path)
+    assert sorted(str(r.hour) for r in streams.first_events(spark, path).collect()) == ["2024-01-01 10:00:00", "2024-06-01 10:00:00"]
+
+
 @pytest.mark.parametrize("budget", [0, 3])
 def test_backfill_is_short_of_the_target(spark, budget):
     pool = spark.range(10).select("id", (F.col("id") * 1.0).alias("s"))
