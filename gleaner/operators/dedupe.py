@@ -1,22 +1,23 @@
 """Deduplication by keys, consolidation of equal events, and greedy leaders.
 
 A greedy run keeps a row unless a row kept before it shares a key; what was
-dropped never drops others.  Rows that share no key with each other, directly
-or through others, can't affect each other, so the run is repeated within
-each connected group of rows, in the given order.
+dropped never drops others.  A row that is the least of all its keys among the
+undecided ones leads whatever the others become, so the run is repeated in
+rounds over DataFrames.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.scratch import materialize
+from gleaner.scratch import materialize, scratch_path
 
-#: Rows of small groups that one task replays.
+#: Undecided rows that one task replays.
 BATCH_ROWS = 20_000
 
 
@@ -46,63 +47,67 @@ def consolidate(rows: DataFrame, event: str, order: Column, category: str, categ
     return merged.select(*out).unionByName(alone)
 
 
-def key_groups(rows: DataFrame, keys: str, ord_column: str) -> DataFrame:
-    """``ord, group``: rows that share keys, directly or through others, have one group, the least ``ord`` of it.
-
-    Labels and keys take turns: a key takes the least label of its rows, a row
-    the least of its keys.  Each round is written, and two hops of labels are
-    taken at a time.
-    """
-    links = materialize(rows.select(F.col(ord_column).alias("o"), F.explode_outer(keys).alias("k")), "keys")
-    label = rows.select(F.col(ord_column).alias("o"), F.col(ord_column).alias("l"))
-    while True:
-        of_key = links.where("k IS NOT NULL").join(label, "o").groupBy("k").agg(F.min("l").alias("m"))
-        near = links.join(of_key, "k").groupBy("o").agg(F.min("m").alias("m"))
-        new = label.join(near, "o", "left").select("o", F.least("l", F.coalesce("m", "l")).alias("n"), "l")
-        jump = new.select(F.col("o").alias("p"), F.col("n").alias("q"))  # the label's own label
-        new = materialize(new.join(jump, F.col("n") == F.col("p")).select("o", F.col("q").alias("n"), "l"), "labels")
-        changed = new.where("n <> l").limit(1).count()
-        label = new.select("o", F.col("n").alias("l"))
-        if not changed:
-            return label.select(F.col("o").alias(ord_column), F.col("l").alias("group"))
-
-
 def greedy_leaders(rows: DataFrame, keys: str, ord_column: str, same: Callable[[tuple, tuple], bool] | None = None, carry: list[str] | None = None) -> DataFrame:
     """``ord, leader_ord, matched_key`` of each row in the order ``ord``: a row that shares a key with an earlier leader (and for which ``same`` holds, given) follows the first such leader by its keys' order; else it leads.
 
-    A row without keys leads.  Groups are replayed whole: a key should be as
-    selective as an url or a title.
+    A row without keys leads.  A round takes the least undecided row of each
+    key, makes those leaders that are the least of all their keys, and decides
+    the rows that share a key with them; so a hot key is a partial aggregate
+    and no group is held.  A round that decides little (a chain in order), the
+    last rows, and rows under a comparison are taken by blocks: the first
+    ``BATCH_ROWS`` undecided rows are replayed in a task, and their leaders
+    meet the rest in a join.
     """
-    carry = carry or []
-    # a key of one row decides nothing: only rows with a shared key are grouped and replayed, and by their shared keys
-    each = rows.select(ord_column, F.posexplode(keys).alias("_pos", "_k"))
+    carry, spark = list(carry or []) if same else [], rows.sparkSession
+    # a key of one row decides nothing
+    each = rows.select(F.col(ord_column).cast("long").alias("_o"), F.posexplode(keys).alias("_p", "_k"), *carry)
     shared = each.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
-    own = each.join(shared, "_k").groupBy(ord_column).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_k"))), lambda s: s["_k"]).alias("_keys"))
-    tied = materialize(rows.select(ord_column, *carry).join(own, ord_column), "tied")
-    grouped = tied.select(ord_column, "_keys", *carry).join(key_groups(tied, "_keys", ord_column), ord_column)
+    links = materialize(each.join(shared, "_k").select("_o", "_p", "_k", *carry), "keys")
+    taken = links.select("_o", "_k", *carry).limit(0)
+    folder, schema, n = scratch_path(spark, "leaders"), taken.schema, len(carry)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: dict[str, list[int]] = {}
-        kept: dict[int, tuple] = {}
+        leaders: dict[str, list[tuple]] = {}
         out = []
-        for row in pdf.sort_values(ord_column).itertuples(index=False):
-            at, own, values = getattr(row, ord_column), list(row[1] if row[1] is not None else []), tuple(row[2:-1])
-            found = next(((first, k) for k in own for first in leaders.get(k, []) if same is None or same(kept[first], values)), None)
-            if found is None:
-                kept[at] = values
-                for k in own:
-                    leaders.setdefault(k, []).append(at)
-            out.append((at, found[0] if found else at, found[1] if found else None))
-        return pd.DataFrame(out, columns=[ord_column, "leader_ord", "matched_key"])
-
-    # only the columns that a replay looks at; pandas can't name a column _keys in a tuple, so they go by place
-    shaped = grouped.select(F.col(ord_column).cast("long"), F.col("_keys").alias("keys_"), *carry, "group")
-    # groups share no keys, so several can be replayed as one
-    batches = max(1, tied.count() // BATCH_ROWS)
-    dealt = shaped.withColumn("group", F.pmod(F.xxhash64("group"), F.lit(batches)))
-    led = dealt.groupBy("group").applyInPandas(replay, f"{ord_column} long, leader_ord long, matched_key string")
-    alone = rows.select(F.col(ord_column).cast("long").alias(ord_column)).join(tied.select(ord_column), ord_column, "left_anti")
-    return led.unionByName(alone.select(ord_column, F.col(ord_column).alias("leader_ord"), F.lit(None).cast("string").alias("matched_key")))
+        for at, own in groupby(pdf[["_o", "_k", *carry]].sort_values("_o").itertuples(index=False, name=None), key=lambda r: r[0]):
+            own = list(own)
+            values = own[0][2:]
+            if any(same is None or same(first, values) for r in own for first in leaders.get(r[1], ())):
+                continue
+            for k in dict.fromkeys(r[1] for r in own):
+                leaders.setdefault(k, []).append(values)
+                out.append((at, k, *values))
+        return pd.DataFrame(out, columns=["_o", "_k", *carry])
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[pd.Series([same(r[4 + n :], r[4 : 4 + n]) for r in pdf.itertuples(index=False, name=None)], index=pdf.index, dtype=bool)]
+
+    def followers(undecided: DataFrame, leaders: DataFrame) -> DataFrame:
+        side = leaders.select("_k", F.col("_o").alias("_l"), *[F.col(c).alias(f"_l_{c}") for c in carry])
+        met = undecided.join(side, "_k").where("_l < _o").select("_o", "_p", "_l", "_k", *carry, *[f"_l_{c}" for c in carry])
+        return met.mapInPandas(agree, met.schema) if same else met
+
+    undecided, left, slow, step = links, links.count(), False, 0
+    while left:
+        by_block = same is not None or slow or left <= BATCH_ROWS
+        if by_block:
+            first = undecided.select("_o").distinct().orderBy("_o").limit(BATCH_ROWS)
+            new = undecided.join(F.broadcast(first), "_o").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(replay, schema)
+        else:
+            least = undecided.groupBy("_k").agg(F.min("_o").alias("_m"))
+            leads = undecided.join(least, "_k").groupBy("_o").agg(F.bool_and(F.col("_o") == F.col("_m")).alias("_leads")).where("_leads")
+            new = least.join(leads, F.col("_m") == F.col("_o"), "left_semi").select(F.col("_m").alias("_o"), "_k")
+        new.write.parquet(f"{folder}/step={step}")
+        new = spark.read.schema(schema).parquet(f"{folder}/step={step}")
+        decided = new.select("_o").unionByName(followers(undecided, new).select("_o")).distinct()
+        undecided = materialize(undecided.join(decided, "_o", "left_anti"), "undecided")
+        before, left, step = left, undecided.count(), step + 1
+        slow = not by_block and before - left < BATCH_ROWS
+        taken = spark.read.schema(schema).parquet(f"{folder}/step=*")
+    hits = followers(links, taken).groupBy("_o").agg(F.min(F.struct("_p", "_l", "_k")).alias("_hit"))
+    own = F.col(ord_column).cast("long")
+    return rows.select(own.alias(ord_column)).join(hits, F.col(ord_column) == F.col("_o"), "left").select(ord_column, F.coalesce("_hit._l", ord_column).alias("leader_ord"), F.col("_hit._k").alias("matched_key"))
 
 
 def conflicting_ids(rows: DataFrame, key: str, identity: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from functools import partial
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from gleaner.operators import dedupe, diagnostics, gates, identity, report, resolve, score, select
@@ -24,6 +25,38 @@ def test_greedy_leaders_match_a_plain_loop(spark):
         assert {r.ord: (r.leader_ord, r.matched_key) for r in got} == want
 
 
+def replayed(rows, same=None):
+    leaders, want = {}, {}
+    for i, keys, *values in rows:
+        hit = next(((j, k) for k in keys for j, v in leaders.get(k, []) if same is None or same(v, values)), None)
+        want[i] = hit or (i, None)
+        if not hit:
+            for k in keys:
+                leaders.setdefault(k, []).append((i, values))
+    return want
+
+
+def test_hot_keys_are_not_held_by_one_task(spark, monkeypatch):
+    held, apply = [], GroupedData.applyInPandas
+
+    def spy(self, *args):
+        held.append(self.count().agg(F.max("count")).first()[0] or 0)
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", spy)
+    monkeypatch.setattr(dedupe, "BATCH_ROWS", 20)
+    rng = random.Random(8)
+    hot = [(i, ["hot"] * (rng.random() < 0.4) + [f"k{rng.randrange(200)}" for _ in range(rng.randrange(3))]) for i in range(300)]
+    chain = [(i, [f"c{i}", f"c{i + 1}"]) for i in range(300, 400)]
+    rows = hot + chain
+    got = dedupe.greedy_leaders(spark.createDataFrame(rows, "ord long, keys array<string>"), "keys", "ord").collect()
+    assert {r.ord: (r.leader_ord, r.matched_key) for r in got} == replayed(rows)
+    assert max(held, default=0) <= 20 * 3  # rows have three keys at most
+    rows = [(i, [f"k{rng.randrange(20)}" for _ in range(rng.randrange(3))], rng.randrange(3)) for i in range(90)]
+    got = dedupe.greedy_leaders(spark.createDataFrame(rows, "ord long, keys array<string>, v int"), "keys", "ord", lambda a, b: a[0] == b[0], ["v"]).collect()
+    assert {r.ord: (r.leader_ord, r.matched_key) for r in got} == replayed(rows, lambda a, b: a[0] == b[0])
+
+
 def test_what_was_dropped_drops_nothing(spark):
     rows = [(1, ["u1", "t1"]), (2, ["u2", "t1"]), (3, ["u2", "t3"])]
     got = {r.ord: r.leader_ord for r in dedupe.greedy_leaders(spark.createDataFrame(rows, "ord long, keys array<string>"), "keys", "ord").collect()}
