@@ -175,12 +175,13 @@ def d2_pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title, tail = text.normalize_title(F.substring("text", 1, 60)), text.normalize_title(F.expr("right(text, 60)"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", F.array_compact(F.array(F.when(title != "", F.concat(F.lit("title:"), title)), F.when(tail != "", F.concat(F.lit("tail:"), tail)))).alias("keys"))
+    # two forms of the whole text: as it is, and normalised; a text without letters or digits has the first only
+    title = text.normalize_title("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", F.array_compact(F.array(F.concat(F.lit("text:"), F.sha2("text", 256)), F.when(title != "", F.concat(F.lit("title:"), F.sha2(title, 256))))).alias("keys"))
 
 
 def d4_greedy_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that follow an earlier leader by their beginning or their end."""
+    """Documents that follow an earlier leader by their whole text, as it is or normalised."""
     return dedupe.greedy_leaders(_doc_keys(spark, sf_dir), "keys", "ord").withColumnRenamed("ord", "doc_id")
 
 
@@ -204,6 +205,12 @@ def d9_conflicting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.conflicting_ids(d, "title", "source")
 
 
+def d9_conflicting_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised whole texts, by their hash, that documents of several sources share."""
+    d = table(spark, sf_dir, "documents").select(F.sha2(text.normalize_title("text"), 256).alias("text_hash"), "source")
+    return dedupe.conflicting_ids(d, "text_hash", "source")
+
+
 def d11_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's preferred line, as an aggregate."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -211,7 +218,7 @@ def d11_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.best_by(l, "l_partkey", order, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
 
 
-QUERIES = {f.__name__: f for f in (q10_quarter_buckets, r1_precedence_argmin, r5_longest_alias, r9_claim_argmax, r11_bucket_verify, r14_evidence_richness, r15_token_overlap_validity, r18_text_region, s19_attach_once, g13_gate_matrix, g14_reject_reason_funnel, g17_failure_arrays, g18_contract_check, c1_capped_score, c7_flags, d2_pair_compare, d3_blocking_pairs, d4_greedy_leader, d7_provenance_merge, d8_consolidate, d9_conflicting_ids, d11_group_best)}
+QUERIES = {f.__name__: f for f in (q10_quarter_buckets, r1_precedence_argmin, r5_longest_alias, r9_claim_argmax, r11_bucket_verify, r14_evidence_richness, r15_token_overlap_validity, r18_text_region, s19_attach_once, g13_gate_matrix, g14_reject_reason_funnel, g17_failure_arrays, g18_contract_check, c1_capped_score, c7_flags, d2_pair_compare, d3_blocking_pairs, d4_greedy_leader, d7_provenance_merge, d8_consolidate, d9_conflicting_ids, d9_conflicting_texts, d11_group_best)}
 
 _B = "(?:^|[^a-z0-9])(?:{})(?:[^a-z0-9]|$)"
 _CHECKS = f"""[CASE WHEN length(text) < 300 THEN 'length' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END, CASE WHEN regexp_matches(text, '\\d{{12,}}') THEN 'digits' END,
@@ -309,6 +316,7 @@ SELECT event, arg_min(event_id, (-value, event_id)) AS event_id, arg_min(value,
 FROM e WHERE event IS NOT NULL GROUP BY event
 UNION ALL SELECT event, event_id, value, event_type, event_type, 1 FROM e WHERE event IS NULL""",
     "d9_conflicting_ids": f"SELECT {_TITLE.format('substr(text, 1, 60)')} AS title, count(DISTINCT source) AS n_ids FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
+    "d9_conflicting_texts": f"SELECT sha256({_TITLE.format('text')}) AS text_hash, count(DISTINCT source) AS n_ids FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "d11_group_best": """
 SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, -l_quantity, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) = 1""",

@@ -94,6 +94,13 @@ def d6_duplicate_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "title").where("leader <> doc_id").select("doc_id", "leader")
 
 
+def d6_same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal normalised whole text with the id of the first of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_title("text"), 256).alias("text_hash"))
+    first = d.groupBy("text_hash").agg(F.min("doc_id").alias("leader"))
+    return d.join(first, "text_hash").where("leader <> doc_id").select("doc_id", "leader")
+
+
 def d14_first_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each url without its query."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", urls.dedupe_url("url").alias("key"))
@@ -169,7 +176,13 @@ def d13_section_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("rn", keep).where("rn = 1").select("conv_id", "turn", "key")
 
 
-QUERIES = {f.__name__: f for f in (q1_query_planner, q4_canonical_template, q11_temporal_plan, q13_reserve_budget, r6_region_rollup, r7_taxonomy, r10_publication_picker, g12_three_state, g19_beyond_title, u9_source_class, d6_duplicate_marking, d13_section_dedupe, d14_first_by_key, a2_grouping_summary, a3_source_health, a10_failure_counts, a12_top_excluded, a15_lane_counts, c2_innovation_score, k8_coverage_protection, o1_prompt_payload, o5_block_overwrite)}
+def d13_whole_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sections: of equal normalised whole texts in a conversation the first stays."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.normalize_title(F.coalesce("text", F.lit(""))), 256).alias("text_hash"))
+    return c.groupBy("conv_id", "text_hash").agg(F.min("turn").alias("turn"))
+
+
+QUERIES = {f.__name__: f for f in (q1_query_planner, q4_canonical_template, q11_temporal_plan, q13_reserve_budget, r6_region_rollup, r7_taxonomy, r10_publication_picker, g12_three_state, g19_beyond_title, u9_source_class, d6_duplicate_marking, d6_same_texts, d13_section_dedupe, d13_whole_sections, d14_first_by_key, a2_grouping_summary, a3_source_health, a10_failure_counts, a12_top_excluded, a15_lane_counts, c2_innovation_score, k8_coverage_protection, o1_prompt_payload, o5_block_overwrite)}
 
 _B = "(?:^|[^a-z0-9])(?:{})(?:[^a-z0-9]|$)"
 _TITLE = r"trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
@@ -223,6 +236,11 @@ SELECT doc_id, leader FROM d JOIN f USING (title) WHERE doc_id <> leader""",
     "d13_section_dedupe": f"""
 WITH c AS (SELECT conv_id, turn, string_split({_TITLE.format("coalesce(text, '')")}, ' ')[1] AS key FROM conversations)
 SELECT conv_id, turn, key FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) = 1""",
+    "d6_same_texts": f"""
+WITH d AS (SELECT doc_id, {_TITLE.format("text")} AS title FROM documents WHERE text IS NOT NULL), f AS (SELECT title, min(doc_id) AS leader FROM d GROUP BY 1)
+SELECT doc_id, leader FROM d JOIN f USING (title) WHERE doc_id <> leader""",
+    "d13_whole_sections": f"""
+WITH c AS (SELECT conv_id, turn, sha256({_TITLE.format("coalesce(text, '')")}) AS text_hash FROM conversations) SELECT conv_id, text_hash, min(turn) AS turn FROM c GROUP BY ALL""",
     "d14_first_by_key": """
 WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[;?#].*$', ''), '/+$', '') AS key FROM pages) SELECT key, page_id, url FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1""",
     "a2_grouping_summary": """

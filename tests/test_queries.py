@@ -44,3 +44,16 @@ def test_matches_sql(spark, engine, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_others_run(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_documents_of_one_beginning_are_not_duplicates(spark, tmp_path):
+    start, end = "the same beginning " * 5, " the same end" * 6
+    texts = [(1, start + "one" + end, "en", "a"), (2, start + "two" + end, "en", "b"), (3, start + "ONE" + end, "en", "b")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    turns = [(1, 0, "The first"), (1, 1, "The second"), (1, 2, "the  second!"), (1, 3, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    run = lambda name: QUERIES[name](spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id: r.leader_ord for r in run("d4_greedy_leader")} == {1: 1, 2: 2, 3: 1}
+    assert [(r.doc_id, r.leader) for r in run("d6_same_texts")] == [(3, 1)]
+    assert [r.n_ids for r in run("d9_conflicting_texts")] == [2]
+    assert sorted(r.turn for r in run("d13_whole_sections")) == [0, 1, 3]
