@@ -13,10 +13,10 @@ MARKER = r"<!--\s*candidate_id:\s*(\d+)\s*-->"
 
 def blocks(reports: DataFrame, text: str, carry: list[str]) -> DataFrame:
     """One row for each marked block: ``pos, candidate_id, block``; what stands before the first marker is left out."""
-    # a mark that no text has splits before each marker and keeps it
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), MARKER, "\u0000$1\u0001"), "\u0000")
+    # cut before each marker, so no sign is needed that a text might have; what is put in front makes the first part one without a marker
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), f"(?={MARKER})")
     out = reports.select(*carry, F.posexplode(parts).alias("pos", "part")).where("pos > 0")
-    return out.select(*carry, "pos", F.regexp_extract("part", "^(\\d+)\u0001", 1).try_cast("long").alias("candidate_id"), F.regexp_replace(F.regexp_replace("part", "^\\d+\u0001", ""), r"^\s+|\s+$", "").alias("block"))
+    return out.select(*carry, "pos", F.regexp_extract("part", f"^{MARKER}", 1).try_cast("long").alias("candidate_id"), F.regexp_replace(F.regexp_replace("part", f"^{MARKER}", ""), r"^\s+|\s+$", "").alias("block"))
 
 
 def id_integrity(found: DataFrame, expected: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import diagnostics, report, select
-from gleaner.plans.common import number, table
+from gleaner.plans.common import composed, number, table
 
+#: Turns whose blocks make one text.
+COMPOSED = 100
 PRIORITIES = ["3-MEDIUM", "1-URGENT", "5-LOW", "2-HIGH", "4-NOT SPECIFIED"]
 
 
@@ -108,11 +110,21 @@ def o6_quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("quote_key").alias("item_id"))
 
 
+def _report_blocks(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
+    block = F.concat(F.lit("<!-- candidate_id: "), (F.col("turn") * 10).cast("string"), F.lit(" -->\n"), F.coalesce(body, F.lit("")))
+    texts, before = composed(table(spark, sf_dir, "conversations"), "conv_id", "turn", block, "\n", COMPOSED)
+    found = report.blocks(texts.withColumn("text", F.concat(F.lit("Heading\n"), "text")), "text", ["conv_id", "bucket"])
+    return found.join(before, ["conv_id", "bucket"]).select("conv_id", (F.col("pos") + F.col("before")).alias("pos"), "candidate_id", F.length("block").alias("size"))
+
+
 def o13_report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of reports composed of a conversation's turns."""
-    block = F.concat(F.lit("<!-- candidate_id: "), (F.col("turn") * 10).cast("string"), F.lit(" -->\n"), F.substring("text", 1, 40))
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda s: s["b"]), "\n").alias("report"))
-    return report.blocks(c.withColumn("report", F.concat(F.lit("Heading\n"), "report")), "report", ["conv_id"]).select("conv_id", "pos", "candidate_id", F.length("block").alias("size"))
+    """Blocks of reports composed of the beginnings of a conversation's turns."""
+    return _report_blocks(spark, sf_dir, F.substring("text", 1, 40))
+
+
+def o13_whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of reports composed of a conversation's whole turns."""
+    return _report_blocks(spark, sf_dir, F.col("text"))
 
 
 def o6_claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +148,7 @@ def t1_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_counts(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (k4_per_source_cap, k6_round_robin, k7_diverse_pick, k9_backfill, k10_rebalance, k12_budget_lanes, k13_route_interleave, k14_source_diverse, a4_map_explode_counts, a6_route_status_pivot, a9_empty_streak, a11_gate_changes, a13_variant_metrics, j9_id_integrity, o6_quote_grounding, o6_claim_verdicts, o13_report_blocks, t1_stream_windows, t5_stream_dedupe)}
+QUERIES = {f.__name__: f for f in (k4_per_source_cap, k6_round_robin, k7_diverse_pick, k9_backfill, k10_rebalance, k12_budget_lanes, k13_route_interleave, k14_source_diverse, a4_map_explode_counts, a6_route_status_pivot, a9_empty_streak, a11_gate_changes, a13_variant_metrics, j9_id_integrity, o6_quote_grounding, o6_claim_verdicts, o13_report_blocks, o13_whole_blocks, t1_stream_windows, t5_stream_dedupe)}
 
 _K = "(props->>'k')::INTEGER"
 ORACLE_SQL = {
@@ -183,6 +195,7 @@ SELECT doc_id, item_id FROM d JOIN q ON q <> '' AND contains(t, q)""",
 WITH v AS (SELECT l_orderkey, bool_and(month(l_shipdate) <= 9) AS a, bool_or(month(l_shipdate) <= 9) AS o, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT CASE WHEN a THEN 'supported' WHEN NOT o THEN 'unsupported' ELSE 'mixed' END AS verdict, count(*) AS n_orders, sum(n)::BIGINT AS n_claims FROM v GROUP BY 1""",
     "o13_report_blocks": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS pos, turn * 10 AS candidate_id, length(regexp_replace(substr(text, 1, 40), '^[\\s]+|[\\s]+$', '', 'g'))::INTEGER AS size FROM conversations",
+    "o13_whole_blocks": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS pos, turn * 10 AS candidate_id, length(regexp_replace(coalesce(text, ''), '^[\\s]+|[\\s]+$', '', 'g'))::INTEGER AS size FROM conversations",
     "t1_stream_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "t5_stream_dedupe": "SELECT user_id, event_type, date_trunc('hour', ts) AS hour FROM events GROUP BY ALL",
 }

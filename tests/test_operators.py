@@ -155,6 +155,12 @@ def test_blocks(spark):
     assert [(r.pos, r.candidate_id, r.block) for r in got] == [(1, 4, "first"), (2, 5, "second")]
 
 
+def test_blocks_of_any_signs(spark):
+    text = "<!-- candidate_id: 4 -->\nfirst\n\n3\u0001\u0000 half <!-- note -->\n\n<!-- candidate_id: 5 -->\n12\u0001 x"
+    got = report.blocks(spark.createDataFrame([(1, text)], "id int, t string"), "t", ["id"]).collect()
+    assert [(r.pos, r.candidate_id, r.block) for r in got] == [(1, 4, "first\n\n3\u0001\u0000 half <!-- note -->"), (2, 5, "12\u0001 x")]
+
+
 def test_attach_once(spark):
     a, b = spark.createDataFrame([("k", 1), ("k", 2), ("m", 3)], "key string, o int"), spark.createDataFrame([("k", 7, "x")], "key string, o int, v string")
     assert sorted((r.key, r.o, r.v) for r in resolve.attach_once(a, b, ["key"], "o").collect()) == [("k", 1, "x"), ("k", 2, None), ("m", 3, None)]
