@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import select
-from gleaner.plans.common import table
+from gleaner.plans.common import composed, table
 from gleaner.sources import landed
 
+#: Keys whose blocks make one text.
+COMPOSED = 1_000
 URL_RULES = {"blocked_paths": ["/fr/"], "blocked_hosts": ["spam-farm.example.org"], "blocked_suffixes": ["html"]}
 
 
@@ -32,10 +34,11 @@ def s3_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s17_block_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled lines of blocks, composed of customers of a nation."""
+    """Labelled lines of blocks, composed of customers of a nation: a text for each thousand of keys."""
     block = F.concat(F.lit("== source\nName: "), "c_name", F.lit("\n  Segment : "), "c_mktsegment", F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("\nBalance:"), F.col("c_acctbal").cast("string"))).otherwise(""), F.lit("\n"))
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("b")))), lambda s: s["b"]), "").alias("text"))
-    return landed.parse_blocks(c, "text", ["c_nationkey"], "== source\n", {"name": "Name", "segment": "Segment", "balance": "Balance"})
+    texts, before = composed(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", block, "", COMPOSED)
+    parsed = landed.parse_blocks(texts, "text", ["c_nationkey", "bucket"], "== source\n", {"name": "Name", "segment": "Segment", "balance": "Balance"})
+    return parsed.join(before, ["c_nationkey", "bucket"]).select("c_nationkey", (F.col("pos") + F.col("before")).alias("pos"), "name", "segment", "balance")
 
 
 def s9_page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

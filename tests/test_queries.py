@@ -1,12 +1,15 @@
 """Every registered curation query against its DuckDB SQL, on the smallest table set."""
 
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from gleaner.plans import ORACLE_SQL, QUERIES
+from gleaner.plans import ORACLE_SQL, QUERIES, picks, sources
+from gleaner.sources import landed
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,6 +49,28 @@ def test_others_run(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_composed_texts_are_bounded(spark, monkeypatch):
+    sizes, parse = [], landed.parse_blocks
+    monkeypatch.setattr(sources, "COMPOSED", 10, raising=False)
+
+    def spy(texts, column, *rest):
+        sizes.extend(r[0] for r in texts.select(F.size(F.split(column, "== source\n")) - 1).collect())
+        return parse(texts, column, *rest)
+
+    monkeypatch.setattr(landed, "parse_blocks", spy)
+    rows = QUERIES["s17_block_parser"](spark, "/root/testdata/sf0.01").collect()
+    assert max(sizes) <= 10 and len(rows) == sum(sizes)
+    assert {r.c_nationkey: r.pos for r in sorted(rows, key=lambda r: r.pos)} == Counter(r.c_nationkey for r in rows)
+
+
+def test_report_blocks_hold_whole_turns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(picks, "COMPOSED", 3, raising=False)
+    turns = [(c, t, f"line {t}\n\n" + "x" * (50 * c + t)) for c in (1, 2) for t in range(8)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = QUERIES["o13_whole_blocks"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r.conv_id, r.pos, r.candidate_id, r.size) for r in got) == [(c, t + 1, t * 10, len(s)) for c, t, s in turns]
+
+
 def test_documents_of_one_beginning_are_not_duplicates(spark, tmp_path):
     start, end = "the same beginning " * 5, " the same end" * 6
     texts = [(1, start + "one" + end, "en", "a"), (2, start + "two" + end, "en", "b"), (3, start + "ONE" + end, "en", "b")]
