@@ -115,10 +115,17 @@ def conflicting_ids(rows: DataFrame, key: str, identity: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(identity).alias("n_ids")).where("n_ids > 1")
 
 
-def merge_provenance(rows: DataFrame, key: str, ord_column: str, lane: str, fields: list[str], most: int = 10) -> DataFrame:
-    """Per key the lanes in order of first appearance, and up to ``most`` distinct provenance entries in that order."""
+def provenance(rows: DataFrame, key: str, ord_column: str, lane: str, fields: list[str]) -> DataFrame:
+    """Every distinct provenance entry of each key as a row, ``pos`` by first appearance from 1."""
     first = rows.groupBy(key, lane, *fields).agg(F.min(ord_column).alias("_o"))
-    lanes = first.groupBy(key, lane).agg(F.min("_o").alias("_o")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", lane))), lambda s: s[lane]).alias("lanes"))
-    ranked = first.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_o", *fields))).where(F.col("_rn") <= most)
-    entries = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", lane, *fields))), lambda s: F.concat_ws("|", *[s[f] for f in [lane, *fields]])).alias("provenance"))
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("_o", *fields))).select(key, "pos", lane, *fields)
+
+
+def merge_provenance(rows: DataFrame, key: str, ord_column: str, lane: str, fields: list[str], most: int | None = None) -> DataFrame:
+    """Per key the lanes in order of first appearance, and the distinct provenance entries in that order: all, or up to ``most``."""
+    each = provenance(rows, key, ord_column, lane, fields)
+    in_order = lambda c: F.array_sort(F.collect_list(c))
+    lanes = each.groupBy(key, lane).agg(F.min("pos").alias("pos")).groupBy(key).agg(F.transform(in_order(F.struct("pos", lane)), lambda s: s[lane]).alias("lanes"))
+    ranked = each if most is None else each.where(F.col("pos") <= most)
+    entries = ranked.groupBy(key).agg(F.transform(in_order(F.struct("pos", lane, *fields)), lambda s: F.concat_ws("|", *[s[f] for f in [lane, *fields]])).alias("provenance"))
     return lanes.join(entries, key)

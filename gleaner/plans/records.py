@@ -186,11 +186,18 @@ def d4_greedy_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d7_provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes of users and, as the feed has it, their first 10 provenance entries."""
     e = table(spark, sf_dir, "events").withColumn("lane", F.col("event_type")).withColumn("query", (number() % 4).cast("string"))
     m = dedupe.merge_provenance(e, "user_id", "event_id", "lane", ["query"], 10)
     return m.select("user_id", F.array_join("lanes", ",").alias("lanes"), F.array_join("provenance", ",").alias("provenance"))
 
 
+def d7_provenance_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All provenance entries of users."""
+    e = table(spark, sf_dir, "events").withColumn("lane", F.col("event_type")).withColumn("query", (number() % 4).cast("string"))
+    return dedupe.provenance(e, "user_id", "event_id", "lane", ["query"])
+
+
 def d8_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user and day as one: the preferred row, the strongest category, the union of types."""
     e = table(spark, sf_dir, "events").select("event_id", "value", "event_type", F.array("event_type").alias("types"), F.when(F.col("user_id") % 10 != 0, F.concat_ws("|", "user_id", F.to_date("ts"))).alias("event"))
@@ -218,7 +225,7 @@ def d11_group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.best_by(l, "l_partkey", order, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
 
 
-QUERIES = {f.__name__: f for f in (q10_quarter_buckets, r1_precedence_argmin, r5_longest_alias, r9_claim_argmax, r11_bucket_verify, r14_evidence_richness, r15_token_overlap_validity, r18_text_region, s19_attach_once, g13_gate_matrix, g14_reject_reason_funnel, g17_failure_arrays, g18_contract_check, c1_capped_score, c7_flags, d2_pair_compare, d3_blocking_pairs, d4_greedy_leader, d7_provenance_merge, d8_consolidate, d9_conflicting_ids, d9_conflicting_texts, d11_group_best)}
+QUERIES = {f.__name__: f for f in (q10_quarter_buckets, r1_precedence_argmin, r5_longest_alias, r9_claim_argmax, r11_bucket_verify, r14_evidence_richness, r15_token_overlap_validity, r18_text_region, s19_attach_once, g13_gate_matrix, g14_reject_reason_funnel, g17_failure_arrays, g18_contract_check, c1_capped_score, c7_flags, d2_pair_compare, d3_blocking_pairs, d4_greedy_leader, d7_provenance_merge, d7_provenance_entries, d8_consolidate, d9_conflicting_ids, d9_conflicting_texts, d11_group_best)}
 
 _B = "(?:^|[^a-z0-9])(?:{})(?:[^a-z0-9]|$)"
 _CHECKS = f"""[CASE WHEN length(text) < 300 THEN 'length' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END, CASE WHEN regexp_matches(text, '\\d{{12,}}') THEN 'digits' END,
@@ -310,6 +317,9 @@ FROM pairs JOIN e a ON a.event_id = a_id JOIN e b ON b.event_id = b_id WHERE a.u
 WITH e AS ({_E}), f AS (SELECT user_id, event_type AS lane, (k % 4)::VARCHAR AS query, min(event_id) AS o FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, query) AS rn FROM f),
 l AS (SELECT user_id, lane, min(o) AS o FROM f GROUP BY ALL)
 SELECT user_id, (SELECT string_agg(lane, ',' ORDER BY o) FROM l WHERE l.user_id = r.user_id) AS lanes, string_agg(lane || '|' || query, ',' ORDER BY rn) FILTER (rn <= 10) AS provenance FROM r GROUP BY user_id""",
+    "d7_provenance_entries": f"""
+WITH e AS ({_E}), f AS (SELECT user_id, event_type AS lane, (k % 4)::VARCHAR AS query, min(event_id) AS o FROM e GROUP BY ALL)
+SELECT user_id, lane, query, (row_number() OVER (PARTITION BY user_id ORDER BY o, query))::INTEGER AS pos FROM f""",
     "d8_consolidate": f"""
 WITH e AS (SELECT *, CASE WHEN user_id % 10 <> 0 THEN user_id || '|' || day END AS event, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS r FROM ({_E}))
 SELECT event, arg_min(event_id, (-value, event_id)) AS event_id, arg_min(value, (-value, event_id)) AS value, max((r, event_type))[2] AS event_type, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types, count(*) AS n_merged

@@ -57,6 +57,14 @@ def test_hot_keys_are_not_held_by_one_task(spark, monkeypatch):
     assert {r.ord: (r.leader_ord, r.matched_key) for r in got} == replayed(rows, lambda a, b: a[0] == b[0])
 
 
+def test_provenance_is_whole(spark):
+    rows = spark.createDataFrame([(1, i, "ab"[i % 2], str(i // 2 % 9)) for i in range(40)], "key int, ord int, lane string, query string")
+    got = dedupe.merge_provenance(rows, "key", "ord", "lane", ["query"]).first()
+    assert got.lanes == ["a", "b"] and got.provenance == [f"{'ab'[i % 2]}|{i // 2}" for i in range(18)]
+    assert dedupe.merge_provenance(rows, "key", "ord", "lane", ["query"], 10).first().provenance == got.provenance[:10]
+    assert [r.pos for r in dedupe.provenance(rows, "key", "ord", "lane", ["query"]).orderBy("pos").collect()] == list(range(1, 19))
+
+
 def test_what_was_dropped_drops_nothing(spark):
     rows = [(1, ["u1", "t1"]), (2, ["u2", "t1"]), (3, ["u2", "t3"])]
     got = {r.ord: r.leader_ord for r in dedupe.greedy_leaders(spark.createDataFrame(rows, "ord long, keys array<string>"), "keys", "ord").collect()}
