@@ -3,9 +3,10 @@
 Each distinct text gets ``TREES * DEPTH`` minima of hashed shingles of five
 words, 16 bits of each; a tree's path is its ``DEPTH`` minima in one 64-bit
 number, so a tree is the sorted order of those numbers and a prefix is what
-stands left of a shift.  Matching starts at the full depth and prefixes are
-shortened until the forest finds a pair at the threshold with the target
-recall.  Texts that share a prefix are linked provisionally if their
+stands left of a shift.  Prefixes have one depth, computed in advance from the
+constants and not from the data: the longest at which a pair at the threshold
+is found with the target recall (3 of 4 at 0.8).  The rest of a path only
+serves the estimate.  Texts that share a prefix are linked provisionally if their
 signatures agree well enough; each connected group is then compared exactly,
 in tasks of bounded size, by whole sets of shingles.
 
