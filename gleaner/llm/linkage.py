@@ -131,3 +131,17 @@ def spread(linked: np.ndarray) -> np.ndarray:
         if (least == label).all():
             return label
         label = least
+
+
+def spread_sparse(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` members the least member that it reaches by the links ``a, b``."""
+    label = np.arange(n)
+    while True:
+        least, one, two = label.copy(), label[a], label[b]
+        low = np.minimum(one, two)
+        for at in (a, b, one, two):
+            np.minimum.at(least, at, low)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least

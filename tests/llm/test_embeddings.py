@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from gleaner.llm import embeddings
+from gleaner.llm import embeddings, linkage
 
 
 def brute(rows):
@@ -44,7 +44,7 @@ def rows():
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, unit string")
+    docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, digest string, member int")
     return sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(docs).collect())
 
 
@@ -60,14 +60,22 @@ def test_large_groups_are_dealt_over_chunks(spark, rows, monkeypatch):
 
 def test_pairs_at_the_threshold_are_found():
     rng = np.random.default_rng(9)
-    a, noise = rng.normal(size=(2000, 64)), rng.normal(size=(2000, 64))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    noise -= (noise * a).sum(1)[:, None] * a
-    noise /= np.linalg.norm(noise, axis=1)[:, None]
-    b = 0.95 * a + math.sqrt(1 - 0.95**2) * noise
-    x, y = embeddings.buckets(a), embeddings.buckets(b)
-    found = np.mean([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist())])
-    assert found > 0.999
+    for width, n in ((64, 50_000), (64, 10**7), (384, 10**6), (5, 1000)):
+        a, noise = rng.normal(size=(4000, width)), rng.normal(size=(4000, width))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        noise -= (noise * a).sum(1)[:, None] * a
+        noise /= np.linalg.norm(noise, axis=1)[:, None]
+        b = 0.95 * a + math.sqrt(1 - 0.95**2) * noise
+        chosen = embeddings.settings(embeddings.padded(width), n)
+        x, y = embeddings.buckets(a, *chosen), embeddings.buckets(b, *chosen)
+        met = np.array([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist())])
+        near = np.bitwise_count((embeddings.signs(a) ^ embeddings.signs(b)).view(np.uint64)).sum(1) <= embeddings.APART
+        assert (met & near).mean() > 0.998, (width, n, chosen)
+
+
+def test_more_vectors_join_more_vertices():
+    chosen = [embeddings.settings(64, n) for n in (10, 10**5, 10**7, 10**9)]
+    assert [c[0] for c in chosen] == [1, 2, 3, 4]
 
 
 def test_hadamard_is_orthogonal():
@@ -75,6 +83,17 @@ def test_hadamard_is_orthogonal():
     assert np.allclose(h @ h.T, 16 * np.eye(16))
 
 
+def test_spread_of_sparse_links():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (50, 20), (300, 280)):
+        a, b = rng.integers(0, n, (2, m))
+        linked = np.zeros((n, n), bool)
+        linked[a, b] = linked[b, a] = True
+        assert (linkage.spread_sparse(n, a, b) == linkage.spread(linked)).all()
+    path = np.arange(5000)
+    assert (linkage.spread_sparse(5001, path, path + 1) == 0).all()
+
+
 def test_one_of_a_group_is_kept(spark):
     docs = spark.createDataFrame([(4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [1.0, 0.01]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id, r.n_links, r.kept) for r in embeddings.near_duplicates(docs).collect())
