@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or the context's own; one of ours where neither is set, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``, or the context's own.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster
+    that is an error, as executors and driver don't share their disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -29,4 +39,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that no later step reads."""
+    _delete(table.sparkSession, table._scratch)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results that read them must have been written before."""
+    _delete(spark, _application_dir(spark))
