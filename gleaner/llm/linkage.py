@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import BROADCAST_ROWS
-from gleaner.scratch import materialize
+from gleaner.scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(few(least), F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(few(least), F.col("u") == F.col("x"))
-        e = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("x", "m")).distinct(), "edges")
+        old, e = e, materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("x", "m")).distinct(), "edges")
+        discard(old)
 
 
 def deal(grouped: DataFrame, keys: list[str], member: Column, size: Column, rows: int, batches: int) -> DataFrame:
