@@ -29,6 +29,18 @@ def lookup_join(left: DataFrame, table: DataFrame, on: Column, how: str = "inner
     return left.join(F.broadcast(table) if small else table, on, how)
 
 
+def numbered_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``names`` of ``df`` as c0, c1, ..., and what each is called, so that no name of an operator clashes with one of theirs."""
+    place = {n: f"c{i}" for i, n in enumerate(dict.fromkeys(names))}
+    return df.select(*[F.col(f"`{n}`").alias(c) for n, c in place.items()]), place
+
+
+def restored(place: dict[str, str], names: list[str], added: list[str]) -> list[Column]:
+    """The columns ``names`` under their own names, but those that an operator's ``added`` columns replace."""
+    gone = {a.lower() for a in added}
+    return [F.col(place[n]).alias(n) for n in names if n.lower() not in gone]
+
+
 def crc_bucket(key: str | Column, n: int) -> Column:
     """``crc32(key as text) mod n``; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

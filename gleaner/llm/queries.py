@@ -188,14 +188,16 @@ WITH words AS (
   FROM words LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)
 ), ruled AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS soft FROM counted
+    10 * n_symbols > n_words AS a, 100 * n_dup_lines > 30 * n_lines AS b, word_chars < 2 * n_words AS c, word_chars > 15 * n_words AS d FROM counted
 ), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS bad FROM ruled GROUP BY source
-), moments AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts), prior AS (
-  SELECT m, CASE WHEN v * 10001 <= m * (1 - m) THEN 10000.0 ELSE greatest(1.0, m * (1 - m) / v - 1) END AS s FROM moments
-), verdicts AS (SELECT source, (bad + m * s) / (n + s) > 0.5 AS rejected FROM hosts, prior)
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR a OR b OR c OR d) AS bad FROM ruled GROUP BY source
+), moments AS (SELECT avg(bad / n) AS m, greatest(var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n), 0) AS v FROM hosts), prior AS (
+  SELECT m, CASE WHEN v * 10001 <= m * (1 - m) THEN 10000.0::DOUBLE ELSE greatest(1.0::DOUBLE, m * (1 - m) / v - 1) END AS s FROM moments
+), verdicts AS (SELECT source, (bad + m * s) / (n + s) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rejected AND soft) AS kept
+  NOT base_failed AND NOT rate * (1 + CASE WHEN NOT (a OR b OR c OR d) THEN 0.1::DOUBLE ELSE
+    CASE WHEN a THEN 9.0::DOUBLE * (10 * n_symbols / n_words) ELSE 1 END * CASE WHEN b THEN 3.0::DOUBLE * (100 * n_dup_lines / (30 * n_lines)) ELSE 1 END
+    * CASE WHEN c THEN 9.0::DOUBLE * (2 * n_words / word_chars) ELSE 1 END * CASE WHEN d THEN 9.0::DOUBLE * (word_chars / (15 * n_words)) ELSE 1 END END) > 1 AS kept
 FROM ruled r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
 """,
 }
