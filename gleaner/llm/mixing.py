@@ -4,12 +4,15 @@ Every source gets a mean repetition rate ``budget * weight / size``; each
 document draws its number of copies by inverting the Poisson distribution of
 that mean at a uniform value hashed from the seed and its id, is exploded into
 so many copies, and the copies are dealt and sorted by a second hash, which
-is a global shuffle.  Equal seeds give equal copies on any cluster.
+is a global shuffle.  Equal seeds give equal copies on any cluster; the second
+hash also takes the row's number, so that rows of one id, or without one, are
+dealt over all tasks.
 
 Defined results: a null source is a source of its own; a null text has size
 0 (each document counts 1 at least); rows with equal ``doc_id`` draw equal
-counts; a source without a weight in ``weights`` gets none; an empty table
-gives no rows; other columns are carried along.
+counts, those without one as if it were empty text; a source without a weight
+in ``weights`` gets none; an empty table gives no rows; other columns are
+carried along, but a ``copy_no`` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lookup_join
+from gleaner.llm.common import lookup_join, numbered_columns, restored
 from gleaner.scratch import materialize
 
 SEED = "mix-1"
@@ -81,14 +84,16 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, temperature: float = TEMPERATURE, budget_chars: float | None = None) -> DataFrame:
     """The columns of ``docs`` and ``copy_no`` (from 0), a row for each copy, in shuffled order."""
-    docs = docs.drop("copy_no")
-    rates = materialize(source_rates(docs, weights, temperature, budget_chars), "rates")
-    rated = lookup_join(docs, rates, docs["source"].eqNullSafe(rates["_source"]))
-    count = poisson_quantile(uniform(seed, F.col("doc_id")), F.col("_rate"))
+    names = [c for c in docs.columns if c.lower() != "copy_no"]
+    rates = materialize(source_rates(docs.select("source", "text"), weights, temperature, budget_chars), "rates")
+    plain, place = numbered_columns(docs, names)
+    rated = lookup_join(plain, rates, F.col(place["source"]).eqNullSafe(F.col("_source")))
+    count = poisson_quantile(uniform(seed, F.col(place["doc_id"])), F.col("_rate"))
     copies = (
         rated.withColumn("_n", F.when(F.col("_rate") > 0, count).otherwise(0))
         .where("_n > 0")
+        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("_place", F.xxhash64(F.lit(f"{seed}:place"), "doc_id", "copy_no"))
+        .withColumn("_place", F.xxhash64(F.lit(f"{seed}:place"), place["doc_id"], "copy_no", "_row"))
     )
-    return copies.repartition("_place").sortWithinPartitions("_place").select(*docs.columns, "copy_no")
+    return copies.repartition("_place").sortWithinPartitions("_place").select(*restored(place, names, []), "copy_no")

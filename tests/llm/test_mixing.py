@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import mixing
 
@@ -61,17 +62,29 @@ def test_order_is_shuffled_and_repeats(spark, rows):
     assert once == twice and once != sorted(once, key=str)
 
 
-def test_large_rates(spark):
-    from pyspark.sql import functions as F
+def test_rows_of_one_id_are_dealt_over_all_tasks(spark):
+    rows = [(None, "x", "s", "c") for _ in range(400)] + [(5, "y", "s", "c") for _ in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = mixing.mix(docs, {"s": 1.0}).select("doc_id", F.spark_partition_id().alias("p")).distinct().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(n == 8 for n in Counter(r.doc_id for r in got).values())
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    docs = spark.createDataFrame([(i, "x", "s", 1, 2, 3, 4) for i in range(50)], "doc_id long, text string, source string, _rate int, _source int, _n int, _place int")
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "copy_no"]
+    assert {(r["_rate"], r["_source"], r["_n"], r["_place"]) for r in got.collect()} == {(1, 2, 3, 4)}
 
+
+def test_large_rates(spark):
     u = [0.0, 1e-12, 0.5, 0.999999]
     got = spark.createDataFrame([(x, 50.0) for x in u], "u double, r double").select(mixing.poisson_quantile(F.col("u"), F.col("r")).alias("k")).collect()
     assert [r.k for r in got][2] == 50 and all(0 <= r.k < 150 for r in got)
 
 
 def test_rates_beyond_a_double(spark):
-    from pyspark.sql import functions as F
-
     def brute(u, rate):
         c, k = 0.0, -1
         while c <= u:
