@@ -6,8 +6,12 @@ Request and metadata name the response in ``WARC-Concurrent-To``; reading
 joins the three by that identifier, in whatever files and order they are, and
 emits one nested row a capture.
 
-Spark's text writer ends each record with the two line ends that the format
-asks for, so archives can be in any store that Spark reaches.
+Every record is a gzip member of its own, so archives can be read from any
+offset at which one begins.  A file holds members of ``FILE_BYTES`` together,
+or a single longer one.  Spark's text writer puts them into any store that it
+reaches: a member ends in a zero byte, which is the writer's line end.
+Reading decompresses and parses a file piece by piece; archives that others
+have compressed as a whole are read as well.
 
 Defined results: a null html is an empty payload; rows with equal page ids are
 captures of their own; a null page id is never the original of others; a null
@@ -19,21 +23,22 @@ columns of ``pages`` are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lookup_join
+from gleaner.llm.common import lookup_join, small_batches
 from gleaner.scratch import materialize, scratch_path
 
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Records of an archive file, which a reading task holds whole.
-FILE_RECORDS = 6000
+#: Compressed bytes of an archive file, which a reading task holds whole, and bytes that it decompresses or returns at a time.
+FILE_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
+LEVEL = 4
 # fixed values of RFC 4648: the digits of base 32, and those that Spark's conv writes
 BASE32, CONV32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -55,6 +60,38 @@ def header(name: str, value: Column | str) -> Column:
     return F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value)
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def bundles(records: DataFrame) -> DataFrame:
+    """``value``: the members of consecutive records of a task, about ``FILE_BYTES`` a row, without the zero byte at their end."""
+    empty = member(b"")
+
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        if held[-1][-1]:  # the length of a record of 16 MB or more
+            held.append(empty)
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                packed = member(value.as_py() + (END + END).encode())
+                if held and size + len(packed) > FILE_BYTES:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(packed)
+                size += len(packed)
+        if held:
+            yield row(held)
+
+    small_batches(records.sparkSession)
+    return records.select(F.col("value").cast("binary")).mapInArrow(run, "value binary")
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped archives into the folder ``path``."""
     html = F.coalesce("html", F.lit(""))
@@ -62,6 +99,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
         "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), html.alias("html"), sha1_base32(html.cast("binary")).alias("digest"),
         F.octet_length(html).alias("bytes"), F.monotonically_increasing_id().alias("uid"),
     )
+    named = materialize(named, "pages")  # the numbers of rows are those that revisits refer to
     able = named.where(F.col("bytes") >= min_revisit_bytes)
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid")))
     originals = able.groupBy("digest", "bytes").agg(first.alias("original"), F.count("*").alias("n")).where("n > 1")
@@ -87,20 +125,51 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     asked = record("request", [own_id("request"), target, date, concurrent, header("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{END}{END}")))
     about = record("metadata", [own_id("metadata"), target, date, concurrent, header("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(END)))
     records = joined.select(F.explode(F.array(asked, answer, about)).alias("value"))
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    # bytes that a string column carries are written as they are
+    bundles(records).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def inflate(data: bytes) -> Iterator[bytes]:
+    """What an archive holds, in pieces: gzip members one after the other, or uncompressed data."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES))
+        return
+    step, at = 1 << 15, 0
+    while at < len(data):
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof and at < len(data):
+            piece = unpacker.decompress(data[at : at + step], PIECE_BYTES)
+            at = min(at + step, len(data))
+            yield piece
+            while unpacker.unconsumed_tail:
+                yield unpacker.decompress(unpacker.unconsumed_tail, PIECE_BYTES)
+        at -= len(unpacker.unused_data)
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """The headers, by lower-case names, and the block of each record of an archive."""
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    held, fields, seen = bytearray(), None, 0
+    for piece in pieces:
+        held += piece
+        while True:
+            if fields is None:
+                end = held.find(b"\r\n\r\n", max(0, seen - 3))
+                if end < 0:
+                    seen = len(held)
+                    break
+                fields = {}
+                for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                    name, _, value = line.partition(":")
+                    fields[name.strip().lower()] = value.strip()
+                size, seen = int(fields.get("content-length", 0)), 0
+                del held[: end + 4]
+            if len(held) < size + 4:  # the line ends after the block belong to it
+                break
+            yield fields, bytes(held[:size])
+            del held[: size + 4]
+            fields = None
+    if fields is not None:  # an archive that is cut off
+        yield fields, bytes(held[:size])
 
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, payload_bytes long, payload_digest string, payload binary, fields string"
@@ -129,9 +198,17 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                data = content.as_py()
-                yield pa.RecordBatch.from_pylist([row(*r) for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)], schema=schema)
-
+                held, size = [], 0
+                for fields, block in parse(inflate(content.as_py())):
+                    held.append(row(fields, block))
+                    size += len(block) + 500
+                    if size >= 4 * PIECE_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    # a row of binaryFile is a whole file; one at a time goes to Python
+    small_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 

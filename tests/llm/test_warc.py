@@ -1,7 +1,9 @@
 import base64
 import gzip
 import hashlib
+import random
 import tempfile
+import zlib
 from pathlib import Path
 
 import pytest
@@ -45,11 +47,13 @@ def test_round_trip(pages, least):
             assert r.response.payload is None and r.response.refers_to in {x.response.record_id for x in got}
 
 
-def test_archives_are_the_published_format(pages):
+def test_archives_are_the_published_format(pages, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
     path = tempfile.mkdtemp(prefix="spark-") + "/out"
-    warc.write_archives(pages, "file://" + path)
+    warc.write_archives(pages.coalesce(1), "file://" + path)
     files = list(Path(path).glob("part-*"))
-    records = [r for f in files for r in warc.parse(gzip.decompress(f.read_bytes()))]
+    assert len(files) > 3
+    records = [r for f in files for r in warc.parse([gzip.decompress(f.read_bytes())])]
     assert len(records) == 3 * len(PAGES)
     assert {f["warc-type"] for f, _ in records} == {"request", "response", "revisit", "metadata"}
     assert all(len(b) == int(f["content-length"]) for f, b in records)
@@ -57,6 +61,37 @@ def test_archives_are_the_published_format(pages):
     assert whole.startswith(b"WARC/1.1\r\n") and whole.endswith(b"\r\n\r\n")
 
 
+def test_each_record_is_a_member(pages):
+    path = tempfile.mkdtemp(prefix="spark-") + "/out"
+    warc.write_archives(pages, "file://" + path)
+    n = 0
+    for f in Path(path).glob("part-*"):
+        data = f.read_bytes()
+        while data:
+            unpacker = zlib.decompressobj(31)
+            assert unpacker.decompress(data).startswith(b"WARC/1.1\r\n") and unpacker.eof
+            data, n = unpacker.unused_data, n + 1
+    assert n == 3 * len(PAGES)
+
+
+def test_pages_of_many_megabytes(spark):
+    rng = random.Random(1)
+    big = "".join(rng.choice("abcdefghij<>/ ") for _ in range(1 << 20)) * 18
+    pages = spark.createDataFrame([(i, "u", big + str(i % 2)) for i in range(3)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages, with_payload=False).collect()}
+    assert [got[i].response.payload_bytes for i in range(3)] == [len(big) + 1] * 3
+    assert [got[i].response.type for i in range(3)] == ["response", "response", "revisit"] and got[2].refers_to == 0
+    assert got[1].response.payload_digest == base64.b32encode(hashlib.sha1((big + "1").encode()).digest()).decode()
+
+
+def test_archives_of_others_are_read():
+    records = [b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n" for n in (0, 5, 3_000_000)]
+    want = [0, 5, 3_000_000]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [len(b) for _, b in warc.parse(warc.inflate(data))] == want
+    assert [len(b) for _, b in warc.parse(records[1][i : i + 3] for i in range(0, len(records[1]), 3))] == [5]
+
+
 def test_records_meet_across_files_and_strays_stay(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "r1"), ("q2", "request", "gone")]
     records = spark.createDataFrame([(i, k, "u", "d", c, None, None, None, None, None) for i, k, c in rows], warc.RECORD).repartition(4)
