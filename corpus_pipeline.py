@@ -21,7 +21,7 @@ from gleaner.shipping import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their rules and their host's verdict."""
     ship(spark)
-    return quality.quality_rules(docs).where("_kept").select(*docs.columns)
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
