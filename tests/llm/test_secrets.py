@@ -1,6 +1,8 @@
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import secrets
 
@@ -44,8 +46,30 @@ def test_ownership_separates_copies_from_single_owners(spark):
 
 
 def test_mask_takes_out_the_values(spark):
-    row = secrets.mask(spark.createDataFrame([("a password=q9w8e7r6t5y4u3 b AKIA" + "Z" * 16,)], "text string")).first()
-    assert row.text == "a password=<SECRET> b <SECRET>"
+    cases = {
+        "a password=q9w8e7r6t5y4u3 b AKIA" + "Z" * 16: "a password=<SECRET> b <SECRET>",
+        "The secret: never give up": "The secret: never give up",
+        "api_key : 'abcdefghijklmnop' AKIAshort": "api_key : '<SECRET>' AKIAshort",
+        "deadbeefdeadbeef00 xoxb-1234567890ab": "<SECRET> <SECRET>",
+        "": "",
+        None: None,
+    }
+    got = secrets.mask(spark.createDataFrame([*enumerate(cases)], "i int, text string")).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.i)] == list(cases.values())
+
+
+def test_many_hits_in_a_text(spark):
+    text = "deadbeefdeadbeef0 " * 100_000
+    began = time.perf_counter()
+    row = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), "doc_id", "source", ["doc_id"]).select("n_shared", F.size("_spans").alias("n"), F.element_at("_spans", -1).alias("last")).first()
+    assert row.n == 100_000 and (row["last"].start, row["last"].stop) == (18 * 99_999, 18 * 99_999 + 17)
+    assert time.perf_counter() - began < 60
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdefghijklmnop", "s", 2, 3)], "doc_id long, text string, source string, _spans int, _owner int")
+    row = secrets.scan(docs, "doc_id", "source", ["doc_id", "_owner", "_spans"]).first()
+    assert row["_owner"] == 3 and len(row["_spans"]) == 1
 
 
 def test_empty_table(spark):
