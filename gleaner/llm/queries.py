@@ -38,7 +38,8 @@ def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
-    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs), drop=True)
     counts = [F.size(pii.of_kinds((k,))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     sha = F.sha2(pii.joined(pii.of_kinds(pii.BASE)).cast("binary"), 256)
     return found.select("doc_id", *counts, sha.alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))

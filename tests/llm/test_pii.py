@@ -1,6 +1,9 @@
 import random
 import re
+from pathlib import Path
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import pii
@@ -73,15 +76,68 @@ def test_held_out_examples():
     assert ((pii.fitted().scores(x) >= 0.5) == y).mean() > 0.97
 
 
+def test_trees_find_the_best_splits():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 10, (3000, 4)).astype(float)
+    y = ((x[:, 1] > 3) & (x[:, 2] <= 6)).astype(float)
+    trees = pii.boost(x, y)
+    assert ((trees.scores(x) > 0.5) == (y == 1)).all()
+    assert trees.feature[0, 0] in (1, 2)
+
+
+def test_threshold_is_the_least_that_keeps_the_precision():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        score, y, n = rng.integers(0, 30, 200) / 30, rng.integers(0, 2, 200).astype(float), rng.integers(1, 5, 200)
+        right = {s: (y * n)[score >= s].sum() / n[score >= s].sum() for s in score}
+        want = [s for s in right if right[s] >= 0.6]
+        assert pii.threshold(score, y, n, 0.6) == (max(0.5, min(want)) if want else 2.0)
+
+
+def luhn_digit(digits):
+    return next(d for d in "0123456789" if pii.luhn(digits + d))
+
+
+def test_candidates_are_learned_from_the_corpus(spark):
+    """Numbers of one form that mostly pass their check: those with a wrong digit are found, other numbers of that length aren't."""
+    rng = random.Random(4)
+    number = lambda first: first + "".join(rng.choice("0123456789") for _ in range(14))
+    rows = []
+    for i in range(1200):
+        body = number("4")
+        rows.append((i, f"some words here {body}{luhn_digit(body)} and more"))
+        rows.append((10_000 + i, f"some words here {number(rng.choice('012356789'))}{rng.randrange(10)} and more"))
+    wrong = number("4")
+    wrong += str((int(luhn_digit(wrong)) + 1) % 10)
+    other = number("9")
+    other += str((int(luhn_digit(other)) + 1) % 10)
+    trees = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [s[0] for s in pii.find(f"some words here {wrong} and more", trees)] == ["card_like"]
+    assert pii.find(f"some words here {other} and more", trees) == []
+    assert [s[0] for s in pii.find(f"some words here {other[:-1]}{luhn_digit(other[:-1])} and more", trees)] == ["card"]
+    assert pii.find(f"some words here {wrong} and more", pii.fitted()) == []
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no tables here")
+def test_trees_select_spans_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    kinds = pii.find_spans(docs, pii.fit(docs)).select(F.explode("_spans").alias("s"), "text").select("s.*", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("span"))
+    found = kinds.where(~F.col("kind").isin(*pii.BASE)).collect()
+    assert {r.kind for r in found} == {"card_like", "local_phone"}  # the second where a phone number runs into another number
+    cards = [r.span for r in found if r.kind == "card_like"]
+    assert all(len(c) == 16 and c[0] == "4" and not pii.luhn(c) for c in cards) and len(cards) < 30
+    assert all(re.fullmatch(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", r.span) for r in found if r.kind == "local_phone")
+
+
 def test_query_shape_and_defined_results(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.de 😀 a.b@c.de", "k"), (2, None, "k"), (3, "", "k"), (1, "mail a.b@c.de 😀 a.b@c.de", "k"), (None, "10.0.0.1", "k")], "doc_id long, text string, _spans string")
-    got = pii.find_spans(docs).select("doc_id", pii.joined(F.col("_spans")).alias("s")).collect()
+    got = pii.find_spans(docs, pii.fit(docs)).select("doc_id", pii.joined(F.col("_spans")).alias("s")).collect()
     assert sorted((str(r.doc_id), r.s) for r in got) == [("1", "email:5:13,email:16:24")] * 2 + [("2", ""), ("3", ""), ("None", "ip:0:8")]
-    assert pii.find_spans(docs.limit(0)).collect() == []
+    assert pii.find_spans(docs.limit(0), pii.fit(docs.limit(0))).collect() == []
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "é😀 a@b.cd, 10.0.0.1!", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, n_chars long")
-    got = pii.redact(docs)
+    docs = spark.createDataFrame([(1, "é😀 a@b.cd, 10.0.0.1!", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, redacted long")
+    got = pii.redact(docs, pii.fitted())
     assert got.columns == docs.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "é😀 <EMAIL>, <IP>!", 2: None, 3: "clean"}
