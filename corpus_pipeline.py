@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard, mixing, packing, pii, quality
+from gleaner.llm import jaccard, mixing, packing, pii, quality, secrets
 from gleaner.llm.tokenizer_files import WORD_TOKENIZER
 from gleaner.scratch import materialize
 from gleaner.shipping import ship
@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """Documents with secrets and personal data replaced by their kinds; ``n_chars`` follows the text."""
     ship(spark)
-    clean = pii.redact(docs)
+    clean = pii.redact(secrets.mask(docs), pii.fit(docs))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
