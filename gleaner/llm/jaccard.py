@@ -3,12 +3,23 @@
 Each distinct text gets ``TREES * DEPTH`` minima of hashed shingles of five
 words, 16 bits of each; a tree's path is its ``DEPTH`` minima in one 64-bit
 number, so a tree is the sorted order of those numbers and a prefix is what
-stands left of a shift.  Prefixes have one depth, computed in advance from the
-constants and not from the data: the longest at which a pair at the threshold
-is found with the target recall (3 of 4 at 0.8).  The rest of a path only
-serves the estimate.  Texts that share a prefix are linked provisionally if their
-signatures agree well enough; each connected group is then compared exactly,
-in tasks of bounded size, by whole sets of shingles.
+stands left of a shift.
+
+Texts meet first where whole paths are equal, then prefixes are shortened
+level by level.  A text stops when what it is expected to miss is small beside
+what it has found: with k texts in its group and a pair at the threshold
+found with probability p at this depth, k + 1 of k + 1 / p, at least
+``RECALL``.  So members of large groups stop at long prefixes, and texts that
+are alone, whose only link may be the one that is missed, go on to the depth
+at which that pair is found with probability ``RECALL``.  At each level only
+prefixes count that hold texts of different groups, one of them not stopped,
+and only such pairs are compared: what longer prefixes have connected takes
+no part in the larger sets of shorter ones.
+
+Texts that meet are linked provisionally if their signatures agree well
+enough; each connected group is then compared exactly, in tasks of bounded
+size, by whole sets of shingles (of 64-bit hashes of shingles, to be exact:
+two different ones are taken for one with a probability of 2 ** -64).
 
 Groups, not pairs, are what is kept: each task returns its members' numbers of
 links and one edge a member.  Equal texts are one member with a weight.
@@ -17,7 +28,8 @@ Defined results: a text of one to four words is one shingle; a text without
 words (null, empty, white space) links with nothing; repeated rows are
 documents of their own; of a group's rows, the one of least ``doc_id`` (nulls
 last) stays, one of them if that occurs twice; a null ``doc_id`` is passed
-over for ``class_id`` unless the whole group has none; an empty table gives no rows.
+over for ``class_id`` unless the whole group has none; an empty table gives no
+rows; other columns are ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -63,13 +75,24 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     return out, cut
 
 
+def found(threshold: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair at the threshold shares a prefix of that depth in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
+
+
 def depth_for(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, shortened level by level, at which some tree of the forest holds a pair at the threshold with probability ``recall``."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The depth at which a text that is alone stops: the longest at which a pair at the threshold is found with probability ``recall``."""
+    while depth > 1 and found(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def enough(threshold: float, depth: int, recall: float | None = None) -> float:
+    """The size of group from which on its members stop at ``depth``."""
+    recall = RECALL if recall is None else recall
+    return 1 + max(0.0, (recall / found(threshold, depth) - 1) / (1 - recall))
+
+
 def paths(texts: pa.Array, trees: int = TREES, depth: int = DEPTH) -> pa.Array:
     """Each text's path in each tree; null for a text without words."""
     hashed, cut = shingles(texts)
@@ -96,7 +119,8 @@ def _loose(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf, part = numbered(pdf.sort_values("class"), ["tree", "prefix"])
     minima = np.stack(pdf["paths"].to_list()).view(np.uint16)
     least, name = int(np.ceil(AGREE * minima.shape[1])), pdf["class"].to_numpy()
-    a, b = links_within(part, lambda i, j: (minima[i] == minima[j]).sum(-1) >= least)
+    group = pd.factorize(pdf["root"])[0]
+    a, b = links_within(part, lambda i, j: (minima[i] == minima[j]).sum(-1) >= least, group, pdf["open"].to_numpy())
     return pd.DataFrame({"a": name[a], "b": name[b]}).drop_duplicates()
 
 
@@ -136,6 +160,41 @@ def _exact(threshold: float):
     return lambda pdf: pd.concat([compare(p) for p in parts(pdf.sort_values("class"), ["root"])])
 
 
+def forest(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``node, root, n, stop`` of each text of ``classes(class, paths)`` that is linked provisionally: its group, the group's size, and the depth at which it stopped."""
+    last = min(DEPTH, depth_for(threshold, recall=RECALL))
+    prefix = lambda depth: F.shiftrightunsigned("path", 16 * (DEPTH - depth))
+    spots = classes.select("class", F.posexplode("paths").alias("tree", "path"))
+    # texts that are alone at the last depth are alone at all others
+    company = spots.groupBy("tree", prefix(last).alias("prefix")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    tries = materialize(spots.withColumn("prefix", prefix(last)).join(company, ["tree", "prefix"]).drop("prefix"), "tries")
+    state = None
+    for depth in range(DEPTH, last - 1, -1):
+        here = tries.withColumn("prefix", prefix(depth)).drop("path")
+        if state is None:
+            here = here.withColumn("root", F.col("class")).withColumn("open", F.lit(True))
+        else:
+            known = state.select("node", "root", F.col("stop").isNull().alias("open"))
+            here = lookup_join(here, known, F.col("class") == F.col("node"), "left").drop("node")
+            here = here.withColumn("root", F.coalesce("root", "class")).withColumn("open", F.coalesce("open", F.lit(True)))
+        sets = here.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("some"))
+        shared = materialize(sets.where("low <> high AND some").select("tree", "prefix", "n"), "shared")
+        size = shared.agg(F.sum("n")).first()[0] or 0
+        if state is not None and not size:
+            continue
+        met = here.join(shared, ["tree", "prefix"]).join(classes.select("class", "paths"), "class")
+        edges = deal(met, ["tree", "prefix"], F.col("class"), F.col("n"), LOOSE_ROWS, max(1, size // BATCH_ROWS)).groupBy("_task").applyInPandas(_loose, "a binary, b binary")
+        groups = components(edges if state is None else edges.union(state.select("node", "root")))
+        groups = materialize(groups, "groups")
+        sizes = materialize(groups.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n")), "sizes")
+        sized = lookup_join(groups, sizes, F.col("root") == F.col("_root")).drop("_root")
+        if state is not None:
+            sized = lookup_join(sized, state.select(F.col("node").alias("_node"), F.col("stop").alias("before")), F.col("node") == F.col("_node"), "left")
+        before = F.col("before") if state is not None else F.lit(None).cast("int")
+        state = materialize(sized.select("node", "root", "n", F.coalesce(before, F.when(F.col("n") >= enough(threshold, depth), depth)).alias("stop")), "state")
+    return state.withColumn("stop", F.coalesce("stop", F.lit(last)))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (``doc_id`` unless named) of each row of ``docs`` with ``n_links`` (other documents at the threshold or above), ``class_id`` (the least ``doc_id`` reachable by links) and ``kept``."""
     carry = ["doc_id"] if carry is None else carry
@@ -146,17 +205,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
     classes = rows.where("paths IS NOT NULL").groupBy("class").agg(first.alias("rep"), F.count("*").alias("n_docs"), F.first("paths").alias("paths"))
     classes = materialize(classes, "classes")
 
-    shift = 16 * (DEPTH - depth_for(threshold))
-    spots = classes.select("class", F.posexplode("paths").alias("tree", "path")).withColumn("prefix", F.shiftrightunsigned("path", shift)).drop("path")
-    shared = materialize(spots.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    batches = max(1, (shared.agg(F.sum("n")).first()[0] or 0) // BATCH_ROWS)
-    met = spots.join(shared, ["tree", "prefix"]).join(classes.select("class", "paths"), "class")
-    loose = deal(met, ["tree", "prefix"], F.col("class"), F.col("n"), LOOSE_ROWS, batches).groupBy("_task").applyInPandas(_loose, "a binary, b binary")
-    groups = components(loose)
-
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "_root")
-    members = groups.join(sizes, F.col("root") == F.col("_root")).drop("_root")
-    members = materialize(members.join(classes.select(F.col("class").alias("node"), "n_docs"), "node").withColumnRenamed("node", "_member"), "members")
+    groups = forest(classes.select("class", "paths"), threshold)
+    members = lookup_join(classes.select("class", "n_docs"), groups, F.col("class") == F.col("node")).drop("class", "stop")
+    members = materialize(members.withColumnRenamed("node", "_member"), "members")
     texts = rows.select("class", F.col("_row.text").alias("_text")) if "text" in carry else keyed.select("class", "_text")
     texts = lookup_join(texts, members, F.col("class") == F.col("_member")).drop("_member").dropDuplicates(["class"])
 
@@ -172,9 +223,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
     joined = components(exact.select(F.col("class").alias("a"), F.col("root").alias("b")))
 
     of_class = classes.select("class", "rep", "n_docs").join(linked, "class", "left").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    of_class = of_class.withColumn("root", F.coalesce("root", "class"))
-    best = of_class.groupBy("root").agg(F.min("rep").alias("best"))
-    verdict = of_class.join(best, "root").select(F.col("class").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), "best")
+    # only texts that have a link or a copy are judged
+    of_class = materialize(of_class.withColumn("root", F.coalesce("root", "class")).where("links > 0 OR n_docs > 1"), "linked")
+    best = materialize(of_class.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("best")), "best")
+    verdict = lookup_join(of_class, best, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), "best")
     verdict = materialize(verdict.where("n_links > 0"), "verdicts")
     judged = lookup_join(rows, verdict, F.col("class") == F.col("_class"), "left")
     alone = F.col("best").isNull()

@@ -80,17 +80,19 @@ def parts(pdf: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[a:b]
 
 
-def links_within(part: np.ndarray, similar: Callable[[np.ndarray, np.ndarray], np.ndarray], few: int = 8, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+def links_within(part: np.ndarray, similar: Callable[[np.ndarray, np.ndarray], np.ndarray], group: np.ndarray, open_: np.ndarray, few: int = 8, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
     """Places ``a, b`` of members of one part that are linked, enough of them to connect what is linked in it.
 
-    ``similar(i, j)`` tells whether members i and j link.  In parts of up to
-    ``few`` members all pairs are compared, those of many parts at a time.
+    ``similar(i, j)`` tells whether members i and j link.  Members of one
+    ``group`` are connected already; of two others one must be ``open_``.  In
+    parts of up to ``few`` members all such pairs are compared, those of many
+    parts at a time.
     """
     size = np.bincount(part)
     small = size[part] <= few
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, few):
-        at = np.flatnonzero((part[d:] == part[:-d]) & small[d:])
+        at = np.flatnonzero((part[d:] == part[:-d]) & small[d:] & (group[d:] != group[:-d]) & (open_[d:] | open_[:-d]))
         for k in range(0, len(at), step):
             i = at[k : k + step]
             i = i[similar(i, i + d)]
@@ -99,22 +101,26 @@ def links_within(part: np.ndarray, similar: Callable[[np.ndarray, np.ndarray], n
     ends = np.cumsum(size)
     for g in np.flatnonzero(size > few):
         first = ends[g] - size[g]
-        label = connect(int(size[g]), lambda i, others, first=first: similar(first + i, first + others))
+        here = slice(first, ends[g])
+        _, least, label = np.unique(group[here], return_index=True, return_inverse=True)
+        label = connect(int(size[g]), lambda i, others, first=first: similar(first + i, first + others), least[label], open_[here])
         moved = np.flatnonzero(label != np.arange(size[g]))
         a.append(first + moved)
         b.append(first + label[moved])
     return np.concatenate(a), np.concatenate(b)
 
 
-def connect(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+def connect(n: int, similar: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None, open_: np.ndarray | None = None) -> np.ndarray:
     """For each of ``n`` members the least member that it reaches; ``similar(i, others)`` marks the others that i links with.
 
-    Members that are connected already aren't compared, so a group of copies
-    takes about as many comparisons as it has members.
+    Members that are connected already, as those of one ``label`` are, aren't
+    compared, so a group of copies takes about as many comparisons as it has
+    members.
     """
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
+    open_ = np.ones(n, bool) if open_ is None else open_
     for i in range(n):
-        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        others = np.flatnonzero((label[i + 1 :] != label[i]) & (open_[i + 1 :] | open_[i])) + i + 1
         if not len(others):
             continue
         if len(near := others[similar(i, others)]):

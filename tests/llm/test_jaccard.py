@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import jaccard, linkage
@@ -77,11 +78,45 @@ def test_carried_columns_come_back(spark):
     assert sorted(map(str, got)) == sorted(map(str, [r for r in docs.collect() if r.doc_id != 2]))
 
 
-def test_prefixes_are_shortened_until_the_recall_is_met():
+def test_depths_follow_from_the_recall():
     assert jaccard.depth_for(0.8, 24, 4, 0.5) == 4
     d = jaccard.depth_for(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL and 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < jaccard.RECALL
+    assert jaccard.found(0.8, d) >= jaccard.RECALL > jaccard.found(0.8, d + 1)
     assert jaccard.depth_for(0.01, 1, 4, 0.9) == 1
+    assert jaccard.enough(0.8, d) == 1 and 20 < jaccard.enough(0.8, d + 1) < 40
+    k = jaccard.enough(0.8, 4) - 1
+    assert (k + 1) / (k + 1 / jaccard.found(0.8, 4)) == pytest.approx(jaccard.RECALL, abs=1e-12)
+
+
+def test_texts_stop_at_different_depths(spark):
+    """Members of a large group stop at whole paths, those of small ones and texts that are alone at shorter prefixes."""
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(999)) for _ in range(n)]
+    large, small = words(200), words(200)
+    texts = [" ".join([*large[:-1], f"end{i}"]) for i in range(60)] + [" ".join([*small[:-1], f"end{i}"]) for i in range(3)]
+    texts += [" ".join(words(50)) for _ in range(40)]
+    signed = jaccard.paths(pa.array(texts)).to_pylist()
+    classes = spark.createDataFrame([(str(i).encode(), p) for i, p in enumerate(signed)], "class binary, paths array<long>")
+    got = {int(r.node): r for r in jaccard.forest(classes).collect()}
+    assert {got[i].stop for i in range(60)} == {4} and {got[i].n for i in range(60)} == {60}
+    assert {got[i].stop for i in range(60, 63)} == {3} and {got[i].n for i in range(60, 63)} == {3}
+    assert set(got) == set(range(63))
+
+
+def test_links_that_only_shorter_prefixes_show(spark):
+    """Pairs that share no whole path but a prefix are found once it is shortened, also where one of them has stopped."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, (jaccard.TREES, jaccard.DEPTH), dtype=np.uint16)
+    other = base.copy()
+    other[:, 0] += 1  # the last minimum of each path
+    copies = [base.copy() for _ in range(50)]
+    for i, c in enumerate(copies):
+        c[i % 4, 1] = i
+    path = lambda x: np.ascontiguousarray(x).view(np.int64).ravel().tolist()
+    rows = [(f"c{i:02}".encode(), path(c)) for i, c in enumerate(copies)] + [(b"z", path(other))]
+    got = {bytes(r.node): r for r in jaccard.forest(spark.createDataFrame(rows, "class binary, paths array<long>")).collect()}
+    assert len(got) == 51 and {r.n for r in got.values()} == {51}
+    assert {r.stop for k, r in got.items() if k != b"z"} == {4} and got[b"z"].stop == 3
 
 
 def test_components(spark):
