@@ -9,11 +9,13 @@ padding that the division costs is a few windows a shard.
 
 Defined results: a null or empty text is one token, the end id; a document
 row that occurs twice is packed twice; a null ``doc_id`` stays null; an empty
-table gives no pieces; other columns are ignored.
+table gives no pieces; other columns are ignored.  Each row of the input has a
+number of its own, ``doc_row``, so that copies of a document can be told apart.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gleaner.llm.common import crc32, slices, small_batches
 from gleaner.scratch import materialize
@@ -36,7 +39,34 @@ SHARD_PIECES = 50_000
 #: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
 MEMORY, BYTES = 1_000_000, 6 << 20
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+# fixed values: how a tokenizer must cut texts for ``WordIds`` to apply to it
+LOWERED = ["NFC", "Replace", "Lowercase"]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_row long"
+
+
+def cuts_at_space(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer lowers letters and then cuts texts by the pattern ``CUT``, in which nothing reaches across white space."""
+    form = json.loads(tokenizer.to_str())
+    steps = (form["normalizer"] or {}).get("normalizers", [])
+    parts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+    lowers = [s["type"] for s in steps] == LOWERED and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+    cuts = [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": CUT} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    return lowers and cuts and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"] and not any(a["normalized"] or a["lstrip"] or a["rstrip"] or " " in a["content"] for a in form["added_tokens"])
+
+
+class WholeIds:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end_id``, and where each text's ids begin."""
+        found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        cut = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(cut[-1])), cut
 
 
 class WordIds:
@@ -47,10 +77,8 @@ class WordIds:
     remembered, in flat arrays that stay small beside the texts.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+    def __init__(self, tokenizer: Tokenizer, memory: int = MEMORY):
+        self.tokenizer, self.memory = tokenizer, memory
         self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
         self.marks = [self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"]
 
@@ -129,19 +157,20 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _ids(path: str) -> WordIds | WholeIds:
+    tokenizer = Tokenizer.from_file(path)
+    return WordIds(tokenizer) if cuts_at_space(tokenizer) else WholeIds(tokenizer)
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most ``window`` ids: ``doc_id, start, length, ids_crc32, doc_tokens``, and ``ids`` if asked for."""
+    """One row per piece of at most ``window`` ids: ``doc_id, start, length, ids_crc32, doc_tokens, doc_row``, and ``ids`` if asked for."""
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_row", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BYTES):
-                ids, cut = _word_ids(tokenizer_path).encode(part.column("text"), end_id)
+                ids, cut = _ids(tokenizer_path).encode(part.column("text"), end_id)
                 total = np.diff(cut)
                 n = -(-total // window)
                 row = np.repeat(np.arange(len(total)), n)
@@ -150,13 +179,13 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
                 begin = cut[row] + start
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
-                out = [part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row])]
+                out = [part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row]), part.column("doc_row").take(pa.array(row))]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.r_[begin, len(ids)].astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("doc_row")).mapInArrow(run, schema)
 
 
 class OpenWindows:
@@ -224,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     keyed = pieces.withColumn("_shard", F.pmod(F.xxhash64("_uid"), F.lit(shards)).cast("int"))
     if with_ids:  # only lengths are placed; the ids stay where they are until the join
         placed = keyed.select("_uid", "_shard", "length").groupBy("_shard").applyInPandas(place, "_uid long, sequence_id long, offset long")
-        return pieces.join(placed, "_uid").drop("_uid")
+        return pieces.join(placed, "_uid").drop("_uid").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_row", "ids")
 
     def place_all(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.merge(place(pdf), on="_uid").drop(columns=["_uid", "_shard"]).astype({"doc_id": "Int64"})
@@ -234,9 +263,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
 def sequences(packed: DataFrame) -> DataFrame:
     """Training rows of ``pack(..., with_ids=True)``: the tokens of each sequence in order and the length of each of its pieces."""
-    piece = F.struct("offset", "doc_id", "ids")
+    piece = F.struct("offset", "doc_id", "doc_row", "start", "ids")
     return (
         packed.groupBy("sequence_id")
         .agg(F.array_sort(F.collect_list(piece)).alias("p"))
-        .select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.transform("p.ids", F.size).alias("lengths"))
+        .select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.doc_row").alias("doc_rows"), F.col("p.start").alias("starts"), F.transform("p.ids", F.size).alias("lengths"))
     )

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +34,25 @@ def test_pieces_are_the_documents_ids(packed):
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
 
 
+def test_rows_of_a_document_are_told_apart(packed):
+    twins = {r.doc_row for r in packed if r.doc_id is not None and TEXTS[r.doc_id] == "repeat me"}
+    assert len(twins) == 2
+    for r in packed:
+        assert len({x.doc_id for x in packed if x.doc_row == r.doc_row}) == 1
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    assert packing.cuts_at_space(Tokenizer.from_file(WORD_TOKENIZER))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert not packing.cuts_at_space(tokenizer)
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    got = {}
+    for r in packing.pack(docs, path, with_ids=True).orderBy("start").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(TEXTS)}
+
+
 def test_sequences_have_no_gaps(packed):
     by = {}
     for r in packed:
@@ -81,7 +101,7 @@ def test_best_fit_matches_a_plain_search():
 def test_forgetting_does_not_change_ids():
     import pyarrow as pa
 
-    small = packing.WordIds(WORD_TOKENIZER, memory=4)
+    small = packing.WordIds(Tokenizer.from_file(WORD_TOKENIZER), memory=4)
     for text in ["a b c d e f", "a b g h", "c d e f g h i j", "a j"]:
         got, _ = small.encode(pa.array([text]), 2)
         assert got.tolist() == ids(text)
