@@ -44,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in windows of 4,096 ids."""
+    """Pieces in windows of 4,096 ids, with their ids; ``doc_row`` tells copies of a document apart, ``packing.sequences`` joins the pieces of a window."""
     ship(spark)
-    return packing.pack(docs, WORD_TOKENIZER)
+    return packing.pack(docs, WORD_TOKENIZER, with_ids=True)
 
 
 STAGES = [
