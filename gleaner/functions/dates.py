@@ -21,20 +21,28 @@ def rfc_date(text: Column) -> Column:
 
 
 def loose_date(text: Column | str) -> Column:
-    """The first reading that applies: yyyy-m-d of this century anywhere (null if it is no date), a mail date, an ISO date, a Chinese date, a year's first day."""
+    """The first reading that applies: yyyy-m-d or yyyy/m/d of this century between other characters than digits (null if it is no date), a mail date, an ISO date, a Chinese date, a year's first day."""
     t = F.coalesce(_col(text), F.lit(""))
-    dashed = F.regexp_extract(t, r"(20\d{2}-\d{1,2}-\d{1,2})", 1)
+    numbers = F.regexp_extract(t, r"(?<!\d)(20\d{2}[-/]\d{1,2}[-/]\d{1,2})(?!\d)", 1)
     chinese = F.regexp_replace(F.regexp_extract(t, r"(\d{4}年\d{1,2}月\d{1,2}日)", 1), "[年月]", "-")
-    year = F.regexp_extract(t, r"(?<!\d)(20\d{2})(?!\d)", 1)
-    return F.when(dashed != "", F.try_to_date(dashed, "yyyy-M-d")).otherwise(
+    year = F.regexp_extract(t, r"\b(20\d{2})\b", 1)
+    return F.when(numbers != "", _numbers_date(numbers)).otherwise(
         F.coalesce(rfc_date(t), iso_date(t), F.try_to_date(F.regexp_replace(chinese, "日", ""), "yyyy-M-d"), F.try_to_date(F.when(year != "", F.concat(year, F.lit("-01-01"))), "yyyy-MM-dd"))
     )
 
 
-def path_date(url: Column | str) -> Column:
-    """The date in a path's /yyyy/mm/dd or -."""
-    found = F.regexp_extract(F.coalesce(_col(url), F.lit("")), r"/(20\d{2}[/-]\d{1,2}[/-]\d{1,2})(?:[/.\-]|$)", 1)
-    return F.try_to_date(F.replace(found, F.lit("/"), F.lit("-")), "yyyy-M-d")
+def _numbers_date(numbers: Column) -> Column:
+    return F.try_to_date(F.replace(numbers, F.lit("/"), F.lit("-")), "yyyy-M-d")
+
+
+def path_date(*urls: Column | str) -> Column:
+    """The first real date yyyy/mm/dd, else yyyy-mm-dd, between other characters than digits in the unquoted path of the first url that has one."""
+    found = []
+    for url in urls:
+        raw = F.regexp_extract(F.coalesce(_col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+        path = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+        found += [_numbers_date(F.regexp_extract(path, rf"(?<!\d)(20\d{{2}}{mark}\d{{1,2}}{mark}\d{{1,2}})(?!\d)", 1)) for mark in "/-"]
+    return F.coalesce(*found)
 
 
 def publication_date(text: Column | str) -> Column:

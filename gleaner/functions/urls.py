@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import _col, term_regex
 
+# fixed values: parameters that tell of campaigns only
 TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "spm")
 
 
@@ -74,15 +75,31 @@ def dedupe_url(url: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(_col(url), F.lit(""))), r"[;?#].*$", ""), "/+$", "")
 
 
+def _decoded(part: Column) -> Column:
+    """Without percent escapes, + as a space; as it is where an escape is broken."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Percent escapes for all but letters, digits and ``_.-~``, + for spaces."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def hostname(url: Column | str) -> Column:
+    """The host in lower case without user, port and ``www.``."""
+    authority = F.regexp_extract(F.coalesce(_col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    return F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@|:\d*$", "")), r"^www\.", "")
+
+
 def canonical_key(*urls: Column, tracking: Iterable[str] = TRACKING) -> Column:
-    """The article's key from the first url with a web scheme: https, host without www, path unquoted with single slashes, query sorted without tracking; null without one."""
-    url = F.coalesce(*[F.when(u.rlike(r"^(?i)https?://"), F.trim(u)) for u in urls])
-    raw = path(url)
-    unquoted = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    place = F.regexp_replace(F.regexp_replace(unquoted, "/{2,}", "/"), "/$", "")
+    """The article's key from the first url with a web scheme: https, the host's name, the unquoted path with single slashes, / at least, and the query's non-empty values, sorted and encoded anew, without tracking; null without such a url."""
+    url = F.coalesce(*[F.when(F.trim(u).rlike("^https?://"), F.trim(u)) for u in urls])
+    place = F.regexp_replace(F.regexp_replace(_decoded(F.replace(path(url), F.lit("+"), F.lit("%2B"))), "/{2,}", "/"), "/$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    fields = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(r"^(?:utm_[^=]*|" + "|".join(tracking) + ")(?:=|$)")))
-    return F.when(url.isNotNull(), F.concat(F.lit("https://"), domain(url), place, F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise("")))
+    values = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("=.")), lambda p: F.struct(_decoded(F.regexp_extract(p, "(?s)^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    held = F.array_sort(F.filter(values, lambda s: ~F.lower(s["k"]).startswith("utm_") & ~F.lower(s["k"]).isin(*tracking)))
+    fields = F.array_join(F.transform(held, lambda s: F.concat(_encoded(s["k"]), F.lit("="), _encoded(s["v"]))), "&")
+    return F.when(url.isNotNull(), F.concat(F.lit("https://"), hostname(url), F.when(place == "", "/").otherwise(place), F.when(fields != "", F.concat(F.lit("?"), fields)).otherwise("")))
 
 
 def ladder(rules: Iterable[tuple[Column, str]], otherwise: str | None = None) -> Column:

@@ -97,22 +97,46 @@ def u5_url_reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u7_canonical_url_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", urls.canonical_key(F.col("url")).alias("key"), urls.dedupe_url("url").alias("plain"))
+    """Keys of pages whose urls are written with ports, blank and tracking values, escapes, or as a bare host."""
+    kind, url = F.col("page_id") % 6, F.col("url")
+    host = F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+    written = (
+        F.when(kind == 0, F.regexp_replace(url, "^(https?://[^/?#]+)", "$1:8443")).when(kind == 1, F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("z=&b=x+y&UTM_Source=q&a=%7Ek*&c")))
+        .when(kind == 2, host).when(kind == 3, F.concat(host, F.lit("//caf%C3%A9//x/?ref=1"))).otherwise(url)
+    )
+    p = table(spark, sf_dir, "pages").select("page_id", urls.canonical_key(written).alias("key"), urls.dedupe_url(written).alias("plain"))
     return p.groupBy("key").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.count_distinct("plain").alias("n_plain"))
 
 
 def u11_date_parse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of orders written in several ways and read back."""
+    """Dates of orders written in several ways, in texts and in paths, and read back."""
     d = F.add_months(F.col("o_orderdate").cast("date"), 240)
-    kind = F.col("o_orderkey") % 7
+    kind, place = F.col("o_orderkey") % 9, F.col("o_orderkey") % 5
     written = (
         F.when(kind == 0, F.date_format(d, "yyyy-MM-dd")).when(kind == 1, F.date_format(d, "EEE, dd MMM yyyy 08:00:00 'GMT'")).when(kind == 2, F.date_format(d, "yyyy年M月d日"))
-        .when(kind == 3, F.concat(F.lit("in "), F.year(d).cast("string"))).when(kind == 4, F.concat(F.lit("seen 2015-13-"), F.dayofmonth(d))).when(kind == 5, F.concat(F.lit("on "), F.date_format(d, "yyyy-M-d"), F.lit(" at noon"))).otherwise("unknown")
+        .when(kind == 3, F.concat(F.lit("in "), F.year(d).cast("string"))).when(kind == 4, F.concat(F.lit("seen 2015-13-"), F.dayofmonth(d))).when(kind == 5, F.concat(F.lit("on "), F.date_format(d, "yyyy-M-d"), F.lit(" at noon")))
+        .when(kind == 6, F.concat(F.lit("by "), F.date_format(d, "yyyy/M/d"), F.lit("."))).when(kind == 7, F.concat(F.lit("no. 1"), F.date_format(d, "yyyy/MM/dd"))).otherwise("unknown")
+    )
+    url = F.concat(
+        F.lit("https://x.example/"),
+        F.when(place == 0, F.concat(F.date_format(d, "yyyy/MM/dd"), F.lit("/a.html"))).when(place == 1, F.concat(F.lit("news/title-"), F.date_format(d, "yyyy-MM-dd"), F.lit(".html")))
+        .when(place == 2, F.concat(F.date_format(d, "yyyy'%2F'M'%2F'd"), F.lit("?x=2001/01/01"))).when(place == 3, F.concat(F.lit("2015/13/40/"), F.date_format(d, "yyyy-M-d"))).otherwise(F.concat(F.lit("id"), F.date_format(d, "yyyyMMdd"))),
     )
-    url = F.concat(F.lit("https://x.example/"), F.date_format(d, "yyyy/MM/dd"), F.lit("/a.html"))
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.loose_date(written).alias("read"), dates.path_date(url).alias("from_path"), dates.publication_date(written).alias("published"))
 
 
+def f17_injury_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of hurt people in composed reports."""
+    n = F.col("event_id") % 200
+    number, kind = n.cast("string"), F.col("event_id") % 8
+    report = (
+        F.when(kind == 0, F.concat(F.lit("Tunnel smoke injures "), number)).when(kind == 1, F.concat(number, F.lit(" passengers were hurt"))).when(kind == 2, F.concat(F.lit("About "), number, F.lit(" Hospitalised, 3 dead")))
+        .when(kind == 3, F.concat(F.lit("列車事故"), number, F.lit(" 人受傷"))).when(kind == 4, F.concat(F.lit("More than a dozen hurt on line "), number)).when(kind == 5, F.lit("Over a dozen people in a lift"))
+        .when(kind == 6, F.concat(number, F.lit("0000 injured in ten years"))).otherwise("nobody")
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.injuries(report).alias("n_hurt"))
+
+
 def u18_ingest_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"source": F.col("source"), "doc_id": F.col("doc_id"), "lang": F.col("lang"), "note": F.lit(None).cast("string")}
     return table(spark, sf_dir, "documents").select("doc_id", hashing.ingest_id(fields).alias("ingest_id"))
@@ -125,7 +149,7 @@ def u20_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("kind").agg(F.count("*").alias("n_pages"))
 
 
-QUERIES = {f.__name__: f for f in (f1_term_match_counts, f2_negation_aware_match, f7_normalized_title_groups, f9_clean_shorten, f12_canonical_tags, f14_similar_title_pairs, f16_token_conflicts, f20_loose_json, f21_identifiers, u1_domain_rollup, u2_host_suffix_class, u5_url_reject_reason, u7_canonical_url_dups, u11_date_parse_chain, u18_ingest_id, u20_page_kinds)}
+QUERIES = {f.__name__: f for f in (f1_term_match_counts, f2_negation_aware_match, f7_normalized_title_groups, f9_clean_shorten, f12_canonical_tags, f14_similar_title_pairs, f16_token_conflicts, f17_injury_counts, f20_loose_json, f21_identifiers, u1_domain_rollup, u2_host_suffix_class, u5_url_reject_reason, u7_canonical_url_dups, u11_date_parse_chain, u18_ingest_id, u20_page_kinds)}
 
 
 def _re2(terms: list[str]) -> str:
@@ -174,14 +198,19 @@ SELECT CASE WHEN url = '' THEN 'empty' WHEN url LIKE '/%' THEN 'relative' WHEN u
   WHEN host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org' THEN 'blocked_host' ELSE 'valid' END AS reason, count(*) AS n_pages
 FROM p GROUP BY 1""",
     "u7_canonical_url_dups": f"""
-WITH p AS (SELECT page_id, {_DOMAIN} AS host, regexp_replace(regexp_replace({_PATH}, '/{{2,}}', '/', 'g'), '/$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(lower(q), '^(utm_[^=]*|{"|".join(urls.TRACKING)})(=|$)'))) AS q,
-  regexp_replace(regexp_replace(url, '[;?#].*$', ''), '/+$', '') AS plain FROM pages)
-SELECT 'https://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key, count(*) AS n_pages, min(page_id) AS first_page, count(DISTINCT plain) AS n_plain
+WITH h AS (SELECT page_id, page_id % 6 AS kind, url AS raw, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS h FROM pages),
+w AS (SELECT page_id, CASE kind WHEN 0 THEN h || ':8443' || substr(raw, length(h) + 1) WHEN 1 THEN raw || CASE WHEN contains(raw, '?') THEN '&' ELSE '?' END || 'z=&b=x+y&UTM_Source=q&a=%7Ek*&c' WHEN 2 THEN h WHEN 3 THEN h || '//caf%C3%A9//x/?ref=1' ELSE raw END AS url FROM h),
+p AS (SELECT page_id, regexp_replace({_DOMAIN}, ':[0-9]*$', '') AS host, regexp_replace(regexp_replace(url_decode({_PATH}), '/{{2,}}', '/', 'g'), '/$', '') AS path,
+  list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: regexp_matches(q, '=.')),
+    lambda q: [url_decode(replace(regexp_extract(q, '^([^=]*)=', 1), '+', ' ')), url_decode(replace(regexp_extract(q, '^[^=]*=(.*)$', 1), '+', ' '))]), lambda s: NOT starts_with(lower(s[1]), 'utm_') AND lower(s[1]) NOT IN {urls.TRACKING})) AS q,
+  regexp_replace(regexp_replace(url, '[;?#].*$', ''), '/+$', '') AS plain FROM w)
+SELECT 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda s: replace(url_encode(s[1]) || '=' || url_encode(s[2]), '%20', '+')), '&') ELSE '' END AS key, count(*) AS n_pages, min(page_id) AS first_page, count(DISTINCT plain) AS n_plain
 FROM p GROUP BY 1""",
     "u11_date_parse_chain": """
-WITH d AS (SELECT o_orderkey, o_orderkey % 7 AS kind, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS d FROM orders)
-SELECT o_orderkey, CASE WHEN kind IN (0, 1, 2, 5) THEN d WHEN kind = 3 THEN make_date(year(d), 1, 1) END AS read, d AS from_path, CASE WHEN kind IN (0, 1) THEN d END AS published FROM d""",
+WITH d AS (SELECT o_orderkey, o_orderkey % 9 AS kind, o_orderkey % 5 AS place, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS d FROM orders)
+SELECT o_orderkey, CASE WHEN kind IN (0, 1, 2, 5, 6) THEN d WHEN kind = 3 THEN make_date(year(d), 1, 1) END AS read, CASE WHEN place < 4 THEN d END AS from_path, CASE WHEN kind IN (0, 1) THEN d END AS published FROM d""",
+    "f17_injury_counts": """
+SELECT event_id, CASE event_id % 8 WHEN 4 THEN CASE WHEN contains((event_id % 200)::VARCHAR, '14') THEN 14 ELSE 12 END WHEN 5 THEN 12 WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE event_id % 200 END::INTEGER AS n_hurt FROM events""",
     "u18_ingest_id": """
 SELECT doc_id, 'raw_' || substr(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","note":null,"source":"' || source || '"}'), 1, 24) AS ingest_id FROM documents""",
     "u20_page_kinds": f"""

@@ -57,8 +57,8 @@ def test_normalisation(spark):
 
 
 def test_extraction(spark):
-    rows = [("12 people were injured",), ("a dozen hurt",), ("14 wounded, dozen hurt",), ("none",)]
-    assert values(spark, rows, text.injuries("t")) == [12, 12, 14, None]
+    rows = [("12 people were injured",), ("a dozen hurt",), ("over a dozen hurt, 14 in all",), ("More than a dozen ill",), ("Subway fire injures 14",), ("7 hospitalised, 2 hurt",), ("1234 injured",), ("none",), (None,)]
+    assert values(spark, rows, text.injuries("t")) == [12, None, 14, 12, 14, 7, None, None, None]
     assert values(spark, [('x ```json\n{"a": 1}\n``` {',), ('so {"a": {"b": 2}} ok',), ("{broken",), (None,)], text.loose_json("t")) == ['{"a": 1}', '{"a": {"b": 2}}', None, None]
     assert values(spark, [("see doi:10.1000/X-1.",), ("10.12/x",)], text.doi("t")) == ["10.1000/x-1", None]
     assert values(spark, [("EN 50126-1 and",), ("ISO9001",), ("SEN 1",)], text.standard_id("t", ["EN", "ISO"])) == ["EN 50126-1", "ISO9001", None]
@@ -74,9 +74,9 @@ def test_similarity_is_the_library_ratio(spark):
 
 
 def test_urls(spark):
-    rows = [("HTTPS://WWW.Ex.com:8080/a//b/?b=2&utm_x=1&a=1#f",), ("http://ex.com",), (None,), ("/x",)]
+    rows = [("https://WWW.Ex.com:8080/a//b/?b=2&utm_x=1&a=1#f",), ("http://ex.com",), (None,), ("/x",)]
     assert values(spark, rows, urls.domain("t")) == ["ex.com:8080", "ex.com", "", ""]
-    assert values(spark, rows, urls.canonical_key(F.col("t"))) == ["https://ex.com:8080/a/b?a=1&b=2", "https://ex.com", None, None]
+    assert values(spark, rows, urls.canonical_key(F.col("t"))) == ["https://ex.com/a/b?a=1&b=2", "https://ex.com/", None, None]
     assert values(spark, [("http://a.b/c;p?q#f/",), ("http://a.b/c//",)], urls.dedupe_url("t")) == ["http://a.b/c", "http://a.b/c"]
     assert values(spark, [("a.b.c",)], urls.host_suffixes(F.col("t"))) == [["a.b.c", "b.c", "c"]]
     assert values(spark, [("x.a.com",), ("xa.com",), ("a.com",)], urls.host_matches(F.col("t"), "a.com")) == [True, False, True]
