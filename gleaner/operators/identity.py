@@ -1,10 +1,24 @@
-"""Event identities: blocking keys, blocked pairs and their comparison."""
+"""Event identities: their components and ids, blocking keys, blocked pairs and their comparison."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.hashing import event_id
+from gleaner.functions.text import conflicting, fold, injuries, term_regex
+from gleaner.scratch import materialize
+
+Named = list[tuple[str, list[str]]]
+#: Components of an identity, in the order of their hash's fields but for the version.
+SINGLE = ("event_class", "country", "city", "operator", "project", "package", "contract", "action", "event_object", "incident_type", "vendor")
+SCOPE = ("city", "operator", "project")
+#: Days that reports of one event may be apart: awards are told of for weeks.
+WINDOW, AWARD_WINDOW = 3, 21
+
 
 def blocking_keys(groups: dict[str, list[Column]]) -> Column:
     """One key for each named group whose parts are all known, such as ``type|city``."""
@@ -44,3 +58,172 @@ def same_event(matched: Column, conflicting: Column, days: Column, window: Colum
     window = F.lit(window) if isinstance(window, int) else window
     anchored = F.arrays_overlap(matched, F.array(*[F.lit(a) for a in anchors]))
     return (F.size(conflicting) == 0) & F.coalesce(F.abs(days) <= window, F.lit(True)) & (F.size(matched) >= least) & anchored
+
+
+@dataclass(frozen=True)
+class IdentityRules:
+    """What identities are told by: for each component the groups of terms, the first of which that a text has names it."""
+
+    named: dict[str, Named]
+    country_of: dict[str, str] = field(default_factory=dict)
+    contract: str = r"(?!)()"
+    stations: str = r"(?!)()"
+    purchase_actions: Named = field(default_factory=list)
+    purchase_terms: list[str] = field(default_factory=list)
+    other_actions: Named = field(default_factory=list)
+    incident_category: str = "incident"
+    purchase_category: str = "procurement"
+    version: str = "1"
+
+
+def first_named(folded: Column, groups: Named) -> Column:
+    """The name of the first group that a folded text has a term of; null without one."""
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(folded.rlike(term_regex(terms)), F.lit(name)) for name, terms in groups])
+
+
+def identity(text: Column, category: Column, date: Column, date_kind: Column, rules: IdentityRules, country: Column | None = None) -> Column:
+    """The struct of an event's sixteen components (null where unknown) and ``event_id``, the hash of them; no publisher or query takes part."""
+    t = fold(text)
+    part = {n: first_named(t, rules.named.get(n, [])) for n in ("city", "operator", "project", "package", "vendor", "incident_type", "event_object")}
+    own = [F.coalesce(country, F.lit(None).cast("string"))] if country is not None else []
+    of_city = F.create_map(*[F.lit(x) for kv in rules.country_of.items() for x in kv])[part["city"]] if rules.country_of else F.lit(None).cast("string")
+    contract = F.nullif(F.regexp_extract(t, rules.contract, 1), F.lit(""))
+    stations = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(rules.stations), F.lit(1))))
+    bought, hurt = t.rlike(term_regex(rules.purchase_terms)), part["incident_type"].isNotNull() | (F.coalesce(category, F.lit("")) == rules.incident_category)
+    action = (
+        F.when(bought | (F.coalesce(category, F.lit("")) == rules.purchase_category), F.coalesce(first_named(t, rules.purchase_actions), F.lit("procurement")))
+        .when(hurt, "incident").otherwise(F.coalesce(first_named(t, rules.other_actions), F.lit("event")))
+    )
+    of_purchase = action.isin(*[n for n, _ in rules.purchase_actions], "procurement") | bought
+    thing = F.coalesce(part["event_object"], part["package"], F.when((F.size(stations) > 0) & (action == "opening"), "station"))
+    values = {
+        "event_class": F.when(hurt, "incident").when(of_purchase, "procurement").otherwise("general"), "country": F.coalesce(*own, of_city), **part, "contract": contract, "action": action, "event_object": thing,
+        "stations": stations, "event_date": date.cast("date"), "event_date_kind": date_kind, "injury_count": injuries(text), "contract_version": F.lit(rules.version),
+    }
+    order = ["contract_version", *SINGLE, "stations", "event_date", "event_date_kind", "injury_count"]
+    # the id is hashed from the struct, so that every component is computed once
+    return F.struct(*[values[n].alias(n) for n in order])
+
+
+def with_identity(rows: DataFrame, built: Column, out: str = "identity") -> DataFrame:
+    """``rows`` with the struct of ``identity`` and the ``event_id`` of it beside."""
+    rows = rows.withColumn(out, built)
+    return rows.withColumn("event_id", event_id({n: F.col(f"{out}.{n}") for n in rows.schema[out].dataType.names}))
+
+
+def identity_keys(i: str = "identity") -> Column:
+    """The blocks that an identity can have an equal in: of a purchase its action and project; of an incident its type at its city, country or stations; of others each pair of known components, one of which tells of the scope."""
+    at = lambda n: F.col(f"{i}.{n}")
+    key = lambda *parts: F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    typed = (at("event_class") == "incident") & at("incident_type").isNotNull()
+    places = [F.when(typed & at(n).isNotNull(), key("incident", at("incident_type"), n, at(n))) for n in ("city", "country")]
+    stations = F.when(typed, F.transform(at("stations"), lambda x: key("incident", at("incident_type"), "station", x)))
+    bought = F.when((at("event_class") == "procurement") & at("action").isNotNull() & at("project").isNotNull(), key("procurement", at("action"), at("project")))
+    anchors, general = [*SCOPE, "event_object", "action"], F.coalesce((at("event_class") != "procurement") & ~typed, F.lit(False))
+    pairs = [F.when(general & at(a).isNotNull() & at(b).isNotNull(), key("general", at("event_class"), a, at(a), b, at(b))) for k, a in enumerate(anchors) for b in anchors[k + 1 :] if a in SCOPE or b in SCOPE]
+    return F.array_distinct(F.concat(F.array_compact(F.array(*places, bought, *pairs)), F.coalesce(stations, F.expr("cast(array() as array<string>)"))))
+
+
+def pair_keys(i: str = "identity") -> Column:
+    """Finer blocks than ``identity_keys``: what two identities must share beside a block for ``compare`` to call them one event.
+
+    An incident needs two points more at one place, a purchase its package,
+    its contract, or neither a package nor more than ``WINDOW`` days, others an
+    anchor of something specific.  So no block is as large as a city or a
+    project.
+    """
+    at = lambda n: F.col(f"{i}.{n}")
+    every = lambda when, *names: F.when(when & ~F.greatest(F.lit(False), *[at(n).isNull() for n in names]), F.concat_ws("|", *[x for n in names for x in (F.lit(n), at(n).cast("string"))]))
+    typed = F.coalesce((at("event_class") == "incident") & at("incident_type").isNotNull(), F.lit(False))
+    bought = F.coalesce(at("event_class") == "procurement", F.lit(False))
+    general = ~typed & ~bought
+    of_incident = [every(typed, "incident_type", *n) for n in (("city", "operator"), ("city", "event_object"), ("city", "injury_count"), ("country", "injury_count"), ("country", "operator", "event_object"), ("city", "operator", "event_object"))]
+    of_purchase = [every(bought, "event_class", "action", "project", n) for n in ("package", "contract")]
+    of_others = [every(general, "event_class", *n) for n in (*(("project", x) for x in ("city", "operator", "event_object", "action")), ("event_object", "city"), ("event_object", "operator"))]
+    stations = F.coalesce(at("stations"), F.expr("cast(array() as array<string>)"))
+    at_station = F.transform(F.when(typed, stations).otherwise(F.expr("cast(array() as array<string>)")), lambda x: F.concat_ws("|", F.lit("station"), x, at("incident_type")))
+    of_scope = lambda n: F.transform(stations, lambda x: F.concat_ws("|", F.lit("station"), x, F.lit(n), at(n)))
+    scoped = [F.when(general & at(n).isNotNull(), of_scope(n)) for n in SCOPE]
+    # dates at most WINDOW days apart are in one bucket of that width or in neighbouring ones
+    bucket = F.floor(F.datediff(at("event_date"), F.lit("1970-01-01").cast("date")) / (WINDOW + 1))
+    unpacked = bought & at("package").isNull() & at("action").isNotNull() & at("project").isNotNull() & at("event_date").isNotNull()
+    days = F.when(unpacked, F.transform(F.array(bucket, bucket + 1), lambda d: F.concat_ws("|", F.lit("unpacked"), at("action"), at("project"), d.cast("string"))))
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_distinct(F.concat(F.array_compact(F.array(*of_incident, *of_purchase, *of_others)), at_station, *[F.coalesce(x, none) for x in (*scoped, days)]))
+
+
+def compare(a: str, b: str, same_url: Column) -> Column:
+    """``struct(same_event, article_duplicate, matched, conflicts, days, window)`` of two identities, the structs ``a`` and ``b``.
+
+    Known components that differ conflict: places, project, package and
+    contract always, others by the class of the two.  Without a conflict a
+    common url tells of one article; incidents are one event by a score of what
+    they share, at one place; purchases by their project and package or
+    contract; others by two anchors, of a scope and of something specific.
+    """
+    left, right = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{b}.{n}"))
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    equal, differ = (lambda n: truth(left(n) == right(n))), (lambda n: truth(left(n) != right(n)))
+    both = lambda c: truth((left("event_class") == c) & (right("event_class") == c))
+    apart, together = truth(conflicting(left("stations"), right("stations"))), truth(F.arrays_overlap(left("stations"), right("stations")))
+    incident, bought, general = both("incident"), both("procurement"), both("general")
+    days = F.abs(F.datediff(left("event_date"), right("event_date")))
+    certain = truth((left("event_date_kind") != "publication_date") & (right("event_date_kind") != "publication_date"))
+    awards = bought & truth((left("action") == "award") & (right("action") == "award"))
+    window = F.when(awards & ~(certain & days.isNotNull()), AWARD_WINDOW).otherwise(WINDOW)
+    late = certain & truth(days > window)
+    rules = [
+        *((n, differ(n)) for n in ("country", "city", "project", "package", "contract")), ("vendor", bought & differ("vendor")), ("procurement_action", bought & differ("action")), ("incident_type", incident & differ("incident_type")),
+        ("event_object", general & differ("event_object")), ("station", (incident | general) & apart), ("action", general & differ("action")), ("event_date_window", late),
+    ]
+    conflicts = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules]))
+    free = F.size(conflicts) == 0
+    article = truth(same_url) & free
+    one_type, points = incident & equal("incident_type"), lambda n, by: F.when(equal(n), by).otherwise(0)
+    score = points("city", 1) + F.when(together, 3).otherwise(0) + points("operator", 1) + points("event_object", 1) + points("injury_count", 2)
+    of_incident = one_type & (score >= 2) & (equal("country") | equal("city") | together)
+    nothing_packed = left("package").isNull() & right("package").isNull() & truth(days <= WINDOW)
+    of_purchase = bought & equal("action") & equal("project") & (equal("package") | equal("contract") | nothing_packed)
+    anchors = sum((points(n, 1) for n in (*SCOPE, "event_object", "action")), F.lit(0))
+    other = truth(left("event_class") == right("event_class")) & ~one_type & ~(bought & equal("action"))
+    scoped, specific = F.greatest(*[equal(n) for n in SCOPE]), equal("project") | equal("event_object") | together
+    of_others = other & scoped & specific & (anchors >= 2)
+    shared = lambda name, n, when: F.when(when & equal(n), F.lit(name))
+    dated = F.when(days.isNotNull(), F.lit("bounded_date"))
+    lists = [
+        (one_type, [F.lit("incident_type"), shared("city", "city", F.lit(True)), shared("country", "country", ~equal("city")), F.when(together, F.lit("station")), *(shared(n, n, F.lit(True)) for n in ("operator", "event_object", "injury_count")), dated]),
+        (bought & equal("action"), [*(shared(n, n, F.lit(True)) for n in ("project", "package", "contract", "vendor")), dated]),
+        (other, [*(shared(n, n, F.lit(True)) for n in (*SCOPE, "event_object", "action")), F.when(together, F.lit("station")), dated]),
+    ]
+    matched = F.when(article, F.array(F.lit("canonical_article_url")))
+    for when, names in lists:
+        matched = matched.when(free & when, F.array_compact(F.array(*names)))
+    matched = matched.otherwise(F.expr("cast(array() as array<string>)"))
+    same = article | (free & (of_incident | of_purchase | of_others))
+    return F.struct(same.alias("same_event"), article.alias("article_duplicate"), matched.alias("matched"), conflicts.alias("conflicts"), days.alias("days"), window.alias("window"))
+
+
+def title_conflict(a: str, b: str, sets: Iterable[str] = ("lines", "numbered_lines", "entities"), most_days: int = 7) -> Column:
+    """Rows ``a`` and ``b`` that a similar title can't make one: another region, sets of names without a common member, or dates too far apart."""
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    region = truth((F.col(f"{a}.region") != "") & (F.col(f"{b}.region") != "") & (F.col(f"{a}.region") != F.col(f"{b}.region")))
+    apart = [truth(conflicting(F.col(f"{a}.{n}"), F.col(f"{b}.{n}"))) for n in sets]
+    return F.greatest(region, *apart, truth(F.abs(F.datediff(f"{a}.date", f"{b}.date")) > most_days))
+
+
+def event_pairs(rows: DataFrame, ord_column: str = "ord", url: str = "url_key", title: str = "title_key", i: str = "identity") -> DataFrame:
+    """``later, earlier, by`` of rows that can be one: by an equal title without a conflict (1), or in a common block as the same event (2).
+
+    Rows that share nothing are never compared; blocks are those of
+    ``pair_keys``.  Rows whose url another row has don't meet by it here: a url
+    decides without a comparison.
+    """
+    keys = F.concat(F.array_compact(F.array(F.when(F.col(title) != "", F.concat(F.lit("title|"), F.col(title))))), pair_keys(i))
+    # components are used many times: they are computed once
+    keyed = materialize(rows.select(ord_column, title, url, i).withColumn("_keys", keys), "identities")
+    side = lambda p: keyed.select(F.explode("_keys").alias("_key"), F.col("_keys").alias(f"_{p}_keys"), F.col(ord_column).alias(f"_{p}_ord"), F.struct(F.col(title).alias("title"), F.col(url).alias("url")).alias(f"_{p}_row"), F.col(i).alias(f"_{p}"))
+    met = side("a").join(side("b"), "_key").where("_a_ord < _b_ord").where(F.col("_key") == F.array_min(F.array_intersect("_a_keys", "_b_keys")))
+    same_title = F.coalesce((F.col("_a_row.title") == F.col("_b_row.title")) & (F.col("_a_row.title") != ""), F.lit(False))
+    judged = met.withColumn("_c", compare("_a", "_b", F.coalesce(F.col("_a_row.url") == F.col("_b_row.url"), F.lit(False))))
+    by = F.when(same_title & (F.size("_c.conflicts") == 0), 1).when(F.col("_c.same_event"), 2)
+    return judged.select(F.col("_b_ord").alias("later"), F.col("_a_ord").alias("earlier"), by.alias("by")).where("by IS NOT NULL")
