@@ -224,6 +224,6 @@ def event_pairs(rows: DataFrame, ord_column: str = "ord", url: str = "url_key",
     side = lambda p: keyed.select(F.explode("_keys").alias("_key"), F.col("_keys").alias(f"_{p}_keys"), F.col(ord_column).alias(f"_{p}_ord"), F.struct(F.col(title).alias("title"), F.col(url).alias("url")).alias(f"_{p}_row"), F.col(i).alias(f"_{p}"))
     met = side("a").join(side("b"), "_key").where("_a_ord < _b_ord").where(F.col("_key") == F.array_min(F.array_intersect("_a_keys", "_b_keys")))
     same_title = F.coalesce((F.col("_a_row.title") == F.col("_b_row.title")) & (F.col("_a_row.title") != ""), F.lit(False))
-    judged = met.withColumn("_c", compare("_a", "_b", F.coalesce(F.col("_a_row.url") == F.col("_b_row.url"), F.lit(False))))
+    judged = met.withColumn("_c", compare("_a", "_b", F.coalesce((F.col("_a_row.url") == F.col("_b_row.url")) & (F.col("_a_row.url") != ""), F.lit(False))))
     by = F.when(same_title & (F.size("_c.conflicts") == 0), 1).when(F.col("_c.same_event"), 2)
     return judged.select(F.col("_b_ord").alias("later"), F.col("_a_ord").alias("earlier"), by.alias("by")).where("by IS NOT NULL")
