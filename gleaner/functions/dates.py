@@ -88,3 +88,12 @@ def verify(date: Column, bucket_start: Column, bucket_end: Column, conflict: Col
     if conflict is not None:
         out = out.when(conflict, "conflicting_date_evidence")
     return out.when((date < bucket_start) | (date >= bucket_end), "out_of_window").otherwise("verified")
+
+
+def verify_route(status: Column, date: Column, bucket: Column, routed: Column, route_start: Column, route_stop: Column, route_bucket: Column) -> Column:
+    """The status of a date that its own bucket has verified against the route that found it: a route without a window, one that the date is out of, one of another bucket."""
+    lacking = route_start.isNull() | route_stop.isNull()
+    return (
+        F.when((status != "verified") | ~F.coalesce(routed, F.lit(False)), status).when(lacking, "route_metadata_invalid")
+        .when((date < route_start) | (date >= route_stop), "route_window_conflict").when(~route_bucket.eqNullSafe(bucket), "route_bucket_conflict").otherwise("verified")
+    )

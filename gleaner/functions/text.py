@@ -209,3 +209,24 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+def spans(text: Column | str, terms: Iterable[str], mode: str = "token") -> Column:
+    """``array<struct(start, stop)>`` of all matches that don't overlap, from the left, start from 0."""
+    pattern, t = term_regex(terms, mode), fold(text)
+    sizes = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+    gaps = F.transform(F.split(t, pattern, -1), lambda g: F.length(g))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        begin = s["at"] + p["gap"]
+        stop = begin + p["size"]
+        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), stop.alias("stop"))).alias("out"))
+
+    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda p: p["size"].isNotNull())
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+
+def span_distance(a: Column, b: Column) -> Column:
+    """The least number of characters between a span of ``a`` and one of ``b``, 0 where they overlap; null if either has none."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.greatest(F.lit(0), y["start"] - x["stop"], x["start"] - y["stop"])))))

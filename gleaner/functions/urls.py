@@ -130,3 +130,11 @@ def join_host_rules(pages: DataFrame, host: str, rules: DataFrame) -> DataFrame:
         .groupBy("_host").agg(F.max_by(F.struct(*rules.columns), F.length("domain")).alias("rule"))
     )
     return pages.join(matched, F.col(host) == F.col("_host"), "left").select(*pages.columns, "rule.*")
+
+
+def source_tier(host: Column, rules: list[tuple[str, str, list[str]]], label: Column | None = None, labels: list[tuple[str, str, list[str]]] = (), otherwise: tuple[str, str] = ("C", "other")) -> Column:
+    """``struct(tier, reason)``: of the first rule ``(tier, reason, domains)`` that holds the host, else of the first of ``labels`` (tier, reason, terms) that the source's label has."""
+    named = lambda tier, reason: F.struct(F.lit(tier).alias("tier"), F.lit(reason).alias("reason"))
+    under = [F.when(F.arrays_overlap(host_suffixes(F.coalesce(host, F.lit(""))), F.array(*[F.lit(d) for d in domains])), named(t, r)) for t, r, domains in rules]
+    said = [F.when(F.lower(F.coalesce(label, F.lit(""))).rlike(term_regex(terms)), named(t, r)) for t, r, terms in labels] if label is not None else []
+    return F.coalesce(*under, *said, named(*otherwise))

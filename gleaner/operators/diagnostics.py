@@ -77,3 +77,10 @@ def source_health(rows: DataFrame, source: str, outcome: Column, fallback: Colum
     o = outcome
     buckets = {n: F.count_if(o == n) for n in ("ok", "empty", "error")}
     return rows.groupBy(source).agg(*[c.alias(n) for n, c in buckets.items()], F.count_if(~o.isin("ok", "empty", "error")).alias("other"), F.count_if(fallback).alias("fallback"))
+
+
+def recent_share(rows: DataFrame, group: list[str], date: Column, today: Column, days: int = 60) -> DataFrame:
+    """``n, n_recent, share`` of each group: rows of the latest ``days`` before ``today``, of those with a date."""
+    dated = rows.where(date.isNotNull())
+    recent = F.count_if(date > F.date_sub(today, days))
+    return dated.groupBy(*group).agg(F.count("*").alias("n"), recent.alias("n_recent"), share(recent, F.count("*")).alias("share"))

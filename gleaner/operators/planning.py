@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates
+from gleaner.functions.urls import domain
 
 
 def plan_queries(dimensions: list[DataFrame], pattern: Column, order: list[str], cap: int) -> DataFrame:
@@ -56,3 +58,30 @@ def within_budget(specs: DataFrame, lane: str, position: str, cap: int, reserved
 def fallback_feed(url: Column, host: Column, proxy: str) -> Column:
     """The proxy's search of the host, for a feed that isn't the proxy's own already."""
     return F.when(F.startswith(url, F.lit(proxy)), None).otherwise(F.concat(F.lit(f"{proxy}?q=site:"), host))
+
+
+def query_families(selections: DataFrame, key: str, kinds: str, families: DataFrame, implied: dict[str, str]) -> DataFrame:
+    """``key, families`` of each selection of ``kinds`` (an array): the families that the dimension ``families(kind, family, position)`` has for them, in its order, then what those imply, each once."""
+    chosen = selections.select(key, F.explode(kinds).alias("kind")).join(families, "kind").groupBy(key, "family").agg(F.min("position").alias("position"))
+    listed = chosen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "family"))), lambda s: s["family"]).alias("families"))
+    more = F.array_compact(F.array(*[F.when(F.array_contains("families", has), F.lit(adds)) for has, adds in implied.items()]))
+    out = selections.select(key).join(listed, key, "left").withColumn("families", F.coalesce("families", F.expr("cast(array() as array<string>)")))
+    return out.withColumn("families", F.array_distinct(F.concat("families", more)))
+
+
+def feed_sources(parts: list[tuple[str, DataFrame]], wanted: set[str], address: str = "url") -> DataFrame:
+    """The wanted dimensions of sources as one, ``part`` and ``ord`` by their order here; an address that several have is taken from the first."""
+    ranked = [d.withColumn("part", F.lit(name)).withColumn("_part", F.lit(i)) for i, (name, d) in enumerate(parts) if name in wanted]
+    every = reduce(DataFrame.unionByName, ranked)
+    columns = [c for c in every.columns if c not in (address, "_part")]
+    return every.groupBy(address).agg(F.min(F.struct("_part", "position", *[c for c in columns if c != "position"])).alias("_s")).select(address, *[F.col(f"_s.{c}").alias(c) for c in columns])
+
+
+def fast_subset(sources: DataFrame, name: str, url: str, position: str, keywords: list[str], shared_hosts: list[str], most: int = 12) -> DataFrame:
+    """Sources whose name or address has a keyword, one for each host (for each name on hosts that many share), the first by position; if there are none, the first ``most`` of all."""
+    marks = "|".join(re.escape(k.lower()) for k in keywords) or "(?!)"
+    host = domain(url)
+    key = F.when(host.isin(*shared_hosts) | (host == ""), F.lower(name)).otherwise(host)
+    some = sources.where(F.lower(F.concat_ws(" ", name, url)).rlike(marks))
+    first = some.groupBy(key.alias("_key")).agg(F.min(F.struct(position, *[c for c in sources.columns if c != position])).alias("_s")).select(*[F.col(f"_s.{c}").alias(c) for c in sources.columns])
+    return first if some.limit(1).count() else sources.orderBy(position).limit(most)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import fold, term_regex
+from gleaner.functions.urls import alias, host_suffixes
+
 
 def evidence(value: Column, precedence: int, position: Column | int = 0, field: str = "", method: str = "", eligible: Column | bool = True) -> Column:
     """A piece of evidence; lower precedence wins, then the order of gathering, then the position."""
@@ -123,3 +128,41 @@ def accept_title(ratio: Column, exact: Column, truncated: Column, n_tokens: Colu
 def apply_article(article: Column, valid: Column, most: int = 6000, least: int = 120) -> Column:
     """The article's text cut to ``most`` characters, if it is valid and long enough; else null."""
     return F.when(F.coalesce(valid, F.lit(False)) & (F.length(article) >= least), F.substring(article, 1, most))
+
+
+def located(text: Column | str, places: dict[str, list[str]], cues: list[tuple[str, list[str]]], distance: int = 45) -> Column:
+    """``array<struct(region, method)>`` of regions one of whose names has a cue within ``distance`` characters, such as of a factory: the first cue that any of its names has. Evidence of where things are made or sold, never of where they run."""
+    t = fold(text)
+
+    def found(name: str, names: list[str]) -> Column:
+        near = lambda terms: t.rlike(rf"(?s)(?:{'|'.join(map(re.escape, terms))}).{{0,{distance}}}(?:{term_regex(names, 'token')})|(?:{term_regex(names, 'token')}).{{0,{distance}}}(?:{'|'.join(map(re.escape, terms))})")
+        method = F.coalesce(F.lit(None).cast("string"), *[F.when(near(terms), F.lit(m)) for m, terms in cues])
+        return F.when(method.isNotNull(), F.struct(F.lit(name).alias("region"), method.alias("method")))
+
+    return F.array_compact(F.array(*[found(n, names) for n, names in places.items()]))
+
+
+def write_back(current: Column, found: Column, method: Column, asked: Column, names: dict[str, str], vague: list[str], fallbacks: list[str], unknown: str = "unknown") -> Column:
+    """``struct(region, conflict)``: what was found replaces what a row has, nothing found leaves it unknown, aliases take their name; a conflict is a region other than the one that was asked for, unless that is vague or the region was only taken from the question."""
+    given = F.nullif(F.trim(F.coalesce(current, F.lit(""))), F.lit(""))
+    region = F.when(found.isNull() & (method == "unresolved"), F.lit(unknown)).otherwise(F.coalesce(found, given, F.lit(unknown)))
+    region = alias(region, names)
+    meant = F.coalesce(asked, F.lit(""))
+    conflict = (meant != "") & ~meant.isin(*vague) & ~F.coalesce(method.isin(*fallbacks), F.lit(False)) & (region != meant)
+    return F.struct(region.alias("region"), conflict.alias("conflict"))
+
+
+def source_label(source: Column, host: Column, labels: dict[str, str], proxies: list[str], generic: list[str], official: Column, suffix: str = " (official)", unknown: str = "unknown source") -> Column:
+    """What a source is called: by the longest domain that has a label, else its own name, marked if official, else its host; proxies have neither."""
+    suffixes = F.transform(host_suffixes(F.coalesce(host, F.lit(""))), lambda h: F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[h])
+    known = F.element_at(F.filter(suffixes, lambda x: x.isNotNull()), 1) if labels else F.lit(None).cast("string")
+    name = F.nullif(F.trim(F.coalesce(source, F.lit(""))), F.lit(""))
+    at = F.when((F.coalesce(host, F.lit("")) != "") & ~host.isin(*proxies), host)
+    own = F.when(name.isNotNull() & ~name.isin(*generic), F.when(official & ~name.contains(suffix.strip()), F.concat(name, F.lit(suffix))).otherwise(name))
+    return F.coalesce(F.when(F.size(F.filter(suffixes, lambda x: x.isNotNull())) > 0, known), own, at, F.lit(unknown))
+
+
+def pick_by_provider(provider: Column, priorities: dict[str, list[str]], values: dict[str, Column], otherwise: list[str]) -> Column:
+    """``pick_publication`` in the order of the row's provider."""
+    of = lambda names: pick_publication([(n, values[n]) for n in names])
+    return F.coalesce(*[F.when(provider == p, of(names)) for p, names in priorities.items()], of(otherwise))

@@ -35,3 +35,13 @@ def level(score: Column, bounds: list[tuple[int, str]], otherwise: str) -> Colum
 
 def bonus(score: Column, rate: float, most: int) -> Column:
     return F.least(F.lit(most), F.round(score * rate)).cast("int")
+
+
+def points(ladders: dict[str, list[tuple[Column, int]]]) -> Column:
+    """``struct`` of each ladder's points, those of its first condition that holds, and their ``total``."""
+
+    def of(rungs: list[tuple[Column, int]]) -> Column:
+        return F.coalesce(*[F.when(truth(c), F.lit(p)) for c, p in rungs], F.lit(0))
+
+    each = {name: of(rungs) for name, rungs in ladders.items()}
+    return F.struct(*[c.alias(n) for n, c in each.items()], sum(each.values(), F.lit(0)).alias("total"))
