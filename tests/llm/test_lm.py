@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from gleaner.llm import lm
@@ -50,26 +51,55 @@ def test_model_beats_unigrams_on_held_out_texts(spark, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_pair_counts_match_brute_force(spark, rows):
-    """With the model's weights, each text's score follows from counts of a plain loop."""
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(-1 if r.doc_id is None else r.doc_id, r.n_tokens): r.score for r in lm.score(docs).collect()}
+def bins(p):
+    return min(round(-lm.STEPS * math.log10(p)), lm.LAST - 1) if p > 0 else lm.LAST
+
+
+def frame(hist):
+    return pd.DataFrame([(*k, c) for k, c in hist.items()], columns=["bucket", "one", "two", "n"])
+
+
+def test_scores_match_brute_force(spark, rows):
+    """Counts of words, pairs and triples, weights and scores by plain loops over the texts."""
+    got = {(-1 if r.doc_id is None else r.doc_id, r.n_tokens): r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     one, two, n = brute(rows)
+    train = [tokens(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    three = Counter(x for ts in train for x in zip([None, *ts], ts, ts[1:]))
+    v = len(one)
+    bucket = lambda c: math.frexp(c)[1]
     hist = Counter()
-    for i, t in rows:
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
-            ts = tokens(t)
-            for v, w in zip([None, *ts], ts):
-                p1, p2 = (one[w] - 1) / (n - 1), (two[v, w] - 1) / (one[v] - 1) if one[v] > 1 else 0
-                bins = [min(round(-lm.STEPS * math.log10(p)), lm.LAST - 1) if p > 0 else lm.LAST for p in (p1, p2)]
-                hist[(math.frexp(one[v] - 1)[1], *bins)] += 1
-    import pandas as pd
-
-    weights = lm.learn_weights(pd.DataFrame([(*k, c) for k, c in hist.items()], columns=["bucket", "one", "two", "n"]), len(one))
+    for ts in train:
+        for a, b in zip([None, *ts], ts):
+            hist[(bucket(one[a] - 1), bins((one[b] - 1) / (n - 1)), bins((two[a, b] - 1) / (one[a] - 1) if one[a] > 1 else 0))] += 1
+    weights = lm.learn_weights(frame(hist), v)
+
+    def p2(a, b, less):
+        w = weights[bucket(one[a] - less)]
+        return w @ [1 / (v + 1), (one[b] - less) / (n - less), (two[a, b] - less) / max(1, one[a] - less)]
+
+    hist = Counter()
+    for ts in train:
+        for u, a, b in zip([None, *ts], ts, ts[1:]):
+            if two[u, a] > 1:
+                hist[(bucket(two[u, a]), bins(p2(a, b, 1)), bins((three[u, a, b] - 1) / (two[u, a] - 1)))] += 1
+    of_triples = lm.learn_triple_weights(frame(hist))
+    assert of_triples[2:].max() > 0.1 and of_triples[:2].max() == 0
     for i, t in rows:
         ts = tokens(t)
-        want = sum(math.log10(w @ [1 / (len(one) + 1), one[b] / n, two[a, b] / max(1, one[a])]) for a, b in zip([None, *ts], ts) for w in [weights[math.frexp(one[a])[1]]])
-        assert got[(-1 if i is None else i), len(ts)] == pytest.approx(want, abs=1e-4)
+        want = math.log10(p2(None, ts[0], 0))
+        for u, a, b in zip([None, *ts], ts, ts[1:]):
+            l3 = of_triples[bucket(two[u, a])]
+            want += math.log10(l3 * three[u, a, b] / max(1, two[u, a]) + (1 - l3) * p2(a, b, 0))
+        assert got[(-1 if i is None else i), len(ts)] == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_many_chunks_and_ranges_count_alike(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows[:200], "doc_id long, text string").repartition(4)
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6))
+    once = sorted(map(key, lm.score(docs).collect()))
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm, "RANGE_KEYS", 50)
+    assert sorted(map(key, lm.score(docs).collect())) == once
 
 
 def test_empty_table(spark):
