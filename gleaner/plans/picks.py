@@ -118,8 +118,8 @@ def _report_blocks(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
 
 
 def o13_report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of reports composed of the beginnings of a conversation's turns."""
-    return _report_blocks(spark, sf_dir, F.substring("text", 1, 40))
+    """Blocks of reports composed of a conversation's turns, white space collapsed."""
+    return _report_blocks(spark, sf_dir, F.trim(F.regexp_replace("text", r"\s+", " ")))
 
 
 def o13_whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ SELECT doc_id, item_id FROM d JOIN q ON q <> '' AND contains(t, q)""",
     "o6_claim_verdicts": """
 WITH v AS (SELECT l_orderkey, bool_and(month(l_shipdate) <= 9) AS a, bool_or(month(l_shipdate) <= 9) AS o, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT CASE WHEN a THEN 'supported' WHEN NOT o THEN 'unsupported' ELSE 'mixed' END AS verdict, count(*) AS n_orders, sum(n)::BIGINT AS n_claims FROM v GROUP BY 1""",
-    "o13_report_blocks": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS pos, turn * 10 AS candidate_id, length(regexp_replace(substr(text, 1, 40), '^[\\s]+|[\\s]+$', '', 'g'))::INTEGER AS size FROM conversations",
+    "o13_report_blocks": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS pos, turn * 10 AS candidate_id, length(trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g')))::INTEGER AS size FROM conversations",
     "o13_whole_blocks": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS pos, turn * 10 AS candidate_id, length(regexp_replace(coalesce(text, ''), '^[\\s]+|[\\s]+$', '', 'g'))::INTEGER AS size FROM conversations",
     "t1_stream_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "t5_stream_dedupe": "SELECT user_id, event_type, date_trunc('hour', ts) AS hour FROM events GROUP BY ALL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import dates, text
+from gleaner.functions import dates, text, urls
 from gleaner.operators import dedupe, gates, identity, resolve, score
 from gleaner.plans.common import number, table
 
@@ -207,9 +207,9 @@ def d8_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d9_conflicting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised beginnings that documents of several sources share."""
-    d = table(spark, sf_dir, "documents").select(text.normalize_title(F.substring("text", 1, 60)).alias("title"), "source")
-    return dedupe.conflicting_ids(d, "title", "source")
+    """Article keys of pages under which there are several titles."""
+    p = table(spark, sf_dir, "pages").select(urls.canonical_key(F.col("url")).alias("key"), text.normalize_title(F.regexp_extract("html", "(?s)<title>([^<]*)</title>", 1)).alias("title"))
+    return dedupe.conflicting_ids(p, "key", "title")
 
 
 def d9_conflicting_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +325,10 @@ WITH e AS (SELECT *, CASE WHEN user_id % 10 <> 0 THEN user_id || '|' || day END
 SELECT event, arg_min(event_id, (-value, event_id)) AS event_id, arg_min(value, (-value, event_id)) AS value, max((r, event_type))[2] AS event_type, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types, count(*) AS n_merged
 FROM e WHERE event IS NOT NULL GROUP BY event
 UNION ALL SELECT event, event_id, value, event_type, event_type, 1 FROM e WHERE event IS NULL""",
-    "d9_conflicting_ids": f"SELECT {_TITLE.format('substr(text, 1, 60)')} AS title, count(DISTINCT source) AS n_ids FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
+    "d9_conflicting_ids": f"""
+WITH p AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS host, regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: regexp_matches(q, '=.') AND NOT regexp_matches(lower(q), '^(utm_[^=]*|{"|".join(urls.TRACKING)})='))) AS q, {_TITLE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages)
+SELECT 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key, count(DISTINCT title) AS n_ids FROM p GROUP BY 1 HAVING count(DISTINCT title) > 1""",
     "d9_conflicting_texts": f"SELECT sha256({_TITLE.format('text')}) AS text_hash, count(DISTINCT source) AS n_ids FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "d11_group_best": """
 SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem

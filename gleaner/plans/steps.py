@@ -88,10 +88,10 @@ def u9_source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d6_duplicate_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of equal beginning with the id of the first of them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 60)).alias("title"))
-    first = d.groupBy("title").agg(F.min("doc_id").alias("leader"))
-    return d.join(first, "title").where("leader <> doc_id").select("doc_id", "leader")
+    """Pages of equal title with the id of the first of them."""
+    p = table(spark, sf_dir, "pages").select("page_id", text.normalize_title(F.regexp_extract("html", "(?s)<title>([^<]*)</title>", 1)).alias("title"))
+    first = p.groupBy("title").agg(F.min("page_id").alias("leader"))
+    return p.join(first, "title").where("leader <> page_id").select("page_id", "leader")
 
 
 def d6_same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +170,8 @@ def o5_block_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d13_section_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a role as sections: of equal beginnings in a conversation the first stays."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring_index(text.normalize_title("text"), " ", 1).alias("key"))
+    """Turns as sections by their role: the first of each in a conversation stays."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("key"))
     keep = F.row_number().over(Window.partitionBy("conv_id", "key").orderBy("turn"))
     return c.withColumn("rn", keep).where("rn = 1").select("conv_id", "turn", "key")
 
@@ -231,10 +231,10 @@ WITH p AS (SELECT page_id, {_DOMAIN} AS h FROM pages)
 SELECT CASE WHEN {_under("spam-farm.example.org", "casino-win.example.com")} THEN 'spam' WHEN {_under("example.net")} THEN 'network' WHEN {_under("example.com")} THEN 'company' ELSE 'other' END AS kind,
   CASE WHEN page_id % 5 = 0 THEN 'origin.example' WHEN page_id % 3 = 0 THEN 'query.example' ELSE 'own' END AS origin, count(*) AS n FROM p GROUP BY ALL""",
     "d6_duplicate_marking": f"""
-WITH d AS (SELECT doc_id, {_TITLE.format("substr(text, 1, 60)")} AS title FROM documents), f AS (SELECT title, min(doc_id) AS leader FROM d GROUP BY 1)
-SELECT doc_id, leader FROM d JOIN f USING (title) WHERE doc_id <> leader""",
-    "d13_section_dedupe": f"""
-WITH c AS (SELECT conv_id, turn, string_split({_TITLE.format("coalesce(text, '')")}, ' ')[1] AS key FROM conversations)
+WITH p AS (SELECT page_id, {_TITLE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages), f AS (SELECT title, min(page_id) AS leader FROM p GROUP BY 1)
+SELECT page_id, leader FROM p JOIN f USING (title) WHERE page_id <> leader""",
+    "d13_section_dedupe": """
+WITH c AS (SELECT conv_id, turn, role AS key FROM conversations)
 SELECT conv_id, turn, key FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) = 1""",
     "d6_same_texts": f"""
 WITH d AS (SELECT doc_id, {_TITLE.format("text")} AS title FROM documents WHERE text IS NOT NULL), f AS (SELECT title, min(doc_id) AS leader FROM d GROUP BY 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates, hashing, text, urls
@@ -27,10 +27,14 @@ def f2_negation_aware_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang", "has_term", "positive").agg(F.count("*").alias("n_docs"))
 
 
+def _page_title() -> Column:
+    return text.normalize_title(F.regexp_extract("html", "(?s)<title>([^<]*)</title>", 1))
+
+
 def f7_normalized_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised beginnings that several documents share."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 80)).alias("title"))
-    return d.groupBy("title").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
+    """Normalised titles that several pages share."""
+    p = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"))
+    return p.groupBy("title").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page")).where("n_pages > 1")
 
 
 def f9_clean_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +49,15 @@ def f12_canonical_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f14_similar_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different titles of a language that begin alike and have a similarity of 0.84 or more."""
-    title = text.normalize_title(F.substring("text", 1, 80))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", title.alias("title")).groupBy("lang", "title").agg(F.min("doc_id").alias("doc_id"))
-    d = d.withColumn("block", F.substring_index("title", " ", 3)).where("title <> ''")
-    a, b = (d.select("lang", "block", F.col("doc_id").alias(f"{s}_doc"), F.col("title").alias(f"{s}_title")) for s in "ab")
-    pairs = a.join(b, ["lang", "block"]).where("a_doc < b_doc").withColumn("ratio", text.similarity("a_title", "b_title"))
-    return pairs.where("ratio >= 0.84").select("lang", "a_doc", "b_doc", F.round("ratio", 6).alias("ratio"))
+    """Pairs of different titles of pages, of about one length, that share a word in its place and have a similarity of 0.84 or more."""
+    p = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title")).where("title <> ''").groupBy("title").agg(F.min("page_id").alias("page_id"))
+    keyed = p.select("page_id", "title", F.posexplode(F.split("title", " ")).alias("place", "word"))
+    a, b = (keyed.select("place", "word", F.col("page_id").alias(f"{s}_page"), F.col("title").alias(f"{s}_title")) for s in "ab")
+    # lengths bound the ratio from above: 2 * shorter / both
+    short, both = F.least(F.length("a_title"), F.length("b_title")), F.length("a_title") + F.length("b_title")
+    met = a.join(b, ["place", "word"]).where(F.col("a_page") < F.col("b_page")).where(2 * short >= 0.84 * both)
+    pairs = met.select("a_page", "b_page", "a_title", "b_title").distinct().withColumn("ratio", text.similarity("a_title", "b_title"))
+    return pairs.where("ratio >= 0.84").select("a_page", "b_page", F.round("ratio", 6).alias("ratio"))
 
 
 def f16_token_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +176,8 @@ SELECT lang, regexp_matches(t, '{_re2(TERMS)}') AS has_term,
   count(*) AS n_docs
 FROM c GROUP BY ALL""",
     "f7_normalized_title_groups": r"""
-SELECT trim(regexp_replace(replace(lower(coalesce(substr(text, 1, 80), '')), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title, count(*) AS n_docs, min(doc_id) AS first_doc
-FROM documents GROUP BY 1 HAVING count(*) > 1""",
+SELECT trim(regexp_replace(replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title, count(*) AS n_pages, min(page_id) AS first_page
+FROM pages GROUP BY 1 HAVING count(*) > 1""",
     "f9_clean_shorten": r"""
 WITH c AS (SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[\t\n\x0B\f\r \x{00A0}]+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, CASE WHEN length(t) > 200 THEN rtrim(substr(t, 1, 199)) || '…' ELSE t END AS summary,
