@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates
 from gleaner.functions.urls import domain
+from gleaner.operators.sizes import dimension
 
 
 def plan_queries(dimensions: list[DataFrame], pattern: Column, order: list[str], cap: int) -> DataFrame:
     """The product of small dimensions as ``query``, each distinct one once in the given order, under a cap: a plan of at most ``cap`` rows."""
-    product = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), dimensions)
+    product = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), map(dimension, dimensions))
     first = product.withColumn("query", pattern).groupBy("query").agg(F.min(F.struct(*order)).alias("_at"), F.min_by(F.struct(*product.columns), F.struct(*order)).alias("_row"))
     return first.orderBy("_at").limit(cap).select("query", "_row.*")
 
@@ -39,7 +40,7 @@ def time_limit(lookback_days: Column) -> Column:
 def temporal_plan(periods: DataFrame, start: str, stop: str, specs: DataFrame, family: str) -> DataFrame:
     """Routes: calendar quarters of each period by one spec per family, with zeroed counters."""
     buckets = dates.quarter_buckets(periods, start, stop)
-    routes = buckets.join(F.broadcast(specs), F.lit(True))
+    routes = buckets.join(F.broadcast(dimension(specs)), F.lit(True))
     return routes.withColumn("route_id", F.concat_ws(":", "label", family)).withColumns({c: F.lit(0) for c in ("n_raw", "n_verified", "n_rejected")})
 
 

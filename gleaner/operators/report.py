@@ -8,6 +8,9 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.sizes import small
+from gleaner.scratch import materialize
+
 MARKER = r"<!--\s*candidate_id:\s*(\d+)\s*-->"
 
 
@@ -56,15 +59,18 @@ def find_quotes(texts: DataFrame, text: str, carry: list[str], quotes: DataFrame
     n_words = F.size("_words")
     q = quotes.select(F.col(quote_key).alias("quote_key"), squeeze(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_words", split(F.col("_quote")))
     q = q.withColumn("_n", F.greatest(F.lit(1), F.least(F.lit(probe), n_words - 2))).withColumn("_probe", F.array_join(F.slice("_words", F.when(n_words > 2, 2).otherwise(1), F.col("_n")), " "))
-    words = texts.select(*carry, squeeze(F.col(text)).alias("_text")).withColumn("_words", split(F.col("_text")))
+    # only numbers of texts and hashes of windows are joined; a text is looked at again for the quotes that it may hold
+    held = materialize(texts.select(*carry, squeeze(F.col(text)).alias("_text")).withColumn("_id", F.monotonically_increasing_id()), "texts")
+    words = held.select("_id", F.split("_text", " ").alias("_words"))
     parts = []
     for n in sorted(r["_n"] for r in q.select("_n").distinct().collect()):  # at most ``probe`` of them
         windows = NGram(n=n, inputCol="_words", outputCol="_windows").transform(words)
-        met = windows.select(*carry, "_text", F.explode(F.array_distinct("_windows")).alias("_probe")).join(q.where(F.col("_n") == n).select("_probe", "quote_key", "_quote"), "_probe")
-        parts.append(met.where(F.contains("_text", F.col("_quote"))).select(*carry, "quote_key"))
+        hashes = windows.select("_id", F.explode(F.array_distinct(F.transform("_windows", lambda w: F.xxhash64(w)))).alias("_hash"))
+        parts.append(hashes.join(small(q.where(F.col("_n") == n).select(F.xxhash64("_probe").alias("_hash"), "quote_key", "_quote")), "_hash").select("_id", "quote_key", "_quote"))
     if not parts:
         return texts.select(*carry, F.lit(None).cast(q.schema["quote_key"].dataType).alias("quote_key")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+    met = materialize(reduce(DataFrame.unionByName, parts), "quotes")
+    return held.join(small(met), "_id").where(F.contains("_text", F.col("_quote"))).select(*carry, "quote_key")
 
 
 def payload(fields: dict[str, Column]) -> Column:

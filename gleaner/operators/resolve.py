@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import fold, term_regex
 from gleaner.functions.urls import alias, host_suffixes
+from gleaner.operators.sizes import dimension, small
 
 
 def evidence(value: Column, precedence: int, position: Column | int = 0, field: str = "", method: str = "", eligible: Column | bool = True) -> Column:
@@ -46,7 +47,7 @@ def longest_alias(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
 
     ``aliases`` is a dimension; it becomes one array literal of the plan, not a join of every text with every alias.
     """
-    rows = sorted((r["alias"].lower(), r["name"]) for r in aliases.select("alias", "name").collect())  # a dimension
+    rows = sorted((r["alias"].lower(), r["name"]) for r in dimension(aliases.select("alias", "name")).collect())
     pairs = F.array(*[F.struct(F.lit(len(a)).alias("n"), F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in rows])
     found = F.array_max(F.filter(pairs, lambda p: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), p["alias"])))
     return texts.withColumn("alias", found["alias"]).withColumn("name", found["name"])
@@ -100,7 +101,7 @@ def attach_once(left: DataFrame, right: DataFrame, keys: list[str], order: str)
 
 def roll_up(rows: DataFrame, region: str, members: DataFrame) -> DataFrame:
     """Rows whose region is selected or part of a selected one: a semi-join with ``members(region)``, a dimension."""
-    return rows.join(F.broadcast(members.select(F.col("region").alias("_r")).distinct()), F.col(region) == F.col("_r"), "left_semi")
+    return rows.join(small(members.select(F.col("region").alias("_r")).distinct()), F.col(region) == F.col("_r"), "left_semi")
 
 
 def pick_publication(values: list[tuple[str, Column]]) -> Column:
