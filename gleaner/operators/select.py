@@ -116,22 +116,35 @@ def source_diverse(rows: DataFrame, group: str, score: str, source: str, k: int,
     return bounded.select(group, ord_column, score, source).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {ord_column} {kinds[ord_column]}, pick int")
 
 
-def rebalance(rows: DataFrame, group: str, bucket: str, score: str, k: int, tolerance: float, ord_column: str) -> DataFrame:
-    """In each group the ``k`` best, then for each bucket without one its best row in place of the weakest row of a bucket that has several, where the score is at most ``tolerance`` less."""
+def rebalance(rows: DataFrame, group: str, bucket: str, score: str, k: int, tolerance: float, ord_column: str, recent: str | None = None, most_recent: float = 0.6) -> DataFrame:
+    """In each group the ``k`` best, then for each bucket without one its best row in place of the weakest row of a bucket that has several, where the score is at most ``tolerance`` less.
+
+    With ``recent``, a boolean column, the weakest recent rows then give way to
+    the best older ones until at most ``most_recent`` of the chosen are recent.
+    """
+    keys = [group, bucket] if recent is None else [group, bucket, recent]
 
     def swap(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, ord_column], ascending=[False, True])
         chosen = pdf.head(k)
+        order = lambda x: x.sort_values([score, ord_column], ascending=[False, True])
         for b in sorted(set(pdf[bucket]) - set(chosen[bucket])):
             best = pdf[pdf[bucket] == b].iloc[0]
             several = chosen[chosen[bucket].map(chosen[bucket].value_counts()) > 1]
             if len(several) and several.iloc[-1][score] - best[score] <= tolerance:
-                chosen = pd.concat([chosen.drop(several.index[-1]), pdf.loc[[best.name]]]).sort_values([score, ord_column], ascending=[False, True])
+                chosen = order(pd.concat([chosen.drop(several.index[-1]), pdf.loc[[best.name]]]))
+        if recent is not None:
+            limit, older = int(len(chosen) * most_recent), pdf[~pdf[recent].astype(bool)].drop(chosen.index, errors="ignore")
+            for at in older.index:
+                now = chosen[chosen[recent].astype(bool)]
+                if len(now) <= limit:
+                    break
+                chosen = order(pd.concat([chosen.drop(now.index[-1]), pdf.loc[[at]]]))
         return chosen[[group, ord_column, bucket]]
 
     kinds = dict(rows.dtypes)
-    bounded = per_group(rows.withColumn("_combo", F.concat_ws("\x1f", group, bucket)), "_combo", [F.desc(score), F.asc(ord_column)], k)
-    return bounded.select(group, ord_column, bucket, score).groupBy(group).applyInPandas(swap, f"{group} {kinds[group]}, {ord_column} {kinds[ord_column]}, {bucket} {kinds[bucket]}")
+    bounded = per_group(rows.withColumn("_combo", F.concat_ws("\x1f", *keys)), "_combo", [F.desc(score), F.asc(ord_column)], k)
+    return bounded.select(*keys, ord_column, score).groupBy(group).applyInPandas(swap, f"{group} {kinds[group]}, {ord_column} {kinds[ord_column]}, {bucket} {kinds[bucket]}")
 
 
 def protect_coverage(chosen: DataFrame, pool: DataFrame, key: str, kind: Column, order: list[Column], target: int) -> DataFrame:

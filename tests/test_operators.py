@@ -242,3 +242,46 @@ def test_protected_kind_takes_the_last_place(spark):
     assert sorted(r.id for r in got) == [1, 3]
     full = select.protect_coverage(pool.where("id < 3"), pool, "id", F.col("kind") == "b", [F.desc("s")], 3).collect()
     assert sorted(r.id for r in full) == [1, 2, 3]
+
+
+def scored(rng, n):
+    return [(rng.choice("ab"), i, rng.choice("qrstu"), rng.randrange(40), rng.random() < 0.7, rng.choice("xyz")) for i in range(n)]
+
+
+def test_rebalance_matches_a_loop(spark):
+    rng = random.Random(3)
+    for recent in (None, "recent"):
+        rows = scored(rng, 120)
+        df = spark.createDataFrame(rows, "g string, ord long, bucket string, score long, recent boolean, source string")
+        got = {(r.g, r.ord) for r in select.rebalance(df, "g", "bucket", "score", 6, 8, "ord", recent).collect()}
+        want = set()
+        for g in "ab":
+            pool = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1]))
+            held = pool[:6]
+            for b in sorted({r[2] for r in pool} - {r[2] for r in held}):
+                best = next(r for r in pool if r[2] == b)
+                several = [r for r in held if sum(x[2] == r[2] for x in held) > 1]
+                if several and several[-1][3] - best[3] <= 8:
+                    held = sorted([r for r in held if r is not several[-1]] + [best], key=lambda r: (-r[3], r[1]))
+            for r in [r for r in pool if not r[4] and r not in held] if recent else []:
+                now = [x for x in held if x[4]]
+                if len(now) <= int(len(held) * 0.6):
+                    break
+                held = sorted([x for x in held if x is not now[-1]] + [r], key=lambda r: (-r[3], r[1]))
+            want |= {r[:2] for r in held}
+        assert got == want
+
+
+def test_source_diverse_matches_a_loop(spark):
+    rows = scored(random.Random(4), 150)
+    df = spark.createDataFrame(rows, "g string, ord long, bucket string, score long, recent boolean, source string")
+    got = {(r.g, r.ord, r.pick) for r in select.source_diverse(df, "g", "score", "source", 7, 5.0, "ord").collect()}
+    want = set()
+    for g in "ab":
+        left, seen = [r for r in rows if r[0] == g], set()
+        for pick in range(1, 8):
+            best = max(left, key=lambda r: (r[3] + 5.0 * (r[5] not in seen), r[3], -r[1]))
+            seen.add(best[5])
+            left.remove(best)
+            want.add((g, best[1], pick))
+    assert got == want
