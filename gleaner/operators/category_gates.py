@@ -21,6 +21,9 @@ from gleaner.functions.text import fold, term_regex, wordish_count
 from gleaner.functions.urls import host_suffixes
 from gleaner.operators.gates import failures, first_reason, truth
 
+# fixed values: units in which a change of service is told
+UNITS = r"(?i)\d+\s*(?:%|percent|minutes?|mins?|trains?|services?|車次|班次|分間隔)"
+
 Signals = Callable[[str], Column]
 Checks = list[tuple[str, Column]]
 
@@ -101,8 +104,7 @@ def operation_incident(s: Signals, subject: Column, documented: Column) -> Check
 
 def service_adjustment(s: Signals, subject: Column, documented: Column, text: Column) -> Checks:
     """A change of service that is substantive or told in numbers."""
-    quantified = text.rlike(r"(?i)\d+\s*(?:%|percent|minutes?|mins?|trains?|services?|車次|班次|分間隔)")
-    substantial = s("substantive") | truth(quantified)
+    substantial = s("substantive") | truth(text.rlike(UNITS))
     return [("subject", subject), ("documented", documented), ("adjustment", s("adjustment")), ("substantial", substantial), ("not_routine", ~s("routine") | substantial)]
 
 
