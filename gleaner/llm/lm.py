@@ -44,8 +44,8 @@ from gleaner.llm.common import Words, crc_bucket, mix, slices, small_batches
 from gleaner.scratch import discard, materialize, scratch_path
 
 #: Bytes of text in a chunk, and keys that one counting task gets.
-CHUNK_BYTES = 6 << 20
-RANGE_KEYS = 1_500_000
+CHUNK_BYTES = 4 << 20
+RANGE_KEYS = 1_200_000
 FOLDS = 10
 END = np.uint64(0x5DEECE66D1234567)
 #: Steps of the decimal logarithm in the histogram that the weights are learned from, and its last bin.
