@@ -45,7 +45,7 @@ THRESHOLD = 0.95
 #: Share of pairs at the threshold that meet in a bucket, and seeded pairs that it is measured on.
 RECALL, PAIRS = 0.9999, 4000
 #: Coordinates of a block, and vectors that a bucket has by chance at most before another vertex is joined to it.
-BLOCK, MATES = 32, 512
+BLOCK, MATES = 32, 64
 #: Signs of a vector's sketch, and how many may differ: five deviations beyond what a pair at the threshold has.
 SIGNS, APART = 128, 31
 LOOSE_ROWS, EXACT_ROWS, BATCH_ROWS = 1024, 1024, 16384
@@ -205,8 +205,9 @@ def units(vectors: DataFrame) -> DataFrame:
 def _loose(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges that connect the members of each bucket whose signs are near."""
     pdf = pdf.sort_values(["part", "member"], ignore_index=True)
-    part, name, sketch = pdf["part"].to_numpy(), pdf["member"].to_numpy(), pdf[["left", "right"]].to_numpy()
-    near = lambda i, j: np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum(-1, dtype=np.int64) <= APART
+    part, name = pdf["part"].to_numpy(), pdf["member"].to_numpy()
+    left, right = (pdf[c].to_numpy().view(np.uint64) for c in ("left", "right"))
+    near = lambda i, j: np.bitwise_count(left[i] ^ left[j]) + np.bitwise_count(right[i] ^ right[j]) <= APART
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     size = np.diff(np.r_[starts, len(part)])
     few = np.repeat(size <= FEW, size)
