@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import embeddings, jaccard, lm, mixing, packing, pii, quality, secrets, toxicity, warc
-from gleaner.llm.tokenizer_files import WORD_TOKENIZER
+from gleaner.llm import embeddings, filter_audit, jaccard, lm, mixing, packing, periodic, pii, quality, secrets, token_store, toxicity, warc
+from gleaner.llm.tokenizer_files import BYTE_TOKENIZER, WORD_TOKENIZER
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,26 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, with repetitions planted in a tenth of them."""
+    found = periodic.collapse_runs(table(spark, sf_dir, "documents"), carry=["doc_id"], rewrite=periodic.planted_repeats)
+    best = found.withColumn("_best", periodic.strongest())
+    numbers = [F.col(f"_best.{n}").alias(n) for n in ("start", "length", "period")]
+    exponent = F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli")
+    digests = [F.sha2(x.cast("binary"), 256).alias(n) for x, n in ((periodic.listed(), "runs_sha256"), (F.col("_collapsed"), "collapsed_sha256"))]
+    return best.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), *numbers, exponent, *digests)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents in each order, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in Arrow files, read back."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_hosts,
         op9_secret_owners,
         op10_embedding_links,
+        op11_periodic_runs,
+        op12_filter_audit,
+        op13_arrow_sequences,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -200,5 +223,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     CASE WHEN a THEN 9.0::DOUBLE * (10 * n_symbols / n_words) ELSE 1 END * CASE WHEN b THEN 3.0::DOUBLE * (100 * n_dup_lines / (30 * n_lines)) ELSE 1 END
     * CASE WHEN c THEN 9.0::DOUBLE * (2 * n_words / word_chars) ELSE 1 END * CASE WHEN d THEN 9.0::DOUBLE * (word_chars / (15 * n_words)) ELSE 1 END END) > 1 AS kept
 FROM ruled r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
+""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE orders(filter_order) AS (
+  SELECT ''
+  UNION ALL
+  SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(f) WHERE length(filter_order) < 5 AND NOT contains(filter_order, f)
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > f.least THEN 'E' ELSE '' END AS failed
+  FROM d JOIN firsts f USING (t) LEFT JOIN marks m ON m.doc_id = d.doc_id
+), sets AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, failed
+), cells AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, failed, n, good, toxic, contains(failed, substr(filter_order, step, 1)) AS hit,
+    len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda c: c <> '' AND contains(failed, c))) > 0 AS gone
+  FROM sets, orders, (SELECT unnest(range(1, 6))::INTEGER AS step) WHERE length(filter_order) = 5
+), sums AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM cells GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM sums
 """,
 }
