@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
-Documents are encoded, brought into ascending order of their keys by a range
-shuffle, and each range is written as files of the Arrow IPC file format: the
+Documents are brought into ascending order of their keys by a range shuffle,
+encoded, and each range is written as files of the Arrow IPC file format: the
 record batches have the columns ``ids`` and ``mask``, fixed-size lists of
 ``SEQUENCE`` values, so that sequence s of a file is a slice of memory at a
 known place (``Sequences`` maps a file and copies nothing).  A range's ids run
@@ -22,6 +22,7 @@ gives no files and no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,12 +38,14 @@ from gleaner.llm.packing import WholeIds, WordIds, ranges
 from gleaner.scratch import materialize, scratch_path
 
 SEQUENCE, END_ID = 2048, 0
-#: Sequences of a record batch and of a file; ids of a range of keys at most, on average.
-BATCH, FILE, RANGE_IDS = 256, 4096, 1 << 28
+#: Sequences of a record batch and of a file; bytes of text of a range of keys at most, on average.
+BATCH, FILE, RANGE_BYTES = 256, 4096, 1 << 30
 #: Bytes of text that are encoded at a time.
 BYTES = 6 << 20
 #: A space between white space and white space (or the end): what a byte-level tokenizer may not be cut before.
 TIGHT = r"[\s\x0b\x85\p{Z}] ([\s\x0b\x85\p{Z}]|$)"
+#: A part that ends in letters or digits and marks after them; such marks are never part of a special token.
+MARKED = r"^(?P<word>.*[\p{L}\p{N}])(?P<marks>[.,;:!?*#$%&)]+)$"
 #: Keys of a file's metadata: the pieces of documents in it, as an Arrow file, and its place.
 DOCUMENTS, PLACE = b"documents", b"place"
 PIECES = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
@@ -95,21 +98,38 @@ class SpaceIds(WordIds):
         used, place = np.unique(np.where(first, codes, codes + kinds), return_inverse=True)
         own = coded.dictionary.take(pa.array(used[used < kinds]))
         spaced = pc.binary_join_element_wise("", coded.dictionary.take(pa.array(used[used >= kinds] - kinds)), " ")
-        at = self.places(pa.concat_arrays([own, spaced]))
-        lengths, start = self.lengths[at], (np.cumsum(self.lengths) - self.lengths)[at]
+        flat, lengths = self.of_parts(pa.concat_arrays([own, spaced]))
+        start = np.cumsum(lengths) - lengths
         ends_at = np.cumsum(sizes + 1) - 1
-        codes = np.full(int((sizes + 1).sum()), len(at), np.int64)
+        codes = np.full(int((sizes + 1).sum()), len(lengths), np.int64)
         real = np.ones(len(codes), bool)
         real[ends_at] = False
         codes[real] = place
         size = np.r_[lengths, 1][codes]
         run = np.r_[0, np.cumsum(size)]
-        ids = np.r_[self.ids, np.uint32(end_id)]
-        return ids[ranges(np.r_[start, len(self.ids)][codes], size)], np.r_[0, run[ends_at + 1]]
+        ids = np.r_[flat, np.uint32(end_id)]
+        return ids[ranges(np.r_[start, len(flat)][codes], size)], np.r_[0, run[ends_at + 1]]
+
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts one after the other, and the length of each one's.
+
+        The marks that a word ends in are a token of their own for the
+        pre-tokeniser, so words share ids whatever marks follow them.
+        """
+        split = pc.extract_regex(parts, MARKED)
+        stem = pc.if_else(split.is_valid(), pc.struct_field(split, "word"), parts).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(split, "marks"), "").dictionary_encode()
+        both = pa.concat_arrays([stem.dictionary, marks.dictionary]).dictionary_encode()
+        at = self.places(both.dictionary)[both.indices.to_numpy(zero_copy_only=False)]
+        begin = np.cumsum(self.lengths) - self.lengths
+        halves = np.stack([at[stem.indices.to_numpy(zero_copy_only=False)], at[len(stem.dictionary) + marks.indices.to_numpy(zero_copy_only=False)]], axis=1).ravel()
+        size = self.lengths[halves]
+        return self.ids[ranges(begin[halves], size)], size.reshape(-1, 2).sum(axis=1)
 
 
 @lru_cache(maxsize=2)
 def _ids(path: str) -> SpaceIds | WholeIds:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
     tokenizer = Tokenizer.from_file(path)
     return SpaceIds(tokenizer) if cuts_before_space(tokenizer) else WholeIds(tokenizer)
 
@@ -118,23 +138,6 @@ def id_type(tokenizer_path: str) -> np.dtype:
     return np.dtype("<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, doc_row, n_tokens, ids``: each document's ids as bytes."""
-    kind = id_type(tokenizer_path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", BYTES):
-                ids, cut = _ids(tokenizer_path).encode(part.column("text"), end_id)
-                data = pa.py_buffer(ids.astype(kind).tobytes())
-                column = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((cut * kind.itemsize).astype(np.int32).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("doc_row"), pa.array(np.diff(cut)), column], names=["doc_id", "doc_row", "n_tokens", "ids"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, doc_row long, n_tokens long, ids binary")
-
-
 class FileBuilder:
     """One file of sequences, built up document by document."""
 
@@ -209,7 +212,7 @@ class Sequences:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, file_sequences: int = FILE, range_ids: int = RANGE_IDS) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, file_sequences: int = FILE, range_bytes: int = RANGE_BYTES) -> None:
     """Write ``docs`` into the folder ``path``, in files of at most ``file_sequences`` sequences.
 
     A file's metadata has the number of its range of keys and its own in the
@@ -217,9 +220,9 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     files ``part-*.txt``.
     """
     spark, kind = docs.sparkSession, id_type(tokenizer_path)
-    tokens = materialize(encoded(docs, tokenizer_path, end_id, key, text), "tokens")
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_ids))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder, part, doc, place = FileBuilder(kind, sequence, file_sequences), 0, 0, 0
@@ -229,19 +232,22 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
             return pa.RecordBatch.from_arrays([pa.array([builder.file(place, part)[: -len(MAGIC)]], pa.binary())], names=["value"])
 
         for batch in batches:
-            for doc_id, data, place in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("place").to_pylist(), strict=True):  # noqa: B007
-                ids = np.frombuffer(data.as_buffer(), kind)
-                while len(ids):
-                    ids = builder.add(doc_id, doc, ids)
-                    if builder.full:
-                        yield row()
-                        builder, part = FileBuilder(kind, sequence, file_sequences), part + 1
-                doc += 1
+            for some in slices(batch, "text", BYTES):
+                found, cut = _ids(tokenizer_path).encode(some.column("text"), end_id)
+                found = found.astype(kind)
+                for doc_id, place, a, b in zip(some.column("doc_id").to_pylist(), some.column("place").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # noqa: B007
+                    ids = found[a:b]
+                    while len(ids):
+                        ids = builder.add(doc_id, doc, ids)
+                        if builder.full:
+                            yield row()
+                            builder, part = FileBuilder(kind, sequence, file_sequences), part + 1
+                    doc += 1
         if builder.used:
             yield row()
 
     small_batches(spark)
-    ordered = tokens.repartitionByRange(n_ranges, "doc_id", "doc_row").sortWithinPartitions("doc_id", "doc_row").select("doc_id", "ids", F.spark_partition_id().alias("place"))
+    ordered = rows.repartitionByRange(n_ranges, "doc_id", "doc_row").sortWithinPartitions("doc_id", "doc_row").select("doc_id", "text", F.spark_partition_id().alias("place"))
     # bytes that a string column carries are written as they are
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", MAGIC.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 

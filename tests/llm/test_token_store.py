@@ -34,7 +34,7 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
-@pytest.mark.parametrize("sizes", [{}, {"sequence": 8, "file_sequences": 3}, {"sequence": 50, "file_sequences": 2, "range_ids": 300}])
+@pytest.mark.parametrize("sizes", [{}, {"sequence": 8, "file_sequences": 3}, {"sequence": 50, "file_sequences": 2, "range_bytes": 900}])
 def test_round_trip_against_brute_force(docs, path, sizes):
     got = token_store.round_trip(docs, path, **sizes).collect()
     want, _ = brute(ROWS, path, 0)
