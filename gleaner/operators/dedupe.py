@@ -63,20 +63,6 @@ def greedy_leaders(rows: DataFrame, keys: str, ord_column: str, same: Callable[[
     return _decide(rows, each, ord_column, same, carry)
 
 
-def event_leaders(rows: DataFrame, pairs: DataFrame, ord_column: str, url: str) -> DataFrame:
-    """``ord, leader_ord, matched_key`` of each row in the order ``ord``, by its url and by ``pairs(later, earlier, by)`` of ``identity.event_pairs``.
-
-    A row whose url an earlier leader has follows it, whatever else they say;
-    else it follows the first leader that it is paired with, by the least
-    ``by``; else it leads.  A pair is a key that its two rows have alone.
-    """
-    pairs, pair = materialize(pairs, "pairs"), F.concat_ws("|", F.lit("pair"), "earlier", "later")
-    of_url = rows.where(F.coalesce(F.col(url), F.lit("")) != "").select(F.col(ord_column).cast("long").alias("_o"), F.lit(0).alias("_p"), F.concat(F.lit("url|"), F.col(url)).alias("_k"))
-    ends = F.explode(F.array(F.struct(F.col("later").cast("long").alias("_o"), F.col("by").cast("int").alias("_p")), F.struct(F.col("earlier").cast("long").alias("_o"), F.col("by").cast("int").alias("_p"))))
-    each = of_url.unionByName(pairs.select(ends.alias("_e"), pair.alias("_k")).select("_e._o", "_e._p", "_k"))
-    return _decide(rows, each, ord_column, None, [])
-
-
 def _decide(rows: DataFrame, each: DataFrame, ord_column: str, same: Callable[[tuple, tuple], bool] | None, carry: list[str]) -> DataFrame:
     """The greedy run over the keys ``each(_o, _p, _k)`` of rows."""
     spark = rows.sparkSession

@@ -73,12 +73,26 @@ class IdentityRules:
     other_actions: Named = field(default_factory=list)
     incident_category: str = "incident"
     purchase_category: str = "procurement"
+    hurt: tuple[str, ...] = ()
+    many_hurt: tuple[str, ...] = ()
     version: str = "1"
 
 
 def first_named(folded: Column, groups: Named) -> Column:
-    """The name of the first group that a folded text has a term of; null without one."""
-    return F.coalesce(F.lit(None).cast("string"), *[F.when(folded.rlike(term_regex(terms)), F.lit(name)) for name, terms in groups])
+    """The name of the first group that a folded text has a term of; null without one.
+
+    One expression finds the terms of all groups: at each place of a text that
+    of the first group, so the least of what is found is the first group.
+    """
+    if not groups:
+        return F.lit(None).cast("string")
+    rank = {}
+    for i, (_, terms) in enumerate(groups):
+        for term in terms:
+            rank.setdefault(term.casefold(), i)
+    found = F.regexp_extract_all(folded, F.lit(f"(?=({'|'.join(term_regex([t]) for t in rank)}))"), F.lit(1))
+    place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    return F.get(F.array(*[F.lit(n) for n, _ in groups]), F.array_min(F.transform(F.array_distinct(found), lambda t: place[t])))
 
 
 def identity(text: Column, category: Column, date: Column, date_kind: Column, rules: IdentityRules, country: Column | None = None) -> Column:
@@ -98,7 +112,7 @@ def identity(text: Column, category: Column, date: Column, date_kind: Column, ru
     thing = F.coalesce(part["event_object"], part["package"], F.when((F.size(stations) > 0) & (action == "opening"), "station"))
     values = {
         "event_class": F.when(hurt, "incident").when(of_purchase, "procurement").otherwise("general"), "country": F.coalesce(*own, of_city), **part, "contract": contract, "action": action, "event_object": thing,
-        "stations": stations, "event_date": date.cast("date"), "event_date_kind": date_kind, "injury_count": injuries(text), "contract_version": F.lit(rules.version),
+        "stations": stations, "event_date": date.cast("date"), "event_date_kind": date_kind, "injury_count": injuries(text, rules.hurt, rules.many_hurt), "contract_version": F.lit(rules.version),
     }
     order = ["contract_version", *SINGLE, "stations", "event_date", "event_date_kind", "injury_count"]
     # the id is hashed from the struct, so that every component is computed once
@@ -209,21 +223,3 @@ def title_conflict(a: str, b: str, sets: Iterable[str] = ("lines", "numbered_lin
     region = truth((F.col(f"{a}.region") != "") & (F.col(f"{b}.region") != "") & (F.col(f"{a}.region") != F.col(f"{b}.region")))
     apart = [truth(conflicting(F.col(f"{a}.{n}"), F.col(f"{b}.{n}"))) for n in sets]
     return F.greatest(region, *apart, truth(F.abs(F.datediff(f"{a}.date", f"{b}.date")) > most_days))
-
-
-def event_pairs(rows: DataFrame, ord_column: str = "ord", url: str = "url_key", title: str = "title_key", i: str = "identity") -> DataFrame:
-    """``later, earlier, by`` of rows that can be one: by an equal title without a conflict (1), or in a common block as the same event (2).
-
-    Rows that share nothing are never compared; blocks are those of
-    ``pair_keys``.  Rows whose url another row has don't meet by it here: a url
-    decides without a comparison.
-    """
-    keys = F.concat(F.array_compact(F.array(F.when(F.col(title) != "", F.concat(F.lit("title|"), F.col(title))))), pair_keys(i))
-    # components are used many times: they are computed once
-    keyed = materialize(rows.select(ord_column, title, url, i).withColumn("_keys", keys), "identities")
-    side = lambda p: keyed.select(F.explode("_keys").alias("_key"), F.col("_keys").alias(f"_{p}_keys"), F.col(ord_column).alias(f"_{p}_ord"), F.struct(F.col(title).alias("title"), F.col(url).alias("url")).alias(f"_{p}_row"), F.col(i).alias(f"_{p}"))
-    met = side("a").join(side("b"), "_key").where("_a_ord < _b_ord").where(F.col("_key") == F.array_min(F.array_intersect("_a_keys", "_b_keys")))
-    same_title = F.coalesce((F.col("_a_row.title") == F.col("_b_row.title")) & (F.col("_a_row.title") != ""), F.lit(False))
-    judged = met.withColumn("_c", compare("_a", "_b", F.coalesce((F.col("_a_row.url") == F.col("_b_row.url")) & (F.col("_a_row.url") != ""), F.lit(False))))
-    by = F.when(same_title & (F.size("_c.conflicts") == 0), 1).when(F.col("_c.same_event"), 2)
-    return judged.select(F.col("_b_ord").alias("later"), F.col("_a_ord").alias("earlier"), by.alias("by")).where("by IS NOT NULL")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import identity, similarity
-from gleaner.scratch import discard, materialize, scratch_path
+from gleaner.scratch import materialize, scratch_path
 
 #: Of the structs of two reports (names of columns), whether a similar title can't make them one.
 Conflict = Callable[[str, str], Column]
@@ -58,8 +58,7 @@ def lead(rows: DataFrame, classes: DataFrame, alike: DataFrame) -> DataFrame:
     new = None
     while undecided.count():
         if new is not None:
-            undecided, old = ruled_out(undecided, new, spark.read.schema(schema).parquet(f"{folder}/step=*"), classes, alike), undecided
-            discard(old)
+            undecided = ruled_out(undecided, new, spark.read.schema(schema).parquet(f"{folder}/step=*"), classes, alike)
         least = lambda c, u=undecided: u.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy(F.col(c).alias(f"k_{c}")).agg(F.min("o").alias(f"m_{c}"))
         of_class = undecided.groupBy(F.col("cls").alias("c")).agg(F.min("o").alias("m"))
         held = alike.join(of_class, F.col("other") == F.col("c")).groupBy(F.col("one").alias("k_cls")).agg(F.min("m").alias("m_cls"))
@@ -67,8 +66,7 @@ def lead(rows: DataFrame, classes: DataFrame, alike: DataFrame) -> DataFrame:
         first = (F.coalesce("m_url", "o") >= F.col("o")) & (F.col("asked") | (F.coalesce("m_title", "o") >= F.col("o"))) & (F.coalesce("m_cls", "o") >= F.col("o"))
         met.where(first).select("o", "url", "title", "cls").write.parquet(f"{folder}/step={step}")
         new = spark.read.schema(schema).parquet(f"{folder}/step={step}")
-        undecided, old, step = materialize(undecided.join(new.select("o"), "o", "left_anti"), "undecided"), undecided, step + 1
-        discard(old)
+        undecided, step = materialize(undecided.join(new.select("o"), "o", "left_anti"), "undecided"), step + 1
     return spark.read.schema(schema).parquet(f"{folder}/step=*") if step else rows.limit(0)
 
 
@@ -81,6 +79,8 @@ def ruled_out(undecided: DataFrame, new: DataFrame, leading: DataFrame, classes:
     free = undecided.join(by_url, F.col("url") == F.col("l_url"), "left_anti").join(by_class, (F.col("cls") == F.col("l_cls")) & (F.col("l_o") < F.col("o")), "left_anti")
     waiting = materialize(free.join(firsts, (F.col("title") == F.col("l_title")) & ~F.col("asked"), "left").drop("l_title"), "waiting")
     pairs = waiting.where("f_cls IS NOT NULL").select(F.col("cls").alias("a_cls"), F.col("f_cls").alias("b_cls"))
+    if pairs.isEmpty():
+        return waiting.drop("f_cls")
     apart = title_conflicts(pairs, classes).withColumn("apart", F.lit(True))
     judged = waiting.join(apart, (F.col("cls") == F.col("a_cls")) & (F.col("f_cls") == F.col("b_cls")), "left")
     left = judged.where(F.col("f_cls").isNull() | F.col("apart")).select("o", "url", "title", "cls", (F.col("asked") | F.col("f_cls").isNotNull()).alias("asked"))
@@ -111,13 +111,19 @@ def event_leaders(rows: DataFrame, ord_column: str = "ord", url: str = "url_key"
     sure = met.where("u IS NOT NULL OR t IS NOT NULL").select("o", F.coalesce("u", "t").alias("l"), F.when(F.col("u").isNotNull(), "url").otherwise("title").alias("by"))
 
     rest = materialize(met.where("u IS NULL AND t IS NULL").select("o", "title", "cls"), "rest")
+    if rest.isEmpty():
+        return _named(leading, sure, ord_column)
     near = first_similar(rest, leading, known, similar, conflict if facts else None)
     near = near.join(alike, (F.col("cls") == F.col("one")) & (F.col("l_cls") == F.col("other")), "left_semi").select(F.col("o").alias("n_o"), F.col("l").alias("n"))
     of_class = leading.groupBy(F.col("cls").alias("c")).agg(F.min("o").alias("m"))
     of_event = alike.join(of_class, F.col("other") == F.col("c")).groupBy("one").agg(F.min("m").alias("e"))
     found = rest.join(near, F.col("o") == F.col("n_o"), "left").join(of_event, F.col("cls") == F.col("one")).select("o", F.coalesce("n", "e").alias("l"), F.when(F.col("n").isNotNull(), "similar").otherwise("event").alias("by"))
+    return _named(leading, sure.unionByName(found), ord_column)
+
+
+def _named(leading: DataFrame, following: DataFrame, ord_column: str) -> DataFrame:
     alone = leading.select("o", F.col("o").alias("l"), F.lit(None).cast("string").alias("by"))
-    return alone.unionByName(sure).unionByName(found).select(F.col("o").alias(ord_column), F.col("l").alias("leader_ord"), "by")
+    return alone.unionByName(following).select(F.col("o").alias(ord_column), F.col("l").alias("leader_ord"), "by")
 
 
 def first_similar(rest: DataFrame, leading: DataFrame, known: DataFrame, least: float, conflict: Conflict | None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of event identities, on reports composed of event ids."""
+"""Queries of event identities, on the texts of pages."""
 
 from __future__ import annotations
 
@@ -6,43 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as texts
-from gleaner.operators import dedupe, identity
+from gleaner.functions import urls
+from gleaner.operators import identity, leaders
 from gleaner.plans.common import table
 from gleaner.scratch import materialize
 
-CITIES = [f"{a}{b}" for a in ("al", "bor", "cas", "dun", "el", "far") for b in ("ville", "ton", "burg", "ford")]
-OPERATORS, INCIDENTS, OBJECTS = ["acme", "zenith", "orbit"], ["fire", "collision"], ["lift", "gate"]
-PROJECTS = [f"{a} {b}" for a in ("north", "south", "east", "west", "ring") for b in ("line", "link", "loop", "spur")]
+CITIES = ["thanly", "erinon", "oscoco", "pfenie", "schver", "thinen", "thonan", "eauoi", "einch", "eresnd", "tionque", "tzstzu", "chier", "ingtion", "erung", "queaux", "ieheit", "ingly", "trean", "heing", "ingsh", "ueasga", "schkeit", "doque", "trech", "narll"]
+OPERATORS = ["ingha", "einein", "hestwh", "oument", "ththly", "doque"]
+PROJECTS = ["statre", "anreed", "onerntat", "oueau", "thlyly", "ththan", "enque", "enein", "geheit", "thonth"]
+INCIDENTS, OBJECTS, VENDORS = ["thintion", "euxaux", "zukeitpf"], ["ndtion", "ungsch", "esing", "thther"], ["teach", "enierier"]
+PACKAGES = [("signals", ["eneautre", "laleen"]), ("power", ["therhean", "enver"])]
+BOUGHT, OTHER = [("award", ["that"]), ("tender", ["pour", "nicht"])], [("upgrade", ["with"]), ("opening", ["attion"])]
+CONTRACT, STATIONS, HURT = r"\+1 \(([0-9]{3})\)", r"(thth[a-z]{2}tion)", r"track\([0-9]*([0-9])\)"
 RULES = identity.IdentityRules(
-    named={
-        "city": [(c, [c]) for c in CITIES], "operator": [(o, [o]) for o in OPERATORS], "project": [(p, [p]) for p in PROJECTS], "package": [("signals", ["package s"]), ("power", ["package p"])],
-        "vendor": [(v, [v]) for v in ("ironworks", "brightco")], "incident_type": [(i, [i]) for i in INCIDENTS], "event_object": [(o, [o]) for o in OBJECTS],
-    },
-    country_of={c: f"{c[0]}land" for c in CITIES if c[0] != "f"}, contract=r"contract ([a-z][0-9]+)", stations=r"station ([a-z]+)",
-    purchase_actions=[("award", ["awarded"]), ("tender", ["tender"])], purchase_terms=["awarded", "tender"], other_actions=[("upgrade", ["upgrade"]), ("opening", ["opens"])],
+    named={"city": [(c, [c]) for c in CITIES], "operator": [(o, [o]) for o in OPERATORS], "project": [(p, [p]) for p in PROJECTS], "package": PACKAGES, "vendor": [(v, [v]) for v in VENDORS], "incident_type": [(i, [i]) for i in INCIDENTS], "event_object": [(o, [o]) for o in OBJECTS]},
+    country_of={c: f"{c[0]}land" for c in CITIES if c[0] != "t"}, contract=CONTRACT, stations=STATIONS, purchase_actions=BOUGHT, purchase_terms=["that", "pour", "nicht"], other_actions=OTHER, hurt=(HURT,), many_hurt=("the and",),
 )
 
 
-def _draw(i: int, wide: int) -> str:
-    return f"((event_id * {i * 7919 + 13} + {i * 104729}) % 100003) % {wide}"
-
-
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ord, report, category, date, date_kind, url_key, title_key`` of each event: short reports in a few words."""
-    one = lambda i, values: F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"{_draw(i, len(values))} + 1").cast("int"))
-    act = one(1, ["awarded to ironworks", "awarded to brightco", "tender out", "upgrade", "opens", "seen"])
-    trouble = one(2, ["fire", "collision", "", "", ""])
-    report = F.concat_ws(" ", one(3, [*CITIES, ""]), one(4, [*OPERATORS, ""]), one(5, [*PROJECTS, "", ""]), act, trouble, one(6, ["package s", "package p", "", ""]), one(7, ["contract a1", "contract b2", "", ""]), one(8, ["station east", "station west", "", ""]), one(9, ["lift", "gate", "", ""]), one(10, ["injures 3", "injures 4", ""]))
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        F.col("event_id").alias("ord"), report.alias("report"), F.when(F.expr(_draw(11, 9)) == 0, "incident").alias("category"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr(_draw(12, 40)).cast("int")).alias("date"),
-        one(13, ["publication_date", "publication_date", "incident_date"]).alias("date_kind"), F.when(F.expr(_draw(14, 5)) == 0, F.concat(F.lit("u"), F.expr("event_id % 997").cast("string"))).alias("url_key"),
-        F.when(F.expr(_draw(15, 4)) == 0, F.concat(F.lit("t"), F.expr("event_id % 499").cast("string"))).otherwise("").alias("title_key"),
+    """``ord, report, category, date, date_kind, url_key, title_key, facts`` of each page: its whole text, its title and address; the date of the event of its number."""
+    p = table(spark, sf_dir, "pages")
+    dated = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.col("ts").cast("date").alias("date"))
+    title, language = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("url", "^https?://[^/]*/([a-z]{2})/", 1)
+    facts = F.struct(language.alias("region"), texts.token_set(title, "ing[a-z]*").alias("lines"), texts.token_set(title, r"\d+").alias("numbered_lines"), texts.token_set(title, "[a-z]*ou[a-z]*").alias("entities"), F.col("date"))
+    return p.join(dated, "page_id", "left").select(
+        F.col("page_id").alias("ord"), F.col("html").alias("report"), F.when(language == "es", "incident").alias("category"), "date", F.when(urls.domain("url").endswith(".com"), "publication_date").otherwise("incident_date").alias("date_kind"),
+        F.regexp_replace("url", "[?#].*", "").alias("url_key"), texts.normalize_title(title).alias("title_key"), facts.alias("facts"),
     )
 
 
-def identified(rows: DataFrame) -> DataFrame:
-    return identity.with_identity(rows, identity.identity(F.col("report"), F.col("category"), F.col("date"), F.col("date_kind"), RULES))
+def identified(rows: DataFrame, rules: identity.IdentityRules = RULES) -> DataFrame:
+    return identity.with_identity(rows, identity.identity(F.col("report"), F.col("category"), F.col("date"), F.col("date_kind"), rules))
 
 
 def d1_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +47,11 @@ def d1_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring reports compared: whether they tell of one event, what they share and where they differ."""
-    i = identified(reports(spark, sf_dir)).select("ord", "identity", "url_key")
-    a, b = i.select((F.col("ord") + 1).alias("ord"), F.col("identity").alias("a"), F.col("url_key").alias("a_url")), i.select("ord", F.col("identity").alias("b"), F.col("url_key").alias("b_url"))
-    c = a.join(b, "ord").withColumn("c", identity.compare("a", "b", F.col("ord") % 7 == 0))
-    return c.select("ord", "c.same_event", "c.article_duplicate", F.array_join("c.matched", ",").alias("matched"), F.array_join("c.conflicts", ",").alias("conflicts"), F.col("c.days").alias("days"), "c.window")
+    """Reports of one city and operator compared: whether they tell of one event, what they share and where they differ."""
+    i = materialize(identified(reports(spark, sf_dir)).select("ord", "identity", F.regexp_extract("url_key", "^https?://([^/]*)", 1).alias("host")), "identities")
+    side = lambda s: i.select(F.col("ord").alias(f"{s}_ord"), F.col("identity").alias(s), F.col("host").alias(f"{s}_host"), F.col("identity.city").alias("city"), F.col("identity.operator").alias("operator"))
+    met = side("a").join(side("b"), ["city", "operator"]).where("a_ord < b_ord").withColumn("c", identity.compare("a", "b", F.col("a_host") == F.col("b_host")))
+    return met.select("a_ord", "b_ord", "c.same_event", "c.article_duplicate", F.array_join("c.matched", ",").alias("matched"), F.array_join("c.conflicts", ",").alias("conflicts"), F.col("c.days").alias("days"), "c.window")
 
 
 def d3_identity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +61,9 @@ def d3_identity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d4_event_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports that follow an earlier leader by url, title or event."""
+    """Reports that follow an earlier leader by url, title, similar title or event."""
     rows = materialize(identified(reports(spark, sf_dir)), "reports")
-    return dedupe.event_leaders(rows, identity.event_pairs(rows), "ord", "url_key")
+    return leaders.event_leaders(rows, similar=0.84, facts="facts", conflict=identity.title_conflict)
 
 
 def d5_title_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +79,18 @@ def d5_title_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (d1_identities, d2_identity_pairs, d3_identity_blocks, d4_event_leaders, d5_title_conflicts)}
 
 
-def _pick(i: int, values: list[str]) -> str:
-    return f"[{', '.join(repr(v) for v in values)}][{_draw(i, len(values))} + 1]"
+def _first(groups: list[tuple[str, list[str]]], text: str = "t") -> str:
+    """SQL of the first group that a text has a term of."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)') THEN '{name}'" for name, terms in groups) + " END"
 
 
+_SELF = lambda names: [(n, [n]) for n in names]
 _REPORTS = f"""
-r0 AS (SELECT event_id AS ord, {_draw(1, 6)} AS act, nullif({_pick(2, ["fire", "collision", "", "", ""])}, '') AS incident_type, nullif({_pick(3, [*CITIES, ""])}, '') AS city, nullif({_pick(4, [*OPERATORS, ""])}, '') AS operator, nullif({_pick(5, [*PROJECTS, "", ""])}, '') AS project,
-  nullif({_pick(6, ["signals", "power", "", ""])}, '') AS package, nullif({_pick(7, ["a1", "b2", "", ""])}, '') AS contract, nullif({_pick(8, ["east", "west", "", ""])}, '') AS station, nullif({_pick(9, ["lift", "gate", "", ""])}, '') AS object0, {_draw(10, 3)} AS hurt, {_draw(11, 9)} = 0 AS of_incident,
-  '2024-01-01'::DATE + ({_draw(12, 40)})::INTEGER AS date, {_pick(13, ["publication_date", "publication_date", "incident_date"])} AS date_kind FROM events),
-r AS (SELECT *, CASE WHEN incident_type IS NOT NULL OR of_incident THEN 'incident' WHEN act < 3 THEN 'procurement' ELSE 'general' END AS event_class, CASE WHEN city[1] <> 'f' THEN city[1] || 'land' END AS country, CASE WHEN act < 2 THEN 'award' WHEN act = 2 THEN 'tender' WHEN incident_type IS NOT NULL OR of_incident THEN 'incident' ELSE ['upgrade', 'opening', 'event'][act - 2] END AS action,
-  CASE act WHEN 0 THEN 'ironworks' WHEN 1 THEN 'brightco' END AS vendor, CASE WHEN hurt < 2 THEN (3 + hurt)::INTEGER END AS injury_count FROM r0),
-i AS (SELECT *, coalesce(object0, package, CASE WHEN station IS NOT NULL AND action = 'opening' THEN 'station' END) AS event_object FROM r)"""
+r0 AS (SELECT page_id AS ord, replace(lower(html), 'ß', 'ss') AS t, regexp_extract(url, '^https?://[^/]*/([a-z]{{2}})/', 1) = 'es' AS of_incident, regexp_extract(url, '^https?://([^/]*)', 1) AS host, ts::DATE AS date, CASE WHEN regexp_matches(url, '^https?://[^/?#]*\\.com([/?#:]|$)') THEN 'publication_date' ELSE 'incident_date' END AS date_kind FROM pages LEFT JOIN events ON event_id = page_id),
+r1 AS (SELECT *, {_first(_SELF(INCIDENTS))} AS incident_type, {_first(_SELF(CITIES))} AS city, {_first(_SELF(OPERATORS))} AS operator, {_first(_SELF(PROJECTS))} AS project, {_first(PACKAGES)} AS package, {_first(_SELF(VENDORS))} AS vendor, {_first(_SELF(OBJECTS))} AS object0, {_first(BOUGHT)} AS buying, {_first(OTHER)} AS doing,
+  nullif(regexp_extract(t, '{CONTRACT}', 1), '') AS contract, list_sort(list_distinct(regexp_extract_all(t, '{STATIONS}', 1))) AS stations, coalesce(nullif(regexp_extract(t, '{HURT}', 1), '')::INTEGER, CASE WHEN contains(t, 'the and') THEN CASE WHEN contains(t, '14') THEN 14 ELSE 12 END END) AS injury_count FROM r0),
+r AS (SELECT *, CASE WHEN incident_type IS NOT NULL OR of_incident THEN 'incident' WHEN buying IS NOT NULL THEN 'procurement' ELSE 'general' END AS event_class, CASE WHEN city[1] <> 't' THEN city[1] || 'land' END AS country, CASE WHEN buying IS NOT NULL THEN buying WHEN incident_type IS NOT NULL OR of_incident THEN 'incident' ELSE coalesce(doing, 'event') END AS action FROM r1),
+i AS (SELECT *, coalesce(object0, package, CASE WHEN len(stations) > 0 AND action = 'opening' THEN 'station' END) AS event_object FROM r)"""
 
 
 def _json(name: str, value: str | None = None) -> str:
@@ -102,22 +98,22 @@ def _json(name: str, value: str | None = None) -> str:
     return f"""'"{name}":' || coalesce('"' || {value} || '"', 'null')"""
 
 
-_ID = " || ',' || ".join([_json("action"), _json("city"), _json("contract"), """'"contract_version":"1"'""", _json("country"), _json("event_class"), _json("event_date", "date::VARCHAR"), _json("event_date_kind", "date_kind"), _json("event_object"), _json("incident_type"), """'"injury_count":' || coalesce(injury_count::VARCHAR, 'null')""", _json("operator"), _json("package"), _json("project"), """'"stations":[' || coalesce('"' || station || '"', '') || ']'""", _json("vendor")])
+_ID = " || ',' || ".join([_json("action"), _json("city"), _json("contract"), """'"contract_version":"1"'""", _json("country"), _json("event_class"), _json("event_date", "date::VARCHAR"), _json("event_date_kind", "date_kind"), _json("event_object"), _json("incident_type"), """'"injury_count":' || coalesce(injury_count::VARCHAR, 'null')""", _json("operator"), _json("package"), _json("project"), """'"stations":[' || array_to_string(list_transform(stations, lambda x: '"' || x || '"'), ',') || ']'""", _json("vendor")])
 _SAME = lambda n: f"coalesce(a.{n} = b.{n}, false)"
 _DIFF = lambda n: f"coalesce(a.{n} <> b.{n}, false)"
 _NAMES = lambda names: ", ".join(f"CASE WHEN {_SAME(n)} THEN '{m}' END" for n, m in names)
 
 ORACLE_SQL = {
-    "d1_identities": f"WITH {_REPORTS} SELECT ord, event_class, country, project, package, contract, action, event_object, vendor, injury_count, coalesce(station, '') AS stations, 'evt_' || substr(sha256('{{' || {_ID} || '}}'), 1, 24) AS event_id FROM i",
+    "d1_identities": f"WITH {_REPORTS} SELECT ord, event_class, country, project, package, contract, action, event_object, vendor, injury_count, array_to_string(stations, ',') AS stations, 'evt_' || substr(sha256('{{' || {_ID} || '}}'), 1, 24) AS event_id FROM i",
     "d2_identity_pairs": f"""
-WITH {_REPORTS}, p AS (SELECT b.ord, b.ord % 7 = 0 AS same_url, a.event_class AS ac, a.event_class = b.event_class AS one_class, abs(a.date - b.date)::INTEGER AS days, a.date_kind <> 'publication_date' AND b.date_kind <> 'publication_date' AS certain, a.action = 'award' AND b.action = 'award' AS awards,
-  {", ".join(f"{_SAME(n)} AS same_{n}, {_DIFF(n)} AS diff_{n}" for n in ("country", "city", "operator", "project", "package", "contract", "vendor", "action", "incident_type", "event_object", "station", "injury_count"))},
-  a.package IS NULL AND b.package IS NULL AS unpacked FROM i a JOIN i b ON b.ord = a.ord + 1),
+WITH {_REPORTS}, p AS (SELECT a.ord AS a_ord, b.ord AS b_ord, a.host = b.host AS same_url, list_has_any(a.stations, b.stations) AS same_station, len(a.stations) > 0 AND len(b.stations) > 0 AND NOT list_has_any(a.stations, b.stations) AS diff_station, a.event_class AS ac, a.event_class = b.event_class AS one_class, abs(a.date - b.date)::INTEGER AS days, a.date_kind <> 'publication_date' AND b.date_kind <> 'publication_date' AS certain, a.action = 'award' AND b.action = 'award' AS awards,
+  {", ".join(f"{_SAME(n)} AS same_{n}, {_DIFF(n)} AS diff_{n}" for n in ("country", "city", "operator", "project", "package", "contract", "vendor", "action", "incident_type", "event_object", "injury_count"))},
+  a.package IS NULL AND b.package IS NULL AS unpacked FROM i a JOIN i b ON a.city = b.city AND a.operator = b.operator AND a.ord < b.ord),
 q AS (SELECT *, one_class AND ac = 'procurement' AS bought, one_class AND ac = 'incident' AS inc, one_class AND ac = 'general' AS gen, CASE WHEN one_class AND ac = 'procurement' AND awards AND NOT certain THEN 21 ELSE 3 END AS win FROM p),
 c AS (SELECT *, concat_ws(',', CASE WHEN diff_country THEN 'country' END, CASE WHEN diff_city THEN 'city' END, CASE WHEN diff_project THEN 'project' END, CASE WHEN diff_package THEN 'package' END, CASE WHEN diff_contract THEN 'contract' END, CASE WHEN bought AND diff_vendor THEN 'vendor' END, CASE WHEN bought AND diff_action THEN 'procurement_action' END,
   CASE WHEN inc AND diff_incident_type THEN 'incident_type' END, CASE WHEN gen AND diff_event_object THEN 'event_object' END, CASE WHEN (inc OR gen) AND diff_station THEN 'station' END, CASE WHEN gen AND diff_action THEN 'action' END, CASE WHEN certain AND days > win THEN 'event_date_window' END) AS conflicts FROM q),
 d AS (SELECT *, conflicts = '' AND same_url AS article, conflicts = '' AND NOT same_url AND inc AND same_incident_type AS of_i, conflicts = '' AND NOT same_url AND bought AND same_action AS of_b, conflicts = '' AND NOT same_url AND one_class AND NOT (inc AND same_incident_type) AND NOT (bought AND same_action) AS of_o FROM c)
-SELECT ord, article OR (of_i AND same_city::INT + 3 * same_station::INT + same_operator::INT + same_event_object::INT + 2 * same_injury_count::INT >= 2 AND (same_country OR same_city OR same_station))
+SELECT a_ord, b_ord, article OR (of_i AND same_city::INT + 3 * same_station::INT + same_operator::INT + same_event_object::INT + 2 * same_injury_count::INT >= 2 AND (same_country OR same_city OR same_station))
     OR (of_b AND same_project AND (same_package OR same_contract OR (unpacked AND days <= 3)))
     OR (of_o AND (same_city OR same_operator OR same_project) AND (same_project OR same_event_object OR same_station) AND same_city::INT + same_operator::INT + same_project::INT + same_event_object::INT + same_action::INT >= 2) AS same_event,
   article AS article_duplicate, conflicts, days, win AS window,
@@ -127,7 +123,7 @@ SELECT ord, article OR (of_i AND same_city::INT + 3 * same_station::INT + same_o
     "d3_identity_blocks": f"""
 WITH {_REPORTS}, g AS (SELECT *, event_class <> 'procurement' AND NOT (event_class = 'incident' AND incident_type IS NOT NULL) AS free FROM i),
 k AS (SELECT 'procurement|' || action || '|' || project AS block FROM i WHERE event_class = 'procurement'
-  UNION ALL SELECT 'incident|' || incident_type || '|city|' || city FROM i WHERE event_class = 'incident' UNION ALL SELECT 'incident|' || incident_type || '|country|' || country FROM i WHERE event_class = 'incident' UNION ALL SELECT 'incident|' || incident_type || '|station|' || station FROM i WHERE event_class = 'incident'
+  UNION ALL SELECT 'incident|' || incident_type || '|city|' || city FROM i WHERE event_class = 'incident' UNION ALL SELECT 'incident|' || incident_type || '|country|' || country FROM i WHERE event_class = 'incident' UNION ALL SELECT 'incident|' || incident_type || '|station|' || unnest(stations) FROM i WHERE event_class = 'incident'
   {" ".join(f"UNION ALL SELECT 'general|' || event_class || '|{a}|' || {a} || '|{b}|' || {b} FROM g WHERE free" for n, a in enumerate(("city", "operator", "project", "event_object", "action")) for b in ("city", "operator", "project", "event_object", "action")[n + 1:] if n < 3)})
 SELECT block, count(*) AS n FROM k WHERE block IS NOT NULL GROUP BY 1""",
     "d5_title_conflicts": r"""

@@ -131,6 +131,9 @@ def u11_date_parse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.loose_date(written).alias("read"), dates.path_date(url).alias("from_path"), dates.publication_date(written).alias("published"))
 
 
+HURT = [r"injures (\d{1,3})\b", r"\b(\d{1,3}) (?:passengers )?(?:were )?(?:hurt|injured)\b", r"\b(\d{1,3}) hospitalised\b", r"(\d{1,3}) *人受傷"]
+
+
 def f17_injury_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of hurt people in composed reports."""
     n = F.col("event_id") % 200
@@ -140,7 +143,7 @@ def f17_injury_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit("列車事故"), number, F.lit(" 人受傷"))).when(kind == 4, F.concat(F.lit("More than a dozen hurt on line "), number)).when(kind == 5, F.lit("Over a dozen people in a lift"))
         .when(kind == 6, F.concat(number, F.lit("0000 injured in ten years"))).otherwise("nobody")
     )
-    return table(spark, sf_dir, "events").select("event_id", text.injuries(report).alias("n_hurt"))
+    return table(spark, sf_dir, "events").select("event_id", text.injuries(report, HURT, ["more than a dozen", "over a dozen"]).alias("n_hurt"))
 
 
 def u18_ingest_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,8 @@ def test_normalisation(spark):
 
 def test_extraction(spark):
     rows = [("12 people were injured",), ("a dozen hurt",), ("over a dozen hurt, 14 in all",), ("More than a dozen ill",), ("Subway fire injures 14",), ("7 hospitalised, 2 hurt",), ("1234 injured",), ("none",), (None,)]
-    assert values(spark, rows, text.injuries("t")) == [12, None, 14, 12, 14, 7, None, None, None]
+    patterns = [r"injures (\d{1,3})\b", r"\b(\d{1,3}) (?:people )?(?:were )?(?:injured|hurt|hospitalised)\b"]
+    assert values(spark, rows, text.injuries("t", patterns, ["more than a dozen", "over a dozen"])) == [12, None, 14, 12, 14, 7, None, None, None]
     assert values(spark, [('x ```json\n{"a": 1}\n``` {',), ('so {"a": {"b": 2}} ok',), ("{broken",), (None,)], text.loose_json("t")) == ['{"a": 1}', '{"a": {"b": 2}}', None, None]
     assert values(spark, [("see doi:10.1000/X-1.",), ("10.12/x",)], text.doi("t")) == ["10.1000/x-1", None]
     assert values(spark, [("EN 50126-1 and",), ("ISO9001",), ("SEN 1",)], text.standard_id("t", ["EN", "ISO"])) == ["EN 50126-1", "ISO9001", None]
