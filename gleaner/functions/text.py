@@ -212,6 +212,19 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def paraphrase(summary: Column | str, title: Column | str, low: float = 0.72, high: float = 0.999, least: int = 12, slack: int = 36) -> Column:
+    """Whether a summary says little but its title: a ratio from ``low`` to below ``high`` of both without marks.
+
+    Neither may be shorter than ``least`` characters, nor the summary longer
+    than the title by more than ``slack``; only then is the ratio computed.
+    """
+    bare = lambda c: F.regexp_replace(fold(c), r"(?U)[\W_]+", "")
+    s, t = bare(summary), bare(title)
+    comparable = (F.length(t) >= least) & (F.length(s) >= least) & (F.length(s) <= F.length(t) + slack)
+    ratio = similarity(F.when(comparable, t), F.when(comparable, s))
+    return comparable & (ratio >= low) & (ratio < high)
+
+
 def spans(text: Column | str, terms: Iterable[str], mode: str = "token") -> Column:
     """``array<struct(start, stop)>`` of all matches that don't overlap, from the left, start from 0."""
     pattern, t = term_regex(terms, mode), fold(text)

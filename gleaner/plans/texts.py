@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates, hashing, text, urls
+from gleaner.operators import similarity
 from gleaner.plans.common import table
 
 PACKS = {"insult": ["idiot", "stupid", "trash"], "article": ["the", "une", "der"], "phrase": ["of the", "de la", "in der"], "secret": ["password", "AKIA"]}
@@ -49,15 +50,34 @@ def f12_canonical_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f14_similar_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different titles of pages, of about one length, that share a word in its place and have a similarity of 0.84 or more."""
-    p = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title")).where("title <> ''").groupBy("title").agg(F.min("page_id").alias("page_id"))
-    keyed = p.select("page_id", "title", F.posexplode(F.split("title", " ")).alias("place", "word"))
-    a, b = (keyed.select("place", "word", F.col("page_id").alias(f"{s}_page"), F.col("title").alias(f"{s}_title")) for s in "ab")
-    # lengths bound the ratio from above: 2 * shorter / both
-    short, both = F.least(F.length("a_title"), F.length("b_title")), F.length("a_title") + F.length("b_title")
-    met = a.join(b, ["place", "word"]).where(F.col("a_page") < F.col("b_page")).where(2 * short >= 0.84 * both)
-    pairs = met.select("a_page", "b_page", "a_title", "b_title").distinct().withColumn("ratio", text.similarity("a_title", "b_title"))
-    return pairs.where("ratio >= 0.84").select("a_page", "b_page", F.round("ratio", 6).alias("ratio"))
+    """Pairs of different titles of pages with a similarity of 0.84 or more, of the later title against the earlier."""
+    p = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"))
+    pairs = similarity.similar_texts(p, "page_id", "title", 0.84).where("ratio >= 0.84")
+    return pairs.select(F.col("a").alias("a_page"), F.col("b").alias("b_page"), F.round("ratio", 6).alias("ratio"))
+
+
+def f14_similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of titles that are paraphrases: alike from 0.72 up to below 0.999."""
+    p = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"))
+    return similarity.similar_rows(p, "page_id", "title", 0.72, 0.999).select("later", "earlier", F.round("ratio", 6).alias("ratio"))
+
+
+def f15_title_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose first sentence only says their title again."""
+    first = F.regexp_extract("html", r"(?s)<p>(?:<b>)?([^<.]*[<.][^<.]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", text.paraphrase(first, _page_title()).alias("paraphrase"))
+
+
+def r22_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the title of each page the first document that may be what it names: an equal or near-equal beginning, or one that a cut title begins; of the page's language."""
+    raw, head = F.regexp_extract("html", "<title>([^<]*)</title>", 1), lambda c: F.slice(F.split(c, " "), 1, 3)
+    pages = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("page_lang"), (F.length(raw) >= 60).alias("cut")).where("title <> ''").withColumn("head", head("title"))
+    begin = text.normalize_title(F.substring_index("text", ".", 1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", begin.alias("begin")).withColumn("head", head("begin"))
+    items = docs.join(pages.select("page_id", "head"), "head").select("page_id", "doc_id", "lang", "begin")
+    prefix = F.col("cut") & (F.size(F.split("title", " ")) >= 4) & F.startswith(F.col("item.begin"), F.col("title"))
+    found = similarity.first_acceptable(pages, items, "page_id", "doc_id", "title", "begin", F.col("page_lang") == F.col("item.lang"), prefix)
+    return found.select("page_id", F.col("item.doc_id").alias("doc_id"))
 
 
 def f16_token_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +178,7 @@ def u20_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("kind").agg(F.count("*").alias("n_pages"))
 
 
-QUERIES = {f.__name__: f for f in (f1_term_match_counts, f2_negation_aware_match, f7_normalized_title_groups, f9_clean_shorten, f12_canonical_tags, f14_similar_title_pairs, f16_token_conflicts, f17_injury_counts, f20_loose_json, f21_identifiers, u1_domain_rollup, u2_host_suffix_class, u5_url_reject_reason, u7_canonical_url_dups, u11_date_parse_chain, u18_ingest_id, u20_page_kinds)}
+QUERIES = {f.__name__: f for f in (f1_term_match_counts, f2_negation_aware_match, f7_normalized_title_groups, f9_clean_shorten, f12_canonical_tags, f14_similar_title_pairs, f14_similar_rows, f15_title_paraphrases, r22_title_lookup, f16_token_conflicts, f17_injury_counts, f20_loose_json, f21_identifiers, u1_domain_rollup, u2_host_suffix_class, u5_url_reject_reason, u7_canonical_url_dups, u11_date_parse_chain, u18_ingest_id, u20_page_kinds)}
 
 
 def _re2(terms: list[str]) -> str:
