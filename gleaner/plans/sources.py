@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import text
+from gleaner.functions import text, urls
 from gleaner.operators import select
 from gleaner.plans.common import composed, table
+from gleaner.sources import feeds as feeds_source
 from gleaner.sources import landed
+from gleaner.streaming import dedupe as streams
 
 #: Keys whose blocks make one text.
 COMPOSED = 1_000
@@ -27,6 +29,49 @@ def s2_feed_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.coalesce("reject", F.lit("kept")).alias("reject")).agg(F.count("*").alias("n"), F.max("published_date").alias("latest"))
 
 
+#: Entries of a feed.
+FEED_SIZE = 25
+
+
+def _landed_feeds(spark: SparkSession, sf_dir: str) -> str:
+    """Pages as feeds of at most ``FEED_SIZE`` entries by their numbers: every fifth feed is broken, every seventh missing; some of these have a fallback, some a period."""
+    p = table(spark, sf_dir, "pages").withColumn("feed", F.floor(F.col("page_id") / FEED_SIZE))
+    data = lambda c: F.concat(F.lit("<![CDATA["), F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]|\]\]>", ""), F.lit("]]>"))
+    day = F.date_format(F.expr("date_add(date'2024-01-01', cast(page_id % 60 as int))"), "EEE, dd MMM yyyy 10:00:00 'GMT'")
+    item = F.concat(F.lit("<item><title>"), data(F.when(F.col("page_id") % 14 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).otherwise("")), F.lit("</title><link>"), data(F.col("url")), F.lit("</link><description>"), data(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1)), F.lit("</description><pubDate>"), day, F.lit("</pubDate></item>"))
+    whole = p.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))).alias("items"))
+    body = F.concat(F.lit("<rss><channel>"), F.array_join("items.item", ""), F.when((F.col("feed") % 5 == 1) & ~F.col("alt"), "</broken>").otherwise("</channel></rss>"))
+    texts = whole.withColumn("alt", F.explode(F.array(F.lit(False), F.lit(True)))).where("alt OR feed % 7 <> 3").select(F.concat(F.when(F.col("alt"), "alt-").otherwise("feed-"), "feed").alias("folder"), body.alias("value"))
+    bad = (F.col("feed") % 5 == 1) | (F.col("feed") % 7 == 3)
+    feeds = whole.select(
+        F.col("feed").alias("ord"), F.concat(F.lit("feed-"), "feed").alias("source"), F.concat(F.lit("feed-"), "feed").alias("path"), F.when(bad & (F.col("feed") % 2 == 1), F.concat(F.lit("alt-"), "feed")).alias("fallback"),
+        F.when(F.col("feed") % 3 == 0, "2024-Q1").alias("period"), (F.col("feed") % 11 == 4).alias("known_bad"),
+    )
+    return feeds_source.land(spark, texts, feeds)
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> feeds_source.Scan:
+    rows = feeds_source.read_feeds(spark, _landed_feeds(spark, sf_dir))
+    return feeds_source.scan(rows, F.lit("2024-01-20").cast("date"), lambda t: text.contains_any(t, ["the", "que", "die", "les", "of"]), lambda t: text.contains_any(t, ["onre"]), URL_RULES, 8)
+
+
+def s1_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all feeds with the first reason against them; the first of a title or url wins, whichever feed it is of."""
+    return _scan(spark, sf_dir).entries.select("source", "pos", "published_date", "reject")
+
+
+def s1_feed_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of status for each feed: read, by its fallback, or what is wrong with it."""
+    return _scan(spark, sf_dir).statuses.drop("message")
+
+
+def t5_keyed_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which none before has the title or the address, as a stream with keyed state."""
+    p = streams.read_landed(spark, f"{sf_dir}/pages.parquet")
+    title = text.normalize_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return streams.first_wins(p.select(F.col("page_id").alias("ord"), title.alias("title_key"), urls.dedupe_url("url").alias("url_key"))).select(F.col("ord").alias("page_id"))
+
+
 def s3_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("url").alias("href"), F.expr("cast(date_add(date'2024-01-01', cast(page_id % 90 as int)) as string)").alias("date"), F.lit(None).cast("string").alias("published"))
     out = landed.normalize_hits(p, "2024-01-10", "2024-02-20", 3, URL_RULES)
@@ -83,14 +128,38 @@ def f13_fragment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count_if("both").alias("n_both"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (s2_feed_normaliser, s3_search_hits, s9_page_metadata, s12_metadata_cascade, s17_block_parser, r21_best_link, q14_water_filling, f13_fragment_gate)}
+QUERIES = {f.__name__: f for f in (s1_feed_entries, s1_feed_statuses, t5_keyed_first_wins, s2_feed_normaliser, s3_search_hits, s9_page_metadata, s12_metadata_cascade, s17_block_parser, r21_best_link, q14_water_filling, f13_fragment_gate)}
 
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '')"
 _URL = f"CASE WHEN replace({_PATH}, '/', '') = '' THEN 'homepage' WHEN {_PATH} LIKE '%/fr/%' THEN 'blocked_path' WHEN lower({_PATH}) LIKE '%.html' THEN 'blocked_suffix' WHEN {_DOMAIN} = 'spam-farm.example.org' OR {_DOMAIN} LIKE '%.spam-farm.example.org' THEN 'blocked_host' END"
 _B = "(?:^|[^a-z0-9])(?:{})(?:[^a-z0-9]|$)"
 
+_FEEDS = f"""
+WITH RECURSIVE f AS (SELECT *, page_id // 25 AS feed, CASE WHEN page_id % 14 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '' END AS title, regexp_extract(html, '<p>(.*?)</p>', 1, 's') AS s, DATE '2024-01-01' + (page_id % 60)::INTEGER AS d FROM pages),
+feeds AS (SELECT feed, CASE WHEN feed % 11 = 4 THEN 'known_bad' WHEN feed % 7 = 3 THEN 'missing' WHEN feed % 5 = 1 THEN 'unreadable' ELSE 'read' END AS own, feed % 2 = 1 AND feed % 3 <> 0 AS may FROM (SELECT DISTINCT feed FROM f)),
+heads AS (SELECT feed, CASE WHEN own IN ('missing', 'unreadable') AND may THEN 'fallback' ELSE own END AS status FROM feeds),
+e AS (SELECT f.feed, page_id, row_number() OVER (PARTITION BY f.feed ORDER BY page_id) AS pos, d, url, title, concat_ws(' ', title, trim(s)) AS b FROM f JOIN heads h ON h.feed = f.feed AND h.status IN ('read', 'fallback')),
+r AS (SELECT *, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS tk, regexp_replace(regexp_replace(url, '[;?#].*$', ''), '/+$', '') AS uk,
+  CASE WHEN trim(title) = '' THEN 'empty_title' WHEN d <= DATE '2024-01-20' THEN 'not_recent' WHEN regexp_matches(lower(b), '{_B.format("onre")}') OR NOT regexp_matches(lower(b), '{_B.format("the|que|die|les|of")}') THEN 'off_topic' WHEN {_URL} LIKE 'blocked%' THEN 'blocked' WHEN {_URL} IS NOT NULL THEN 'invalid' END AS reject0 FROM e),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n FROM r WHERE reject0 IS NULL),
+seen AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS keys, -1::BIGINT AS page_id, false AS again UNION ALL
+  SELECT o.n, CASE WHEN list_has_any(seen.keys, ks) THEN seen.keys ELSE seen.keys || ks END, o.page_id, list_has_any(seen.keys, ks) FROM seen JOIN (SELECT *, list_filter([CASE WHEN tk <> '' THEN 'title:' || tk END, 'url:' || uk], lambda k: k IS NOT NULL) AS ks FROM o) o ON o.n = seen.n + 1),
+j AS (SELECT r.*, CASE WHEN reject0 IS NOT NULL THEN reject0 WHEN again THEN 'duplicate' END AS reject1 FROM r LEFT JOIN seen USING (page_id)),
+k AS (SELECT *, CASE WHEN reject1 IS NULL AND count(*) FILTER (reject1 IS NULL) OVER (PARTITION BY feed ORDER BY pos) > 8 THEN 'over' ELSE reject1 END AS reject FROM j)"""
+
 ORACLE_SQL = {
+    "t5_keyed_first_wins": r"""
+WITH RECURSIVE o AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, list_filter([CASE WHEN tk <> '' THEN 'title:' || tk END, CASE WHEN uk <> '' THEN 'url:' || uk END], lambda k: k IS NOT NULL) AS ks FROM (
+  SELECT page_id, trim(regexp_replace(replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS tk, regexp_replace(regexp_replace(url, '[;?#].*$', ''), '/+$', '') AS uk FROM pages)),
+seen AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS keys, -1::BIGINT AS page_id, true AS again UNION ALL
+  SELECT o.n, CASE WHEN list_has_any(seen.keys, ks) THEN seen.keys ELSE seen.keys || ks END, o.page_id, list_has_any(seen.keys, ks) FROM seen JOIN o ON o.n = seen.n + 1)
+SELECT page_id FROM seen WHERE NOT again""",
+    "s1_feed_entries": f"{_FEEDS} SELECT 'feed-' || feed AS source, pos::INTEGER AS pos, d AS published_date, reject FROM k",
+    "s1_feed_statuses": f"""{_FEEDS}, c AS (SELECT feed, count(*) FILTER (reject IS NULL) AS n, count(*) FILTER (reject = 'off_topic') AS t, count(*) FILTER (reject = 'invalid') AS i, count(*) FILTER (reject = 'blocked') AS b, count(*) FILTER (reject = 'duplicate') AS d FROM k GROUP BY feed),
+m AS (SELECT h.feed, status, coalesce(n, 0) AS n, coalesce(t, 0) AS t, coalesce(i, 0) AS i, coalesce(b, 0) AS b, coalesce(d, 0) AS d FROM heads h LEFT JOIN c USING (feed))
+SELECT feed AS ord, 'feed-' || feed AS source, status = 'fallback' AS by_fallback, n AS n_entries, t AS n_off_topic, i AS n_invalid, b AS n_blocked, d AS n_duplicate,
+  CASE WHEN status NOT IN ('read', 'fallback') THEN status WHEN n = 0 THEN CASE WHEN t > 0 AND i = 0 AND b = 0 THEN 'off_topic' WHEN b > 0 AND i = 0 THEN 'blocked' ELSE 'no_entries' END WHEN status = 'fallback' THEN 'fallback_ok' ELSE 'ok' END AS status FROM m""",
     "s2_feed_normaliser": f"""
 WITH e AS (SELECT CASE WHEN page_id % 14 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, url, regexp_extract(html, '<p>(.*?)</p>', 1, 's') AS s, CASE WHEN page_id % 9 <> 0 THEN DATE '2024-01-01' + (page_id % 60)::INTEGER END AS d FROM pages),
 f AS (SELECT *, lower(concat_ws(' ', title, trim(regexp_replace(s, '<[^>]+>', ' ', 'g')))) AS b0, lower(concat_ws(' ', title, s)) AS b FROM e)
