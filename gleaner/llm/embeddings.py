@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import lookup_join, mix
+from gleaner.llm.common import lookup_join, mix, numbered_columns
 from gleaner.llm.linkage import components, deal, parts, spread_sparse
 from gleaner.scratch import materialize
 
 THRESHOLD = 0.95
+#: Columns that are added; of the carried ones those of these names are replaced.
+ADDED = ["n_links", "component_id", "kept"]
 #: Share of pairs at the threshold that meet in a bucket, and seeded pairs that it is measured on.
 RECALL, PAIRS = 0.9999, 4000
 #: Coordinates of a block, and vectors that a bucket has by chance at most before another vertex is joined to it.
@@ -260,10 +262,14 @@ def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (the id unless named) of each row with ``n_links`` (other vectors at the cosine ``THRESHOLD`` or above), ``component_id`` (the least id reachable by links) and ``kept``."""
     carry = [id_column] if carry is None else carry
+    plain, place = numbered_columns(vectors, [*carry, id_column, "embedding"])
+    named = plain.withColumnRenamed(place["embedding"], "embedding")
+    vectors = named.select("embedding")
     width = F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(2)).cast("long")
     sizes = vectors.groupBy(F.length(F.bin(width - 1)).alias("power")).count().collect()  # lengths up to a power of two: some thirty rows at most
     chosen = {2 ** r["power"]: settings(2 ** r["power"], sum(r["count"] for r in sizes)) for r in sizes}
-    rows = hashed(vectors.select(F.struct(*carry).alias("_row"), F.col(id_column).cast("long").alias("_id"), "embedding"), chosen)
+    row = F.struct(*dict.fromkeys(place[c] if c != "embedding" else c for c in carry))
+    rows = hashed(named.select(row.alias("_row"), F.col(place[id_column]).cast("long").alias("_id"), "embedding"), chosen)
     rows = materialize(rows.withColumn("_uid", F.monotonically_increasing_id()), "vectors")
     rep = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))
     usable = rows.where("digest IS NOT NULL")
@@ -299,7 +305,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", carry: list[s
     judged = lookup_join(rows, verdict, F.col("digest") == F.col("_digest"), "left")
     alone = F.col("best").isNull()
     return judged.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in carry],
+        *[F.col(f"_row.{place[c] if c != 'embedding' else c}").alias(c) for c in carry if c.lower() not in ADDED],
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(alone, F.col("_id")).otherwise(F.col("best.id")).alias("component_id"),
         (alone | (F.col("_uid") == F.col("best.uid"))).alias("kept"),

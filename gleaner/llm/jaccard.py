@@ -41,10 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import Words, append_column, lookup_join, mix, windows_of
+from gleaner.llm.common import Words, append_column, lookup_join, mix, numbered_columns, windows_of
 from gleaner.llm.linkage import components, deal, links_within, numbered, parts, spread
 from gleaner.scratch import materialize
 
+#: Columns that are added; of the carried ones those of these names are replaced.
+ADDED = ["n_links", "class_id", "kept"]
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 4, 0.9999999
 #: Share of equal minima that links two texts provisionally: six deviations below the threshold.
@@ -198,7 +200,9 @@ def forest(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (``doc_id`` unless named) of each row of ``docs`` with ``n_links`` (other documents at the threshold or above), ``class_id`` (the least ``doc_id`` reachable by links) and ``kept``."""
     carry = ["doc_id"] if carry is None else carry
-    keyed = docs.select(F.struct(*carry).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), text_key(F.col("text")).alias("class"))
+    plain, place = numbered_columns(docs, [*carry, "doc_id", "text"])
+    text = F.col(place["text"])
+    keyed = plain.select(F.struct(*dict.fromkeys(place[c] for c in carry)).alias("_row"), F.col(place["doc_id"]).alias("_id"), text.alias("_text"), text_key(text).alias("class"))
     signed = append_column(keyed, "paths", T.ArrayType(T.LongType()), "_text", lambda part: paths(part.column("_text")), drop=True)
     rows = materialize(signed.withColumn("_uid", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_uid").alias("uid")))
@@ -208,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
     groups = forest(classes.select("class", "paths"), threshold)
     members = lookup_join(classes.select("class", "n_docs"), groups, F.col("class") == F.col("node")).drop("class", "stop")
     members = materialize(members.withColumnRenamed("node", "_member"), "members")
-    texts = rows.select("class", F.col("_row.text").alias("_text")) if "text" in carry else keyed.select("class", "_text")
+    texts = rows.select("class", F.col(f"_row.{place['text']}").alias("_text")) if "text" in carry else keyed.select("class", "_text")
     texts = lookup_join(texts, members, F.col("class") == F.col("_member")).drop("_member").dropDuplicates(["class"])
 
     def sets(part: pa.RecordBatch) -> pa.Array:
@@ -231,8 +235,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, carry: list[s
     judged = lookup_join(rows, verdict, F.col("class") == F.col("_class"), "left")
     alone = F.col("best").isNull()
     return judged.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in carry],
+        *[F.col(f"_row.{place[c]}").alias(c) for c in carry if c.lower() not in ADDED],
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(alone, F.col("_id")).otherwise(F.col("best.id")).alias("class_id"),
         (alone | (F.col("_uid") == F.col("best.uid"))).alias("kept"),
     )
+
+
+def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` of each class, with its own columns, whatever their names."""
+    plain, place = numbered_columns(docs, docs.columns)
+    named = {place["doc_id"]: "doc_id", place["text"]: "text"}
+    found = near_duplicates(plain.withColumnsRenamed(named), threshold, [named.get(c, c) for c in plain.columns])
+    return found.where("kept").select(*[F.col(named.get(place[c], place[c])).alias(c) for c in docs.columns])

@@ -97,3 +97,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SE
         .withColumn("_place", F.xxhash64(F.lit(f"{seed}:place"), place["doc_id"], "copy_no", "_row"))
     )
     return copies.repartition("_place").sortWithinPartitions("_place").select(*restored(place, names, []), "copy_no")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The copies that ``mix`` makes, with the columns of ``docs`` alone, whatever their names."""
+    plain, place = numbered_columns(docs, docs.columns)
+    named = {place[c]: c for c in ("doc_id", "text", "source")}
+    copies = mix(plain.withColumnsRenamed(named), **options)
+    return copies.select(*[F.col(named.get(place[c], place[c])).alias(c) for c in docs.columns])

@@ -69,7 +69,7 @@ def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE))
     counts = [secrets.count_of(k).alias(f"n_{k.name}") for k in secrets.BASE]
     sha = F.sha2(secrets.joined(base).cast("binary"), 256)
-    return found.select("doc_id", *counts, sha.alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"), "n_live", "n_shared")
+    return found.select("doc_id", *counts, sha.alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"), *secrets.COUNTS)
 
 
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,12 +160,12 @@ SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id, doc_id = class
 """,
     "op9_secret_owners": f"""
 WITH d AS (SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(_secret_spans(r, k) for r, k in enumerate(secrets.KINDS))}
-), own AS (SELECT value, count(DISTINCT source) AS n_owners FROM spans JOIN d USING (rid) GROUP BY 1), each AS (SELECT DISTINCT rid, value FROM spans), judged AS (
-  SELECT rid, count(*) FILTER (n_owners = 1 AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS}) AS n_live, count(*) FILTER (n_owners >= {secrets.SHARED_OWNERS}) AS n_shared FROM each JOIN own USING (value) GROUP BY 1
+), own AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS n_owners, (count(DISTINCT coalesce('x' || doc_id, '') || coalesce('/x' || source, '')))::BIGINT AS n_repositories FROM spans JOIN d USING (rid) GROUP BY 1), each AS (SELECT DISTINCT rid, value FROM spans), judged AS (
+  SELECT rid, count(*) FILTER (n_owners = 1 AND n_repositories < {secrets.SHARED_REPOSITORIES} AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS}) AS n_live, count(*) FILTER (n_owners >= {secrets.SHARED_OWNERS} OR n_repositories >= {secrets.SHARED_REPOSITORIES}) AS n_shared, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM each JOIN own USING (value) GROUP BY 1
 ), agg AS (
   SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in secrets.BASE)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE)}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY 1
 )
-SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN agg USING (rid) LEFT JOIN judged USING (rid)
 """,
     "op7_warc_captures": """

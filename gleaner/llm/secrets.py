@@ -1,9 +1,10 @@
 """Secrets in texts, sorted by how many repositories and owners share them.  DataFrame functions only.
 
 Patterns propose spans; each candidate's hash is counted over the whole
-corpus by distinct repositories and owners.  A value that many owners hold is
-a copied example; one that a single owner holds and that is varied enough to
-be a key looks live.
+corpus by distinct repositories and owners.  A value that many owners hold,
+or that lies in many repositories whoever's they are, is a copied example; one
+that a single owner holds in few repositories and that is varied enough to be
+a key looks live.
 
 Where matches begin is told by the lengths of what stands between them, summed
 up in blocks of the square root of their number: a text of n hits takes
@@ -53,8 +54,9 @@ MORE = (
 )
 KINDS = BASE + MORE
 #: A value that this many owners hold is a copied example; one owner's value with this many different characters looks live.
-SHARED_OWNERS = 3
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
 LIVE_CHARACTERS = 8
+COUNTS = ["n_live", "n_shared", "most_owners", "most_repositories"]
 
 SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
 
@@ -123,7 +125,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repository: str, owner: str, carry: list[str]) -> DataFrame:
-    """Of each row the columns ``carry``, ``_spans`` and the numbers ``n_live``, ``n_shared`` of its distinct values that look live or are copied examples."""
+    """Of each row the columns ``carry``, ``_spans``, the numbers ``n_live``, ``n_shared`` of its distinct values that look live or are copied examples, and the most owners and repositories that one of its values has."""
     plain, place = numbered_columns(docs, [*carry, repository, owner, "text"])
     named = plain.select(*dict.fromkeys(place[c] for c in carry), F.col(place[repository]).alias("_repository"), F.col(place[owner]).alias("_owner"), F.col(place["text"]).alias("_text"))
     spans = find_spans(named, "_text").drop("_text").withColumn("_uid", F.monotonically_increasing_id())
@@ -134,10 +136,11 @@ def scan(docs: DataFrame, repository: str, owner: str, carry: list[str]) -> Data
     shares = materialize(ownership(some), "owners")
     each = some.select("_uid", F.explode("_varied").alias("_e")).select("_uid", F.col("_e.h").alias("_h"), F.col("_e.v").alias("_v"))
     judged = lookup_join(each, shares, each["_h"] == shares["_value"])
-    live = (F.col("n_owners") == 1) & F.col("_v")
-    per_row = judged.groupBy("_uid").agg(F.sum(live.cast("long")).alias("n_live"), F.sum((F.col("n_owners") >= SHARED_OWNERS).cast("long")).alias("n_shared"))
+    copied = (F.col("n_owners") >= SHARED_OWNERS) | (F.col("n_repositories") >= SHARED_REPOSITORIES)
+    live = (F.col("n_owners") == 1) & ~copied & F.col("_v")
+    per_row = judged.groupBy("_uid").agg(F.sum(live.cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_shared"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"))
     out = found.join(per_row, "_uid", "left")
-    return out.select(*restored(place, carry, ["_spans", "n_live", "n_shared"]), "_spans", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_live", "n_shared")])
+    return out.select(*restored(place, carry, ["_spans", *COUNTS]), "_spans", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS])
 
 
 def count_of(kind: Kind, spans: str = "_spans") -> Column:

@@ -102,3 +102,10 @@ def test_one_of_a_group_is_kept(spark):
 
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 7, 8, 9), (2, [1.0, 0.0], 7, 8, 9)], "vec_id long, embedding array<double>, kept int, `a.b` int, _id int")
+    found = embeddings.near_duplicates(vectors, carry=vectors.columns)
+    assert found.columns == ["vec_id", "embedding", "a.b", "_id", "n_links", "component_id", "kept"]
+    assert sorted((r.vec_id, r["a.b"], r["_id"], r.n_links, r.component_id, r.kept) for r in found.collect()) == [(1, 8, 9, 1, 1, True), (2, 8, 9, 1, 1, False)]

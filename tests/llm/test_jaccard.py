@@ -142,3 +142,11 @@ def test_connect_and_spread_agree():
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 7, 8, 9), (2, "one two three four five six", 7, 8, 9)], "doc_id long, text string, kept int, `a.b` int, _text int")
+    found = jaccard.near_duplicates(docs, carry=docs.columns)
+    assert found.columns == ["doc_id", "text", "a.b", "_text", "n_links", "class_id", "kept"]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "one two three four five six", 8, 9, 1, 1, True), (2, "one two three four five six", 8, 9, 1, 1, False)]
+    assert [tuple(r) for r in jaccard.kept_documents(docs).collect()] == [(1, "one two three four five six", 7, 8, 9)]

@@ -118,3 +118,18 @@ def test_packing(stages):
 def test_run_is_the_stages(spark, folder, stages):
     got = corpus_pipeline.run(spark, folder).groupBy("doc_id", "start", "length", "ids_crc32").count().collect()
     assert sorted(map(str, got)) == sorted(map(str, stages[5].groupBy("doc_id", "start", "length", "ids_crc32").count().collect()))
+
+
+def test_columns_of_documents_may_have_any_name(spark, folder):
+    clashing = ["kept", "n_links", "class_id", "component_id", "copy_no", "_row", "_text", "redacted", "a.b", "doc_row", "_kept"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in clashing:
+        docs = docs.withColumn(c, docs["extra"] + len(c))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert out.count() > 0
+            break
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == r["extra"] + len(c) for r in rows for c in clashing), name

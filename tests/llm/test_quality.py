@@ -106,3 +106,14 @@ def test_columns_of_the_input_may_have_any_name(spark):
 
 def test_empty_table(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_equal_texts_get_their_hosts_verdicts(spark):
+    """A text somewhat over a soft limit stays at a host whose texts are good and goes at one whose texts often fail."""
+    good = " ".join(f"word{i}" for i in range(100))
+    slightly, bad = good + " #" * 13, good + " #" * 80
+    rows = [(f"g{i}", good, "fine") for i in range(95)] + [(f"b{i}", bad, "fine") for i in range(5)] + [(f"p{i}", good, "poor") for i in range(60)] + [(f"q{i}", bad, "poor") for i in range(40)]
+    rows += [(f"o{h}-{i}", good, f"other{h}") for h in range(20) for i in range(20)] + [("slightly-fine", slightly, "fine"), ("slightly-poor", slightly, "poor")]
+    found = {r.doc_id: r["_kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()}
+    assert found["slightly-fine"] and not found["slightly-poor"]
+    assert found["g0"] and found["p0"] and not found["b0"] and not found["q0"]

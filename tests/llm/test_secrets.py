@@ -45,6 +45,17 @@ def test_ownership_separates_copies_from_single_owners(spark):
     assert got[3] == (0, 1) and got[100] == got[101] == (1, 0)
 
 
+def test_repositories_of_one_owner_count(spark):
+    few, many = "password=q9w8e7r6t5y4u3", "password=k1j2h3g4f5d6s7"
+    rows = [(i, many, "one") for i in range(secrets.SHARED_REPOSITORIES)] + [(100 + i, few, "one") for i in range(secrets.SHARED_REPOSITORIES - 1)] + [(100, few, "one")] * 5 + [(300, f"{few} {many} x", "one"), (400, "none", "one")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "source", ["doc_id"]).collect()
+    got = {r.doc_id: (r.n_live, r.n_shared, r.most_owners, r.most_repositories) for r in found}
+    assert got[0] == (0, 1, 1, 21) and got[100] == (0, 1, 1, 20) and got[300] == (0, 2, 1, 21) and got[400] == (0, 0, 0, 0)
+    fewer = [r for r in rows if r[0] not in (100, 101, 300)]
+    found = secrets.scan(spark.createDataFrame(fewer, "doc_id long, text string, source string"), "doc_id", "source", ["doc_id"]).collect()
+    assert {(r.n_live, r.n_shared, r.most_repositories) for r in found if r.doc_id > 101 and r.doc_id < 200} == {(1, 0, 17)}
+
+
 def test_mask_takes_out_the_values(spark):
     cases = {
         "a password=q9w8e7r6t5y4u3 b AKIA" + "Z" * 16: "a password=<SECRET> b <SECRET>",
