@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import evidence, queues
+from gleaner.functions import text
+from gleaner.operators import evidence, intervals, queues, verdicts
 from gleaner.plans.common import table
 
 SHELLS = evidence.Shells(("es",), ("fr",), ("license", "redistribut"), ("onre", "thble"), ("the", "que", "of", "ther", "and"), ("the", "and"), {"blocked_paths": [], "blocked_hosts": ["spam-farm.example.org"], "blocked_suffixes": ["html"]})
@@ -52,7 +53,31 @@ def r15_evidence_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.coalesce(reason, F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (k12_quarter_queues, s8_admission, s13_evidence_cascade, r15_evidence_reasons)}
+def j6_event_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the overlapping periods of their type that they lie in, made of customers' numbers: one, none or several."""
+    types = F.array(*[F.lit(t) for t in ("view", "click", "purchase", "signup", "error")])
+    start = F.lit(1704067200) + F.col("c_custkey") % 29 * 86400 + F.col("c_nationkey") * 3600
+    made = table(spark, sf_dir, "customer").where("c_custkey % 37 = 0").select(F.element_at(types, (F.col("c_custkey") % 5 + 1).cast("int")).alias("route"), start.alias("start"), (start + (F.col("c_nationkey") % 9 + 1) * 7200).alias("stop"))
+    periods = made.distinct().withColumn("label", F.concat_ws("-", "route", "start", "stop"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return intervals.in_periods(e, F.col("at"), F.col("event_type"), periods, "event_id").select("event_id", "n_periods", "label", "status")
+
+
+def o4_report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as reports, their turns as blocks: twelve checks, and what is to be done with each."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    words, has = F.size(F.filter(F.split("text", " "), lambda w: w != "")), lambda *terms: text.contains_any("text", terms)
+    checks = [
+        verdicts.Check("no_text", F.trim("text") == ""), verdicts.Check("too_short", words < 5), verdicts.Check("too_long", words > 400, "repair"), verdicts.Check("forbidden", has("license")), verdicts.Check("address", F.col("text").contains("@"), "repair"),
+        verdicts.Check("numbers", F.col("text").rlike("[0-9]{4}"), "repair"), verdicts.Check("marks", F.col("text").rlike("[#$%&*|]{3}"), "hold"), verdicts.Check("no_end", ~F.rtrim("text").rlike("[.!?]$"), "repair"), verdicts.Check("no_capital", ~F.col("text").rlike("^[A-ZÀ-Þ]"), "repair"),
+        verdicts.Check("judge_silent", has("onre") & (F.col("role") == "assistant"), "block"), verdicts.Check("thin", (words >= 5) & (words < 12), "hold"),
+    ]
+    ends = t.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last")).where("last <> 'assistant'").select("conv_id", F.lit("no_answer").alias("name"), F.lit("retry").alias("level"))
+    found = verdicts.judge(t, "conv_id", "turn", checks, ends)
+    return found.select("conv_id", "verdict", "n_issues", "n_failed_blocks", "first_block", "first_issue", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("counts"))
+
+
+QUERIES = {f.__name__: f for f in (k12_quarter_queues, s8_admission, s13_evidence_cascade, r15_evidence_reasons, j6_event_periods, o4_report_verdicts)}
 
 _PATH = "regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
 _HOST = "regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '')"
@@ -72,7 +97,24 @@ r{k} AS (SELECT id, t, x, CASE WHEN coalesce(length(x), 0) = 0 THEN 'not_there'
 _PLACES = ["resolved", "direct", "source", "snippet"]
 _LOOKUPS = lambda rows, used, left: f"""SELECT url, route, place FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY place) AS n FROM (SELECT url, min(ord) AS place, arg_min(route, ord) AS route FROM d WHERE {rows} AND eligible AND needs {used} GROUP BY url)) f"""
 
+_CHECKS = [
+    ("no_text", "trim(t) = ''", "retry"), ("too_short", "w < 5", "retry"), ("too_long", "w > 400", "repair"), ("forbidden", "regexp_matches(lower(t), '(?:^|[^a-z0-9])license(?:[^a-z0-9]|$)')", "retry"), ("address", "contains(t, '@')", "repair"), ("numbers", "regexp_matches(t, '[0-9]{4}')", "repair"),
+    ("marks", "regexp_matches(t, '[#$%&*|]{3}')", "hold"), ("no_end", "NOT regexp_matches(rtrim(t, ' '), '[.!?]$')", "repair"), ("no_capital", "NOT regexp_matches(t, '^[A-ZÀ-Þ]')", "repair"), ("judge_silent", "regexp_matches(lower(t), '(?:^|[^a-z0-9])onre(?:[^a-z0-9]|$)') AND role = 'assistant'", "block"), ("thin", "w >= 5 AND w < 12", "hold"),
+]
+
 ORACLE_SQL = {
+    "j6_event_periods": """
+WITH p AS (SELECT DISTINCT ['view', 'click', 'purchase', 'signup', 'error'][c_custkey % 5 + 1] AS route, 1704067200 + c_custkey % 29 * 86400 + c_nationkey * 3600 AS start, 1704067200 + c_custkey % 29 * 86400 + c_nationkey * 3600 + (c_nationkey % 9 + 1) * 7200 AS stop FROM customer WHERE c_custkey % 37 = 0),
+m AS (SELECT event_id, count(route) AS n, min(route || '-' || start || '-' || stop) AS label FROM (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS at_s FROM events) e LEFT JOIN p ON route = event_type AND start <= at_s AND at_s < stop GROUP BY 1)
+SELECT event_id, n AS n_periods, CASE WHEN n = 1 THEN label END AS label, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'exactly_one' ELSE 'several' END AS status FROM m""",
+    "o4_report_verdicts": f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS w FROM conversations),
+i AS ({" UNION ALL ".join(f"SELECT conv_id, turn, {k} AS place, '{n}' AS name, '{level}' AS level FROM c WHERE {condition}" for k, (n, condition, level) in enumerate(_CHECKS))}
+  UNION ALL SELECT conv_id, NULL, NULL, 'no_answer', 'retry' FROM (SELECT conv_id, arg_max(role, turn) AS last FROM c GROUP BY 1) WHERE last <> 'assistant'),
+a AS (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS blocks, min(turn) AS first_block, coalesce(arg_min(name, turn * 100 + place), min(name)) AS first_issue, bool_or(level = 'retry') AS retry, bool_or(level = 'block') AS block, bool_and(level = 'repair') AS repairs FROM i GROUP BY 1),
+k AS (SELECT conv_id, string_agg(name || ':' || n, ',' ORDER BY name) AS counts FROM (SELECT conv_id, name, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1)
+SELECT conv_id, CASE WHEN n IS NULL THEN 'ok' WHEN repairs THEN 'repairable' WHEN block OR NOT retry THEN 'fail' ELSE 'retry' END AS verdict, coalesce(n, 0)::BIGINT AS n_issues, coalesce(blocks, 0)::BIGINT AS n_failed_blocks, first_block, first_issue, coalesce(counts, '') AS counts
+FROM (SELECT DISTINCT conv_id FROM c) LEFT JOIN a USING (conv_id) LEFT JOIN k USING (conv_id)""",
     "k12_quarter_queues": """
 WITH o AS (SELECT o_orderkey, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS bucket, o_orderpriority = '1-URGENT' AS urgent, o_totalprice FROM orders),
 q AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY o_totalprice DESC, o_orderkey) AS t FROM o),

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import evidence, queues
+from gleaner.operators import evidence, intervals, queues, verdicts
 
 
 def turns(rows, budget, cap):
@@ -114,3 +114,44 @@ def test_only_unsatisfied_rows_go_on(spark):
     assert {r.id: (r.place, r.reason) for r in found.collect()} == {0: ("first", None), 1: ("second", None), 2: (None, "index_or_navigation_shell"), 3: ("third", None), 4: (None, "not_found"), 5: (None, "not_found")}
     assert [sorted(r._k for r in t.collect()) for t in tried] == [[0, 1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [2, 3, 4, 5]]
     assert evidence.cascade(wanted, "id", "title", [], SHELLS)[0].where("reason = 'not_found'").count() == 6
+
+
+def test_points_in_periods_match_a_loop(spark):
+    rng = random.Random(2)
+    periods = [(rng.choice("ab"), s := rng.randrange(-50, 1000), s + rng.choice([0, 1, 2, 3, 7, 8, 64, 500, -3]), f"p{i}") for i in range(60)]
+    points = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randrange(-60, 1600)])) for i in range(500)]
+    df = spark.createDataFrame(points, "id int, r string, at int")
+    found = intervals.in_periods(df, F.col("at"), F.col("r"), spark.createDataFrame(periods, "route string, start long, stop long, label string"), "id")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        fits = [p[3] for p in periods if r.at is not None and p[0] == r.r and p[1] <= r.at < p[2]]
+        assert (r.n_periods, r.label) == (len(fits), fits[0] if len(fits) == 1 else None) and r.status == {0: "none", 1: "exactly_one"}.get(len(fits), "several")
+    none = intervals.in_periods(df, F.col("at"), F.col("r"), spark.createDataFrame([], "route string, start long, stop long, label string"), "id")
+    assert none.where("status = 'none'").count() == 500
+
+
+def test_verdicts_match_a_loop(spark):
+    rng = random.Random(3)
+    levels = {"r1": "repair", "r2": "repair", "t1": "retry", "h1": "hold", "b1": "block"}
+    rows = [(rng.randrange(60), i, *[rng.random() < p for p in (0.1, 0.05, 0.06, 0.05, 0.03)]) for i in range(300)]
+    rows = [(None if r[0] == 7 else r[0], *r[1:-1], None if r[0] == 9 else r[-1]) for r in rows]
+    extra = [(3, "section", "retry"), (99, "section", "retry"), (99, "another", "hold")]
+    df = spark.createDataFrame(rows, f"report int, pos int, {', '.join(f'{n} boolean' for n in levels)}")
+    got = verdicts.judge(df, "report", "pos", [verdicts.Check(n, F.col(n), v) for n, v in levels.items()], spark.createDataFrame(extra, "report int, name string, level string")).collect()
+    reports = {r[0] for r in rows} | {99}
+    assert len(got) == len(reports)
+    for r in got:
+        found = [(pos, k, n, levels[n]) for rep, pos, *flags in rows if rep == r.report for k, (n, bad) in enumerate(zip(levels, flags, strict=True)) if bad]
+        whole = [(n, v) for rep, n, v in extra if rep == r.report]
+        all_levels = {f[3] for f in found} | {v for _, v in whole}
+        want = "ok" if not all_levels else "repairable" if all_levels == {"repair"} else "fail" if "block" in all_levels or "retry" not in all_levels else "retry"
+        first = min(found, default=None)
+        assert (r.verdict, r.n_issues, r.n_failed_blocks, r.first_block) == (want, len(found) + len(whole), len({f[0] for f in found}), first[0] if first else None)
+        assert r.first_issue == (first[2] if first else min((n for n, _ in whole), default=None))
+        assert r.counts == Counter([f[2] for f in found] + [n for n, _ in whole])
+    assert {r.verdict for r in got} == {"ok", "repairable", "retry", "fail"}
+
+
+def test_levels_are_known():
+    with pytest.raises(ValueError):
+        verdicts.issues([verdicts.Check("x", F.lit(True), "never")])
