@@ -1,4 +1,4 @@
-"""Queries of the gates of categories: on facts composed of event ids, and on terms of the driver's prose."""
+"""Queries of the gates of categories, on the words, sources and lengths of documents."""
 
 from __future__ import annotations
 
@@ -13,35 +13,34 @@ from gleaner.plans.common import table
 #: Signals that hold for about a half and for about a ninth of the rows.
 COMMON = ["mode", "operator", "rail_detail", "mode_context", "system", "action", "core_term", "strong_detail", "dispute", "actor", "impact", "dispute_weak", "impact_weak", "dispute_headline", "event", "fault", "disruption", "disruption_impact", "technical_impact", "fault_named", "control", "place", "large_impact", "substantive", "adjustment", "policy", "policy_detail", "opened", "research", "technical_object", "result", "cross_system", "generic_scope", "separate_package", "detailed_design", "emerging", "application_evidence", "forward_object", "application_object", "novelty", "validation", "benefit", "innovation", "high_value", "purchase", "valuable", "lift_technology"]
 RARE = ["ambiguous_mode", "road_event", "civic_name", "people_mover_only", "other_transport", "other_transport_strict", "standards_source", "financial", "security", "security_impact", "accessibility_only", "non_core_only", "project_only", "non_technical", "implementation", "low_value", "planned", "minor", "routine", "short_notice", "dispute_dominant", "policy_dominant", "fare_table", "road_riders", "rail_riders", "general_rail", "general_rail_term", "future", "planning", "testing", "structures", "civil", "study", "generic_marketing", "generic_material", "page_term", "notice", "route_term", "radar_only", "long_term_low_value", "list_notice", "report_low_value", "service_page", "official_notice", "notice_detail", "rescue_low_value", "lift"]
-FACTS = {"dated": 9, "sourced": 8, "family": 2, "in_scope": 9}
+FACTS = ["dated", "sourced", "family", "in_scope"]
+#: Words of the driver's prose: frequent ones by language, and the syllables that rarer ones are made of.
+FREQUENT = (["that", "with", "this", "tion", "from", "ther", "thon", "thth", "than", "thre", "thnt", "thes"], ["nicht", "sich", "mit", "von"], ["pour", "dans", "les", "une"], ["los", "que", "por", "con"])
+SYLLABLES = ["er", "on", "an", "re", "ea", "ou", "in", "ed", "nd", "ha", "st", "ti"]
 
 
-def _chances() -> dict[str, tuple[int, int]]:
-    """Of each signal the factor that spreads ids and how many of ten it holds for."""
-    return {n: (2 * i + 3, k) for i, (n, k) in enumerate([*((n, 6) for n in COMMON), *((n, 1) for n in RARE), *FACTS.items()])}
-
-
-def _draw(i: int, wide: int, column: str = "event_id") -> str:
-    """A digit below ``wide`` of an id: the same arithmetic in both engines."""
-    return f"(({column} * {i * 7919 + 13} + {i * 104729}) % 100003) % {wide}"
+def packs() -> dict[str, list[str]]:
+    """The terms of each signal: common ones hold for texts with one of several frequent words, rare ones for texts with one word of two syllables."""
+    common = {n: [words[(i + k) % len(words)] for words in FREQUENT for k in (0, 1)] for i, n in enumerate(COMMON)}
+    rare = {n: [SYLLABLES[i // len(SYLLABLES) % len(SYLLABLES)] + SYLLABLES[i % len(SYLLABLES)]] for i, n in enumerate(RARE)}
+    return common | rare
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as rows with ``signals`` and the facts that gates ask for."""
-    drawn = lambda i, wide: F.expr(_draw(i, wide))
-    one_of = lambda i, values: F.element_at(F.array(*[F.lit(v) for v in values]), (drawn(i, len(values)) + 1).cast("int"))
-    chances = _chances()
-    held = F.struct(*[(drawn(i, 10) < k).alias(n) for n, (i, k) in chances.items() if n not in FACTS])
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        "event_id", held.alias("signals"), *[(drawn(*(chances[n][0], 10)) < chances[n][1]).alias(n) for n in FACTS],
-        one_of(401, "ABCD").alias("tier"), one_of(402, "ABCX").alias("grade"), one_of(403, ["news_article", "news_article", "", "portal"]).alias("page_type"),
-        one_of(404, ["technology", "accident", "policy", "dispute", "purchase", "excluded", ""]).alias("category"), drawn(405, 100).cast("int").alias("score"),
-        F.concat_ws(" ", F.lit("cut by"), drawn(406, 4).cast("string"), one_of(407, ["trains", "stops", "%", "words"])).alias("note"),
-        F.repeat(F.lit("word "), drawn(408, 8).cast("int")).alias("title"), F.repeat(F.lit("word "), drawn(409, 40).cast("int")).alias("snippet"),
-        F.array_compact(F.array(*[F.when(drawn(410 + j, 4) == 0, F.lit(f)) for j, f in enumerate(["general_rail", "service_notice", "proxy_page", "insufficient"])])).alias("flags"),
-        F.array_compact(F.array(F.when(drawn(415, 3) == 0, "ventilation"), F.when(drawn(416, 3) == 0, "signals"))).alias("systems"), F.when(drawn(417, 3) > 0, F.array(F.lit("award"))).otherwise(F.expr("cast(array() as array<string>)")).alias("actions"),
-        one_of(418, ["/news/a", "/status/b", "/list/c"]).alias("path"), one_of(419, ["low.example", "m.low.example", "fine.example", "gov.example"]).alias("host"), one_of(420, ["verified", "verified", "missing_date"]).alias("status"), one_of(421, ["2024-Q1", ""]).alias("bucket"),
+    """Documents as rows with ``signals`` of their whole texts and the facts that gates ask for, from their texts, sources, languages and lengths."""
+    size, has = F.length("text"), lambda mark: F.contains("text", F.lit(mark))
+    one_of = lambda at, values: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    d = cg.signals(d, "text", packs())
+    listed = lambda pairs: F.array_compact(F.array(*[F.when(has(mark), F.lit(name)) for mark, name in pairs]))
+    return d.select(
+        "doc_id", "signals", (size >= 150).alias("dated"), (~F.col("source").isin("src3", "src5", "src7")).alias("sourced"), (size % 5 == 0).alias("family"), (F.col("lang") != "de").alias("in_scope"),
+        one_of(size, "ABCD").alias("tier"), one_of(F.floor(size / 4), "ABCX").alias("grade"), F.when(F.col("lang").isin("en", "fr"), "news_article").when(F.col("lang") == "es", "portal").otherwise("").alias("page_type"),
+        one_of(F.floor(size / 16), ["technology", "accident", "policy", "dispute", "purchase", "excluded", ""]).alias("category"), (size % 100).cast("int").alias("score"), F.col("text").alias("note"),
+        F.substring_index("text", ".", 1).alias("title"), F.coalesce(F.get(F.split("text", r"\."), 1), F.lit("")).alias("snippet"),
+        listed([("#", "general_rail"), ("@", "service_notice"), ("%", "proxy_page"), ("*", "insufficient")]).alias("flags"), listed([("ung", "ventilation"), ("tion", "signals")]).alias("systems"), listed([("en", "award")]).alias("actions"),
+        F.when(F.col("lang") == "en", "/news/a").when(F.col("lang") == "de", "/status/b").otherwise("/list/c").alias("path"), one_of(F.regexp_extract("source", "([0-9]+)", 1).cast("int"), ["low.example", "m.low.example", "fine.example", "gov.example"]).alias("host"),
+        F.when(size % 3 < 2, "verified").otherwise("missing_date").alias("status"), F.when(size % 2 == 0, "2024-Q1").otherwise("").alias("bucket"),
     )
 
 
@@ -67,19 +66,19 @@ def _gates(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
 def g1_subject_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject, triad with all its failures, and dispute of each row."""
     rows, gates = _gates(facts(spark, sf_dir))
-    return rows.select("event_id", "subject", F.array_join("triad_failures", ",").alias("triad_failures"), gates["dispute"].alias("dispute"))
+    return rows.select("doc_id", "subject", F.array_join("triad_failures", ",").alias("triad_failures"), gates["dispute"].alias("dispute"))
 
 
 def g5_operation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident, adjustment and opening with their failures, and policy."""
     rows, gates = _gates(facts(spark, sf_dir))
-    return rows.select("event_id", *[F.array_join(gates[g], ",").alias(g) for g in ("incident", "adjustment", "opening")], gates["policy"].alias("policy"))
+    return rows.select("doc_id", *[F.array_join(gates[g], ",").alias(g) for g in ("incident", "adjustment", "opening")], gates["policy"].alias("policy"))
 
 
 def g9_purchase_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase and research with their failures."""
     rows, gates = _gates(facts(spark, sf_dir))
-    return rows.select("event_id", *[F.array_join(gates[g], ",").alias(g) for g in ("purchase", "research")])
+    return rows.select("doc_id", *[F.array_join(gates[g], ",").alias(g) for g in ("purchase", "research")])
 
 
 def _issue(rows: DataFrame) -> Column:
@@ -94,7 +93,7 @@ def g11_forward_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("issue", _issue(rows))
     checks, track_a, track_b = cg.forward(s, col("subject"), col("triad"), col("family"), col("dated"), col("sourced"), col("tier"), col("grade"), col("issue"))
     fetched = cg.forward_enrichment(s, col("subject"), col("family"), col("dated"), col("sourced"), col("tier"))
-    return rows.select("event_id", "issue", track_a.alias("track_a"), track_b.alias("track_b"), F.array_join(failures(checks), ",").alias("failures"), fetched.alias("fetched"))
+    return rows.select("doc_id", "issue", track_a.alias("track_a"), track_b.alias("track_b"), F.array_join(failures(checks), ",").alias("failures"), fetched.alias("fetched"))
 
 
 def _own(gates: dict[str, Column]) -> dict[str, Column]:
@@ -111,7 +110,7 @@ def g20_selection_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = cg.hard_low_value(s, [col("host"), F.lit(None).cast("string")], ["low.example"], s("valuable"), col("path"), ["/status", "/list"])
     selection = cg.selection_low_value(s, col("category"), col("tier"), col("score"), col("flags"), s("valuable"), s("strong_detail"), own)
     fill = cg.borderline(col("category"), col("tier"), col("score"), col("hard"), col("dated"), col("sourced"), ["technology", "accident", "policy", "dispute"], col("in_scope"), own, "accident")
-    return rows.select("event_id", low.alias("low_value"), "hard", selection.alias("selection"), fill.alias("fill_in"))
+    return rows.select("doc_id", low.alias("low_value"), "hard", selection.alias("selection"), fill.alias("fill_in"))
 
 
 def g22_rescue_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ def g22_rescue_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("bought", cg.procurement_rescue(s, col("subject"), col("tier"), col("host"), ["gov.example"], col("dated"), col("sourced"), col("systems")))
     forward = cg.forward_enrichment(s, col("subject"), col("family"), col("dated"), col("sourced"), col("tier"))
     lanes = [cg.prefetch(col("title"), col("tier"), col("dated"), col("sourced"), col("family"), days, forward, col("annual"), [col("priority"), col("bought")], col("subject"), s("action")).alias(n) for n, days in (("weekly", 7), ("yearly", 365))]
-    return rows.select("event_id", "exclusion", "annual", "priority", cg.short_snippet(col("priority"), col("snippet")).alias("short"), "bought", *lanes)
+    return rows.select("doc_id", "exclusion", "annual", "priority", cg.short_snippet(col("priority"), col("snippet")).alias("short"), "bought", *lanes)
 
 
 #: Terms of the driver's prose in the places of rule packs.
@@ -152,16 +151,17 @@ def g23_home_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (g1_subject_gates, g2_text_gates, g5_operation_gates, g9_purchase_gates, g11_forward_gates, g20_selection_gates, g22_rescue_gates, g23_home_scope)}
 
 
-def _pick(i: int, values: list[str]) -> str:
-    return f"[{', '.join(repr(v) for v in values)}][{_draw(i, len(values))} + 1]"
-
-
+_ONE = lambda at, values: f"[{', '.join(repr(v) for v in values)}][{at} % {len(values)} + 1]"
+_WORDISH = "[A-Za-z0-9]+|[\\x{4E00}-\\x{9FFF}]"
+_TEXT = "coalesce(text, '')"
 _FACTS = f"""
-f0 AS (SELECT event_id, {", ".join(f"{_draw(i, 10)} < {k} AS {n}" for n, (i, k) in _chances().items())},
-  {_pick(401, [*"ABCD"])} AS tier, {_pick(402, [*"ABCX"])} AS grade, {_pick(403, ["news_article", "news_article", "", "portal"])} AS page_type, {_pick(404, ["technology", "accident", "policy", "dispute", "purchase", "excluded", ""])} AS category,
-  {_draw(405, 100)} AS score, {_draw(406, 4)} IS NOT NULL AND {_pick(407, ["trains", "stops", "%", "words"])} IN ('trains', '%') AS quantified, {_draw(408, 8)} AS n_title, {_draw(409, 40)} AS n_snippet,
-  {_draw(410, 4)} = 0 AS f_general, {_draw(411, 4)} = 0 AS f_notice, {_draw(412, 4)} = 0 AS f_proxy, {_draw(413, 4)} = 0 AS f_thin, {_draw(415, 3)} = 0 AS ventilation, {_draw(416, 3)} = 0 AS signalling, {_draw(417, 3)} > 0 AS acted,
-  {_draw(418, 3)} AS path, {_draw(419, 4)} AS host, {_draw(420, 3)} < 2 AND {_draw(421, 2)} = 0 AS verified FROM events),
+f00 AS (SELECT *, length({_TEXT}) AS z, replace(lower({_TEXT}), 'ß', 'ss') AS folded FROM documents),
+f0 AS (SELECT doc_id, {", ".join(f"regexp_matches(folded, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)') AS {n}" for n, terms in packs().items())},
+  z >= 150 AS dated, source NOT IN ('src3', 'src5', 'src7') AS sourced, z % 5 = 0 AS family, lang <> 'de' AS in_scope,
+  {_ONE("z", "ABCD")} AS tier, {_ONE("(z // 4)", "ABCX")} AS grade, CASE WHEN lang IN ('en', 'fr') THEN 'news_article' WHEN lang = 'es' THEN 'portal' ELSE '' END AS page_type, {_ONE("(z // 16)", ["technology", "accident", "policy", "dispute", "purchase", "excluded", ""])} AS category,
+  z % 100 AS score, regexp_matches({_TEXT}, '{cg.UNITS}') AS quantified, len(regexp_extract_all(string_split({_TEXT}, '.')[1], '{_WORDISH}')) AS n_title, len(regexp_extract_all(coalesce(string_split({_TEXT}, '.')[2], ''), '{_WORDISH}')) AS n_snippet, length(trim(coalesce(string_split({_TEXT}, '.')[2], ''), ' ')) AS snippet_size,
+  contains({_TEXT}, '#') AS f_general, contains({_TEXT}, '@') AS f_notice, contains({_TEXT}, '%') AS f_proxy, contains({_TEXT}, '*') AS f_thin, contains({_TEXT}, 'ung') AS ventilation, contains({_TEXT}, 'tion') AS signalling, contains({_TEXT}, 'en') AS acted,
+  CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS path, regexp_extract(source, '([0-9]+)', 1)::INTEGER % 4 AS host, z % 3 < 2 AND z % 2 = 0 AS verified FROM f00),
 f1 AS (SELECT *, ventilation OR signalling AS has_system, dated AND sourced AS doc, mode OR operator OR (ambiguous_mode AND mode_context) AS clear FROM f0),
 f2 AS (SELECT *, standards_source OR (clear AND NOT (road_event AND NOT rail_detail) AND (NOT civic_name OR mode OR operator) AND NOT people_mover_only) AS subject FROM f1),
 f3 AS (SELECT *, concat_ws(',', CASE WHEN financial THEN 'financial' END, CASE WHEN security THEN 'security' END, CASE WHEN people_mover_only THEN 'people_mover_only' END, CASE WHEN accessibility_only THEN 'accessibility_only' END, CASE WHEN non_core_only THEN 'non_core_only' END, CASE WHEN project_only THEN 'project_only' END,
@@ -199,19 +199,19 @@ def _re2(terms: list[str]) -> str:
 _FOLD = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
 
 ORACLE_SQL = {
-    "g1_subject_gates": f"WITH {_FACTS} SELECT event_id, subject, triad_failures, disputed AS dispute FROM r",
-    "g5_operation_gates": f"WITH {_FACTS} SELECT event_id, incident, adjusted AS adjustment, opening, is_policy AS policy FROM r",
-    "g9_purchase_gates": f"""WITH {_FACTS} SELECT event_id, bought_failures AS purchase, concat_ws(',', CASE WHEN NOT subject THEN 'subject' END, CASE WHEN NOT doc THEN 'documented' END, CASE WHEN NOT research THEN 'activity' END, CASE WHEN NOT technical_object THEN 'object' END, CASE WHEN NOT result THEN 'status' END, CASE WHEN bought_failures = '' THEN 'no_purchase' END) AS research FROM r""",
-    "g11_forward_gates": f"""WITH {_FACTS} SELECT event_id, issue, track_a, track_b, concat_ws(',', CASE WHEN NOT family THEN 'family' END, CASE WHEN NOT (based AND (grade IN ('A', 'B') OR (family AND grade = 'C'))) THEN 'base' END, CASE WHEN project_only THEN 'not_project_only' END, CASE WHEN NOT track_a AND NOT track_b THEN concat_ws(',',
+    "g1_subject_gates": f"WITH {_FACTS} SELECT doc_id, subject, triad_failures, disputed AS dispute FROM r",
+    "g5_operation_gates": f"WITH {_FACTS} SELECT doc_id, incident, adjusted AS adjustment, opening, is_policy AS policy FROM r",
+    "g9_purchase_gates": f"""WITH {_FACTS} SELECT doc_id, bought_failures AS purchase, concat_ws(',', CASE WHEN NOT subject THEN 'subject' END, CASE WHEN NOT doc THEN 'documented' END, CASE WHEN NOT research THEN 'activity' END, CASE WHEN NOT technical_object THEN 'object' END, CASE WHEN NOT result THEN 'status' END, CASE WHEN bought_failures = '' THEN 'no_purchase' END) AS research FROM r""",
+    "g11_forward_gates": f"""WITH {_FACTS} SELECT doc_id, issue, track_a, track_b, concat_ws(',', CASE WHEN NOT family THEN 'family' END, CASE WHEN NOT (based AND (grade IN ('A', 'B') OR (family AND grade = 'C'))) THEN 'base' END, CASE WHEN project_only THEN 'not_project_only' END, CASE WHEN NOT track_a AND NOT track_b THEN concat_ws(',',
   CASE WHEN NOT subject THEN 'a:subject' END, CASE WHEN NOT application_object THEN 'a:application' END, CASE WHEN NOT novelty THEN 'a:novelty' END, CASE WHEN NOT validation THEN 'a:validation' END, CASE WHEN NOT benefit THEN 'a:benefit' END,
   CASE WHEN NOT subject THEN 'b:subject' END, CASE WHEN NOT emerging THEN 'b:emerging' END, CASE WHEN NOT application_evidence THEN 'b:evidence' END, CASE WHEN NOT forward_object THEN 'b:technical_object' END, CASE WHEN project_only THEN 'b:not_project_only' END, CASE WHEN NOT (based AND grade <> 'X') THEN 'b:base' END,
   CASE WHEN generic_marketing THEN 'b:not_marketing' END, CASE WHEN generic_material THEN 'b:not_material' END, 'track') END) AS failures, fetched FROM r""",
-    "g20_selection_gates": f"""WITH {_FACTS} SELECT event_id, CASE WHEN host < 2 THEN 'low_value_host' WHEN financial THEN 'financial' WHEN valuable THEN NULL WHEN page_term THEN 'page_term' WHEN path > 0 THEN 'path' END AS low_value, hard,
+    "g20_selection_gates": f"""WITH {_FACTS} SELECT doc_id, CASE WHEN host < 2 THEN 'low_value_host' WHEN financial THEN 'financial' WHEN valuable THEN NULL WHEN page_term THEN 'page_term' WHEN path > 0 THEN 'path' END AS low_value, hard,
   CASE WHEN category = 'excluded' THEN 'excluded' WHEN radar_only THEN 'radar_only' WHEN financial THEN 'financial' WHEN tier = 'D' THEN 'tier' WHEN NOT holds THEN 'gate' WHEN security AND NOT security_impact THEN 'security' WHEN long_term_low_value THEN 'long_term' WHEN f_general OR general_rail THEN 'general_rail' WHEN list_notice THEN 'list_notice'
     WHEN official_notice AND NOT notice_detail THEN 'official_notice' WHEN f_notice AND NOT valuable THEN 'service_notice' WHEN f_proxy AND NOT strong_detail THEN 'proxy' WHEN f_thin AND NOT valuable THEN 'thin' WHEN score < 45 THEN 'score' END AS selection,
   CASE WHEN category NOT IN ('technology', 'accident', 'policy', 'dispute') THEN 'kind' WHEN NOT in_scope THEN 'scope' WHEN hard IS NOT NULL THEN 'excluded' WHEN NOT dated THEN 'date' WHEN NOT sourced THEN 'source' WHEN score < CASE WHEN category = 'accident' THEN 62 ELSE 58 END THEN 'score' WHEN tier = 'C' AND score < 70 THEN 'media_score' WHEN NOT holds THEN 'gate' END AS fill_in FROM r""",
     "g22_rescue_gates": f"""WITH {_FACTS}, e AS (SELECT *, tier <> 'D' AND n_title >= 3 AND doc AS able FROM r)
-SELECT event_id, exclusion, annual, priority, priority AND n_snippet < 37 AS short, bought, able AND CASE WHEN family THEN fetched ELSE priority OR bought OR (subject AND action) END AS weekly, able AND CASE WHEN family THEN fetched ELSE annual END AS yearly FROM e""",
+SELECT doc_id, exclusion, annual, priority, priority AND (n_snippet < 24 OR snippet_size < 180) AS short, bought, able AND CASE WHEN family THEN fetched ELSE priority OR bought OR (subject AND action) END AS weekly, able AND CASE WHEN family THEN fetched ELSE annual END AS yearly FROM e""",
     "g2_text_gates": f"""
 WITH s AS (SELECT lang, {", ".join(f"regexp_matches({_FOLD}, '{_re2(t)}') AS {n}" for n, t in PROSE.items())} FROM documents),
 t AS (SELECT *, (mode OR operator OR (ambiguous_mode AND mode_context)) AND NOT (road_event AND NOT rail_detail) AS subject FROM s)
