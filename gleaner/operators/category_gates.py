@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import fold, term_regex, wordish_count
+from gleaner.functions.text import contains_positive, fold, fragments, term_regex, wordish_count
 from gleaner.functions.urls import host_suffixes
-from gleaner.operators.gates import failures, first_reason, truth
+from gleaner.operators.gates import failures, first_reason, matrix, truth
+from gleaner.operators.resolve import claim, strongest_claim
 
 # fixed values: units in which a change of service is told
 UNITS = r"(?i)\d+\s*(?:%|percent|minutes?|mins?|trains?|services?|車次|班次|分間隔)"
@@ -271,3 +272,68 @@ def home_scope(df_text: Column, places: Iterable[str], systems: dict[str, Iterab
     system = F.when(has(context), F.coalesce(*[F.when(has(terms), F.lit(name)) for name, terms in systems.items()]))
     reason = first_reason([("elsewhere", ~has(places)), ("other_transport", system.isNull() & has(others)), ("no_system", system.isNull()), ("people_mover", has(people_mover) & ~has(operation))])
     return F.struct(reason.isNull().alias("admitted"), F.when(has(places), system).alias("system"), reason.alias("reason"))
+
+
+def view_signals(df: DataFrame, views: dict[str, Column], packs: dict[str, dict[str, Iterable[str]]], out: str = "signals") -> DataFrame:
+    """``df`` with the struct ``out`` of the packs of all views, each asked of its own text: a headline, a headline with its snippet, all that is known.
+
+    A view is folded once, and all views in one pass over the rows.  A pack
+    belongs to one view, so the gates find their signals by name as ever.
+    """
+    names = [n for of_view in packs.values() for n in of_view]
+    if twice := {n for n in names if names.count(n) > 1}:
+        raise ValueError(f"packs of more than one view: {sorted(twice)}")
+    folded = df.withColumns({f"_view_{v}": fold(text) for v, text in views.items()})
+    held = F.struct(*[F.col(f"_view_{v}").rlike(term_regex(terms)).alias(n) for v, of_view in packs.items() for n, terms in of_view.items()])
+    return folded.withColumn(out, held).drop(*[f"_view_{v}" for v in views])
+
+
+def major_accident(text: Column, packs: dict[str, Iterable[str]], negators: Iterable[str], subject: Column, barred: Column) -> Column:
+    """``struct(passes, signals, failures)`` of an accident of consequence.
+
+    One sentence must have the subject's ``context``, an ``accident`` and
+    something ``severe``: a severity that isn't denied and not of mere
+    ``equipment``, what is severe by itself (``direct``), or equipment with a
+    ``consequence``.  A sentence of ``research`` in which nothing ``occurred``
+    isn't severe; one of a ``single`` person doesn't count without an
+    ``exception``, nor one at a ``road`` of ``low_impact`` that is ``minor``.
+    The whole text must have no ``other_context``, and not speak of research
+    alone; ``barred`` is what else speaks against it (a response to an earlier
+    accident, a crime).
+    """
+    has = lambda t, name: fold(t).rlike(term_regex(packs.get(name, ())))
+    held = lambda t, name: contains_positive(t, packs.get(name, ()), negators)
+
+    def severe(f: Column) -> Column:
+        studied = has(f, "research") & ~held(f, "occurred")
+        return ~studied & ((held(f, "severity") & ~held(f, "equipment")) | held(f, "direct") | (has(f, "equipment") & has(f, "consequence")))
+
+    def counts(f: Column) -> Column:
+        alone = has(f, "single") & ~has(text, "exception")
+        slight = has(f, "road") & has(f, "low_impact") & has(f, "minor")
+        return has(f, "context") & has(f, "accident") & severe(f) & ~alone & ~slight
+
+    parts = fragments(text)
+    checks = [
+        ("subject", truth(subject)), ("accident", has(text, "accident")), ("severity", F.exists(parts, severe)), ("not_other_context", ~has(text, "other_context")),
+        ("not_research", ~has(text, "research") | held(text, "occurred")), ("not_barred", ~truth(barred)), ("one_sentence", F.exists(parts, counts)),
+    ]
+    missing = failures(checks)
+    shown = F.array_compact(F.array(*[F.when(ok, F.lit(n)) for n, ok in checks[:3]]))
+    return F.struct((F.size(missing) == 0).alias("passes"), shown.alias("signals"), missing.alias("failures"))
+
+
+def evaluate(gates: dict[str, tuple[Column, Column]], subtypes: list[tuple[str, Column]], claims: list[tuple[str, str, int]], otherwise: str = "excluded") -> Column:
+    """``struct(gates, reasons, subtype, category, rejected)`` of a row.
+
+    ``gates`` has for each gate whether it holds and what it lacks;
+    ``reasons`` are ``passed`` or that, joined.  ``subtype`` is the first of
+    ``subtypes`` that holds; the category that of the gate with most dominance
+    (``claims``: gate, category, dominance), the others are ``rejected``.
+    """
+    said = [F.when(truth(ok), F.lit("passed")).otherwise(F.array_join(lacks, ",")) for ok, lacks in gates.values()]
+    best = strongest_claim([claim(gate, category, dominance, gates[gate][0]) for gate, category, dominance in claims], otherwise)
+    return F.struct(
+        matrix({n: ok for n, (ok, _) in gates.items()}).alias("gates"), F.map_from_arrays(F.array(*[F.lit(n) for n in gates]), F.array(*said)).alias("reasons"),
+        first_reason(subtypes).alias("subtype"), best["category"].alias("category"), best["rejected"].alias("rejected"),
+    )

@@ -26,12 +26,17 @@ def packs() -> dict[str, list[str]]:
     return common | rare
 
 
+#: Signals of the first sentence alone; all others are of the whole text.
+HEADLINE = ["dispute_headline", "routine", "planned"]
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rows with ``signals`` of their whole texts and the facts that gates ask for, from their texts, sources, languages and lengths."""
     size, has = F.length("text"), lambda mark: F.contains("text", F.lit(mark))
     one_of = lambda at, values: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    d = cg.signals(d, "text", packs())
+    terms = packs()
+    d = cg.view_signals(d, {"headline": F.substring_index("text", ".", 1), "whole": F.col("text")}, {"headline": {n: terms[n] for n in HEADLINE}, "whole": {n: t for n, t in terms.items() if n not in HEADLINE}})
     listed = lambda pairs: F.array_compact(F.array(*[F.when(has(mark), F.lit(name)) for mark, name in pairs]))
     return d.select(
         "doc_id", "signals", (size >= 150).alias("dated"), (~F.col("source").isin("src3", "src5", "src7")).alias("sourced"), (size % 5 == 0).alias("family"), (F.col("lang") != "de").alias("in_scope"),
@@ -75,6 +80,47 @@ def g5_operation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.array_join(gates[g], ",").alias(g) for g in ("incident", "adjustment", "opening")], gates["policy"].alias("policy"))
 
 
+ACCIDENT = {
+    "context": ["the", "la", "der"], "accident": ["that", "une", "und"], "severity": ["this", "pour", "mit"], "equipment": ["erer", "onan"], "direct": ["thing"], "consequence": ["with", "dans"], "research": ["from"], "occurred": ["than"],
+    "single": ["anre"], "exception": ["rest"], "road": ["of"], "low_impact": ["in"], "minor": ["is"], "other_context": ["license"],
+}
+NEGATORS = ["not", "nicht", "to"]
+
+
+def _accident(rows: DataFrame) -> Column:
+    s = cg.of(rows)
+    return cg.major_accident(F.col("note"), ACCIDENT, NEGATORS, F.col("subject"), s("security") & ~s("security_impact"))
+
+
+def g3_major_accident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as accidents of consequence, with what shows it and what is lacking."""
+    rows, _ = _gates(facts(spark, sf_dir))
+    found = rows.select("doc_id", _accident(rows).alias("a"))
+    return found.select("doc_id", "a.passes", F.array_join("a.signals", ",").alias("signals"), F.array_join("a.failures", ",").alias("failures"))
+
+
+def g13_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of each document over its headline and its whole text, the reasons, the subtype and the category that wins."""
+    rows, g = _gates(facts(spark, sf_dir))
+    s, col = cg.of(rows), F.col
+    names = ("incident", "adjustment", "opening", "purchase", "research")
+    rows = rows.withColumns({"accident": _accident(rows), **{f"f_{n}": g[n] for n in names}, "f_dispute": g["dispute"], "f_policy": g["policy"]})
+    rows = rows.withColumn("issue", _issue(rows))
+    forward, _, _ = cg.forward(s, col("subject"), col("triad"), col("family"), col("dated"), col("sourced"), col("tier"), col("grade"), col("issue"))
+    held = {n: F.size(f"f_{n}") == 0 for n in names}
+    none, acted = F.expr("cast(array() as array<string>)"), s("policy_dominant") | s("action")
+    technology = col("triad") | cg.passed(forward) | held["research"]
+    gates = {
+        "accident": (col("accident.passes"), col("accident.failures")), "technology": (technology, col("triad_failures")), "dispute": (col("f_dispute"), none),
+        "policy": ((col("f_policy") & acted) | held["incident"] | held["adjustment"], failures([("policy", col("f_policy")), ("action", acted)])), "opening": (held["opening"], col("f_opening")),
+        "purchase": (col("in_scope") & held["purchase"], F.concat(F.when(~col("in_scope"), F.array(F.lit("not_selected"))).otherwise(none), col("f_purchase"))),
+    }
+    subtypes = [("opening", held["opening"]), ("technical_incident", held["incident"]), ("service_adjustment", held["adjustment"]), ("dispute", col("f_dispute")), ("policy", gates["policy"][0])]
+    claims = [("accident", "accident", 6), ("purchase", "purchase", 5), ("opening", "operations", 4), ("dispute", "operations", 3), ("policy", "operations", 2), ("technology", "technology", 1)]
+    found = rows.select("doc_id", cg.evaluate(gates, subtypes, claims).alias("e"))
+    return found.select("doc_id", *[F.col("e.gates")[n].alias(n) for n in gates], *[F.col("e.reasons")[n].alias(f"why_{n}") for n in gates], "e.subtype", "e.category", F.array_join("e.rejected", ",").alias("rejected"))
+
+
 def g9_purchase_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase and research with their failures."""
     rows, gates = _gates(facts(spark, sf_dir))
@@ -148,15 +194,15 @@ def g23_home_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("s.admitted", "s.system", "s.reason").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (g1_subject_gates, g2_text_gates, g5_operation_gates, g9_purchase_gates, g11_forward_gates, g20_selection_gates, g22_rescue_gates, g23_home_scope)}
+QUERIES = {f.__name__: f for f in (g1_subject_gates, g2_text_gates, g3_major_accident, g13_evaluator, g5_operation_gates, g9_purchase_gates, g11_forward_gates, g20_selection_gates, g22_rescue_gates, g23_home_scope)}
 
 
 _ONE = lambda at, values: f"[{', '.join(repr(v) for v in values)}][{at} % {len(values)} + 1]"
 _WORDISH = "[A-Za-z0-9]+|[\\x{4E00}-\\x{9FFF}]"
 _TEXT = "coalesce(text, '')"
 _FACTS = f"""
-f00 AS (SELECT *, length({_TEXT}) AS z, replace(lower({_TEXT}), 'ß', 'ss') AS folded FROM documents),
-f0 AS (SELECT doc_id, {", ".join(f"regexp_matches(folded, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)') AS {n}" for n, terms in packs().items())},
+f00 AS (SELECT *, length({_TEXT}) AS z, replace(lower({_TEXT}), 'ß', 'ss') AS folded, replace(lower(string_split({_TEXT}, '.')[1]), 'ß', 'ss') AS headline FROM documents),
+f0 AS (SELECT doc_id, folded AS raw, {", ".join(f"regexp_matches({'headline' if n in HEADLINE else 'folded'}, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)') AS {n}" for n, terms in packs().items())},
   z >= 150 AS dated, source NOT IN ('src3', 'src5', 'src7') AS sourced, z % 5 = 0 AS family, lang <> 'de' AS in_scope,
   {_ONE("z", "ABCD")} AS tier, {_ONE("(z // 4)", "ABCX")} AS grade, CASE WHEN lang IN ('en', 'fr') THEN 'news_article' WHEN lang = 'es' THEN 'portal' ELSE '' END AS page_type, {_ONE("(z // 16)", ["technology", "accident", "policy", "dispute", "purchase", "excluded", ""])} AS category,
   z % 100 AS score, regexp_matches({_TEXT}, '{cg.UNITS}') AS quantified, len(regexp_extract_all(string_split({_TEXT}, '.')[1], '{_WORDISH}')) AS n_title, len(regexp_extract_all(coalesce(string_split({_TEXT}, '.')[2], ''), '{_WORDISH}')) AS n_snippet, length(trim(coalesce(string_split({_TEXT}, '.')[2], ''), ' ')) AS snippet_size,
@@ -198,7 +244,30 @@ def _re2(terms: list[str]) -> str:
 
 _FOLD = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
 
+_IN = lambda x, terms: f"regexp_matches({x}, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)')"
+_HAS = lambda x, name: _IN(x, ACCIDENT[name])
+#: A clause has a term with no negator before it.
+_POSITIVE = lambda x, name: f"""len(list_filter(string_split_regex({x}, '[.!?;:。！？；：\\n]'), lambda c: {_HAS("c", name)} AND NOT {_IN(f"regexp_extract(c, '^(.*?)(?:^|[^a-z0-9])(?:{'|'.join(ACCIDENT[name])})(?:[^a-z0-9]|$)', 1, 's')", NEGATORS)})) > 0"""
+_SEVERE = f"""NOT ({_HAS("f", "research")} AND NOT {_POSITIVE("f", "occurred")}) AND (({_POSITIVE("f", "severity")} AND NOT {_POSITIVE("f", "equipment")}) OR {_POSITIVE("f", "direct")} OR ({_HAS("f", "equipment")} AND {_HAS("f", "consequence")}))"""
+_COUNTS = f"""{_HAS("f", "context")} AND {_HAS("f", "accident")} AND ({_SEVERE}) AND NOT ({_HAS("f", "single")} AND NOT {_HAS("raw", "exception")}) AND NOT ({_HAS("f", "road")} AND {_HAS("f", "low_impact")} AND {_HAS("f", "minor")})"""
+_ACCIDENTS = f"""{_FACTS}, parts AS (SELECT *, list_filter(list_transform(string_split_regex(raw, '[.!?。！？\\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS frags FROM r),
+marked AS (SELECT *, {_HAS("raw", "accident")} AS a1, len(list_filter(frags, lambda f: {_SEVERE})) > 0 AS a2, NOT {_HAS("raw", "other_context")} AS a3, NOT {_HAS("raw", "research")} OR {_POSITIVE("raw", "occurred")} AS a4, NOT (security AND NOT security_impact) AS a5, len(list_filter(frags, lambda f: {_COUNTS})) > 0 AS a6 FROM parts),
+acc AS (SELECT *, concat_ws(',', CASE WHEN NOT subject THEN 'subject' END, CASE WHEN NOT a1 THEN 'accident' END, CASE WHEN NOT a2 THEN 'severity' END, CASE WHEN NOT a3 THEN 'not_other_context' END, CASE WHEN NOT a4 THEN 'not_research' END, CASE WHEN NOT a5 THEN 'not_barred' END, CASE WHEN NOT a6 THEN 'one_sentence' END) AS acc_failures,
+  concat_ws(',', CASE WHEN subject THEN 'subject' END, CASE WHEN a1 THEN 'accident' END, CASE WHEN a2 THEN 'severity' END) AS acc_signals FROM marked)"""
+_WHY = lambda gate, lacks: f"CASE WHEN {gate} THEN 'passed' ELSE {lacks} END AS why_{gate.removeprefix('x_')}"
+
 ORACLE_SQL = {
+    "g3_major_accident": f"WITH {_ACCIDENTS} SELECT doc_id, acc_failures = '' AS passes, acc_signals AS signals, acc_failures AS failures FROM acc",
+    "g13_evaluator": f"""
+WITH {_ACCIDENTS}, e AS (SELECT *, acc_failures = '' AS x_accident,
+  triad OR (family AND based AND grade IN ('A', 'B', 'C') AND NOT project_only AND (track_a OR track_b)) OR (subject AND doc AND research AND technical_object AND result AND bought_failures <> '') AS x_technology, disputed AS x_dispute,
+  (is_policy AND (policy_dominant OR action)) OR incident = '' OR adjusted = '' AS x_policy, opening = '' AS x_opening, in_scope AND bought_failures = '' AS x_purchase FROM acc),
+c AS (SELECT *, list_filter([CASE WHEN x_technology THEN 'technology' END, CASE WHEN x_policy THEN 'operations' END, CASE WHEN x_dispute THEN 'operations' END, CASE WHEN x_opening THEN 'operations' END, CASE WHEN x_purchase THEN 'purchase' END, CASE WHEN x_accident THEN 'accident' END], lambda x: x IS NOT NULL) AS claims FROM e)
+SELECT doc_id, {", ".join(f"x_{n} AS {n}" for n in ("accident", "technology", "dispute", "policy", "opening", "purchase"))},
+  {_WHY("x_accident", "acc_failures")}, {_WHY("x_technology", "triad_failures")}, {_WHY("x_dispute", "''")}, {_WHY("x_policy", "concat_ws(',', CASE WHEN NOT is_policy THEN 'policy' END, CASE WHEN NOT (policy_dominant OR action) THEN 'action' END)")}, {_WHY("x_opening", "opening")},
+  {_WHY("x_purchase", "concat_ws(',', CASE WHEN NOT in_scope THEN 'not_selected' END, nullif(bought_failures, ''))")},
+  CASE WHEN opening = '' THEN 'opening' WHEN incident = '' THEN 'technical_incident' WHEN adjusted = '' THEN 'service_adjustment' WHEN disputed THEN 'dispute' WHEN x_policy THEN 'policy' END AS subtype,
+  coalesce(claims[-1], 'excluded') AS category, array_to_string(list_filter(claims, lambda x: x <> claims[-1]), ',') AS rejected FROM c""",
     "g1_subject_gates": f"WITH {_FACTS} SELECT doc_id, subject, triad_failures, disputed AS dispute FROM r",
     "g5_operation_gates": f"WITH {_FACTS} SELECT doc_id, incident, adjusted AS adjustment, opening, is_policy AS policy FROM r",
     "g9_purchase_gates": f"""WITH {_FACTS} SELECT doc_id, bought_failures AS purchase, concat_ws(',', CASE WHEN NOT subject THEN 'subject' END, CASE WHEN NOT doc THEN 'documented' END, CASE WHEN NOT research THEN 'activity' END, CASE WHEN NOT technical_object THEN 'object' END, CASE WHEN NOT result THEN 'status' END, CASE WHEN bought_failures = '' THEN 'no_purchase' END) AS research FROM r""",
