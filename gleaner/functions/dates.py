@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ def rfc_date(text: Column) -> Column:
     return F.try_to_date(F.regexp_extract(text, RFC, 1), "d MMM yyyy")
 
 
-def loose_date(text: Column | str) -> Column:
-    """The first reading that applies: yyyy-m-d or yyyy/m/d of this century between other characters than digits (null if it is no date), a mail date, an ISO date, a Chinese date, a year's first day."""
+def loose_date(text: Column | str, unknown: Iterable[str] = ()) -> Column:
+    """The first reading that applies; none for a text with a mark of an ``unknown`` date: yyyy-m-d or yyyy/m/d of this century between other characters than digits (null if it is no date), a mail date, an ISO date, a Chinese date, a year's first day."""
     t = F.coalesce(_col(text), F.lit(""))
+    if marks := "|".join(re.escape(m) for m in unknown):
+        t = F.when(t.rlike(marks), "").otherwise(t)
     numbers = F.regexp_extract(t, r"(?<!\d)(20\d{2}[-/]\d{1,2}[-/]\d{1,2})(?!\d)", 1)
     chinese = F.regexp_replace(F.regexp_extract(t, r"(\d{4}年\d{1,2}月\d{1,2}日)", 1), "[年月]", "-")
     year = F.regexp_extract(t, r"\b(20\d{2})\b", 1)

@@ -50,9 +50,9 @@ def k7_diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k10_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 12 dearest orders of each priority, quarters without one taking the place of second ones of near price."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.quarter("o_orderdate").alias("quarter"), "o_totalprice")
-    return select.rebalance(o, "o_orderpriority", "quarter", "o_totalprice", 12, 20000.0, "o_orderkey")
+    """The 12 dearest orders of each priority, quarters without one taking the place of second ones of near price, at most 60 % of them of the last years."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.quarter("o_orderdate").alias("quarter"), "o_totalprice", (F.year("o_orderdate") >= 1997).alias("recent"))
+    return select.rebalance(o, "o_orderpriority", "quarter", "o_totalprice", 12, 20000.0, "o_orderkey", "recent")
 
 
 def k14_source_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def t5_keyed_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("url").alias("href"), F.expr("cast(date_add(date'2024-01-01', cast(page_id % 90 as int)) as string)").alias("date"), F.lit(None).cast("string").alias("published"))
     out = landed.normalize_hits(p, "2024-01-10", "2024-02-20", 3, URL_RULES)
-    return out.groupBy("domain", F.coalesce("reject", F.lit("kept")).alias("reject")).agg(F.count("*").alias("n"))
+    return out.groupBy("domain", F.coalesce("reject", F.lit("kept")).alias("reject")).agg(F.count("*").alias("n"), F.min("ingest_id").alias("first_id"))
 
 
 def s17_block_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,8 @@ SELECT CASE WHEN coalesce(trim(title), '') = '' THEN 'empty_title' WHEN d <= DAT
   count(*) AS n, max(d) AS latest FROM f GROUP BY 1""",
     "s3_search_hits": f"""
 WITH p AS (SELECT *, DATE '2024-01-01' + (page_id % 90)::INTEGER AS d FROM pages)
-SELECT {_DOMAIN} AS domain, coalesce({_URL}, CASE WHEN d < DATE '2024-01-07' OR d > DATE '2024-02-23' THEN 'date' END, 'kept') AS reject, count(*) AS n FROM p GROUP BY ALL""",
+SELECT {_DOMAIN} AS domain, coalesce({_URL}, CASE WHEN d < DATE '2024-01-07' OR d > DATE '2024-02-23' THEN 'date' END, 'kept') AS reject, count(*) AS n,
+  min('raw_' || substr(sha256('{{"date":"' || d || '","href":"' || url || '","published":null}}'), 1, 24)) AS first_id FROM p GROUP BY ALL""",
     "s17_block_parser": """
 SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INTEGER AS pos, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal::VARCHAR END AS balance FROM customer""",
     "s9_page_metadata": """

@@ -141,14 +141,14 @@ def u11_date_parse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = (
         F.when(kind == 0, F.date_format(d, "yyyy-MM-dd")).when(kind == 1, F.date_format(d, "EEE, dd MMM yyyy 08:00:00 'GMT'")).when(kind == 2, F.date_format(d, "yyyy年M月d日"))
         .when(kind == 3, F.concat(F.lit("in "), F.year(d).cast("string"))).when(kind == 4, F.concat(F.lit("seen 2015-13-"), F.dayofmonth(d))).when(kind == 5, F.concat(F.lit("on "), F.date_format(d, "yyyy-M-d"), F.lit(" at noon")))
-        .when(kind == 6, F.concat(F.lit("by "), F.date_format(d, "yyyy/M/d"), F.lit("."))).when(kind == 7, F.concat(F.lit("no. 1"), F.date_format(d, "yyyy/MM/dd"))).otherwise("unknown")
+        .when(kind == 6, F.concat(F.lit("by "), F.date_format(d, "yyyy/M/d"), F.lit("."))).when(kind == 7, F.concat(F.lit("no. 1"), F.date_format(d, "yyyy/MM/dd"))).otherwise("unknown 2026")
     )
     url = F.concat(
         F.lit("https://x.example/"),
         F.when(place == 0, F.concat(F.date_format(d, "yyyy/MM/dd"), F.lit("/a.html"))).when(place == 1, F.concat(F.lit("news/title-"), F.date_format(d, "yyyy-MM-dd"), F.lit(".html")))
         .when(place == 2, F.concat(F.date_format(d, "yyyy'%2F'M'%2F'd"), F.lit("?x=2001/01/01"))).when(place == 3, F.concat(F.lit("2015/13/40/"), F.date_format(d, "yyyy-M-d"))).otherwise(F.concat(F.lit("id"), F.date_format(d, "yyyyMMdd"))),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.loose_date(written).alias("read"), dates.path_date(url).alias("from_path"), dates.publication_date(written).alias("published"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.loose_date(written, ["unknown"]).alias("read"), dates.path_date(url).alias("from_path"), dates.publication_date(written).alias("published"))
 
 
 HURT = [r"injures (\d{1,3})\b", r"\b(\d{1,3}) (?:passengers )?(?:were )?(?:hurt|injured)\b", r"\b(\d{1,3}) hospitalised\b", r"(\d{1,3}) *人受傷"]

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import dates, text, urls
+from gleaner.functions import dates, hashing, text, urls
 from gleaner.operators import gates
 
 FEED = "title string, link string, summary string, published string, updated string, source struct<href: string, title: string>"
 HIT = "title string, body string, href string, date string, published string, source string"
+HIT_FIELDS = ("title", "body", "href", "date", "published", "source", "query", "route")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,11 +63,12 @@ def normalize_feed(entries: DataFrame, cutoff: str, topic: list[str], excluded:
 
 
 def normalize_hits(hits: DataFrame, first: str, last: str, slack_days: int, url_rules: dict) -> DataFrame:
-    """Search hits with their date and ``reject``: a bad url, or a date out of the period by more than the slack."""
+    """Search hits with their date, ``ingest_id`` (the hash of what was given) and ``reject``: a bad url, or a date out of the period by more than the slack."""
     date = F.coalesce(dates.loose_date("date"), dates.loose_date("published"), dates.path_date("href"))
     late = (date < F.date_sub(F.lit(first).cast("date"), slack_days)) | (date > F.date_add(F.lit(last).cast("date"), slack_days))
     reason = F.coalesce(urls.reject_reason("href", **url_rules), F.when(gates.truth(late), "date"))
-    return hits.withColumns({"published_date": date, "domain": urls.domain("href"), "reject": reason})
+    given = hashing.ingest_id({c: F.col(c) for c in hits.columns if c in HIT_FIELDS})
+    return hits.withColumns({"published_date": date, "domain": urls.domain("href"), "ingest_id": given, "reject": reason})
 
 
 def parse_blocks(texts: DataFrame, column: str, carry: list[str], marker: str, labels: dict[str, str]) -> DataFrame:

@@ -88,6 +88,7 @@ def test_urls(spark):
 def test_dates(spark):
     rows = [("2025-1-9 x",), ("2025-02-30",), ("Mon, 06 Jan 2025 10:00:00 GMT",), ("1999-05-06",), ("2024年3月5日",), ("since 2023",), ("none",), (None,)]
     d = dt.date
+    assert values(spark, [("date unknown 2026",), ("tba, 2026-03-04",), ("2026",), (None,)], dates.loose_date("t", ["unknown", "tba"])) == [None, None, d(2026, 1, 1), None]
     assert values(spark, rows, dates.loose_date("t")) == [d(2025, 1, 9), None, d(2025, 1, 6), d(1999, 5, 6), d(2024, 3, 5), d(2023, 1, 1), None, None]
     assert values(spark, [("https://a/2024/02/03/x",), ("https://a/2024-02-03",), ("https://a/2024/13/03/",)], dates.path_date("t")) == [d(2024, 2, 3), d(2024, 2, 3), None]
 
