@@ -225,20 +225,35 @@ def paraphrase(summary: Column | str, title: Column | str, low: float = 0.72, hi
     return comparable & (ratio >= low) & (ratio < high)
 
 
+def running_sums(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it, in blocks of the square root of their number: an array that grows is copied at each step, so no long one is grown."""
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    wide = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), wide), lambda i: F.slice(numbers, i, wide))
+
+    def before(values: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(values, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before(totals, F.lit(0)).alias("start")), lambda z: before(z["block"], z["start"])))
+
+    return once(parts, joined)
+
+
 def spans(text: Column | str, terms: Iterable[str], mode: str = "token") -> Column:
     """``array<struct(start, stop)>`` of all matches that don't overlap, from the left, start from 0."""
     pattern, t = term_regex(terms, mode), fold(text)
     sizes = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
     gaps = F.transform(F.split(t, pattern, -1), lambda g: F.length(g))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"))
+    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda p: p["size"].isNotNull())
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + p["gap"]
-        stop = begin + p["size"]
-        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), stop.alias("stop"))).alias("out"))
+    def placed(found: Column) -> Column:
+        begins = running_sums(F.transform(found, lambda p: p["gap"] + p["size"]))
+        return F.zip_with(found, begins, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("stop")))
 
-    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda p: p["size"].isNotNull())
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    return F.element_at(F.transform(F.array(pieces), placed), 1)
 
 
 def span_distance(a: Column, b: Column) -> Column:
