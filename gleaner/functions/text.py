@@ -197,6 +197,38 @@ def standard_id(text: Column | str, bodies: Iterable[str]) -> Column:
     return F.nullif(F.regexp_replace(found, r"\s+", " "), F.lit(""))
 
 
+def standard_body(text: Column | str, identifier: Column, bodies: Iterable[tuple[str, str]]) -> Column:
+    """Who issues a standard: the first of ``bodies`` (name, pattern of the folded text) that is named, else what its identifier begins with; null without either."""
+    t = fold(text)
+    named = [F.when(t.rlike(pattern), F.lit(name)) for name, pattern in bodies]
+    return F.coalesce(*named, F.nullif(F.regexp_extract(F.coalesce(identifier, F.lit("")), r"^([^\s\d-]+)", 1), F.lit("")))
+
+
+def update_kind(text: Column | str, kinds: Iterable[tuple[str, list[str]]]) -> Column:
+    """The first kind of update (name, terms) that a text has a term of; null without one."""
+    t = fold(text)
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(t.rlike(term_regex(terms)), F.lit(name)) for name, terms in kinds])
+
+
+def edition_year(text: Column | str, words: Iterable[str], within: int = 14) -> Column:
+    """The year 20xx that follows one of the words within so many other characters than digits; null without one."""
+    found = F.regexp_extract(fold(text), rf"(?:{'|'.join(re.escape(w.casefold()) for w in words)})[^\d]{{0,{within}}}(20\d{{2}})", 1)
+    return F.nullif(found, F.lit("")).cast("int")
+
+
+def is_truncated(title: Column | str) -> Column:
+    """Whether a title ends in an ellipsis."""
+    return F.coalesce(_col(title), F.lit("")).rlike(r"(?:\.\.\.|[…﹍︙])\s*$")
+
+
+def is_generic_title(title: Column | str, names: Iterable[str], words: Iterable[str], stopwords: Iterable[str], most: int = 3) -> Column:
+    """Whether a title names no work: it has no meaningful word, is one of ``names``, or has at most ``most`` words, all of them of ``words``."""
+    tokens, known = meaningful_tokens(title, stopwords), list(names)
+    listed = normalize_title(title).isin(*known) if known else F.lit(False)
+    common = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    return (F.size(tokens) == 0) | listed | ((F.size(tokens) <= most) & (F.size(F.array_except(tokens, common)) == 0))
+
+
 def gate_view(title: Column, evidence: Column, source: Column, url: Column, patterns: dict[str, str]) -> Column:
     """What gates look at: title, evidence, source, the url and its path's words, and the tags that these match."""
     path = F.regexp_replace(F.regexp_extract(url, r"^[a-z]+://[^/]+/([^?#]*)", 1), r"[-_/.]+", " ")

@@ -8,6 +8,7 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import loose_json
 from gleaner.operators.sizes import small
 from gleaner.scratch import materialize
 
@@ -86,3 +87,33 @@ def overwrite(blocks: DataFrame, records: DataFrame, key: str, label: str, value
     right = F.concat(F.regexp_extract("block", rf"(?s)^(.*?)(?m:^{label}: [^\n]*)", 1), line, F.regexp_extract("block", rf"(?s)^.*?(?m:^{label}: [^\n]*)(.*)$", 1))
     fixed = F.when(F.col("_value").isNull(), F.col("block")).when(has, right).otherwise(F.concat("block", F.lit("\n"), line))
     return blocks.join(side, F.col(key) == F.col("_key"), "left").withColumn("block", fixed).drop("_key", "_value")
+
+
+def merge_sections(blocks: DataFrame, report: list[str], section: str, at: str, identity: Column, block: str, separator: str = "\n\n") -> DataFrame:
+    """One section for each key of a report: ``at`` of its first block, ``n_blocks`` and ``body``.
+
+    All blocks of sections of one key are joined in order; of blocks of one
+    identity (an id, an address, a title) the first stays.
+    """
+    firsts = blocks.groupBy(*report, section, identity.alias("_identity")).agg(F.min(F.struct(F.col(at).alias("at"), F.col(block).alias("block"))).alias("_b"))
+    in_order = F.array_sort(F.collect_list("_b"))
+    return firsts.groupBy(*report, section).agg(F.min("_b.at").alias("at"), F.count("*").alias("n_blocks"), F.array_join(F.transform(in_order, lambda b: b["block"]), separator).alias("body"))
+
+
+def selected_ids(answer: Column, candidates: Column, most: int, least: int) -> Column:
+    """``struct(ids, method)`` of a model's answer: which of ``candidates`` (an array of ids) it selects, at most ``most``, in its order.
+
+    By the ``json`` in it (``selected_ids``, numbers or objects with an id);
+    else by ``mention`` (id, # and so on before a number); else by ``list``, a
+    number at the beginning of a line; else the first ``least`` candidates
+    (``fallback``).  Ids that aren't candidates don't count, nor do repeated ones.
+    """
+    parsed = loose_json(answer)
+    listed = F.coalesce(F.get_json_object(parsed, "$.selected_ids"), F.lit("[]"))
+    plain = F.transform(F.from_json(listed, "array<string>"), lambda v: F.coalesce(F.get_json_object(v, "$.id"), v).try_cast("long"))
+    numbers = lambda found: F.transform(found, lambda v: v.try_cast("long"))
+    mentioned = numbers(F.regexp_extract_all(answer, F.lit(r"(?i)(?:candidate|id|#)\s*[:：]?\s*(\d{1,3})"), F.lit(1)))
+    lines = numbers(F.regexp_extract_all(answer, F.lit(r"(?m)^[^\S\n]*(\d{1,3})[.、)]"), F.lit(1)))
+    known = lambda ids: F.slice(F.filter(F.array_distinct(F.coalesce(ids, F.expr("cast(array() as array<bigint>)"))), lambda i: F.array_contains(candidates, i)), 1, most)
+    ways = F.array(*[F.struct(known(ids).alias("ids"), F.lit(name).alias("method")) for name, ids in (("json", plain), ("mention", mentioned), ("list", lines))])
+    return F.coalesce(F.get(F.filter(ways, lambda w: F.size(w["ids"]) > 0), 0), F.struct(F.slice(candidates, 1, min(least, most)).alias("ids"), F.lit("fallback").alias("method")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import text
-from gleaner.operators import evidence, intervals, queues, verdicts
+from gleaner.functions import text, urls
+from gleaner.operators import evidence, intervals, queues, report, verdicts
 from gleaner.plans.common import table
 
 SHELLS = evidence.Shells(("es",), ("fr",), ("license", "redistribut"), ("onre", "thble"), ("the", "que", "of", "ther", "and"), ("the", "and"), {"blocked_paths": [], "blocked_hosts": ["spam-farm.example.org"], "blocked_suffixes": ["html"]})
@@ -77,7 +77,48 @@ def o4_report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "verdict", "n_issues", "n_failed_blocks", "first_block", "first_issue", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (k12_quarter_queues, s8_admission, s13_evidence_cascade, r15_evidence_reasons, j6_event_periods, o4_report_verdicts)}
+def d13_joined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section for each speaker of a conversation: the turns joined, of turns of one text the first."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    found = report.merge_sections(t, ["conv_id"], "role", "turn", F.md5(F.lower("text")), "text")
+    return found.select("conv_id", "role", F.col("at").alias("first_turn"), "n_blocks", F.md5("body").alias("body"))
+
+
+def o12_selection_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of an order an answer selects: as JSON, as mentions, as a list, or not at all."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("long"))).alias("candidates"))
+    kind, n = F.col("l_orderkey") % 5, F.size("candidates").cast("string")
+    answer = (
+        F.when(kind == 0, F.concat(F.lit('Here: {"selected_ids": ['), n, F.lit(', {"id": 1}, 99, '), n, F.lit("]}"))).when(kind == 1, F.concat(F.lit("We take ID: "), n, F.lit(" and #1, candidate 77.")))
+        .when(kind == 2, F.concat(F.lit("Chosen\n 1. the first\n"), n, F.lit(") the last\n88. none"))).when(kind == 3, F.lit('{"selected_ids": [99]}')).otherwise("nothing of use")
+    )
+    return lines.select("l_orderkey", report.selected_ids(answer, F.col("candidates"), 3, 2).alias("s")).select("l_orderkey", F.array_join("s.ids", ",").alias("ids"), "s.method")
+
+
+KINDS = [
+    ("index", "/(?:search|index)", ["und"]), ("login", "/(?:login|account)", ["que"]), ("schedule", "/(?:schedule|en/[0-9]{2}$)", []), ("ticketing", "/tickets", ["ticket"]), ("event", "/events", ["ertion"]), ("financial", "/(?:stocks|fr/)", []), ("property", "/es/", ["casa"]), ("crime", "/crime", ["onre"]),
+    ("low_information", "/(?:tag|[0-9])$", []), ("people_mover", "/mover", ["thing"]),
+]
+
+
+def u20_all_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all kinds of pages, the first that path or title tells of."""
+    p = table(spark, sf_dir, "pages").select(urls.page_kind("url", F.regexp_extract("html", "<title>([^<]*)</title>", 1), KINDS).alias("kind"))
+    return p.groupBy("kind").agg(F.count("*").alias("n_pages"))
+
+
+def f21_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as notices of standards: identifier, body, kind of update, edition; and what their titles are."""
+    notice = F.concat(F.lit("EN "), F.col("p_partkey") % 900 + 100, F.when(F.col("p_size") % 3 == 0, " edition of ").when(F.col("p_size") % 3 == 1, " (version: ").otherwise(" of "), F.col("p_size") % 30 + 2000, F.lit(" "), F.lower("p_name"), F.when(F.col("p_size") % 5 == 0, " ...").otherwise(""))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", notice.alias("notice"))
+    identifier = text.standard_id("notice", ["EN", "ISO"])
+    body = text.standard_body("notice", identifier, [("CEN", r"\bred\b"), ("ISO", r"\bblue\b")])
+    kind = text.update_kind("notice", [("draft", ["green", "small"]), ("withdrawn", ["red"]), ("published", ["blue", "large"])])
+    generic = text.is_generic_title("p_name", ["small part"], ["small", "large", "part", "ring", "red"], ["the"])
+    return p.select("p_partkey", identifier.alias("identifier"), body.alias("body"), kind.alias("kind"), text.edition_year("notice", ["edition", "version"]).alias("edition"), text.is_truncated("notice").alias("truncated"), generic.alias("generic"))
+
+
+QUERIES = {f.__name__: f for f in (k12_quarter_queues, s8_admission, s13_evidence_cascade, r15_evidence_reasons, j6_event_periods, o4_report_verdicts, d13_joined_sections, o12_selection_answers, u20_all_page_kinds, f21_standards)}
 
 _PATH = "regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
 _HOST = "regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '')"
@@ -103,6 +144,23 @@ _CHECKS = [
 ]
 
 ORACLE_SQL = {
+    "d13_joined_sections": """
+WITH c AS (SELECT conv_id, role, turn, coalesce(text, '') AS t FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role, md5(lower(coalesce(text, ''))) ORDER BY turn) = 1)
+SELECT conv_id, role, min(turn) AS first_turn, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) ORDER BY turn)) AS body FROM c GROUP BY ALL""",
+    "o12_selection_answers": """
+WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS c, l_orderkey % 5 AS kind FROM lineitem GROUP BY l_orderkey), n AS (SELECT *, len(c) AS n FROM o),
+f AS (SELECT *, list_filter(CASE WHEN kind > 2 THEN [] WHEN n = 1 THEN [1] WHEN kind = 2 THEN [1, n] ELSE [n, 1] END, lambda i: list_contains(c, i)) AS found FROM n)
+SELECT l_orderkey, CASE WHEN len(found) = 0 THEN 'fallback' ELSE ['json', 'mention', 'list'][kind + 1] END AS method, array_to_string(CASE WHEN len(found) = 0 THEN c[1:2] ELSE found END, ',') AS ids FROM f""",
+    "u20_all_page_kinds": f"""
+WITH p AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)
+SELECT CASE WHEN replace(path, '/', '') = '' THEN 'home' {" ".join(f"WHEN regexp_matches(path, '{at}')" + (f" OR regexp_matches(title, '(?:^|[^a-z0-9])(?:{'|'.join(terms)})(?:[^a-z0-9]|$)')" if terms else "") + f" THEN '{name}'" for name, at, terms in KINDS)}
+  WHEN regexp_matches(path, '/[0-9]{{2,}}([./]|$)') THEN 'article' ELSE 'unresolved' END AS kind, count(*) AS n_pages FROM p GROUP BY 1""",
+    "f21_standards": """
+WITH p AS (SELECT p_partkey, lower(p_name) AS n, p_name, p_size, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND w <> 'the')) AS w FROM part)
+SELECT p_partkey, 'EN ' || (p_partkey % 900 + 100) AS identifier, CASE WHEN regexp_matches(n, '\\bred\\b') THEN 'CEN' WHEN regexp_matches(n, '\\bblue\\b') THEN 'ISO' ELSE 'EN' END AS body,
+  CASE WHEN regexp_matches(n, '\\b(green|small)\\b') THEN 'draft' WHEN regexp_matches(n, '\\bred\\b') THEN 'withdrawn' WHEN regexp_matches(n, '\\b(blue|large)\\b') THEN 'published' END AS kind,
+  CASE WHEN p_size % 3 < 2 THEN p_size % 30 + 2000 END::INTEGER AS edition, p_size % 5 = 0 AS truncated,
+  len(w) = 0 OR n = 'small part' OR (len(w) <= 3 AND len(list_filter(w, lambda x: x NOT IN ('small', 'large', 'part', 'ring', 'red'))) = 0) AS generic FROM p""",
     "j6_event_periods": """
 WITH p AS (SELECT DISTINCT ['view', 'click', 'purchase', 'signup', 'error'][c_custkey % 5 + 1] AS route, 1704067200 + c_custkey % 29 * 86400 + c_nationkey * 3600 AS start, 1704067200 + c_custkey % 29 * 86400 + c_nationkey * 3600 + (c_nationkey % 9 + 1) * 7200 AS stop FROM customer WHERE c_custkey % 37 = 0),
 m AS (SELECT event_id, count(route) AS n, min(route || '-' || start || '-' || stop) AS label FROM (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS at_s FROM events) e LEFT JOIN p ON route = event_type AND start <= at_s AND at_s < stop GROUP BY 1)
