@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,20 @@ from gleaner.functions.urls import domain
 from gleaner.operators.sizes import dimension
 
 
+#: Rows that a product of dimensions may have.
+PRODUCT_ROWS = 10_000_000
+
+
+def _product(tables: list[DataFrame]) -> DataFrame:
+    """All combinations of the rows of small tables; their number is known before any is made."""
+    if (n := prod(t.count() for t in tables)) > PRODUCT_ROWS:
+        raise ValueError(f"a product of at most {PRODUCT_ROWS} rows is wanted here, this one has {n}")
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), tables)
+
+
 def plan_queries(dimensions: list[DataFrame], pattern: Column, order: list[str], cap: int) -> DataFrame:
     """The product of small dimensions as ``query``, each distinct one once in the given order, under a cap: a plan of at most ``cap`` rows."""
-    product = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), map(dimension, dimensions))
+    product = _product([dimension(d) for d in dimensions])
     first = product.withColumn("query", pattern).groupBy("query").agg(F.min(F.struct(*order)).alias("_at"), F.min_by(F.struct(*product.columns), F.struct(*order)).alias("_row"))
     return first.orderBy("_at").limit(cap).select("query", "_row.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text, urls
 from gleaner.operators import dedupe, gates, identity, resolve, score
+from gleaner.operators.sizes import small
 from gleaner.plans.common import number, table
 
 
@@ -36,7 +37,7 @@ def r5_longest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations by the longest alias in a written address."""
     nations = table(spark, sf_dir, "nation")
     aliases = nations.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("name"))
-    written = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("office of "), "s_name", F.lit(" in "), "n_name").alias("address"))
+    written = table(spark, sf_dir, "supplier").join(small(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("office of "), "s_name", F.lit(" in "), "n_name").alias("address"))
     return resolve.longest_alias(written, "address", aliases).select("s_suppkey", "alias", "name")
 
 
@@ -70,14 +71,11 @@ def r14_evidence_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r15_token_overlap_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document's text counts for the title of the item of its number."""
+    """Whether a document's text counts for the title of the page of its number."""
     stop = ["the", "and", "for"]
-    n_items = table(spark, sf_dir, "benchmark").agg(F.max("item_id")).first()[0] + 1
-    title = F.array_join(F.slice(F.split("b_text", " "), 1, 5), " ")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("b_text")).select("item_id", text.meaningful_tokens(title, stop).alias("title"))
-    d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % n_items)
-    # documents of a large join: only the bounded titles move to them where they are few
-    v = d.join(b, "item_id").select("lang", resolve.token_validity(F.col("title"), text.meaningful_tokens("text", stop), F.col("text")).alias("verdict"))
+    title = text.meaningful_tokens(F.regexp_extract("html", "<title>([^<]*)</title>", 1), stop)
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), title.alias("title"))
+    v = table(spark, sf_dir, "documents").join(p, "doc_id").select("lang", resolve.token_validity(F.col("title"), text.meaningful_tokens("text", stop), F.col("text")).alias("verdict"))
     return v.groupBy("lang", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -274,8 +272,8 @@ f AS (SELECT lang, coalesce(length(trim(a)) >= 120, false) AS ha, coalesce(lengt
 SELECT lang, CASE WHEN ha AND hs THEN 'article_and_snippet' WHEN ha THEN 'article' WHEN hs THEN 'snippet' ELSE 'none' END AS provenance,
   CASE WHEN ha THEN 'rich' WHEN hs AND ls THEN 'moderate' WHEN hs THEN 'thin' ELSE 'empty' END AS richness, count(*) AS n FROM f GROUP BY ALL""",
     "r15_token_overlap_validity": r"""
-WITH b AS (SELECT item_id, list_filter(list_distinct(string_split_regex(replace(lower(array_to_string(string_split(text, ' ')[1:5], ' ')), 'ß', 'ss'), '[^\p{L}\p{N}_]+')), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for')) AS title FROM benchmark),
-d AS (SELECT lang, text, title, len(list_intersect(title, list_distinct(string_split_regex(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+')))) AS shared FROM documents JOIN b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id)
+WITH b AS (SELECT page_id, list_filter(list_distinct(string_split_regex(replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'ß', 'ss'), '[^\p{L}\p{N}_]+')), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for')) AS title FROM pages),
+d AS (SELECT lang, text, title, len(list_intersect(title, list_distinct(string_split_regex(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+')))) AS shared FROM documents JOIN b ON doc_id = page_id)
 SELECT lang, CASE WHEN length(text) < 120 THEN 'short' WHEN len(title) = 0 THEN 'no_title_tokens' WHEN shared < CASE WHEN len(title) <= 2 THEN 1 ELSE 2 END THEN 'title_mismatch' ELSE 'valid' END AS verdict, count(*) AS n FROM d GROUP BY ALL""",
     "r18_text_region": """
 SELECT lang, CASE WHEN contains(lower(text), 'idiot') THEN 'first' WHEN contains(lower(text), 'license') THEN 'second' WHEN contains(lower(text), 'password') THEN 'third' WHEN contains(lower(text), 'ound') THEN 'fourth' WHEN contains(lower(text), 'que') THEN 'fifth' ELSE 'unknown' END AS region, count(*) AS n
