@@ -228,12 +228,20 @@ def counted(parts: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def in_buckets(table: DataFrame, tag: str, buckets: int) -> DataFrame:
-    """``table`` written in buckets by ``chunk``, so that joins by it need no shuffle."""
+    """``table`` written in buckets by ``chunk``, so that joins by it need no shuffle; ``forget`` takes it out of the catalogue again."""
     spark = table.sparkSession
     path = scratch_path(spark, tag)
     name = f"{tag}_{path.rpartition('-')[2]}".replace("-", "_")
     table.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    written = spark.table(name)
+    written._scratch, written._name = path, name
+    return written
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table of ``in_buckets`` that no later step reads."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._name}")
+    discard(table)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -366,11 +374,14 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     replies = materialize(totals(send_pairs(parts, ranges)), "lm-counts")
     known = replies.where(f"chunk = -1 AND kind = {UNIGRAM}").agg(F.sum("n"), F.sum("total")).first()
     vocabulary, n_train = int(known[0] or 0), int(known[1] or 0)
-    rows = parts.join(in_buckets(counted(parts, replies), "lm_tokens", buckets).hint("merge"), "chunk")
+    counts = in_buckets(counted(parts, replies), "lm_tokens", buckets)
+    rows = parts.join(counts.hint("merge"), "chunk")
     discard(replies)
     weights = learn_weights(deleted_histogram(rows, n_train).toPandas(), vocabulary)  # at most 65 * 301 * 301 bins
     triples = materialize(totals(send_triples(rows, ranges)), "lm-triples")
     rows = materialize(with_triples(rows, triples), "lm-rows")
+    for table in (parts, counts):
+        forget(table)
     of_triples = learn_triple_weights(deleted_triples(rows, weights, n_train, vocabulary).toPandas())  # at most 65 * 301 * 301 bins
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -102,6 +102,11 @@ def test_many_chunks_and_ranges_count_alike(spark, rows, monkeypatch):
     assert sorted(map(key, lm.score(docs).collect())) == once
 
 
+def test_no_table_stays_in_the_catalogue(spark, rows):
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_")]
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
