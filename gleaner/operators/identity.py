@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import event_id
-from gleaner.functions.text import conflicting, fold, injuries, term_regex
+from gleaner.functions.text import BOUNDED, conflicting, fold, injuries, term_regex
 from gleaner.scratch import materialize
 
 Named = list[tuple[str, list[str]]]
@@ -90,7 +91,9 @@ def first_named(folded: Column, groups: Named) -> Column:
     for i, (_, terms) in enumerate(groups):
         for term in terms:
             rank.setdefault(term.casefold(), i)
-    found = F.regexp_extract_all(folded, F.lit(f"(?=({'|'.join(term_regex([t]) for t in rank)}))"), F.lit(1))
+    bounded = all(BOUNDED["phrase"](t) for t in rank)
+    any_term = f"(?<![a-z0-9])(?=((?:{'|'.join(map(re.escape, rank))})(?![a-z0-9])))" if bounded else f"(?=({'|'.join(term_regex([t]) for t in rank)}))"
+    found = F.regexp_extract_all(folded, F.lit(any_term), F.lit(1))
     place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     return F.get(F.array(*[F.lit(n) for n, _ in groups]), F.array_min(F.transform(F.array_distinct(found), lambda t: place[t])))
 
