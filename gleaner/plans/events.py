@@ -127,7 +127,7 @@ k AS (SELECT 'procurement|' || action || '|' || project AS block FROM i WHERE ev
   {" ".join(f"UNION ALL SELECT 'general|' || event_class || '|{a}|' || {a} || '|{b}|' || {b} FROM g WHERE free" for n, a in enumerate(("city", "operator", "project", "event_object", "action")) for b in ("city", "operator", "project", "event_object", "action")[n + 1:] if n < 3)})
 SELECT block, count(*) AS n FROM k WHERE block IS NOT NULL GROUP BY 1""",
     "d5_title_conflicts": r"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'r1' WHEN turn % 3 = 0 THEN 'r2' ELSE '' END AS region, regexp_extract_all(lower(coalesce(text, '')), '[a-z]*zz[a-z]*') AS l, regexp_extract_all(lower(coalesce(text, '')), '\d+') AS n, regexp_extract_all(lower(coalesce(text, '')), '[a-z]*ould[a-z]*') AS e, '2024-01-01'::DATE + (conv_id % 5 * turn % 23)::INTEGER AS date FROM conversations)
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'r1' WHEN turn % 3 = 0 THEN 'r2' ELSE '' END AS region, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[a-z]*zz[a-z]*') AS l, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\d+') AS n, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[a-z]*ould[a-z]*') AS e, '2024-01-01'::DATE + (conv_id % 5 * turn % 23)::INTEGER AS date FROM conversations)
 SELECT a.conv_id, a.turn, (a.region <> '' AND b.region <> '' AND a.region <> b.region) OR (len(a.l) > 0 AND len(b.l) > 0 AND NOT list_has_any(a.l, b.l)) OR (len(a.n) > 0 AND len(b.n) > 0 AND NOT list_has_any(a.n, b.n)) OR (len(a.e) > 0 AND len(b.e) > 0 AND NOT list_has_any(a.e, b.e)) OR abs(a.date - b.date) > 7 AS conflict
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 }

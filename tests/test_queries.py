@@ -162,3 +162,20 @@ def test_documents_of_one_beginning_are_not_duplicates(spark, tmp_path):
     assert [(r.doc_id, r.leader) for r in run("d6_same_texts")] == [(3, 1)]
     assert [r.n_ids for r in run("d9_conflicting_texts")] == [2]
     assert sorted(r.turn for r in run("d13_whole_sections")) == [0, 1, 3]
+
+
+def against_sql(spark, folder, name, tables):
+    """The rows of a query and of its SQL over the given tables: ``(rows, schema)`` by name."""
+    con = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = QUERIES[name](spark, f"file://{folder}")
+    columns = ", ".join(df.columns)
+    return sorted(map(repr, map(tuple, df.collect()))), sorted(map(repr, con.execute(f"SELECT {columns} FROM ({ORACLE_SQL[name]})").fetchall()))
+
+
+def test_names_of_turns_are_folded(spark, tmp_path):
+    turns = [(1, 1, "aßzz"), (1, 2, "asszz"), (1, 3, "sszz")]
+    got, want = against_sql(spark, tmp_path, "d5_title_conflicts", {"conversations": (turns, "conv_id long, turn long, text string")})
+    assert got == want == ["(1, 1, False)", "(1, 2, True)"]
