@@ -179,7 +179,7 @@ SELECT CASE WHEN l.k IS NOT NULL THEN 'lines' WHEN f.k IS NOT NULL THEN 'orders'
 FROM orders o LEFT JOIN l ON l.k = o_orderkey LEFT JOIN f ON f.k = o_orderkey GROUP BY ALL""",
     "q14_water_filling": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 12",
     "f13_fragment_gate": f"""
-SELECT lang, count(*) FILTER (len(list_filter(string_split_regex(lower(text), '[.!?。！？\\n]+'), lambda s: regexp_matches(s, '{_B.format("the|une|der")}') AND regexp_matches(s, '{_B.format("of|que|und")}'))) > 0) AS n_both, count(*) AS n
+SELECT lang, count(*) FILTER (len(list_filter(string_split_regex(replace(lower(text), 'ß', 'ss'), '[.!?。！？\\n]+'), lambda s: regexp_matches(s, '{_B.format("the|une|der")}') AND regexp_matches(s, '{_B.format("of|que|und")}'))) > 0) AS n_both, count(*) AS n
 FROM documents GROUP BY lang""",
     "r21_best_link": r"""
 WITH p AS (SELECT page_id, list_distinct(list_filter(string_split_regex(replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'ß', 'ss'), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 3)) AS t, unnest(regexp_extract_all(html, '<a\b[^>]*href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>', 0, 'is')) AS a FROM pages),

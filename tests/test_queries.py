@@ -179,3 +179,9 @@ def test_names_of_turns_are_folded(spark, tmp_path):
     turns = [(1, 1, "aßzz"), (1, 2, "asszz"), (1, 3, "sszz")]
     got, want = against_sql(spark, tmp_path, "d5_title_conflicts", {"conversations": (turns, "conv_id long, turn long, text string")})
     assert got == want == ["(1, 1, False)", "(1, 2, True)"]
+
+
+def test_sentences_are_folded(spark, tmp_path):
+    texts = [(1, "the ofß", "de"), (2, "the of", "de"), (3, "une. que", "fr"), (4, None, "fr")]
+    got, want = against_sql(spark, tmp_path, "f13_fragment_gate", {"documents": (texts, "doc_id long, text string, lang string")})
+    assert got == want == ["('de', 1, 2)", "('fr', 0, 2)"]
