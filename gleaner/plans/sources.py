@@ -162,7 +162,7 @@ SELECT feed AS ord, 'feed-' || feed AS source, status = 'fallback' AS by_fallbac
   CASE WHEN status NOT IN ('read', 'fallback') THEN status WHEN n = 0 THEN CASE WHEN t > 0 AND i = 0 AND b = 0 THEN 'off_topic' WHEN b > 0 AND i = 0 THEN 'blocked' ELSE 'no_entries' END WHEN status = 'fallback' THEN 'fallback_ok' ELSE 'ok' END AS status FROM m""",
     "s2_feed_normaliser": f"""
 WITH e AS (SELECT CASE WHEN page_id % 14 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, url, regexp_extract(html, '<p>(.*?)</p>', 1, 's') AS s, CASE WHEN page_id % 9 <> 0 THEN DATE '2024-01-01' + (page_id % 60)::INTEGER END AS d FROM pages),
-f AS (SELECT *, lower(concat_ws(' ', title, trim(regexp_replace(s, '<[^>]+>', ' ', 'g')))) AS b0, lower(concat_ws(' ', title, s)) AS b FROM e)
+f AS (SELECT *, replace(lower(concat_ws(' ', title, trim(regexp_replace(s, '<[^>]+>', ' ', 'g')))), 'ß', 'ss') AS b0, replace(lower(concat_ws(' ', title, s)), 'ß', 'ss') AS b FROM e)
 SELECT CASE WHEN coalesce(trim(title), '') = '' THEN 'empty_title' WHEN d <= DATE '2024-01-20' THEN 'not_recent' WHEN regexp_matches(b, '{_B.format("onre")}') THEN 'excluded_topic' WHEN NOT regexp_matches(b, '{_B.format("the|que|die|les|of")}') THEN 'off_topic' WHEN {_URL} IS NOT NULL THEN 'url' ELSE 'kept' END AS reject,
   count(*) AS n, max(d) AS latest FROM f GROUP BY 1""",
     "s3_search_hits": f"""

@@ -1,5 +1,6 @@
 """Every registered curation query against its DuckDB SQL, on the smallest table set."""
 
+import datetime
 import itertools
 import math
 import random
@@ -185,3 +186,10 @@ def test_sentences_are_folded(spark, tmp_path):
     texts = [(1, "the ofß", "de"), (2, "the of", "de"), (3, "une. que", "fr"), (4, None, "fr")]
     got, want = against_sql(spark, tmp_path, "f13_fragment_gate", {"documents": (texts, "doc_id long, text string, lang string")})
     assert got == want == ["('de', 1, 2)", "('fr', 0, 2)"]
+
+
+def test_entries_are_folded(spark, tmp_path):
+    page = "<html><title>{}</title><p>{}</p>"
+    pages = [(i, f"http://a.example/{i}", page.format(*t)) for i, t in enumerate([("", ""), ("one", "dieß"), ("two", "die"), ("three", "die ßonre"), ("four", "die onre")], 28)]
+    got, want = against_sql(spark, tmp_path, "s2_feed_normaliser", {"pages": (pages, "page_id long, url string, html string")})
+    assert got == want and sorted(eval(r, {"datetime": datetime})[0] for r in got) == ["empty_title", "excluded_topic", "kept", "off_topic"]
