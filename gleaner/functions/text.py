@@ -191,8 +191,8 @@ def doi(text: Column | str) -> Column:
 
 
 def standard_id(text: Column | str, bodies: Iterable[str]) -> Column:
-    """The first identifier such as ``ABC 1234-5`` of one of the bodies, single-spaced; null without one."""
-    found = F.regexp_extract(F.coalesce(_col(text), F.lit("")), rf"\b((?:{'|'.join(bodies)})[\s-]?\d{{2,6}}(?:-\d{{1,3}})*)", 1)
+    """The first identifier such as ``ABC 1234-5`` of one of the bodies, single-spaced; null without one. A number of more than six digits is none, and no number is cut."""
+    found = F.regexp_extract(F.coalesce(_col(text), F.lit("")), rf"\b((?:{'|'.join(bodies)})[\s-]?\d{{2,6}}(?:-\d{{1,3}})*)(?!\d)", 1)
     return F.nullif(F.regexp_replace(found, r"\s+", " "), F.lit(""))
 
 

@@ -213,7 +213,7 @@ WITH d AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lowe
 SELECT a.conv_id, a.turn, array_to_string(a.n, ',') AS numbers, len(a.n) > 0 AND len(b.n) > 0 AND NOT list_has_any(a.n, b.n) AS conflict
 FROM d a JOIN d b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
     "f20_loose_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (props->>'k')::INTEGER END AS k FROM events",
-    "f21_identifiers": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'EN ' || (p_partkey + 1000) || '-2' END AS standard, '10.1234/ab.' || p_partkey AS doi FROM part",
+    "f21_identifiers": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey + 1000 < 1000000 THEN 'EN ' || (p_partkey + 1000) || '-2' END AS standard, '10.1234/ab.' || p_partkey AS doi FROM part",
     "u1_domain_rollup": f"SELECT {_DOMAIN} AS domain, count(*) AS n_pages, count(DISTINCT {_PATH}) AS n_paths FROM pages GROUP BY 1",
     "u2_host_suffix_class": f"""
 WITH rules(domain, class) AS (VALUES {', '.join(str(h) for h in HOSTS)}), h AS (SELECT page_id, {_DOMAIN} AS host FROM pages),

@@ -193,3 +193,9 @@ def test_entries_are_folded(spark, tmp_path):
     pages = [(i, f"http://a.example/{i}", page.format(*t)) for i, t in enumerate([("", ""), ("one", "dieß"), ("two", "die"), ("three", "die ßonre"), ("four", "die onre")], 28)]
     got, want = against_sql(spark, tmp_path, "s2_feed_normaliser", {"pages": (pages, "page_id long, url string, html string")})
     assert got == want and sorted(eval(r, {"datetime": datetime})[0] for r in got) == ["empty_title", "excluded_topic", "kept", "off_topic"]
+
+
+def test_numbers_of_standards_are_not_cut(spark, tmp_path):
+    parts = [(k,) for k in (998_998, 999_000, 1_200_000, 1_200_001)]
+    got, want = against_sql(spark, tmp_path, "f21_identifiers", {"part": (parts, "p_partkey long")})
+    assert got == want == ["(1200000, None, '10.1234/ab.1200000')", "(1200001, None, '10.1234/ab.1200001')", "(998998, 'EN 999998-2', '10.1234/ab.998998')", "(999000, None, '10.1234/ab.999000')"]
