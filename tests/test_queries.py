@@ -199,3 +199,28 @@ def test_numbers_of_standards_are_not_cut(spark, tmp_path):
     parts = [(k,) for k in (998_998, 999_000, 1_200_000, 1_200_001)]
     got, want = against_sql(spark, tmp_path, "f21_identifiers", {"part": (parts, "p_partkey long")})
     assert got == want == ["(1200000, None, '10.1234/ab.1200000')", "(1200001, None, '10.1234/ab.1200001')", "(998998, 'EN 999998-2', '10.1234/ab.998998')", "(999000, None, '10.1234/ab.999000')"]
+
+
+def test_few_pairs_of_titles_are_compared(spark, monkeypatch):
+    seen, real = {}, similarity.materialize
+
+    def spy(df, tag):
+        table = real(df, tag)
+        seen[tag] = table.count()
+        return table
+
+    monkeypatch.setattr(similarity, "materialize", spy)
+    titles = [(i, normalised(t)) for i, t, _ in page_rows(spark)]
+    found = similarity.similar_texts(spark.createDataFrame(titles, "i long, t string"), "i", "t", 0.72).count()
+    assert 0 < found <= seen["met"] <= 3 * found + 20
+
+
+def test_chunks_and_long_texts_lose_no_pair(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice((5, 60, 64, 65, 130, 150)))).strip() for _ in range(60)]
+    texts = sorted({x for t in texts for x in (t, t[: len(t) * 2 // 3] + "zz", t[1:])})
+    rows = spark.createDataFrame([(f"k{i:03}", t) for i, t in enumerate(texts)], "i string, t string")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    want = {(f"k{a:03}", f"k{b:03}") for a, b in itertools.combinations(range(len(texts)), 2) if max(ratio(texts[b], texts[a]), ratio(texts[a], texts[b])) >= 0.7}
+    got = [(r.a, r.b) for r in similarity.similar_texts(rows, "i", "t", 0.7, chunk=17).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
