@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,17 @@ def test_chunks_and_long_texts_lose_no_pair(spark):
     want = {(f"k{a:03}", f"k{b:03}") for a, b in itertools.combinations(range(len(texts)), 2) if max(ratio(texts[b], texts[a]), ratio(texts[a], texts[b])) >= 0.7}
     got = [(r.a, r.b) for r in similarity.similar_texts(rows, "i", "t", 0.7, chunk=17).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
+def test_few_pairs_of_titles_are_stepped_through():
+    rng, letters = random.Random(5), list("the old thing on the other street was not in their interest")
+    titles = ["".join(rng.sample(letters, len(letters))) for _ in range(300)]
+    titles += [t[:20] + t[23:40] + "xy" + t[40:] for t in titles[:40]]
+    texts = similarity.Texts(pd.DataFrame({"text": titles}))
+    stepped, real = [], similarity.common_subsequences
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similarity, "common_subsequences", lambda codes, texts, left, *rest: stepped.append(len(left)) or real(codes, texts, left, *rest))
+        found = {frozenset((texts.rows["text"][i], texts.rows["text"][j])) for x, y in similarity.block_pairs(texts, texts, 0.84) for i, j in zip(x, y, strict=True)}
+    near = {frozenset((a, b)) for k, a in enumerate(titles) for b in titles[:k] if SequenceMatcher(None, a, b).ratio() >= 0.84 or SequenceMatcher(None, b, a).ratio() >= 0.84}
+    assert near <= found and len(near) >= 40
+    assert sum(stepped) < len(titles) * 10, sum(stepped)  # all pairs have their characters in common
