@@ -7,7 +7,8 @@ driver, to one regular expression, so a whole pack costs one pass over a text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +43,30 @@ def term_regex(terms: Iterable[str], mode: str = "phrase") -> str:
     return "|".join(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])" if BOUNDED[mode](t) else re.escape(t) for t in ordered) or "(?!)"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it; a plain column would be put in at each place."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _words(terms: Iterable[str]) -> list[str]:
+    return sorted({t.casefold() for t in terms if re.fullmatch("[a-z0-9]+", t.casefold())})
+
+
+def known_words(folded: Column, terms: Iterable[str]) -> Column:
+    """Those of the terms that are single words and that a folded text has, found in one pass over it."""
+    words = F.array(*[F.lit(w) for w in _words(terms)]).cast("array<string>")
+    return F.array_intersect(F.split(folded, "[^a-z0-9]+"), words)
+
+
+def has_term(folded: Column, known: Column, terms: Iterable[str]) -> Column:
+    """``contains_any`` of a folded text whose ``known_words`` are at hand: only terms of several words are looked for in the text."""
+    terms = list(terms)
+    words, others = _words(terms), [t for t in terms if t and not re.fullmatch("[a-z0-9]+", t.casefold())]
+    tests = [F.arrays_overlap(known, F.array(*[F.lit(w) for w in words]))] if words else []
+    tests += [folded.rlike(term_regex(others))] if others else []
+    return reduce(lambda a, b: a | b, tests, F.lit(False)) if len(tests) != 1 else tests[0]
+
+
 def contains_any(text: Column | str, terms: Iterable[str], mode: str = "phrase") -> Column:
     """Whether a folded text has any of the terms; false for null."""
     return fold(text).rlike(term_regex(terms, mode))
@@ -258,7 +283,6 @@ def paraphrase(summary: Column | str, title: Column | str, low: float = 0.72, hi
 
 def running_sums(numbers: Column) -> Column:
     """For each number of an array the sum of those before it, in blocks of the square root of their number: an array that grows is copied at each step, so no long one is grown."""
-    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
     wide = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
     parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), wide), lambda i: F.slice(numbers, i, wide))
 
@@ -284,7 +308,7 @@ def spans(text: Column | str, terms: Iterable[str], mode: str = "token") -> Colu
         begins = running_sums(F.transform(found, lambda p: p["gap"] + p["size"]))
         return F.zip_with(found, begins, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("stop")))
 
-    return F.element_at(F.transform(F.array(pieces), placed), 1)
+    return once(pieces, placed)
 
 
 def span_distance(a: Column, b: Column) -> Column:

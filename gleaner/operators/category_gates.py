@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import contains_positive, fold, fragments, term_regex, wordish_count
+from gleaner.functions.text import contains_positive, fold, fragments, has_term, known_words, once, term_regex, wordish_count
 from gleaner.functions.urls import host_suffixes
 from gleaner.operators.gates import failures, first_reason, matrix, truth
 from gleaner.operators.resolve import claim, strongest_claim
@@ -31,8 +31,7 @@ Checks = list[tuple[str, Column]]
 
 def signals(df: DataFrame, text: Column | str, packs: dict[str, Iterable[str]], out: str = "signals") -> DataFrame:
     """``df`` with the struct ``out``: for each pack of terms whether the text has one of them."""
-    folded = df.withColumn("_folded", fold(text))
-    return folded.withColumn(out, F.struct(*[F.col("_folded").rlike(term_regex(terms)).alias(name) for name, terms in packs.items()])).drop("_folded")
+    return view_signals(df, {"text": F.col(text) if isinstance(text, str) else text}, {"text": packs}, out)
 
 
 def of(df: DataFrame, out: str = "signals") -> Signals:
@@ -284,8 +283,10 @@ def view_signals(df: DataFrame, views: dict[str, Column], packs: dict[str, dict[
     if twice := {n for n in names if names.count(n) > 1}:
         raise ValueError(f"packs of more than one view: {sorted(twice)}")
     folded = df.withColumns({f"_view_{v}": fold(text) for v, text in views.items()})
-    held = F.struct(*[F.col(f"_view_{v}").rlike(term_regex(terms)).alias(n) for v, of_view in packs.items() for n, terms in of_view.items()])
-    return folded.withColumn(out, held).drop(*[f"_view_{v}" for v in views])
+    read = folded.withColumns({f"_words_{v}": known_words(F.col(f"_view_{v}"), [t for terms in of_view.values() for t in terms]) for v, of_view in packs.items()})
+    held = lambda w: F.struct(*[has_term(F.col(f"_view_{v}"), w[v], terms).alias(n) for v, of_view in packs.items() for n, terms in of_view.items()])
+    # a plain struct would be dissolved, and each signal looked for at every place that asks for it
+    return read.withColumn(out, once(F.struct(*[F.col(f"_words_{v}").alias(v) for v in packs]), held)).drop(*[f"_{kind}_{v}" for v in views for kind in ("view", "words")])
 
 
 def major_accident(text: Column, packs: dict[str, Iterable[str]], negators: Iterable[str], subject: Column, barred: Column) -> Column:
@@ -301,26 +302,37 @@ def major_accident(text: Column, packs: dict[str, Iterable[str]], negators: Iter
     alone; ``barred`` is what else speaks against it (a response to an earlier
     accident, a crime).
     """
-    has = lambda t, name: fold(t).rlike(term_regex(packs.get(name, ())))
-    held = lambda t, name: contains_positive(t, packs.get(name, ()), negators)
+    terms = [t for pack in packs.values() for t in pack]
+    read = lambda t: F.struct(t.alias("text"), known_words(t, terms).alias("words"))
+    has = lambda t, name: has_term(t["text"], t["words"], packs.get(name, ()))
+    # a clause's term is the text's, so that most texts aren't cut into clauses
+    held = lambda t, name: has(t, name) & contains_positive(t["text"], packs.get(name, ()), negators)
 
     def severe(f: Column) -> Column:
         studied = has(f, "research") & ~held(f, "occurred")
         return ~studied & ((held(f, "severity") & ~held(f, "equipment")) | held(f, "direct") | (has(f, "equipment") & has(f, "consequence")))
 
-    def counts(f: Column) -> Column:
-        alone = has(f, "single") & ~has(text, "exception")
+    def counts(f: Column, whole: Column) -> Column:
+        alone = has(f, "single") & ~has(whole, "exception")
         slight = has(f, "road") & has(f, "low_impact") & has(f, "minor")
-        return has(f, "context") & has(f, "accident") & severe(f) & ~alone & ~slight
-
-    parts = fragments(text)
-    checks = [
-        ("subject", truth(subject)), ("accident", has(text, "accident")), ("severity", F.exists(parts, severe)), ("not_other_context", ~has(text, "other_context")),
-        ("not_research", ~has(text, "research") | held(text, "occurred")), ("not_barred", ~truth(barred)), ("one_sentence", F.exists(parts, counts)),
-    ]
-    missing = failures(checks)
-    shown = F.array_compact(F.array(*[F.when(ok, F.lit(n)) for n, ok in checks[:3]]))
-    return F.struct((F.size(missing) == 0).alias("passes"), shown.alias("signals"), missing.alias("failures"))
+        return has(f, "context") & has(f, "accident") & ~alone & ~slight
+
+    def checked(whole: Column) -> Column:
+        # no sentence without one of these is severe, so only few are cut into words
+        told = term_regex([t for n in ("severity", "direct", "equipment") for t in packs.get(n, ())])
+        parts = F.transform(F.filter(F.transform(fragments(text), fold), lambda f: f.rlike(told)), read)
+        found = once(F.filter(parts, severe), lambda s: F.struct((F.size(s) > 0).alias("some"), F.exists(s, lambda f: counts(f, whole)).alias("one")))
+        return F.struct(
+            truth(subject).alias("subject"), has(whole, "accident").alias("accident"), found.alias("found"), (~has(whole, "other_context")).alias("not_other_context"),
+            (~has(whole, "research") | held(whole, "occurred")).alias("not_research"), (~truth(barred)).alias("not_barred"),
+        )
+
+    def judged(c: Column) -> Column:
+        checks = [("subject", c["subject"]), ("accident", c["accident"]), ("severity", c["found"]["some"]), *((n, c[n]) for n in ("not_other_context", "not_research", "not_barred")), ("one_sentence", c["found"]["one"])]
+        shown = F.array_compact(F.array(*[F.when(ok, F.lit(n)) for n, ok in checks[:3]]))
+        return once(failures(checks), lambda missing: F.struct((F.size(missing) == 0).alias("passes"), shown.alias("signals"), missing.alias("failures")))
+
+    return once(once(read(fold(text)), checked), judged)
 
 
 def evaluate(gates: dict[str, tuple[Column, Column]], subtypes: list[tuple[str, Column]], claims: list[tuple[str, str, int]], otherwise: str = "excluded") -> Column:

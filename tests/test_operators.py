@@ -1,11 +1,13 @@
 import random
+import re
 from functools import partial
 
 import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from gleaner.operators import dedupe, diagnostics, gates, identity, report, resolve, score, select
+from gleaner.functions import text
+from gleaner.operators import category_gates, dedupe, diagnostics, gates, identity, report, resolve, score, select
 from gleaner.streaming import dedupe as streams
 from gleaner.streaming.dedupe import run_to_end
 
@@ -285,3 +287,16 @@ def test_source_diverse_matches_a_loop(spark):
             left.remove(best)
             want.add((g, best[1], pick))
     assert got == want
+
+
+def test_signals_are_looked_for_once(spark):
+    texts = ["The of the line", "thex of", "xthe", "ofthe-the", "STRASSE 12", "straße", "a.b", "a b", "", None, "of  the", "1the", "the"]
+    packs = {"one": ["the", "12"], "two": ["of the"], "three": ["a.b", "line"], "four": ["straße"], "five": [], "six": ["Σας", "of"]}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = category_gates.view_signals(df, {"v": F.col("text")}, {"v": packs})
+    s = category_gates.of(got)
+    asked = got.withColumn("any", F.greatest(*[s(n) for n in packs])).select("i", "any", *[s(n).alias(n) for n in packs], *[(s(n) & ~s("one")).alias(f"{n}_more") for n in packs])
+    want = {i: {n: bool(re.search(text.term_regex(p).replace("(?!)", "(?!x)x"), (t or "").lower().replace("ß", "ss"))) for n, p in packs.items()} for i, t in enumerate(texts)}
+    assert {r.i: {n: r[n] for n in packs} for r in asked.collect()} == want
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("of\\ the") == 1 and plan.count("split(") == 1, plan
