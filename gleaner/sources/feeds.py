@@ -1,8 +1,8 @@
 """Landed feeds as a Spark data source, the scan over all of them, and their first-wins stream.
 
 ``landed_feeds`` reads a manifest, JSON lines of ``FEED`` that say which feeds
-there are and where what a fetcher landed for each lies, and makes a partition
-of each feed.  A feed's file is RSS or Atom; one that is missing, empty or not
+there are and where what a fetcher landed for each lies, and makes partitions
+of some feeds each.  A feed's file is RSS or Atom; one that is missing, empty or not
 well-formed is bad.  A bad feed is read from its fallback address, but only
 where its route has no period: what is asked for a period must not be answered
 by something else.  A scan gives the entries and one row of status for each
@@ -36,6 +36,8 @@ ENTRY = ["title", "link", "summary", "published", "updated", "source_href"]
 SCHEMA = "ord long, source string, kind string, pos int, status string, message string, used string, " + ", ".join(f"{c} string" for c in ENTRY)
 #: Lines that a manifest may have; it is read by the driver.
 MOST_FEEDS = 1_000_000
+#: Tasks that read a manifest's feeds, at most.
+TASKS = 256
 
 
 class BadFeed(Exception):
@@ -47,7 +49,7 @@ class BadFeed(Exception):
 
 
 @dataclass
-class Feed(InputPartition):
+class Feed:
     ord: int
     source: str
     path: str
@@ -57,6 +59,19 @@ class Feed(InputPartition):
     kinds: tuple[str, ...] = ("feed", "entry")
 
 
+@dataclass
+class Feeds(InputPartition):
+    """Feeds that one task reads, one after another."""
+
+    feeds: list[Feed]
+
+
+def dealt(feeds: list[Feed]) -> list[Feeds]:
+    """The feeds in at most ``TASKS`` tasks, of which each starts a worker."""
+    n = min(TASKS, len(feeds))
+    return [Feeds(feeds[k::n]) for k in range(n)]
+
+
 def _opened(place: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
 
@@ -154,20 +169,19 @@ class FeedReader(DataSourceReader):
         self.manifest = options["manifest"]
         self.sources, self.kinds = (set(json.loads(options[n])) if n in options else None for n in ("sources", "kinds"))
 
-    def partitions(self) -> list[Feed]:
+    def partitions(self) -> list[Feeds]:
         system, files = _files(self.manifest)
         feeds = [f for f in manifest_feeds(files, system) if self.sources is None or f.source in self.sources]
         for f in feeds:
             f.kinds = tuple(k for k in f.kinds if self.kinds is None or k in self.kinds)
-        return feeds
+        return dealt(feeds)
 
-    def read(self, partition: Feed) -> Iterator[pa.RecordBatch]:
-        if partition:
-            yield _rows(partition)
+    def read(self, partition: Feeds) -> Iterator[pa.RecordBatch]:
+        yield from map(_rows, partition.feeds if partition else [])
 
 
 class FeedStreamReader(DataSourceStreamReader):
-    """Offsets count the manifest's files; feeds are read by executors, a partition each."""
+    """Offsets count the manifest's files; feeds are read by executors."""
 
     def __init__(self, options: dict[str, str]):
         self.manifest = options["manifest"]
@@ -178,12 +192,12 @@ class FeedStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"files": len(_files(self.manifest)[1])}
 
-    def partitions(self, start: dict, end: dict) -> list[Feed]:
+    def partitions(self, start: dict, end: dict) -> list[Feeds]:
         system, files = _files(self.manifest)
-        return manifest_feeds(files[start["files"] : end["files"]], system)
+        return dealt(manifest_feeds(files[start["files"] : end["files"]], system))
 
-    def read(self, partition: Feed) -> Iterator[pa.RecordBatch]:
-        yield _rows(partition)
+    def read(self, partition: Feeds) -> Iterator[pa.RecordBatch]:
+        yield from map(_rows, partition.feeds)
 
 
 class LandedFeeds(DataSource):

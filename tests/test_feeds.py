@@ -117,3 +117,13 @@ def test_what_is_forgotten_changes_nothing(spark, tmp_path):
         spark.createDataFrame([(10 - k, "t", "u"), (100 + k, "t", "other")], "ord long, title_key string, url_key string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/f")
     stream = spark.readStream.schema("ord long, title_key string, url_key string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f")
     assert [tuple(r) for r in streams.first_wins(stream, ttl_ms=1).collect()] == [(8, "t", "u")]
+
+
+def test_many_feeds_are_read_by_few_tasks(tmp_path):
+    lines = [json.dumps({"ord": i, "source": f"s{i}", "path": f"{tmp_path}/none-{i}"}) for i in range(1000)]
+    (tmp_path / "manifest.json").write_text("\n".join(lines))
+    reader = feeds.FeedReader({"manifest": str(tmp_path / "manifest.json")})
+    parts = reader.partitions()
+    assert len(parts) <= 300
+    read = [b.column("source")[0].as_py() for p in parts for b in reader.read(p)]
+    assert sorted(read) == sorted(f"s{i}" for i in range(1000))
