@@ -32,16 +32,44 @@ def blocking_keys(groups: dict[str, list[Column]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def blocked_pairs(rows: DataFrame, keys: str, ord_column: str, carry: list[str]) -> DataFrame:
+def pair_counts(rows: DataFrame, keys: str, ord_column: str) -> DataFrame:
+    """``block, n_pairs``: how many pairs ``blocked_pairs`` has of each block, without making them.
+
+    Pairs that share a set of keys are counted from its rows; those whose
+    largest key is shared but that share smaller ones too are taken off and put
+    back by the sizes of these sets.  A row of m keys is in 2^m - 1 sets, so m
+    should be small; groups may be of any size.
+    """
+    sorted_keys = F.array_sort(keys)
+    chosen = lambda mask: F.filter(sorted_keys, lambda _, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1)
+    sets = F.transform(F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2.0), F.size(sorted_keys)) - 1).cast("long")), chosen)
+    held = rows.where(F.col(ord_column).isNotNull() & (F.size(keys) > 0)).select(F.explode(sets).alias("_set"), F.col(ord_column).alias("_ord"))
+    n = F.col("_n")
+    of_set = held.groupBy("_set", "_ord").agg(F.count("*").alias("_n")).groupBy("_set").agg(F.shiftright(F.sum(n) * F.sum(n) - F.sum(n * n), 1).alias("_pairs"))
+    signed = F.when(F.size("_set") % 2 == 1, F.col("_pairs")).otherwise(-F.col("_pairs"))
+    return of_set.groupBy(F.element_at("_set", -1).alias("block")).agg(F.sum(signed).alias("n_pairs")).where("n_pairs > 0")
+
+
+def blocked_pairs(rows: DataFrame, keys: str, ord_column: str, carry: list[str], equal: Iterable[str] = (), no_conflict: Iterable[str] = ()) -> DataFrame:
     """Each pair of rows that share a key, once, with the columns ``carry`` as ``a_*`` and ``b_*``.
 
+    Of those in ``equal`` both sides must be known and equal, of those in
+    ``no_conflict`` they must not be known and differ; these pairs only are
+    asked for their least key.
+
     A pair belongs to its least shared key only, so no distinct over pairs is
     needed.  Keys are as selective as their groups make them; rows of one key
     that have nothing else to tell them apart should be consolidated first.
     """
     exploded = rows.select(F.explode(keys).alias("_key"), F.col(keys).alias("_keys"), ord_column, *carry)
     side = lambda p: exploded.select("_key", F.col("_keys").alias(f"{p}_keys"), F.col(ord_column).alias(f"{p}_{ord_column}"), *[F.col(c).alias(f"{p}_{c}") for c in carry])
-    pairs = side("a").join(side("b"), "_key").where(F.col(f"a_{ord_column}") < F.col(f"b_{ord_column}"))
+    on = F.col("_key") == F.col("_b_key")
+    for c in equal:
+        on &= F.col(f"a_{c}") == F.col(f"b_{c}")
+    for c in no_conflict:
+        on &= F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(True))
+    on &= F.col(f"a_{ord_column}") < F.col(f"b_{ord_column}")
+    pairs = side("a").join(side("b").withColumnRenamed("_key", "_b_key"), on).drop("_b_key")
     return pairs.where(F.col("_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))).drop("a_keys", "b_keys").withColumnRenamed("_key", "block")
 
 

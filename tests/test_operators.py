@@ -300,3 +300,20 @@ def test_signals_are_looked_for_once(spark):
     assert {r.i: {n: r[n] for n in packs} for r in asked.collect()} == want
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("of\\ the") == 1 and plan.count("split(") == 1, plan
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice((None, *range(90))), sorted({f"{rng.choice('abc')}|{rng.randint(0, 4)}" for _ in range(rng.randint(0, 4))}, key=lambda _: rng.random())) for _ in range(120)]
+    df = spark.createDataFrame(rows, "id int, keys array<string>")
+    want = {r.block: r["count"] for r in identity.blocked_pairs(df, "keys", "id", []).groupBy("block").count().collect()}
+    counts = identity.pair_counts(df, "keys", "id")
+    assert {r.block: r.n_pairs for r in counts.collect()} == want and len(want) > 10
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_meet_where_they_may_be_equal(spark):
+    rows = [(i, ["k"], u, t) for i, (u, t) in enumerate([("u", "x"), ("u", "x"), ("u", None), ("v", "x"), (None, "x"), ("u", "y"), (None, "x")])]
+    df = spark.createDataFrame(rows, "id int, keys array<string>, user string, type string")
+    got = identity.blocked_pairs(df, "keys", "id", ["user", "type"], equal=["user"], no_conflict=["type"])
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(0, 1), (0, 2), (1, 2), (2, 5)]
