@@ -24,6 +24,8 @@ empty texts are like nothing; equal texts are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -233,22 +235,27 @@ def similar_rows(rows: DataFrame, ord_column: str, text: str, least: float, most
     return both.join(side("a", "earlier"), "a_text").join(side("b", "later"), "b_text").where("earlier < later").select("later", "earlier", "ratio")
 
 
-def first_acceptable(wanted: DataFrame, items: DataFrame, on: str, place: str, title: str, item_title: str, cheap: Column, rest: Column | None = None, least: float = 0.93) -> DataFrame:
-    """``wanted`` with ``item``, the struct of the first of its items (by ``place``) that is accepted; null without one.
+def first_acceptable(wanted: DataFrame, items: DataFrame, on: list[str], place: str, title: str, item_title: str, asked: tuple[str, ...] = (), rest: Column | None = None, least: float = 0.93) -> DataFrame:
+    """``wanted`` with ``place``, the least of the items that have its values of ``on`` and are accepted; null without one.
 
-    An item is accepted if ``cheap`` holds and its title is equal, has a ratio
-    of ``least`` or more, or ``rest`` holds.  Ratios are computed only where
-    ``cheap`` holds, the titles differ, ``rest`` doesn't hold and the lengths
-    allow for the ratio.
+    An item is accepted if its title is equal, has a ratio of ``least`` or
+    more, or ``rest`` holds, a condition of the titles, ``on`` and the columns
+    ``asked`` of ``wanted``.  Rows that are alike in these ask once, and of
+    items of one title only the first is looked at, so copies make no pairs.  A
+    pair is written only if it is accepted or needs its ratio: the titles
+    differ, ``rest`` doesn't hold and the lengths allow for it.
     """
     truth = lambda c: F.coalesce(c, F.lit(False))
-    side = items.select(F.col(on).alias("_on"), F.struct(*items.columns).alias("item"))
-    met = wanted.join(side, F.col(on) == F.col("_on")).where(truth(cheap))
-    a, b = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(f"item.{item_title}"), F.lit(""))
+    mine = [*on, title, *asked]
+    questions, firsts = wanted.select(*mine).distinct(), items.groupBy(*on, item_title).agg(F.min(place).alias(place)).where(F.col(place).isNotNull())
+    a, b = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(item_title), F.lit(""))
     sure = truth((a == b) & (a != "")) | (truth(rest) if rest is not None else F.lit(False))
-    met = materialize(met.select(on, "item", a.alias("_a"), b.alias("_b"), sure.alias("_sure")), "met")
-    bound = 2 * F.least(F.length("_a"), F.length("_b")) >= least * (F.length("_a") + F.length("_b"))
-    near = met.where(~F.col("_sure") & (F.col("_a") != "") & (F.col("_b") != "") & bound).withColumn("_ratio", similarity("_a", "_b")).where(F.col("_ratio") >= least).drop("_ratio")
-    accepted = met.where("_sure").unionByName(near)
-    first = accepted.groupBy(F.col(on).alias("_on")).agg(F.min_by("item", F.col(f"item.{place}")).alias("item"))
-    return wanted.join(first, F.col(on) == F.col("_on"), "left").drop("_on")
+    bound = 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+    met = questions.join(firsts, on).withColumn("_sure", sure).where(F.col("_sure") | ((a != "") & (b != "") & bound))
+    met = materialize(met.select(*mine, place, a.alias("_a"), F.when(~F.col("_sure"), b).alias("_b")), "met")
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = met.where(F.col("_b").isNotNull()).repartition(tasks).where(similarity("_a", "_b") >= least)
+    accepted = met.where(F.col("_b").isNull()).unionByName(near)
+    first = accepted.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(mine)]).agg(F.min(place).alias(place))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(mine)))
+    return wanted.join(first, same, "left").select(*wanted.columns, place)

@@ -71,13 +71,11 @@ def f15_title_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r22_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the title of each page the first document that may be what it names: an equal or near-equal beginning, or one that a cut title begins; of the page's language."""
     raw, head = F.regexp_extract("html", "<title>([^<]*)</title>", 1), lambda c: F.slice(F.split(c, " "), 1, 3)
-    pages = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("page_lang"), (F.length(raw) >= 60).alias("cut")).where("title <> ''").withColumn("head", head("title"))
+    pages = table(spark, sf_dir, "pages").select("page_id", _page_title().alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), (F.length(raw) >= 60).alias("cut")).where("title <> ''").withColumn("head", head("title"))
     begin = text.normalize_title(F.substring_index("text", ".", 1))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", begin.alias("begin")).withColumn("head", head("begin"))
-    items = docs.join(pages.select("page_id", "head"), "head").select("page_id", "doc_id", "lang", "begin")
-    prefix = F.col("cut") & (F.size(F.split("title", " ")) >= 4) & F.startswith(F.col("item.begin"), F.col("title"))
-    found = similarity.first_acceptable(pages, items, "page_id", "doc_id", "title", "begin", F.col("page_lang") == F.col("item.lang"), prefix)
-    return found.select("page_id", F.col("item.doc_id").alias("doc_id"))
+    prefix = F.col("cut") & (F.size(F.split("title", " ")) >= 4) & F.startswith("begin", "title")
+    return similarity.first_acceptable(pages, docs, ["lang", "head"], "doc_id", "title", "begin", ("cut",), prefix).select("page_id", "doc_id")
 
 
 def f16_token_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

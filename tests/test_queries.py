@@ -120,6 +120,24 @@ def test_title_lookup_matches_a_loop(spark):
     assert got == want and {x is None for x in want.values()} == {True, False}
 
 
+def test_copies_of_titles_make_no_pairs(spark, monkeypatch, tmp_path):
+    title, sizes, keep = "Harbour line opens after long works " + "x" * 30, [], similarity.materialize
+    pages = [(i, f'<html lang="en"><title>{title[: 59 + 3 * (i % 2)]}</title>') for i in range(40)] + [(40, '<html lang="fr"><title>Harbour line opens</title>'), (41, None)]
+    texts = {9: title + " and more. Then", 7: title + " and more", 5: title[:58] + "y", 3: "Harbour line opens late.", 2: title[:59], 1: None}
+    docs = [(100 * copy + i, "en", t) for copy in range(40) for i, t in texts.items()]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def spy(df, tag):
+        table = keep(df, tag)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(similarity, "materialize", spy)
+    got = {r.page_id: r.doc_id for r in QUERIES["r22_title_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {i: 2 for i in range(40)} | {40: None} and sum(sizes) <= 12, sizes
+
+
 def test_short_texts_of_few_letters_lose_no_pair(spark):
     rng = random.Random(9)
     texts = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 14))).strip() for _ in range(150)} - {""})
