@@ -41,20 +41,31 @@ def evidence_reason(title: Column, text: Column, url: Column, shells: Shells, le
     ``target_title_mismatch``.  A title is met by one of its words if it has at
     most two, else by two.  No url is no reason.
     """
-    cleaned = texts.shorten(texts.clean_text(text), most)
-    folded, words = texts.fold(cleaned), texts.meaningful_tokens(title, shells.stopwords)
-    n = F.size(words)
-    met = F.size(F.array_intersect(words, texts.meaningful_tokens(cleaned, shells.stopwords))) >= F.when(n <= 2, 1).otherwise(2)
     known = F.coalesce(F.trim(url), F.lit("")) != ""
     segments = F.split(F.lower(urls.path(url)), "/")
     within = lambda names: known & F.coalesce(F.arrays_overlap(segments, F.array(*[F.lit(n) for n in names])), F.lit(False)) if names else F.lit(False)
-    search, index, navigation = (_markers(folded, m) for m in (shells.search_markers, shells.index_markers, shells.navigation_markers))
-    shell = lambda found: (found >= 2) | ((found >= 1) & ~met)
-    return (
-        F.when(F.length(cleaned) < least, "insufficient_text").when(n == 0, "missing_target_title").when(known & urls.reject_reason(url, **shells.url_rules).isNotNull(), "non_article_url")
-        .when(within(shells.search_segments), "search_results_page").when(shell(search), "search_results_shell").when(shell(index) | (~within(shells.search_segments) & within(shells.index_segments) & ~met), "index_or_navigation_shell")
-        .when((navigation >= 4) & ~met, "generic_navigation_boilerplate").when(~met, "target_title_mismatch")
-    )
+    words = texts.meaningful_tokens(title, shells.stopwords)
+
+    def seen(cleaned: Column) -> Column:
+        return F.struct(F.length(cleaned).alias("size"), texts.fold(cleaned).alias("folded"), words.alias("words"))
+
+    def held(s: Column) -> Column:
+        enough = (s["size"] >= least) & (F.size(s["words"]) > 0)
+        common = F.when(enough, F.size(F.array_intersect(s["words"], F.split(s["folded"], r"(?U)[^\w]+"))))
+        marks = [_markers(s["folded"], m).alias(name) for name, m in (("search", shells.search_markers), ("index", shells.index_markers), ("navigation", shells.navigation_markers))]
+        return F.struct(s["size"].alias("size"), F.size(s["words"]).alias("n"), (common >= F.when(F.size(s["words"]) <= 2, 1).otherwise(2)).alias("met"), *marks)
+
+    def judged(h: Column) -> Column:
+        met, shell = h["met"], lambda found: (found >= 2) | ((found >= 1) & ~h["met"])
+        return (
+            F.when(h["size"] < least, "insufficient_text").when(h["n"] == 0, "missing_target_title").when(known & urls.reject_reason(url, **shells.url_rules).isNotNull(), "non_article_url")
+            .when(within(shells.search_segments), "search_results_page").when(shell(h["search"]), "search_results_shell").when(shell(h["index"]) | (~within(shells.search_segments) & within(shells.index_segments) & ~met), "index_or_navigation_shell")
+            .when((h["navigation"] >= 4) & ~met, "generic_navigation_boilerplate").when(~met, "target_title_mismatch")
+        )
+
+    # a text is cleaned, folded and cut into words once, however many conditions look at it
+    shortened = texts.once(texts.clean_text(text), lambda t: texts.shorten(t, most))
+    return texts.once(texts.once(texts.once(shortened, seen), held), judged)
 
 
 def cascade(wanted: DataFrame, key: str, title: str, places: list[tuple[str, DataFrame]], shells: Shells, **limits: int) -> tuple[DataFrame, list[DataFrame]]:

@@ -106,6 +106,15 @@ def test_reasons_in_their_order(spark):
     assert got == {i: r[3] for i, r in enumerate(rows)}
 
 
+def test_a_text_is_cleaned_once(spark):
+    df = spark.createDataFrame([(1, "metro opens", LONG, None)], "id int, title string, text string, url string")
+    found, _ = evidence.cascade(df, "id", "title", [("only", df.select("id", "text", "url"))], SHELLS)
+    judged = df.select(F.when(F.length("text") > 0, evidence.evidence_reason(F.col("title"), F.col("text"), F.col("url"), SHELLS)).alias("reason"))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1 and plan.count("lower(") <= 10, plan
+    assert found.collect()[0].reason == judged.collect()[0].reason == "target_title_mismatch"
+
+
 def test_only_unsatisfied_rows_go_on(spark):
     wanted = spark.createDataFrame([(i, "metro opens north") for i in range(6)], "id int, title string")
     landed = lambda *rows: spark.createDataFrame([(i, f"{t} {LONG}" if t else t, None) for i, t in rows], "id int, text string, url string")
