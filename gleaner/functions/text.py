@@ -185,11 +185,14 @@ def injuries(text: Column | str, patterns: Iterable[str], many: Iterable[str] =
     A text that speaks of many without a number has the first or the second
     number of ``vague``, as it has the mark there or not.
     """
-    t = fold(text)
-    numbers = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("int") for p in patterns]
     mark, marked, other = vague
-    unsaid = F.when(t.contains(mark), marked).otherwise(other)
-    return F.coalesce(F.lit(None).cast("int"), *numbers, F.when(t.rlike("|".join(map(re.escape, many)) or "(?!)"), unsaid))
+
+    def said(t: Column) -> Column:
+        numbers = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("int") for p in patterns]
+        unsaid = F.when(t.contains(mark), marked).otherwise(other)
+        return F.coalesce(F.lit(None).cast("int"), *numbers, F.when(t.rlike("|".join(map(re.escape, many)) or "(?!)"), unsaid))
+
+    return once(fold(text), said)
 
 
 def near(text: Column | str, terms: Iterable[str], pattern: str, distance: int = 80) -> Column:

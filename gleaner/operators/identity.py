@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import event_id
-from gleaner.functions.text import BOUNDED, conflicting, fold, injuries, term_regex
+from gleaner.functions.text import BOUNDED, conflicting, fold, injuries, once, term_regex
+from gleaner.operators.sizes import small
 from gleaner.scratch import materialize
 
 Named = list[tuple[str, list[str]]]
@@ -19,6 +20,8 @@ SINGLE = ("event_class", "country", "city", "operator", "project", "package", "c
 SCOPE = ("city", "operator", "project")
 #: Days that reports of one event may be apart: awards are told of for weeks.
 WINDOW, AWARD_WINDOW = 3, 21
+#: Rows of a chunk of a group whose pairs are made, and tasks that make them at most.
+CHUNK_ROWS, TASKS = 1000, 8192
 
 
 def blocking_keys(groups: dict[str, list[Column]]) -> Column:
@@ -73,6 +76,24 @@ def blocked_pairs(rows: DataFrame, keys: str, ord_column: str, carry: list[str],
     return pairs.where(F.col("_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))).drop("a_keys", "b_keys").withColumnRenamed("_key", "block")
 
 
+def group_pairs(rows: DataFrame, group: list[str], ord_column: str, carry: list[str], size: int = CHUNK_ROWS) -> DataFrame:
+    """``group`` and the columns ``ord_column`` and ``carry`` of both, as ``a_`` and ``b_``, of each pair of rows of one known group, the earlier first.
+
+    A group of n rows is cut into chunks of about ``size`` rows, and each two of
+    them meet on their own, so that no task has more than two chunks of a group
+    at a time, and the tasks become more with the pairs.
+    """
+    known = rows.where(~F.greatest(F.lit(False), *[F.col(c).isNull() for c in group]))
+    sizes = known.groupBy(*group).agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, int(pairs / size / size)))
+    held = known.join(small(sizes.select(*group, F.ceil(F.col("_n") / size).cast("int").alias("_chunks"))), group)
+    chunk, every = F.pmod(F.xxhash64(ord_column), F.col("_chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    keys = [*group, "_a", "_b"]
+    side = lambda p, q: held.select(*group, chunk.alias(f"_{p}"), every.alias(f"_{q}"), *[F.col(c).alias(f"{p}_{c}") for c in (ord_column, *carry)]).repartition(tasks, *keys)
+    return side("a", "b").join(side("b", "a"), keys).where(F.col(f"a_{ord_column}") < F.col(f"b_{ord_column}")).drop("_a", "_b")
+
+
 def conflicts(components: list[tuple[str, Column, Column]]) -> Column:
     """Names of the components that both sides know and that differ."""
     return F.array_compact(F.array(*[F.when(a.isNotNull() & b.isNotNull() & (a != b), F.lit(n)) for n, a, b in components]))
@@ -107,11 +128,22 @@ class IdentityRules:
     version: str = "1"
 
 
-def first_named(folded: Column, groups: Named) -> Column:
+def _words(folded: Column) -> Column:
+    return F.array_distinct(F.split(folded, "[^a-z0-9]+"))
+
+
+def _single(terms: Iterable[str]) -> bool:
+    """Whether all terms are single words, which are found among the words of a text."""
+    return all(re.fullmatch("[a-z0-9]+", t.casefold()) for t in terms)
+
+
+def first_named(folded: Column, groups: Named, words: Column | None = None) -> Column:
     """The name of the first group that a folded text has a term of; null without one.
 
-    One expression finds the terms of all groups: at each place of a text that
-    of the first group, so the least of what is found is the first group.
+    Terms that are single words are looked up among the text's distinct
+    ``words``.  Of others one expression finds those of all groups: at each
+    place of a text that of the first group, so the least of what is found is
+    the first group.
     """
     if not groups:
         return F.lit(None).cast("string")
@@ -119,35 +151,57 @@ def first_named(folded: Column, groups: Named) -> Column:
     for i, (_, terms) in enumerate(groups):
         for term in terms:
             rank.setdefault(term.casefold(), i)
-    bounded = all(BOUNDED["phrase"](t) for t in rank)
-    any_term = f"(?<![a-z0-9])(?=((?:{'|'.join(map(re.escape, rank))})(?![a-z0-9])))" if bounded else f"(?=({'|'.join(term_regex([t]) for t in rank)}))"
-    found = F.regexp_extract_all(folded, F.lit(any_term), F.lit(1))
+    if _single(rank):
+        found = F.array_intersect(_words(folded) if words is None else words, F.array(*[F.lit(t) for t in rank]).cast("array<string>"))
+    else:
+        bounded = all(BOUNDED["phrase"](t) for t in rank)
+        any_term = f"(?<![a-z0-9])(?=((?:{'|'.join(map(re.escape, rank))})(?![a-z0-9])))" if bounded else f"(?=({'|'.join(term_regex([t]) for t in rank)}))"
+        found = F.array_distinct(F.regexp_extract_all(folded, F.lit(any_term), F.lit(1)))
     place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    return F.get(F.array(*[F.lit(n) for n, _ in groups]), F.array_min(F.transform(F.array_distinct(found), lambda t: place[t])))
+    return F.get(F.array(*[F.lit(n) for n, _ in groups]), F.array_min(F.transform(found, lambda t: place[t])))
 
 
 def identity(text: Column, category: Column, date: Column, date_kind: Column, rules: IdentityRules, country: Column | None = None) -> Column:
-    """The struct of an event's sixteen components (null where unknown) and ``event_id``, the hash of them; no publisher or query takes part."""
-    t = fold(text)
-    part = {n: first_named(t, rules.named.get(n, [])) for n in ("city", "operator", "project", "package", "vendor", "incident_type", "event_object")}
+    """The struct of an event's sixteen components (null where unknown) and ``event_id``, the hash of them; no publisher or query takes part.
+
+    A text is folded and cut into words once, and each component found once.
+    """
     own = [F.coalesce(country, F.lit(None).cast("string"))] if country is not None else []
-    of_city = F.create_map(*[F.lit(x) for kv in rules.country_of.items() for x in kv])[part["city"]] if rules.country_of else F.lit(None).cast("string")
-    contract = F.nullif(F.regexp_extract(t, rules.contract, 1), F.lit(""))
-    stations = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(rules.stations), F.lit(1))))
-    bought, hurt = t.rlike(term_regex(rules.purchase_terms)), part["incident_type"].isNotNull() | (F.coalesce(category, F.lit("")) == rules.incident_category)
-    action = (
-        F.when(bought | (F.coalesce(category, F.lit("")) == rules.purchase_category), F.coalesce(first_named(t, rules.purchase_actions), F.lit("procurement")))
-        .when(hurt, "incident").otherwise(F.coalesce(first_named(t, rules.other_actions), F.lit("event")))
-    )
-    of_purchase = action.isin(*[n for n, _ in rules.purchase_actions], "procurement") | bought
-    thing = F.coalesce(part["event_object"], part["package"], F.when((F.size(stations) > 0) & (action == "opening"), "station"))
-    values = {
-        "event_class": F.when(hurt, "incident").when(of_purchase, "procurement").otherwise("general"), "country": F.coalesce(*own, of_city), **part, "contract": contract, "action": action, "event_object": thing,
-        "stations": stations, "event_date": date.cast("date"), "event_date_kind": date_kind, "injury_count": injuries(text, rules.hurt, rules.many_hurt), "contract_version": F.lit(rules.version),
-    }
-    order = ["contract_version", *SINGLE, "stations", "event_date", "event_date_kind", "injury_count"]
-    # the id is hashed from the struct, so that every component is computed once
-    return F.struct(*[values[n].alias(n) for n in order])
+    category = F.coalesce(category, F.lit(""))
+    names = ("city", "operator", "project", "package", "vendor", "incident_type", "event_object")
+
+    def read(s: Column) -> Column:
+        t, words = s["t"], s["words"]
+        parts = {n: first_named(t, rules.named.get(n, []), words) for n in names}
+        bought = F.arrays_overlap(words, F.array(*[F.lit(x.casefold()) for x in rules.purchase_terms])) if rules.purchase_terms and _single(rules.purchase_terms) else t.rlike(term_regex(rules.purchase_terms))
+        stations = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(rules.stations), F.lit(1))))
+        parts |= {"contract": F.nullif(F.regexp_extract(t, rules.contract, 1), F.lit("")), "stations": stations, "bought": bought, "injury_count": injuries(t, rules.hurt, rules.many_hurt)}
+        parts |= {"buying": first_named(t, rules.purchase_actions, words), "doing": first_named(t, rules.other_actions, words)}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def acted(p: Column) -> Column:
+        hurt = p["incident_type"].isNotNull() | (category == rules.incident_category)
+        action = (
+            F.when(p["bought"] | (category == rules.purchase_category), F.coalesce(p["buying"], F.lit("procurement")))
+            .when(hurt, "incident").otherwise(F.coalesce(p["doing"], F.lit("event")))
+        )
+        return F.struct(p.alias("p"), hurt.alias("hurt"), action.alias("action"))
+
+    def whole(a: Column) -> Column:
+        p, action = a["p"], a["action"]
+        of_city = F.create_map(*[F.lit(x) for kv in rules.country_of.items() for x in kv])[p["city"]] if rules.country_of else F.lit(None).cast("string")
+        of_purchase = action.isin(*[n for n, _ in rules.purchase_actions], "procurement") | p["bought"]
+        thing = F.coalesce(p["event_object"], p["package"], F.when((F.size(p["stations"]) > 0) & (action == "opening"), "station"))
+        values = {
+            "event_class": F.when(a["hurt"], "incident").when(of_purchase, "procurement").otherwise("general"), "country": F.coalesce(*own, of_city), **{n: p[n] for n in (*names, "contract", "stations", "injury_count")}, "action": action, "event_object": thing,
+            "event_date": date.cast("date"), "event_date_kind": date_kind, "contract_version": F.lit(rules.version),
+        }
+        order = ["contract_version", *SINGLE, "stations", "event_date", "event_date_kind", "injury_count"]
+        # the id is hashed from the struct, so that every component is computed once
+        return F.struct(*[values[n].alias(n) for n in order])
+
+    cut = once(fold(text), lambda t: F.struct(t.alias("t"), _words(t).alias("words")))
+    return once(once(once(cut, read), acted), whole)
 
 
 def with_identity(rows: DataFrame, built: Column, out: str = "identity") -> DataFrame:

@@ -48,9 +48,9 @@ def d1_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d2_identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of one city and operator compared: whether they tell of one event, what they share and where they differ."""
-    i = materialize(identified(reports(spark, sf_dir)).select("ord", "identity", F.regexp_extract("url_key", "^https?://([^/]*)", 1).alias("host")), "identities")
-    side = lambda s: i.select(F.col("ord").alias(f"{s}_ord"), F.col("identity").alias(s), F.col("host").alias(f"{s}_host"), F.col("identity.city").alias("city"), F.col("identity.operator").alias("operator"))
-    met = side("a").join(side("b"), ["city", "operator"]).where("a_ord < b_ord").withColumn("c", identity.compare("a", "b", F.col("a_host") == F.col("b_host")))
+    i = materialize(identified(reports(spark, sf_dir)).select("ord", "identity", "identity.city", "identity.operator", F.regexp_extract("url_key", "^https?://([^/]*)", 1).alias("host")), "identities")
+    met = identity.group_pairs(i, ["city", "operator"], "ord", ["identity", "host"])
+    met = met.withColumn("c", identity.compare("a_identity", "b_identity", F.col("a_host") == F.col("b_host")))
     return met.select("a_ord", "b_ord", "c.same_event", "c.article_duplicate", F.array_join("c.matched", ",").alias("matched"), F.array_join("c.conflicts", ",").alias("conflicts"), F.col("c.days").alias("days"), "c.window")
 
 

@@ -5,6 +5,7 @@ import datetime
 import difflib
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -153,6 +154,32 @@ def test_pair_keys_hold_every_pair_of_a_block(rows):
             assert set(a.fine) & set(b.fine), (a, b)
 
 
+def test_pairs_of_a_large_group_are_dealt_over_tasks(spark):
+    rows = [(i, "a" if i % 7 else "b", "x" if i % 50 else None, f"v{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "ord int, city string, operator string, value string")
+    got = identity.group_pairs(df, ["city", "operator"], "ord", ["value"], 40).withColumn("task", F.spark_partition_id()).collect()
+    want = {(a[0], b[0], a[1], a[3], b[3]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] and b[2]}
+    assert {(r.a_ord, r.b_ord, r.city, r.a_value, r.b_value) for r in got} == want and len(got) == len(want)
+    of_task = Counter(r.task for r in got)
+    assert len(of_task) >= 20 and max(of_task.values()) < len(got) / 4
+    assert identity.group_pairs(df.where("operator IS NULL"), ["city", "operator"], "ord", []).count() == 0
+
+
+def test_identity_pairs_deal_their_largest_group(spark, monkeypatch, tmp_path):
+    pages = [(i, f"http://h{i % 2}.com/en/{i}", "<title>t</title> thanly ingha") for i in range(300)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, datetime.datetime(2024, 1, 1))], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(identity.group_pairs, "__defaults__", (30,))
+    of_task = Counter(r.task for r in events.d2_identity_pairs(spark, str(tmp_path)).select(F.spark_partition_id().alias("task")).collect())
+    assert sum(of_task.values()) == 300 * 299 // 2 and max(of_task.values()) < 300 * 299 // 8
+
+
+def test_a_report_is_read_once(spark):
+    df = spark.createDataFrame([(1, "x", None, DAY, "publication_date", "u", "t")], SCHEMA)
+    plan = events.identified(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2 and plan.count("regexp_extract_all(") == 1, plan
+
+
 def test_unique_rows_are_never_compared(spark):
     for n in (40, 80):
         unique = spark.createDataFrame([(i, f"event number {i}", None, None, "publication_date", f"u{i}", f"t{i}") for i in range(n)], SCHEMA)
