@@ -139,6 +139,39 @@ def test_points_in_periods_match_a_loop(spark):
     assert none.where("status = 'none'").count() == 500
 
 
+def test_points_are_neither_multiplied_nor_shuffled(spark):
+    periods = spark.createDataFrame([("a", 0, 1000 + i, f"p{i}") for i in range(60)], "route string, start long, stop long, label string")
+    points = spark.createDataFrame([(i, "a", i) for i in range(1100)], "id long, r string, at long")
+    found = intervals.in_periods(points, F.col("at"), F.col("r"), periods, "id")
+    got = {r.id: (r.n_periods, r.label) for r in found.collect()}
+    assert got == {i: (60 if i < 1000 else max(0, 1059 - i), "p59" if i == 1058 else None) for i in range(1100)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan and "explode" not in plan, plan
+
+
+def test_stretches_match_a_loop(spark, monkeypatch):
+    rng = random.Random(22)
+    periods = []
+    for i in range(90):
+        start, size = rng.choice([None, *range(-20, 80)]), rng.choice([None, -1, 0, 1, 2, 5, 30, 300])
+        periods.append((rng.choice(["a", "b", "b", "b", None]), start, None if start is None or size is None else start + size, rng.choice([f"p{i}", f"p{i}", None])))
+    df = spark.createDataFrame(periods, "route string, start int, stop int, label string")
+    fits = lambda r, t: [p[3] for p in periods if r is not None and p[0] == r and None not in p[1:3] and p[1] <= t < p[2]]
+    for edges in (3, 1000):
+        found = intervals.stretches(df, edges).collect()
+        at = {(r.route, t): (r.n, r.label) for r in found for t in range(r.start, r.stop)}
+        assert len(at) == sum(r.stop - r.start for r in found)
+        want = {(r, t): (len(f), f[0] if len(f) == 1 else None) for r in "ab" for t in range(-30, 400) if (f := fits(r, t))}
+        assert at == want
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", 0)
+    points = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-30, 400)])) for i in range(300)]
+    got = intervals.in_periods(spark.createDataFrame(points, "id int, r string, at int"), F.col("at"), F.col("r"), df, "id").collect()
+    assert len(got) == 300
+    for r in got:
+        f = [] if r.at is None else fits(r.r, r.at)
+        assert (r.n_periods, r.label) == (len(f), f[0] if len(f) == 1 else None)
+
+
 def test_verdicts_match_a_loop(spark):
     rng = random.Random(3)
     levels = {"r1": "repair", "r2": "repair", "t1": "retry", "h1": "hold", "b1": "block"}
