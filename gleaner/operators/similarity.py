@@ -10,7 +10,8 @@ both hold, in words of 64 bits, one step a character, for as long as enough
 characters are left.  Only what all allow for is compared exactly.
 
 Texts are cut into chunks by their lengths, and each pair of chunks whose
-lengths allow for the ratio is a block of its own.  A pair of texts is met in
+lengths allow for the ratio is a block of its own; where questions are held
+against answers, a block has a chunk of each.  A pair of texts is met in
 one block only, and no task holds more than two chunks.  Texts of a small
 alphabet share all their runs of two and three characters, so no index of such
 runs is selective below a ratio of about 0.9: the blocks grow with the square of
@@ -41,6 +42,8 @@ CHUNK, CHUNKS, SLICE, PAIRS = 8192, 16, 256, 1 << 15
 GROUPS, DEEP, RUN_GROUPS, RUN_DEEP, RARE_GROUPS = 64, 8, 128, 4, 256
 #: Characters after which it is asked whether a pair can still be alike; tasks at most that blocks are dealt over.
 STEPS, TASKS = 16, 2000
+#: Kinds that groups of questions and answers are hashed to at most.
+KINDS = 1024
 
 
 class Texts:
@@ -177,25 +180,40 @@ def block_pairs(low: Texts, high: Texts, least: float) -> Iterator[tuple[np.ndar
                 yield x[alike], y[alike]
 
 
-def similar_texts(texts: DataFrame, key: str, text: str, least: float, chunk: int = CHUNK) -> DataFrame:
-    """``a, b, a_text, b_text, ratio, back`` of the pairs of different texts with a ratio of at least ``least`` in one of the two directions, ``a`` < ``b``.
-
-    ``key`` is the least key of each text's rows; ``ratio`` is that of the
-    text of ``b`` against that of ``a``, ``back`` the other way round, which
-    may differ.
+def chunks_of(lengths: pd.DataFrame, size: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """For ``lengths`` (``kind, side, n, of_length``) where the texts of a length ``begin`` and how much each ``takes``; and the lengths of each chunk of ``size``, that has texts of one kind and side. A text takes 1 for each 64 characters, so chunks are bounded also in characters."""
+    rows = lengths.sort_values(["kind", "side", "n"], ignore_index=True)
+    rows["takes"] = -(-rows["n"] // 64)
+    each = rows.groupby(["kind", "side"])
+    whole = rows["of_length"] * rows["takes"]
+    begin = whole.groupby([rows["kind"], rows["side"]]).cumsum() - whole
+    last = (begin + whole - rows["takes"]) // size
+    before = (last.groupby(each.ngroup()).max() + 1).cumsum().shift(fill_value=0)
+    shift = before.reindex(each.ngroup()).to_numpy()
+    rows["begin"] = begin + shift * size
+    many = (last - begin // size + 1).to_numpy()
+    spread = rows.loc[np.repeat(rows.index, many), ["kind", "side", "n"]]
+    spread["chunk"] = np.repeat((begin // size + shift).to_numpy() - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return rows, spread.groupby(["kind", "side", "chunk"], as_index=False).agg(shortest=("n", "min"), longest=("n", "max"))
+
+
+def pairs_met(texts: DataFrame, least: float, chunk: int, two: bool = False) -> DataFrame:
+    """``low_id, low_text, high_id, high_text`` of the pairs of texts that may have the ratio, each once.
+
+    ``texts`` (``id, text, n, kind, side``, read several times) are held against
+    each other or, if ``two``, those of side 0 against those of side 1 of their kind.
     """
-    named = texts.where(F.coalesce(F.col(text), F.lit("")) != "").groupBy(F.col(text).alias("text")).agg(F.min(key).alias("id")).where("id IS NOT NULL")
-    kind = named.schema["id"].dataType.simpleString()
-    known = materialize(named.select("id", "text", F.length("text").alias("n")), "texts")
-    lengths = known.groupBy("n").agg(F.count("*").alias("of_length")).toPandas().sort_values("n")
-    total, tasks = int(lengths["of_length"].sum()), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = min(chunk, max(SLICE, -(-total // CHUNKS)))
-    begins = texts.sparkSession.createDataFrame([(int(n), int(c), int(b)) for n, c, b in zip(lengths["n"], lengths["of_length"], lengths["of_length"].cumsum() - lengths["of_length"], strict=True)], "n int, of_length long, begin long")
-    place = F.floor((F.col("begin") + F.pmod(F.xxhash64("text"), F.col("of_length"))) / size).cast("int")
-    cut = known.join(F.broadcast(begins), "n").select("id", "text", "n", place.alias("chunk"))
-    spread = materialize(cut.groupBy("chunk").agg(F.min("n").alias("shortest"), F.max("n").alias("longest")), "chunks")
-    low, high = (spread.select(F.col("chunk").alias(s), F.col("shortest").alias(f"{s}_shortest"), F.col("longest").alias(f"{s}_longest")) for s in ("low", "high"))
-    blocks = low.join(F.broadcast(high), (F.col("low") <= F.col("high")) & (F.col("low_longest") >= F.ceil(F.round(F.col("high_shortest") * least / (2 - least), 9))))
+    spark, as_id = texts.sparkSession, texts.schema["id"].dataType.simpleString()
+    lengths = texts.groupBy("kind", "side", "n").agg(F.count("*").alias("of_length")).toPandas().astype("int64")
+    size = min(chunk, max(SLICE, -(-int(lengths["of_length"].sum()) // CHUNKS)))
+    begins, spread = chunks_of(lengths, size)
+    place = F.floor((F.col("begin") + F.pmod(F.xxhash64("text"), F.col("of_length")) * F.col("takes")) / size)
+    cut = texts.join(F.broadcast(spark.createDataFrame(begins, "kind long, side long, n long, of_length long, takes long, begin long")), ["kind", "side", "n"]).select("id", "text", place.alias("chunk"))
+    chunks = spark.createDataFrame(spread, "kind long, side long, chunk long, shortest long, longest long")
+    low, high = (chunks.select(F.col("chunk").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("kind", "side", "shortest", "longest")]) for s in ("low", "high"))
+    meet_at = ((F.col("low_side") == 0) & (F.col("high_side") == 1) & (F.col("low_kind") == F.col("high_kind"))) if two else F.col("low") <= F.col("high")
+    reach = lambda s: F.ceil(F.round(F.col(f"{s}_shortest") * least / (2 - least), 9))
+    blocks = low.join(F.broadcast(high), meet_at & (F.col("low_longest") >= reach("high")) & (F.col("high_longest") >= reach("low")))
     parts = blocks.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("chunk"))
     dealt = cut.join(F.broadcast(parts), "chunk").select("low", "high", (F.col("chunk") == F.col("high")).alias("late"), "id", "text")
 
@@ -213,15 +231,31 @@ def similar_texts(texts: DataFrame, key: str, text: str, least: float, chunk: in
     def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         high = Texts(rows[rows["late"]])
         low = high if rows["late"].all() and rows["low"].iloc[0] == rows["high"].iloc[0] else Texts(rows[~rows["late"]])
+        if not len(low.n) or not len(high.n):  # a chunk that no text's hash fell into
+            return
         for left, right in block_pairs(low, high, least):
             one, other = low.rows.iloc[left], high.rows.iloc[right]
-            first = one["id"].to_numpy() < other["id"].to_numpy()
-            of = lambda column, mine: np.where(mine, one[column].to_numpy(), other[column].to_numpy())  # noqa: B023, E731
-            yield pd.DataFrame({"a": of("id", first), "b": of("id", ~first), "a_text": of("text", first), "b_text": of("text", ~first)})
+            yield pd.DataFrame({"low_id": one["id"].to_numpy(), "low_text": one["text"].to_numpy(), "high_id": other["id"].to_numpy(), "high_text": other["text"].to_numpy()})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(max(tasks, min(TASKS, blocks.count())), "low", "high").sortWithinPartitions("low", "high")
+    return dealt.mapInPandas(meet, f"low_id {as_id}, low_text string, high_id {as_id}, high_text string")
+
 
-    chunks = -(-total // size)
-    met = dealt.repartition(max(tasks, min(TASKS, chunks * (chunks + 1) // 2)), "low", "high").sortWithinPartitions("low", "high").mapInPandas(meet, f"a {kind}, b {kind}, a_text string, b_text string")
-    met = materialize(met, "met")
+def similar_texts(texts: DataFrame, key: str, text: str, least: float, chunk: int = CHUNK) -> DataFrame:
+    """``a, b, a_text, b_text, ratio, back`` of the pairs of different texts with a ratio of at least ``least`` in one of the two directions, ``a`` < ``b``.
+
+    ``key`` is the least key of each text's rows; ``ratio`` is that of the
+    text of ``b`` against that of ``a``, ``back`` the other way round, which
+    may differ.
+    """
+    named = texts.where(F.coalesce(F.col(text), F.lit("")) != "").groupBy(F.col(text).alias("text")).agg(F.min(key).alias("id")).where("id IS NOT NULL")
+    known = materialize(named.select("id", "text", F.length("text").cast("long").alias("n")), "texts")
+    met = pairs_met(known.withColumns({"kind": F.lit(0).cast("long"), "side": F.lit(0).cast("long")}), least, chunk)
+    first = F.col("low_id") < F.col("high_id")
+    of = lambda mine, column: F.when(mine, F.col(f"low_{column}")).otherwise(F.col(f"high_{column}"))
+    met = materialize(met.select(of(first, "id").alias("a"), of(~first, "id").alias("b"), of(first, "text").alias("a_text"), of(~first, "text").alias("b_text")), "met")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     judged = met.repartition(tasks).withColumns({"ratio": similarity("b_text", "a_text"), "back": similarity("a_text", "b_text")})
     return materialize(judged.where((F.col("ratio") >= least) | (F.col("back") >= least)), "similar")
 
@@ -235,27 +269,30 @@ def similar_rows(rows: DataFrame, ord_column: str, text: str, least: float, most
     return both.join(side("a", "earlier"), "a_text").join(side("b", "later"), "b_text").where("earlier < later").select("later", "earlier", "ratio")
 
 
-def first_acceptable(wanted: DataFrame, items: DataFrame, on: list[str], place: str, title: str, item_title: str, asked: tuple[str, ...] = (), rest: Column | None = None, least: float = 0.93) -> DataFrame:
+def first_acceptable(wanted: DataFrame, items: DataFrame, on: list[str], place: str, title: str, item_title: str, asked: tuple[str, ...] = (), rest: Column | None = None, rest_on: tuple[str, ...] = (), least: float = 0.93) -> DataFrame:
     """``wanted`` with ``place``, the least of the items that have its values of ``on`` and are accepted; null without one.
 
     An item is accepted if its title is equal, has a ratio of ``least`` or
     more, or ``rest`` holds, a condition of the titles, ``on`` and the columns
-    ``asked`` of ``wanted``.  Rows that are alike in these ask once, and of
-    items of one title only the first is looked at, so copies make no pairs.  A
-    pair is written only if it is accepted or needs its ratio: the titles
-    differ, ``rest`` doesn't hold and the lengths allow for it.
+    ``asked`` of ``wanted``.  ``rest_on`` are columns of both that are equal
+    where the titles are or ``rest`` holds; titles that are only alike may
+    differ in them, so these meet in blocks, as in ``similar_texts``.  Rows of
+    ``wanted`` that are alike ask once, and of items of one title only the first
+    is looked at, so copies make no pairs.
     """
     truth = lambda c: F.coalesce(c, F.lit(False))
-    mine = [*on, title, *asked]
-    questions, firsts = wanted.select(*mine).distinct(), items.groupBy(*on, item_title).agg(F.min(place).alias(place)).where(F.col(place).isNotNull())
-    a, b = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(item_title), F.lit(""))
-    sure = truth((a == b) & (a != "")) | (truth(rest) if rest is not None else F.lit(False))
-    bound = 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
-    met = questions.join(firsts, on).withColumn("_sure", sure).where(F.col("_sure") | ((a != "") & (b != "") & bound))
-    met = materialize(met.select(*mine, place, a.alias("_a"), F.when(~F.col("_sure"), b).alias("_b")), "met")
-    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = met.where(F.col("_b").isNotNull()).repartition(tasks).where(similarity("_a", "_b") >= least)
-    accepted = met.where(F.col("_b").isNull()).unionByName(near)
+    mine = [*on, title, *asked, *rest_on]
+    questions = materialize(wanted.select(*mine).distinct(), "questions")
+    firsts = materialize(items.groupBy(*on, item_title, *rest_on).agg(F.min(place).alias(place)).where(F.col(place).isNotNull()), "firsts")
+    sure = truth((F.col(title) == F.col(item_title)) & (F.col(title) != "")) | (truth(rest) if rest is not None else F.lit(False))
+    accepted = questions.join(firsts, [*on, *rest_on]).where(sure).select(*mine, place)
+    kind = F.pmod(F.xxhash64(*on), F.lit(KINDS))
+    side = lambda rows, text, at: rows.select(kind.alias("kind"), F.col(text).alias("text")).where("text <> ''").distinct().withColumns({"n": F.length("text").cast("long"), "side": F.lit(at).cast("long"), "id": F.lit(0)})
+    met = pairs_met(side(questions, title, 0).unionByName(side(firsts, item_title, 1)), least, CHUNK, two=True)
+    met = materialize(met.select(F.col("low_text").alias("_a"), F.col("high_text").alias("_b")).where("_a <> _b"), "met")
+    near = met.distinct().repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))).where(similarity("_a", "_b") >= least)
+    answers = firsts.select(*on, F.col(item_title).alias("_b"), place)
+    accepted = accepted.unionByName(near.join(questions, F.col("_a") == F.col(title)).join(answers, [*on, "_b"]).select(*mine, place))
     first = accepted.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(mine)]).agg(F.min(place).alias(place))
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(mine)))
     return wanted.join(first, same, "left").select(*wanted.columns, place)

@@ -75,7 +75,7 @@ def r22_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin = text.normalize_title(F.substring_index("text", ".", 1))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", begin.alias("begin")).withColumn("head", head("begin"))
     prefix = F.col("cut") & (F.size(F.split("title", " ")) >= 4) & F.startswith("begin", "title")
-    return similarity.first_acceptable(pages, docs, ["lang", "head"], "doc_id", "title", "begin", ("cut",), prefix).select("page_id", "doc_id")
+    return similarity.first_acceptable(pages, docs, ["lang"], "doc_id", "title", "begin", ("cut",), prefix, ("head",)).select("page_id", "doc_id")
 
 
 def f16_token_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,25 @@ def test_copies_of_titles_make_no_pairs(spark, monkeypatch, tmp_path):
     assert got == {i: 2 for i in range(40)} | {40: None} and sum(sizes) <= 12, sizes
 
 
+def test_title_lookup_finds_beginnings_of_other_first_words(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(similarity, "CHUNK", 9)
+    rng, words = random.Random(3), "harbour line opens after long works near old market station today again".split()
+    base = [" ".join(rng.sample(words, rng.choice((5, 8, 11)))) for _ in range(30)]
+    changed = lambda t, at: t[:at] + rng.choice("xyz") + t[at + rng.randint(0, 1) :]
+    pages = [(i, rng.choice(("en", "fr")), changed(t, rng.randrange(9))) for i, t in enumerate(base)] + [(30, "en", "Harbor line opens after long works in town"), (31, "en", "line"), (32, "en", "a" * 300)]
+    docs = [(i, rng.choice(("en", "fr", None)), changed(t, rng.randrange(len(t)))) for i, t in enumerate(base * 4)]
+    docs += [(200, "fr", "Harbour line opens after long works in town"), (201, "en", "Harbour line opens after long works in town"), (202, "en", "Harbor line opens after long works in town"), (203, "en", "lines"), (204, "en", "b" + "a" * 299), (205, "en", None)]
+    spark.createDataFrame([(i, f'<html lang="{lang}"><title>{t}</title>') for i, lang, t in pages], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, lang, None if t is None else t + ". Then") for i, lang, t in docs], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, lang, t in pages:
+        fits = [(d, b) for d, its, b in docs if its == lang and b and (normalised(b) == normalised(t) or SequenceMatcher(None, normalised(t), normalised(b)).ratio() >= 0.93 or (len(t) >= 60 and len(t.split()) >= 4 and normalised(b).startswith(normalised(t))))]
+        want[i] = min(fits, default=(None, None))
+    got = {r.page_id: r.doc_id for r in QUERIES["r22_title_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {i: d for i, (d, _) in want.items()} and got[30] == 201 and got[31] is None
+    assert sum(b is not None and b.split()[:3] != pages[i][2].split()[:3] for i, (_, b) in want.items()) >= 10
+
+
 def test_short_texts_of_few_letters_lose_no_pair(spark):
     rng = random.Random(9)
     texts = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 14))).strip() for _ in range(150)} - {""})
