@@ -11,12 +11,14 @@ characters are left.  Only what all allow for is compared exactly.
 
 Texts are cut into chunks by their lengths, and each pair of chunks whose
 lengths allow for the ratio is a block of its own; where questions are held
-against answers, a block has a chunk of each.  A pair of texts is met in
+against answers, a block has a chunk of each.  Many texts are first sorted into
+kinds by their letters, so that chunks are of one language, more or less: on
+kinds depends how fast a block is, not what it finds.  A pair of texts is met in
 one block only, and no task holds more than two chunks.  Texts of a small
 alphabet share all their runs of two and three characters, so no index of such
 runs is selective below a ratio of about 0.9: the blocks grow with the square of
-the distinct texts, at some 0.03 to 0.05
-microseconds a pair for a ratio of 0.84, 0.1 to 0.3 for 0.72.
+the distinct texts, at some 10 nanoseconds a pair of different languages and 20
+to 60 of one for a ratio of 0.72.
 
 Texts are titles and the like, of up to some hundred characters.  Null and
 empty texts are like nothing; equal texts are one.
@@ -24,7 +26,7 @@ empty texts are like nothing; equal texts are one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -37,13 +39,17 @@ from gleaner.functions.text import similarity
 from gleaner.scratch import materialize
 
 #: Texts of a chunk at most, and chunks at least of many texts; texts that are held against a chunk at a time, pairs of them.
-CHUNK, CHUNKS, SLICE, PAIRS = 8192, 16, 256, 1 << 15
+CHUNK, CHUNKS, SLICE, PAIRS = 8192, 8, 256, 1 << 15
 #: Groups of characters, and how many of each are counted; the same of frequent runs of two; groups of rare ones.
 GROUPS, DEEP, RUN_GROUPS, RUN_DEEP, RARE_GROUPS = 64, 8, 128, 4, 256
 #: Characters after which it is asked whether a pair can still be alike; tasks at most that blocks are dealt over.
 STEPS, TASKS = 16, 2000
-#: Kinds that groups of questions and answers are hashed to at most.
-KINDS = 1024
+#: Kinds that groups of questions and answers are hashed to at most; texts that kinds by letters are made from, and rounds of it.
+KINDS, SAMPLE, ROUNDS = 1024, 4096, 10
+#: Characters of texts and of alphabets up to which a text is held against a chunk by parts of the alphabet; pairs a text must have for that to be faster; texts for which that is done at a time.
+LONGEST, ALPHABET, OFTEN, LOWS = 255, 256, 64, 8192
+#: Characters of a part for words of 16 and 32 bits; the share of pairs of 16 from which on 32 are faster.
+FILL, MANY = {16: 16, 32: 24}, 0.04
 
 
 class Texts:
@@ -84,8 +90,8 @@ def counted_runs(low: Texts, high: Texts) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def sharing_characters(low: Texts, high: Texts, least: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """For slices of ``high`` the pairs that have enough characters in common, or a few more: the slice, places in ``low``, places in ``high``; of one chunk (the same ``Texts``) each pair once.
+def sharing_characters(low: Texts, high: Texts, least: float) -> Callable[[slice], tuple[np.ndarray, np.ndarray]]:
+    """For a slice of ``high`` the pairs that have enough characters in common, or a few more: places in ``low``, places in ``high``; of one chunk (the same ``Texts``) each pair once.
 
     Counts in unary have their sum of minima as a product, so a slice is one
     product of matrices.
@@ -95,15 +101,17 @@ def sharing_characters(low: Texts, high: Texts, least: float) -> Iterator[tuple[
     theirs = np.column_stack([high.counted[:, used], np.ones(len(high.n))]).astype(np.float32)
     enough = (high.n * least / 2 - 0.01 - 1e-6 * (low.n[-1] + high.n[-1])).astype(np.float32)
     first = np.searchsorted(low.n, np.ceil(np.round(high.n * least / (2 - least), 9)), side="left")
-    for begin in range(0, len(high.n), SLICE):
-        rows = slice(begin, min(begin + SLICE, len(high.n)))
-        of = slice(first[begin], rows.stop if low is high else len(low.n))
+
+    def of_slice(rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        of = slice(first[rows.start], rows.stop if low is high else len(low.n))
         shared = theirs[rows] @ ours[of].T
-        y, x = np.divmod(np.flatnonzero(shared >= enough[rows, None]), shared.shape[1])
-        spare, x, y = shared[y, x] - enough[y + begin], x + of.start, y + begin
+        y, x = np.divmod(np.flatnonzero(shared >= enough[rows, None]), max(shared.shape[1], 1))
+        spare, x, y = shared[y, x] - enough[y + rows.start], x + of.start, y + rows.start
         own = (x >= first[y]) & (spare >= low.over[x] - np.minimum(low.over[x], high.over[y]))  # what is beyond in one text only isn't shared
         own &= (x < y) | (low is not high)
-        yield rows, x[own], y[own]
+        return x[own], y[own]
+
+    return of_slice
 
 
 def shared_runs(ours: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,21 +165,129 @@ def common_subsequences(codes: np.ndarray, texts: Texts, left: np.ndarray, masks
     return out
 
 
+def in_words(high: Texts, codes: tuple[np.ndarray, np.ndarray], size: int, word: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The part of each of the alphabet's ``size`` characters, parts being about as frequent; the places of each character within its part of the texts of ``high``, as bits of a word; and for each part how many characters are beyond the word."""
+    bits = np.iinfo(word).bits
+    count = -(-int(high.n[len(high.n) * 19 // 20]) // FILL[bits])  # a few longer texts don't make more parts, which are a looser bound
+    many, load, part = np.bincount(np.concatenate(codes), minlength=size), np.zeros(count, np.int64), np.zeros(size, np.int64)
+    for letter in np.argsort(-many, kind="stable"):
+        part[letter] = load.argmin()
+        load[part[letter]] += many[letter]
+    masks, beyond = np.zeros((size, len(high.n)), word), []
+    for p in range(count):
+        mine = part[codes[1]] == p
+        row, letter = high.row[mine], codes[1][mine]
+        own = np.bincount(row, minlength=len(high.n))
+        place = np.arange(len(row)) - (np.cumsum(own) - own)[row]
+        fits = place < bits
+        np.bitwise_or.at(masks, (letter[fits], row[fits]), word(1) << place[fits].astype(word))
+        beyond.append(np.maximum(own - bits, 0).astype(np.uint8))
+    return part, masks, beyond
+
+
+def common_of_part(low: list[bytes], masks: list[np.ndarray], beyond: np.ndarray, common: np.ndarray) -> None:
+    """Add to a row of ``common`` for each text of ``low`` the lengths of its longest common subsequences with all texts of ``masks``, of one part of the alphabet. Texts go in order, so that what they begin with alike is stepped through once."""
+    word = masks[0].dtype
+    state = [np.full(len(beyond), np.iinfo(word).max, word)] + [np.empty(len(beyond), word) for _ in range(max(map(len, low)))]
+    both, got, last = np.empty(len(beyond), word), np.empty(len(beyond), np.uint8), None
+    for i in sorted(range(len(low)), key=low.__getitem__):
+        text = low[i]
+        if text != last:
+            depth = next((d for d, (x, y) in enumerate(zip(text, last or b"", strict=False)) if x != y), min(len(text), len(last or b"")))
+            for letter in text[depth:]:
+                held, then = state[depth], state[depth + 1]
+                np.bitwise_and(held, masks[letter], both)
+                np.add(held, both, then)
+                np.subtract(held, both, both)
+                np.bitwise_or(then, both, then)
+                depth += 1
+            np.bitwise_count(np.invert(state[depth], both), got)
+            got += beyond
+            last = text
+        common[i] += got
+
+
+def common_in_parts(low: Texts, at: np.ndarray, low_codes: np.ndarray, words: tuple[np.ndarray, np.ndarray, list[np.ndarray]], since: int) -> np.ndarray:
+    """For the texts of ``low`` at places ``at`` and those in ``words`` from ``since`` the sums of their longest common subsequences of the characters of each part."""
+    part, masks, beyond = words
+    common, n = np.zeros((len(at), masks.shape[1] - since), np.uint8), low.n[at]
+    row = np.repeat(np.arange(len(at)), n)
+    letters = low_codes[np.repeat(low.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    asked = masks.any(axis=1)[letters]
+    for p, over in enumerate(beyond):
+        mine = (part[letters] == p) & asked
+        joined, ends = letters[mine].astype(np.uint8).tobytes(), np.cumsum(np.bincount(row[mine], minlength=len(at))).tolist()
+        common_of_part([joined[x:y] for x, y in zip([0, *ends], ends, strict=False)], [mask[since:] for mask in masks], over[since:], common)
+    return common
+
+
+def sharing_parts(low: Texts, high: Texts, codes: tuple[np.ndarray, np.ndarray], size: int, needed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``low`` and in ``high`` of the pairs whose longest common subsequences of the characters of each part of the alphabet are long enough together; of one chunk each pair once.
+
+    A part of a text of ``high`` is a word of 16 bits or, where too many pairs
+    share enough in these, one of 32, and what is beyond counts as common; one
+    text of ``low`` is held against all of ``high`` at a time.
+    """
+    words = in_words(high, codes, size, np.uint16)
+    some = np.arange(0, len(low.n), -(-len(low.n) // 64))
+    if (common_in_parts(low, some, codes[0], words, 0) >= needed[low.n[some, None] + high.n]).mean() > MANY:
+        words = in_words(high, codes, size, np.uint32)
+    step = LOWS // 2 if low is high else LOWS
+    for begin in range(0, len(low.n), step):
+        at, since = np.arange(begin, min(begin + step, len(low.n))), begin if low is high else 0
+        found, held, n = [], 0, None
+        for i, got in zip(at, common_in_parts(low, at, codes[0], words, since), strict=True):
+            if low.n[i] != n:
+                n = low.n[i]
+                need = needed[n + high.n[since:]].astype(np.uint8)
+            y = np.flatnonzero(got >= need) + since
+            found.append((i, y[y > i] if low is high else y))
+            held += len(found[-1][1])
+            if held >= PAIRS or i == at[-1]:
+                yield np.repeat([x for x, _ in found], [len(y) for _, y in found]), np.concatenate([y for _, y in found])
+                found, held = [], 0
+
+
+def sharing_runs(low: Texts, high: Texts, sharing: Callable[[slice], tuple[np.ndarray, np.ndarray]], needed: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For slices of ``high`` the pairs that have enough characters and runs of two in common, or a few more."""
+    counted = None
+    for begin in range(0, len(high.n), SLICE):
+        rows = slice(begin, min(begin + SLICE, len(high.n)))
+        a, b = sharing(rows)
+        # M characters in blocks between which at least one character of one text isn't in any: M less the blocks are runs of two
+        both = low.n[a] + high.n[b]
+        runs = 3 * needed[both] - both - 1
+        asked = np.flatnonzero(runs * 6 > both)  # fewer are shared by nearly all
+        if len(asked):
+            counted = counted or counted_runs(low, high)
+            lost = asked[shared_runs(*counted, a[asked], b[asked]) < runs[asked]]
+            a, b = np.delete(a, lost), np.delete(b, lost)
+        yield rows, a, b
+
+
+def shared_often(low: Texts, high: Texts, sharing: Callable[[slice], tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether texts have so many pairs with enough characters in common that it is faster to hold each against the whole chunk, by those of a slice."""
+    begin = max(0, (len(high.n) - SLICE) // 2)
+    rows = slice(begin, min(begin + SLICE, len(high.n)))
+    pairs = len(sharing(rows)[0]) / (rows.stop - begin) * len(high.n) / len(low.n)
+    return pairs > OFTEN + len(high.n) / 128
+
+
 def block_pairs(low: Texts, high: Texts, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in ``low`` and in ``high`` of the pairs that may have the ratio; of one chunk (the same ``Texts``) each pair once."""
     alphabet, codes = np.unique(np.concatenate([low.codes, high.codes]), return_inverse=True)
     low_codes, high_codes = np.split(codes.astype(np.intp), [len(low.codes)])
     needed = np.ceil(np.round(least * np.arange(low.n[-1] + high.n[-1] + 1) / 2, 9)).astype(np.int64)
-    counted = counted_runs(low, high)
-    for rows, a, b in sharing_characters(low, high, least):
-        # M characters in blocks between which at least one character of one text isn't in any: M less the blocks are runs of two
-        both = low.n[a] + high.n[b]
-        runs = 3 * needed[both] - both - 1
-        asked = np.flatnonzero(runs * 6 > both)  # fewer are shared by nearly all
-        lost = asked[shared_runs(*counted, a[asked], b[asked]) < runs[asked]]
-        a, b = np.delete(a, lost), np.delete(b, lost)
+    sharing, known = sharing_characters(low, high, least), None
+    if max(low.n[-1], high.n[-1]) <= LONGEST and len(alphabet) <= ALPHABET and shared_often(low, high, sharing):
+        whole = slice(0, len(high.n))
+        met = ((whole, a, b) for a, b in sharing_parts(low, high, (low_codes, high_codes), len(alphabet), needed))
+    else:
+        met = sharing_runs(low, high, sharing, needed)
+    for rows, a, b in met:
         order = np.argsort(a, kind="stable")
-        masks = character_masks(high_codes, high, rows, len(alphabet)) if len(a) else []
+        if len(a) and rows != known:
+            known, masks = rows, character_masks(high_codes, high, rows, len(alphabet))
         for part in range(0, len(order), PAIRS):
             x, y = a[order[part : part + PAIRS]], b[order[part : part + PAIRS]]
             need = needed[low.n[x] + high.n[y]]
@@ -180,6 +296,36 @@ def block_pairs(low: Texts, high: Texts, least: float) -> Iterator[tuple[np.ndar
                 yield x[alike], y[alike]
 
 
+def letter_shares(text: pd.Series) -> np.ndarray:
+    """For each text the shares of groups of characters in it."""
+    n = text.str.len().to_numpy().astype(np.int64)
+    codes = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32) % GROUPS
+    counts = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + codes, minlength=len(n) * GROUPS)
+    return counts.reshape(-1, GROUPS) / np.maximum(n, 1)[:, None]
+
+
+def nearest(shares: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * shares @ centres.T).argmin(axis=1)
+
+
+def kinds_by_letters(texts: DataFrame) -> Column:
+    """The kind of a ``text``, one of up to eight, by its letters: about its language. Few texts are of one kind."""
+    if texts.count() <= CHUNKS * SLICE:
+        return F.lit(0).cast("long")
+    shares = letter_shares(texts.orderBy(F.xxhash64("text")).limit(SAMPLE).select(F.substring("text", 1, LONGEST).alias("text")).toPandas()["text"])
+    axes = np.linalg.eigh(np.cov(shares.T))[1][:, -3:]
+    kind = ((shares - shares.mean(axis=0)) @ axes > 0) @ np.array([1, 2, 4])
+    for _ in range(ROUNDS):
+        centres = np.array([shares[kind == k].mean(axis=0) for k in np.unique(kind)])
+        kind = nearest(shares, centres)
+
+    @F.pandas_udf("long")
+    def kind_of(text: pd.Series) -> pd.Series:
+        return pd.Series(nearest(letter_shares(text), centres))
+
+    return kind_of(F.substring("text", 1, LONGEST))
+
+
 def chunks_of(lengths: pd.DataFrame, size: int) -> tuple[pd.DataFrame, pd.DataFrame]:
     """For ``lengths`` (``kind, side, n, of_length``) where the texts of a length ``begin`` and how much each ``takes``; and the lengths of each chunk of ``size``, that has texts of one kind and side. A text takes 1 for each 64 characters, so chunks are bounded also in characters."""
     rows = lengths.sort_values(["kind", "side", "n"], ignore_index=True)
@@ -251,7 +397,7 @@ def similar_texts(texts: DataFrame, key: str, text: str, least: float, chunk: in
     """
     named = texts.where(F.coalesce(F.col(text), F.lit("")) != "").groupBy(F.col(text).alias("text")).agg(F.min(key).alias("id")).where("id IS NOT NULL")
     known = materialize(named.select("id", "text", F.length("text").cast("long").alias("n")), "texts")
-    met = pairs_met(known.withColumns({"kind": F.lit(0).cast("long"), "side": F.lit(0).cast("long")}), least, chunk)
+    met = pairs_met(known.withColumns({"kind": kinds_by_letters(known), "side": F.lit(0).cast("long")}), least, chunk)
     first = F.col("low_id") < F.col("high_id")
     of = lambda mine, column: F.when(mine, F.col(f"low_{column}")).otherwise(F.col(f"high_{column}"))
     met = materialize(met.select(of(first, "id").alias("a"), of(~first, "id").alias("b"), of(first, "text").alias("a_text"), of(~first, "text").alias("b_text")), "met")

@@ -276,3 +276,55 @@ def test_few_pairs_of_titles_are_stepped_through():
     near = {frozenset((a, b)) for k, a in enumerate(titles) for b in titles[:k] if SequenceMatcher(None, a, b).ratio() >= 0.84 or SequenceMatcher(None, b, a).ratio() >= 0.84}
     assert near <= found and len(near) >= 40
     assert sum(stepped) < len(titles) * 10, sum(stepped)  # all pairs have their characters in common
+
+
+def test_few_pairs_of_alike_letters_are_stepped_through_at_a_low_ratio():
+    rng, letters = random.Random(6), list("the old thing on the other street was not in their interest")
+    titles = ["".join(rng.sample(letters, len(letters))) for _ in range(300)]
+    titles += [t[:15] + t[24:40] + "wxyz" + t[40:] for t in titles[:40]]
+    texts = similarity.Texts(pd.DataFrame({"text": titles}))
+    stepped, real = [], similarity.common_subsequences
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similarity, "common_subsequences", lambda codes, texts, left, *rest: stepped.append(len(left)) or real(codes, texts, left, *rest))
+        found = {frozenset((texts.rows["text"][i], texts.rows["text"][j])) for x, y in similarity.block_pairs(texts, texts, 0.72) for i, j in zip(x, y, strict=True)}
+    near = {frozenset((a, b)) for k, a in enumerate(titles) for b in titles[:k] if SequenceMatcher(None, a, b).ratio() >= 0.72 or SequenceMatcher(None, b, a).ratio() >= 0.72}
+    assert near <= found and len(near) >= 40
+    assert sum(stepped) < len(titles) * 10, sum(stepped)  # all pairs have their characters in common
+
+
+@pytest.mark.parametrize("many", [0, 1])
+def test_parts_of_the_alphabet_lose_no_pair(monkeypatch, many):
+    for name, value in {"OFTEN": -1000, "LOWS": 30, "MANY": many, "PAIRS": 50}.items():  # each text against the whole chunk, in words of both sizes
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 20, 60, 64, 65, 130, 200)))) for letters in ("ab", "abcdefghij klmn", "äöü ßабвгд漢字", "a" * 9 + "bc") for _ in range(18)]
+    texts = sorted({x for t in texts for x in (t, t[: len(t) * 3 // 4] + "zz", t[1:] + "b", t[::-1])} - {""})
+    ratio = lambda x, y: max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio())
+    alike = {frozenset((a, b)) for a, b in itertools.combinations(texts, 2) if 2 * min(len(a), len(b)) >= 0.72 * (len(a) + len(b)) and ratio(a, b) >= 0.72}
+    whole, left, right = (similarity.Texts(pd.DataFrame({"text": t})) for t in (texts, texts[::2], texts[1::2]))
+    for low, high in ((whole, whole), (left, right), (right, left)):
+        got = [frozenset((low.rows["text"][i], high.rows["text"][j])) for x, y in similarity.block_pairs(low, high, 0.72) for i, j in zip(x, y, strict=True)]
+        want = alike if low is high else {p for p in alike if any({a, b} == p for a in p for b in p if a in set(texts[::2]) and b in set(texts[1::2]))}
+        assert len(got) == len(set(got)) and want <= set(got) and len(want) > 100
+
+
+def test_kinds_by_letters_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE", 16)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(5)) for letters in ("aeiort", "mnopqrs", "äöülk", "abцдф") for _ in range(40)]
+    texts = sorted({x for t in texts for x in (t, t[:20] + "xyz", t[3:])})
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    known = rows.select(F.col("t").alias("text"))
+    assert known.select(similarity.kinds_by_letters(known).alias("kind")).distinct().count() >= 4
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if max(ratio(texts[b], texts[a]), ratio(texts[a], texts[b])) >= 0.72}
+    got = [(r.a, r.b) for r in similarity.similar_texts(rows, "i", "t", 0.72, chunk=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_no_texts_have_no_pairs(spark):
+    rows = spark.createDataFrame([(1, None), (2, "")], "i int, t string")
+    assert similarity.similar_texts(rows, "i", "t", 0.72).collect() == []
+    asked = spark.createDataFrame([(1, "en", "a title")], "p int, lang string, t string")
+    items = spark.createDataFrame([], "d int, lang string, b string")
+    assert [(r.p, r.d) for r in similarity.first_acceptable(asked, items, ["lang"], "d", "t", "b").collect()] == [(1, None)]
